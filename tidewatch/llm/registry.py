@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, simhash, token_counts
+from . import bpe, html_text, matroska, quality, simhash, suffix_dedup, token_counts
 
-MODULES = (token_counts, bpe, simhash)
+MODULES = (quality, token_counts, matroska, html_text, bpe, simhash, suffix_dedup)
 
 
 def queries() -> dict:
