@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, matroska, quality, simhash, suffix_dedup, token_counts
+from . import bpe, html_text, language_id, matroska, quality, simhash, suffix_dedup, token_counts
 
-MODULES = (quality, token_counts, matroska, html_text, bpe, simhash, suffix_dedup)
+MODULES = (language_id, quality, token_counts, matroska, html_text, bpe, simhash, suffix_dedup)
 
 
 def queries() -> dict:
