@@ -11,8 +11,6 @@ by ``LANGUAGES`` times the tables' sizes.
 
 from __future__ import annotations
 
-import math
-import zlib
 from bisect import bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterator
@@ -24,13 +22,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import crc32_mod, sample_by_hash, slices, table, texts_of, walk, words_of
+from .quality import class_table
 
 SAMPLE_ROWS, LANGUAGES, WORDS, TRIGRAMS = 20_000, 256, 20_000, 1 << 15
 #: Cost of a change of language; greatest disadvantage of a language in one word; one of another script. In nats.
 SWITCH, WORST, FOREIGN = 9.0, 7.0, 14.0
 #: Share of a language's words from which on a script is one of its scripts.
 SCRIPT_SHARE = 0.01
-CACHE_ENTRIES = 1 << 17
 UNKNOWN = "und"
 
 # First code points of script ranges, and the script that starts there (Unicode, fixed values; "" is no single script).
@@ -44,6 +42,8 @@ _RANGES = [
     (0xF900, "han"), (0xFB00, "latin"), (0xFB1D, "hebrew"), (0xFB50, "arabic"), (0xFE00, ""), (0xFE70, "arabic"), (0xFF00, ""), (0xFF21, "latin"), (0xFF3B, ""), (0xFF41, "latin"), (0xFF5B, ""), (0xFF66, "kana"), (0xFFA0, ""), (0x20000, "han"), (0x32000, ""),
 ]
 _STARTS = [a for a, _ in _RANGES]
+_NAMES = sorted({s for _, s in _RANGES})  # "" comes first
+_KINDS = np.array([_NAMES.index(s) for _, s in _RANGES])
 
 
 def script_of(word: str) -> str:
@@ -56,6 +56,8 @@ def script_of(word: str) -> str:
 def letters(word: str) -> str:
     """A word in lower case, from its first to its last letter; empty without one."""
     word = word.lower()
+    if word.isalpha():
+        return word
     a, b = 0, len(word)
     while a < b and not word[a].isalpha():
         a += 1
@@ -64,10 +66,24 @@ def letters(word: str) -> str:
     return word[a:b]
 
 
-def trigrams(word: str) -> list[int]:
-    """Slots of a word's character trigrams, its ends marked; of its first 64 characters."""
-    w = f"\x02{word[:64]}\x03"
-    return [zlib.crc32(w[k : k + 3].encode()) % TRIGRAMS for k in range(len(w) - 2)]
+def _points(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the words, each between marks of start (2) and end (3), and where each begins."""
+    points = np.frombuffer("".join(f"\x02{w}\x03" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    sizes = np.array([len(w) + 2 for w in words], np.int64)
+    return points, np.cumsum(sizes) - sizes
+
+
+def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Slots of the character trigrams of non-empty words, and where each word's begin."""
+    points, begin = _points(words)
+    h = points[:-2] * np.uint64(0x9E3779B97F4A7C15) + points[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + points[2:] * np.uint64(0x165667B19E3779F9)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    slots = (h >> np.uint64(40)).astype(np.int64) % TRIGRAMS
+    inner = np.ones(len(slots), bool)  # not those over a border between words
+    border = begin[1:]
+    inner[border - 1] = inner[border - 2] = False
+    first = begin - 2 * np.arange(len(words))
+    return slots[inner], first
 
 
 def _partial(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
@@ -111,22 +127,42 @@ class Model:
     """Word and trigram scores by language; ``score`` gives a word's vector."""
 
     def __init__(self, langs: list[str], known: dict[str, np.ndarray], grams: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.langs, self.known, self.grams, self.scripts = langs, known, grams, scripts
-
-    def score(self, word: str) -> np.ndarray:
-        """Nats by language, 0 for the best; all 0 if the word has no letter."""
-        n = len(self.langs)
-        word = letters(word)
-        if not word:
-            return np.zeros(n, np.float32)
-        own = self.known.get(word)
-        if own is None:
-            own = self.grams[trigrams(word)].sum(axis=0)
-        out = np.maximum(own - own.max(), -WORST)
-        written = self.scripts.get(script_of(word))
-        if written is not None and written.any():
-            out = np.where(written, out, -FOREIGN)
-        return (out - out.max()).astype(np.float32)
+        self.langs, self.grams = langs, grams.astype(np.float32)
+        self.known = {w: k for k, w in enumerate(known)}
+        self.values = np.array(list(known.values()), np.float32).reshape(len(known), len(langs))
+        self.written = np.array([scripts.get(s, np.zeros(len(langs), bool)) for s in _NAMES])
+
+    def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(words, languages) nats, 0 for the best and everywhere for a word without a letter; letters of each word."""
+        n, width = len(words), len(self.langs)
+        cores = [letters(w) for w in words]
+        out, weights = np.zeros((n, width), np.float32), np.zeros(n, np.int64)
+        some = np.array([k for k, c in enumerate(cores) if c], np.int64)
+        if not len(some):
+            return out, weights
+        lettered = [c for c in cores if c]
+        points, begin = _points(lettered)
+        is_letter = class_table()[points] <= 2
+        weights[some] = np.add.reduceat(is_letter, begin)
+        if not width:
+            return out, weights
+        at = [self.known.get(c) for c in lettered]
+        own = np.empty((len(some), width), np.float32)
+        listed = np.array([a is not None for a in at])
+        if listed.any():
+            own[listed] = self.values[[a for a in at if a is not None]]
+        if not listed.all():
+            slots, first = trigrams([c for c, a in zip(lettered, at, strict=True) if a is None])
+            own[~listed] = np.add.reduceat(self.grams[slots], first, axis=0)
+        own = np.maximum(own - own.max(axis=1, keepdims=True), -WORST)
+        kind = np.where(is_letter, _KINDS[np.searchsorted(_STARTS, points, side="right") - 1], 0)
+        low, high = np.minimum.reduceat(np.where(kind > 0, kind, len(_NAMES)), begin), np.maximum.reduceat(kind, begin)
+        for k in np.flatnonzero((low != high) & (high > 0)):  # letters of several scripts
+            high[k] = _NAMES.index(script_of(lettered[k]))
+        written = self.written[high]
+        own = np.where(written | ~written.any(axis=1, keepdims=True), own, -FOREIGN)
+        out[some] = own - own.max(axis=1, keepdims=True)
+        return out, weights
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
@@ -143,13 +179,14 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col:
     grams = np.zeros((TRIGRAMS, len(langs)))
     words: dict[str, np.ndarray] = {}
     scripts: dict[str, np.ndarray] = {}
-    for r in rows:
-        k = at.get(r.lang)
-        if k is None:
-            continue
-        words.setdefault(r.word, np.zeros(len(langs)))[k] += r.n
-        scripts.setdefault(script_of(r.word), np.zeros(len(langs)))[k] += r.n
-        np.add.at(grams[:, k], trigrams(r.word), math.sqrt(r.n))  # a frequent word says less about spelling
+    for lang, k in at.items():
+        own = {r.word: r.n for r in rows if r.lang == lang}
+        for w, n in own.items():
+            words.setdefault(w, np.zeros(len(langs)))[k] += n
+            scripts.setdefault(script_of(w), np.zeros(len(langs)))[k] += n
+        slots, first = trigrams(list(own))
+        times = np.repeat(np.sqrt(list(own.values())), np.diff(np.append(first, len(slots))))  # a frequent word says less about spelling
+        grams[:, k] = np.bincount(slots, weights=times, minlength=TRIGRAMS)
     total = np.array([totals[x] for x in langs], float)
     grams = np.log((grams + 0.1) / (grams.sum(axis=0) + 0.1 * TRIGRAMS)) if langs else grams
     known = {w: np.log((c + 0.2) / (total + 1)) for w, c in words.items() if c.sum() >= 5}
@@ -206,23 +243,6 @@ def viterbi(scores: np.ndarray, per: np.ndarray, switch: float = SWITCH) -> np.n
     return out
 
 
-class _Scores(dict):
-    def __init__(self, model: Model):
-        super().__init__()
-        self.model = model
-
-    def __missing__(self, word: str) -> tuple[np.ndarray, int]:
-        got = self.model.score(word), sum(map(str.isalpha, word))
-        if len(self) >= CACHE_ENTRIES:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = got
-        return got
-
-
-_WORKER: dict = {}
-
-
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, spans: bool = False, switch: float = SWITCH) -> DataFrame:
     """Row for row: the id, the ``keep`` columns, lang_pred, score, n_spans.
 
@@ -240,14 +260,10 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = shared.value
-        if _WORKER.get("model") is not own:
-            _WORKER.update(model=own, scores=_Scores(own))
-        cache, langs, n = _WORKER["scores"], own.langs, batch.num_rows
+        langs, n = own.langs, batch.num_rows
         ids, names, per = words_of(batch.column(0))
         width = len(langs)
-        got = [cache[w] for w in names]
-        vectors = np.array([g[0] for g in got], np.float32).reshape(len(names), width)
-        weights = np.array([g[1] for g in got], np.int64)
+        vectors, weights = own.score(names)
         row = np.repeat(np.arange(n), per)
         labels = viterbi(vectors[ids], per, switch) if width else np.zeros(len(ids), np.int64)
         by = np.bincount(row * max(width, 1) + labels, weights=weights[ids] if len(ids) else None, minlength=n * max(width, 1)).reshape(n, -1)

@@ -1,7 +1,10 @@
 """Quality rules: base counts, then divergence from language references.
 
 The references are gathered from every document that has a language: how its characters spread
-over classes, and its most common words with their shares. A document is compared to each
+over classes, and its common words, those with a share of ``COMMON_SHARE`` or more, with their
+shares. A first pass over all texts finds candidates: what each slice leaves out has less than a
+quarter of that share in it, so a common word comes to three quarters of it at least in what is
+left, and there can't be many such. A second pass counts them exactly. A document is compared to each
 reference by the Jensen-Shannon distance (square root of the divergence in bits, 0 to 1) of both
 histograms; it has to be near one language in both at once. A short text says little: the
 character test needs ``MIN_CHARS`` characters, the word test ``MIN_WORDS`` words, and below these
@@ -12,7 +15,6 @@ as a small sample lies far from any reference by chance alone.
 from __future__ import annotations
 
 import unicodedata
-from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,13 +24,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import flat_bytes, slices, table, texts_of, walk, words_of
+from .common import SLICE_BYTES, flat_bytes, slices, table, texts_of, walk, words_of
 
 CLASSES = ("lower", "upper", "letter", "mark", "digit", "space", "stop", "symbol", "other")
-#: Common words of a reference, and the languages (those with most words) that get one.
-COMMON_WORDS, LANGUAGES = 200, 256
+#: Share of a language's words that makes a word common, and the languages (those with most words) that get a reference.
+COMMON_SHARE, LANGUAGES = 0.001, 256
 #: Guards, and (base, slack) of the greatest distances to the nearest reference.
-MIN_CHARS, MIN_WORDS, CHAR_LIMIT, WORD_LIMIT = 200, 50, (0.14, 1.3), (0.25, 3.0)
+MIN_CHARS, MIN_WORDS, CHAR_LIMIT, WORD_LIMIT = 200, 50, (0.14, 1.3), (0.20, 2.7)
 _SYMBOLS = b"#*$%&|<>"
 _BLANKS = " \t\n\r\x0b\f"
 
@@ -50,6 +52,8 @@ def class_table() -> np.ndarray:
 def core(word: str) -> str:
     """A word in lower case without what isn't a letter or digit at its ends."""
     word = word.lower()
+    if word.isalnum():
+        return word
     a, b = 0, len(word)
     while a < b and not word[a].isalnum():
         a += 1
@@ -116,41 +120,55 @@ def base_counts(texts: list[str], data: np.ndarray, offsets: np.ndarray, ids: np
     }
 
 
-def _partial_counts(batches: Iterator[pa.RecordBatch], most: int = 1 << 18) -> Iterator[pa.RecordBatch]:
-    """Per task: (lang, kind, name, n), kind 0 for character classes and 1 for words."""
-    counts: dict[str, Counter] = defaultdict(Counter)
-    classes: dict[str, np.ndarray] = {}
-
-    def flush():
-        rows = [(lang, 1, w, n) for lang, c in counts.items() for w, n in c.items()]
-        rows += [(lang, 0, CLASSES[k], int(n)) for lang, c in classes.items() for k, n in enumerate(c) if n]
-        counts.clear()
-        classes.clear()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "kind", "name", "n"])
-
+def _by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, np.ndarray, np.ndarray, list[str]]]:
+    """(lang, class counts, counts of words by number, words) of the languages in a slice of (text, lang)."""
+    langs = batch.column(1).to_pylist()
+    data, offsets = flat_bytes(batch.column(0))
+    ids, names, per = words_of(batch.column(0))
+    known = sorted(set(langs))
+    code = {x: k for k, x in enumerate(known)}
+    lang = np.array([code[x] for x in langs])
+    hist, of = class_counts(data, offsets), np.repeat(lang, per)
+    numbers: dict[str, int] = {}
+    core_of = np.array([numbers.setdefault(core(w), len(numbers)) for w in names], np.int64)
+    word, listed = core_of[ids], list(numbers)
+    for x, k in code.items():
+        n = np.bincount(word[of == k], minlength=len(listed))
+        if "" in numbers:  # words of signs only
+            n[numbers[""]] = 0
+        yield x, hist[lang == k].sum(axis=0), n, listed
+
+
+def _counted(rows: list) -> Iterator[pa.RecordBatch]:
+    if rows:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], ["lang", "kind", "name", "n"])
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, kind, name, n) of each slice: kind 0 character classes, 1 its more frequent words, 2 all words."""
     for whole in batches:
-        for batch in slices(whole, "text", 4 << 20):
-            langs = batch.column(1).to_pylist()
-            data, offsets = flat_bytes(batch.column(0))
-            ids, names, per = words_of(batch.column(0))
-            known = sorted({x for x in langs if x is not None})
-            code = {x: k for k, x in enumerate(known)}
-            lang = np.array([code.get(x, -1) for x in langs])
-            hist = class_counts(data, offsets)
-            cores, core_of = {}, np.zeros(len(names), np.int64)
-            for k, w in enumerate(names):
-                core_of[k] = cores.setdefault(core(w), len(cores))
-            word, of = core_of[ids], np.repeat(lang, per)
-            listed = list(cores)
-            for x, k in code.items():
-                classes[x] = classes.get(x, 0) + hist[lang == k].sum(axis=0)
-                n = np.bincount(word[of == k], minlength=len(listed))
-                hit = np.flatnonzero(n)
-                counts[x].update(dict(zip((listed[i] for i in hit), n[hit].tolist(), strict=True)))
-            if sum(map(len, counts.values())) > most:
-                yield from flush()
-    yield from flush()
+        for batch in slices(whole, "text", SLICE_BYTES):
+            rows = []
+            for lang, classes, n, names in _by_language(batch):
+                total = int(n.sum())
+                rows += [(lang, 0, CLASSES[k], int(c)) for k, c in enumerate(classes) if c]
+                rows += [(lang, 1, names[k], int(n[k])) for k in np.flatnonzero((n > 0) & (n * 4 >= COMMON_SHARE * total))]
+                rows.append((lang, 2, "", total))
+            yield from _counted(rows)
+
+
+def _exact(words: dict[str, dict[str, int]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = {x: np.zeros(len(w), np.int64) for x, w in words.items()}
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE_BYTES):
+                for lang, _, n, names in _by_language(batch):
+                    if own := words.get(lang):
+                        at = np.array([own.get(x, -1) for x in names], np.int64)
+                        np.add.at(sums[lang], at[at >= 0], n[at >= 0])
+        yield from _counted([(x, 1, w, int(sums[x][k])) for x, own in words.items() for w, k in own.items() if sums[x][k]])
+
+    return run
 
 
 class References:
@@ -161,26 +179,20 @@ class References:
 
 def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> References:
     """Histograms of each language over all documents that have one; of a bounded size."""
-    texts = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    counts = texts.mapInArrow(_partial_counts, "lang string, kind int, name string, n long").groupBy("lang", "kind", "name").agg(F.sum("n").alias("n")).where("name != ''")
-    by = Window.partitionBy("lang", "kind")
-    ranked = counts.withColumn("total", F.sum("n").over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "name")))
-    best = ranked.where(F.col("rank") <= COMMON_WORDS).collect()  # languages x (common words + classes)
-    totals = {r.lang: r.total for r in best if r.kind == 1}
-    langs = sorted(sorted(totals, key=lambda x: (-totals[x], x))[:LANGUAGES])
-    classes = np.zeros((len(langs), len(CLASSES)))
-    words: list[list[str]] = [[] for _ in langs]
-    shares: list[list[float]] = [[] for _ in langs]
-    at = {x: k for k, x in enumerate(langs)}
-    for r in sorted(best, key=lambda r: (r.lang, r.kind, r["rank"])):
-        if r.lang not in at:
-            continue
-        if r.kind == 0:
-            classes[at[r.lang], CLASSES.index(r.name)] = r.n / r.total
-        else:
-            words[at[r.lang]].append(r.name)
-            shares[at[r.lang]].append(r.n / r.total)
-    return References(langs, classes, words, [np.append(s, max(0.0, 1 - sum(s))) for s in shares])
+    texts = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    shape, key = "lang string, kind int, name string, n long", ["lang", "kind", "name"]
+    found = texts.mapInArrow(_candidates, shape).groupBy(*key).agg(F.sum("n").alias("n"))
+    totals = found.withColumn("total", F.sum(F.when(F.col("kind") == 2, F.col("n"))).over(Window.partitionBy("lang")))
+    # for each language its classes, its total, and words with 3/4 of the share: a bounded number
+    rows = totals.where((F.col("kind") != 1) | (F.col("n") >= 0.75 * COMMON_SHARE * F.col("total"))).collect()
+    words_in = {r.lang: r.n for r in rows if r.kind == 2 and r.n}
+    langs = sorted(sorted(words_in, key=lambda x: (-words_in[x], x))[:LANGUAGES])
+    maybe = {x: {w: k for k, w in enumerate(sorted(r.name for r in rows if r.kind == 1 and r.lang == x))} for x in langs}
+    counts = texts.mapInArrow(_exact(maybe), shape).groupBy(*key).agg(F.sum("n").alias("n")).collect() if langs else []
+    classes = np.array([[sum(r.n for r in rows if r.kind == 0 and r.lang == x and r.name == c) for c in CLASSES] for x in langs], float).reshape(len(langs), len(CLASSES))
+    common = {x: sorted((r.name, r.n / words_in[x]) for r in counts if r.lang == x and r.n >= COMMON_SHARE * words_in[x]) for x in langs}
+    shares = [np.array([s for _, s in common[x]] + [max(0.0, 1 - sum(s for _, s in common[x]))]) for x in langs]
+    return References(langs, classes / np.maximum(classes.sum(axis=1, keepdims=True), 1), [[w for w, _ in common[x]] for x in langs], shares)
 
 
 def _entropy(p: np.ndarray) -> np.ndarray:
