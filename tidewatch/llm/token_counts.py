@@ -25,8 +25,8 @@ from pyspark.sql import types as T
 from .common import table, texts_of, walk
 
 MODEL = "piece_bpe_32k.model"
-#: Texts sampled for the broadcast table, its entries, the longest entry, and entries of a worker's cache.
-SAMPLE_ROWS, TABLE_ENTRIES, ENTRY_CHARS, CACHE_ENTRIES = 2000, 1 << 15, 40, 1 << 19
+#: Texts sampled for the broadcast table and their greatest size, its entries, the longest entry, and entries of a worker's cache.
+SAMPLE_ROWS, SAMPLE_BYTES, TABLE_ENTRIES, ENTRY_CHARS, CACHE_ENTRIES = 1000, 1 << 16, 1 << 15, 40, 1 << 19
 _SPACE = "▁"  # the model's own mark of a space
 _PRE_TOKENS = re.compile(" *[^ ]+| +").findall
 
@@ -68,21 +68,13 @@ _WORKER: dict = {}
 def frequent(texts: DataFrame, model_path: str) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The table: the pre-tokens end to end, where each ends, and their numbers of tokens.
 
-    Counted on executors over at most ``SAMPLE_ROWS`` texts; the driver gets ``TABLE_ENTRIES``
-    entries from each of four tasks at most.
+    From at most ``SAMPLE_ROWS`` texts of ``SAMPLE_BYTES`` at most each, which Spark takes from
+    the first partitions that have them, so nothing more is read and nothing shuffled.
     """
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        seen: Counter = Counter()
-        for t in texts_of(batch.column(0)):
-            if t:
-                seen.update(p for p in pre_tokens(t) if len(p) <= ENTRY_CHARS)
-        best = seen.most_common(TABLE_ENTRIES)
-        return pa.RecordBatch.from_arrays([pa.array([p for p, _ in best], pa.string()), pa.array([n for _, n in best], pa.int64())], ["p", "n"])
-
-    sample = texts.limit(SAMPLE_ROWS).repartition(4)
-    counted = walk(sample, run, "p string, n long").groupBy("p").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "p").limit(TABLE_ENTRIES)
-    names = [r.p for r in counted.collect()]
+    seen: Counter = Counter()
+    for row in texts.where((F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES)).limit(SAMPLE_ROWS).collect():
+        seen.update(p for p in pre_tokens(row.text) if len(p) <= ENTRY_CHARS)
+    names = [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TABLE_ENTRIES]]
     lengths = Lengths(model_path)
     ends = np.cumsum([len(p) for p in names], dtype=np.int64) if names else np.zeros(0, np.int64)
     return "".join(names).encode(), ends.astype(np.uint32), np.array([lengths[p] for p in names], np.uint16)
