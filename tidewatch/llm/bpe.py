@@ -18,6 +18,7 @@ import json
 import ahocorasick
 import public_tokenizers
 import pyarrow as pa
+import regex
 import tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,15 +27,18 @@ from pyspark.sql import types as T
 from .common import table, texts_of, walk
 
 MODEL = "word_bpe_49k.json"
-#: Words a worker keeps, and the longest word it keeps.
-CACHE_ENTRIES, CACHE_CHARS = 1 << 18, 128
+#: Words and pre-tokens a worker keeps, the longest that it keeps, and successors of a token whose compatibility it keeps.
+CACHE_ENTRIES, CACHE_CHARS, PAIR_ENTRIES = 1 << 19, 64, 1 << 10
 _END = 0x10000  # added to a symbol's code when it ends a word
+#: Texts of printable characters below this are split here; there all Unicode versions agree, characters are composed already and lower case goes character by character.
+_PLAIN = "\u0250"
 
 
 class PrefixBpe:
     """Encoder and decoder for a tokenizer file with a BPE model and an end-of-word suffix."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, unreachable: frozenset[int] | None = None):
+        """``unreachable``: tokens whose own string BPE encodes otherwise, if they are known already."""
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -46,10 +50,27 @@ class PrefixBpe:
         library = tokenizers.Tokenizer.from_file(path)
         self.normalize = library.normalizer.normalize_str
         self.split = library.pre_tokenizer.pre_tokenize_str
+        pattern = next((p["pattern"]["Regex"] for p in spec["pre_tokenizer"].get("pretokenizers", []) if p["type"] == "Split" and p["invert"] and p["behavior"] == "Removed"), None)
+        steps = [n["type"] for n in spec["normalizer"].get("normalizers", [])]
+        self.pieces_of = regex.compile(pattern).findall if pattern and steps == ["NFC", "Replace", "Lowercase"] else None
+        shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]  # the byte alphabet: these stand for themselves
+        hidden = [b for b in range(256) if b not in shown]
+        self.alphabet = {b: chr(256 + k) for k, b in enumerate(hidden)}
+        self.kept: dict[str, tuple[int, str, str]] = {}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.vocab = model["vocab"]
         self.names = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
         self._ranks(model["merges"])
+        single = {s: k for k, s in enumerate(self.strings) if len(s) == 1}
+        if unreachable is None:
+            unreachable = frozenset(k for k, (a, _) in enumerate(self.parts) if a != k and self._whole(self.strings[k], single) != [k])
+        self.unreachable = unreachable
+        self.pairs: list[dict[int, bool]] = [{} for _ in self.parts]
+        self.matches = ahocorasick.Automaton()
+        for k, s in enumerate(self.strings):
+            if k not in unreachable:
+                self.matches.add_word(s, (k, len(s)))
+        self.matches.make_automaton()
 
     def _word(self, token: str) -> str:
         """A token's string in the automaton's alphabet."""
@@ -74,11 +95,7 @@ class PrefixBpe:
             self.parts.append((self.rank[a], self.rank[b]))
         self.ids = [self.vocab[t] for t in self.rank]
         self.strings = [self._word(t) for t in self.rank]
-        self.matches = ahocorasick.Automaton()
-        for k, s in enumerate(self.strings):
-            self.matches.add_word(s, k)
-        self.matches.make_automaton()
-        self.sound: dict[int, bool] = {}
+        self.sizes = [len(s) for s in self.strings]
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether BPE of the two tokens' joined string is these two tokens.
@@ -104,19 +121,8 @@ class PrefixBpe:
                     if left == limit:
                         return True
 
-    def reachable(self, token: int) -> bool:
-        """Whether BPE of the token's own string is the token."""
-        known = self.sound.get(token)
-        if known is None:
-            a, b = self.parts[token]
-            known = a == token or self._whole(self.strings[token]) == [token]
-            self.sound[token] = known
-        return known
-
-    def _whole(self, word: str) -> list[int]:
+    def _whole(self, word: str, single: dict[str, int]) -> list[int]:
         """Merge by merge, for one short token."""
-        single = {s: k for k, s in enumerate(self.strings) if len(s) == 1} if not hasattr(self, "single") else self.single
-        self.single = single
         row = [single[c] for c in word]
         while len(row) > 1:
             best = min((self.merged.get(p, len(self.parts)) for p in zip(row, row[1:], strict=False)), default=len(self.parts))
@@ -137,36 +143,68 @@ class PrefixBpe:
         """Ids of one pre-token, given in the byte alphabet and not empty."""
         word = piece[:-1] + chr(ord(piece[-1]) + _END)
         last = [-1] * (len(word) + 1)
-        for end, token in self.matches.iter(word):
-            if last[end + 1] >= 0:
+        pairs = self.pairs
+        for end, (token, size) in self.matches.iter(word):
+            end += 1
+            if last[end] >= 0:
                 continue
-            start = end + 1 - len(self.strings[token])
-            if (start == 0 or (last[start] >= 0 and self.compatible(last[start], token))) and self.reachable(token):
-                last[end + 1] = token
+            if end != size:
+                before = last[end - size]
+                if before < 0:
+                    continue
+                known = pairs[before]
+                fits = known.get(token)
+                if fits is None:
+                    fits = self.compatible(before, token)
+                    if len(known) < PAIR_ENTRIES:
+                        known[token] = fits
+                if not fits:
+                    continue
+            last[end] = token
         out, at = [], len(word)
         while at:
             token = last[at]
             out.append(self.ids[token])
-            at -= len(self.strings[token])
+            at -= self.sizes[token]
         return out[::-1]
 
-    def encode_word(self, word: str) -> list[int]:
-        """Ids of a text without white space that matters; special strings become their ids."""
+    def _pieces(self, text: str) -> list[str]:
+        """Pre-tokens in the byte alphabet, of a text without special strings."""
+        if self.pieces_of and text.isprintable() and (text.isascii() or (max(text) < _PLAIN and "\u0130" not in text)):
+            got = self.pieces_of(text.lower())
+            return got if text.isascii() else [p if p.isascii() else p.encode().decode("latin-1").translate(self.alphabet) for p in got]
+        return [p for p, _ in self.split(self.normalize(text))]
+
+    def written(self, piece: str) -> tuple[int, str, str]:
+        """(tokens, ids joined by spaces, decoded text) of a pre-token."""
+        got = self.kept.get(piece)
+        if got is None:
+            ids = self.encode_piece(piece)
+            got = len(ids), " ".join(map(str, ids)), self.decode(ids)
+            if len(self.kept) >= CACHE_ENTRIES:
+                self.kept.clear()
+            if len(piece) <= CACHE_CHARS:
+                self.kept[piece] = got
+        return got
+
+    def word(self, word: str) -> tuple[int, str, str]:
+        """The same of a text without white space that matters; special strings become their ids."""
         parts = [word]
         for s in self.special:
             if s in word:
-                parts = [y for x in parts for y in _cut(x, s)] if s != word else [word]
-        out = []
+                parts = [y for x in parts for y in (_cut(x, s) if x not in self.special else [x])]
+        got = []
         for x in parts:
             if x in self.special:
-                out.append(self.special[x])
+                got.append((1, str(self.special[x]), x))
             elif x:
-                for piece, _ in self.split(self.normalize(x)):
-                    out += self.encode_piece(piece)
-        return out
+                got += map(self.written, self._pieces(x))
+        if len(got) == 1:
+            return got[0]
+        return sum(g[0] for g in got), " ".join([g[1] for g in got]), " ".join([g[2] for g in got])
 
     def encode(self, text: str) -> list[int]:
-        return [i for w in text.encode().split() for i in self.encode_word(w.decode())]
+        return [int(i) for w in text.encode().split() for i in self.word(w.decode())[1].split()]
 
     def decode(self, ids: list[int]) -> str:
         """As the library decodes without a decoder: token strings joined by spaces."""
@@ -188,8 +226,7 @@ class Words(dict):
         self.bpe = bpe
 
     def __missing__(self, word: bytes) -> tuple[int, str, str]:
-        ids = self.bpe.encode_word(word.decode())
-        got = len(ids), " ".join(map(str, ids)), self.bpe.decode(ids)
+        got = self.bpe.word(word.decode())
         if len(word) <= CACHE_CHARS:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
@@ -200,10 +237,10 @@ class Words(dict):
 _WORKER: dict[str, Words] = {}
 
 
-def worker_words(path: str) -> Words:
+def worker_words(path: str, unreachable: frozenset[int]) -> Words:
     if path not in _WORKER:
         _WORKER.clear()
-        _WORKER[path] = Words(PrefixBpe(path))
+        _WORKER[path] = Words(PrefixBpe(path, unreachable))
     return _WORKER[path]
 
 
@@ -216,9 +253,10 @@ def encode_decode(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     path = model_path or public_tokenizers.path(MODEL)
     cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    unreachable = PrefixBpe(path).unreachable  # found once, here; at most the vocabulary
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        words, rows = worker_words(path), []
+        words, rows = worker_words(path, unreachable), []
         for t in texts_of(batch.column(1)):
             got = [w for w in map(words.__getitem__, t.encode().split()) if w[0]]
             ids, text = " ".join([w[1] for w in got]), " ".join([w[2] for w in got])
