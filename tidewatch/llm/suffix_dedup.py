@@ -11,10 +11,14 @@ else. With q = length / 2, the suffix at p is told apart from others in steps.
    which are found on the spot).
 3. The runs of a larger bucket are refined by the identifier of all the bytes that they span.
    Runs alike in it repeat as a whole: the update holds for all their starts at once and none
-   is looked at again. A bucket whose runs are all alike is final.
-4. In buckets that are still mixed, one run of each class is refined by start: the starts'
-   pointers at p and, taken over from step 1's identifiers, at the later offset p + q. Two starts
-   with equal pairs have equal strings of 2 q bytes.
+   is looked at again. A bucket whose runs are all alike is final, as is one whose classes all
+   have several runs.
+4. Of buckets that are still mixed, one run of each class is split by offset: starts whose first
+   q-gram of the bucket lies ``STEP`` offsets apart at most stay together. The new bucket is the
+   identifier of the bytes that all starts of such a piece share; pieces that differ there have
+   no string in common. Then steps 2 and 3 are used again on the pieces.
+5. Once more for what is mixed even so, with single starts: the bucket is the start's own pointer
+   and it is refined by the pointer at the later offset p + q. Equal pairs are equal strings.
 
 Identifiers are 64 bits and only ever compared in pairs (bucket and span, pointer and later
 pointer), so strings count as equal on 128 bits. Groups of copies stay in one class of
@@ -36,6 +40,8 @@ from pyspark.sql import types as T
 from .common import Scratch, flat_bytes, free_shuffles, table, walk
 
 LENGTH = 200
+#: Offsets that stay together in the second round.
+STEP = 8
 #: Bytes whose identifiers are in memory at once.
 BLOCK = 1 << 21
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
@@ -183,28 +189,57 @@ def _runs_batch(length: int):
     return run
 
 
-def _starts_batch(length: int):
-    q = length // 2
-
+def _pieces(part: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int, step: int):
+    """Pieces of runs (run, first start, starts, bucket, span id); with step 1 single starts."""
+    q, ids = length // 2, Prefix(part)
+    run, p = _spread(lo, n)
+    if step == 1:
+        return run, p, np.ones(len(p), np.int64), ids.at(p, q), ids.at(p + q, q)
+    grams = ids.every(q)
+    # a run's bucket is the smallest gram of any of its starts
+    wide, j = _spread(lo, n + length - q)
+    begin = np.cumsum(n + length - q) - (n + length - q)
+    first_window = _spread(lo, np.full(len(lo), length - q + 1))[1].reshape(len(lo), -1)
+    bucket = grams[first_window].min(axis=1)
+    big = np.int64(1) << 40
+    where = np.where(grams[j] == bucket[wide], wide * big + j, (wide + 1) * big)
+    following = np.minimum.accumulate(where[::-1])[::-1] - wide * big  # the next place of the bucket's gram
+    offset = following[np.repeat(begin, n) + p - lo[run]] - p
+    new = np.ones(len(p), bool)
+    new[1:] = (run[1:] != run[:-1]) | (offset[1:] // step != offset[:-1] // step) | (offset[1:] + 1 != offset[:-1])
+    head = np.flatnonzero(new)
+    size = np.diff(np.append(head, len(p)))
+    gram_at = p[head] + offset[head]
+    slot = offset[head] // step
+    # shared by all starts that a piece of this slot can have, whether this one has them or not
+    core = ids.at(gram_at - slot * step, length - step + 1)
+    span = ids.at(p[head], size - 1 + length) + (size * 256 + offset[head]).astype(np.uint64)
+    return run[head], p[head], size, core, span
+
+
+def _split_batch(length: int, step: int):
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        data, offsets = flat_bytes(batch.column(1))
-        runs = batch.column(2)
-        per = np.asarray([len(x) for x in runs], np.int64)
+        data, offsets = flat_bytes(batch.column(2))
+        runs = pa.concat_arrays([batch.column(3)])
+        per = np.diff(np.asarray(runs.offsets))
         flat = runs.flatten()
         lo, n, need = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("lo", "n", "need"))
         row = np.repeat(np.arange(batch.num_rows), per)
+        lo, n = offsets[row] + lo, n.astype(np.int64)
         out = []
-        run_index, p = _spread(offsets[row] + lo, n.astype(np.int64))
-        order = np.argsort(p, kind="stable")
-        run_index, p = run_index[order], p[order]
         for first, stop in _blocks(len(data), length, BLOCK):
-            a, b = np.searchsorted(p, (first, stop))
-            if a < b:
-                ids, at = Prefix(data[first : stop + length - 1]), p[a:b] - first
-                out.append((ids.at(at, q), ids.at(at + q, q)))
-        x, y = (np.concatenate(v).view(np.int64) for v in zip(*out, strict=True))
-        rows = row[run_index]
-        return pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), batch.column(0).take(pa.array(rows)), pa.array((p - offsets[rows]).astype(np.int32)), pa.array(need[run_index])], ["a", "b", "key", "lo", "need"])
+            a, b = np.maximum(lo, first), np.minimum(lo + n, stop)
+            inside = np.flatnonzero(a < b)
+            if len(inside):
+                of, p, size, bucket, span = _pieces(data[first : stop + length - 1], a[inside] - first, (b - a)[inside], length, step)
+                out.append((inside[of], p + first, size, bucket.view(np.int64), span.view(np.int64)))
+        of, p, size, bucket, span = (np.concatenate(x) for x in zip(*out, strict=True))
+        rows = row[of]
+        take = pa.array(rows)
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(take), batch.column(1).take(take), pa.array((p - offsets[rows]).astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(bucket), pa.array(span), pa.array(need[of])],
+            ["id", "key", "lo", "n", "bucket", "span", "need"],
+        )
 
     return run
 
@@ -223,31 +258,52 @@ def covered(rows: int, offsets: np.ndarray, spans: pa.Array, length: int) -> np.
     return np.cumsum(edges[:-1]) > 0
 
 
+_UNIT = ["id", "key", "lo", "n"]
+
+
+def _refine(rows: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
+    """One round over (id, key, lo, n, bucket, span, need): what repeats as a whole, and one of each class that is still open.
+
+    ``need`` marks rows of which it isn't known yet; the others only stand for their class.
+    """
+    buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("span").alias("s0"), F.max("span").alias("s1"), F.bool_or("need").alias("asked"))
+    buckets = buckets.where("c > 1 AND asked").select("bucket", (F.col("s0") != F.col("s1")).alias("mixed"))
+    shared = scratch.write(rows.join(buckets, "bucket"), f"{name}-shared")
+    mixed = shared.where("mixed")
+    classes = mixed.groupBy("bucket", "span").agg(F.count(F.lit(1)).alias("c"), F.bool_or("need").alias("asked"), F.min(F.struct(*_UNIT)).alias("one"))
+    classes = scratch.write(classes.select("bucket", "span", "c", (F.col("asked") & (F.col("c") == 1)).alias("need"), "one.*"), f"{name}-classes")
+    alike = mixed.where("need").join(classes.where("c > 1").select("bucket", "span"), ["bucket", "span"], "left_semi")
+    known = shared.where("need AND NOT mixed").select("key", "lo", "n").union(alike.select("key", "lo", "n"))
+    unsettled = classes.where("need").select("bucket").distinct()
+    return known, classes.join(unsettled, "bucket", "left_semi").select(*_UNIT, "need")
+
+
 def _cover(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     """(key, spans): starts whose strings repeat, for each text that has some; ``docs`` has id, key, text."""
     spark = docs.sparkSession
     cols = docs.select("id", "key", "text")
-    schema = T.StructType([cols.schema["id"], cols.schema["key"], *(T.StructField(c, k) for c, k in (("lo", T.IntegerType()), ("n", T.IntegerType()), ("bucket", T.LongType()), ("span", T.LongType()), ("own", T.BooleanType())))])
-    runs = scratch.write(walk(cols, _runs_batch(length), schema), "runs")
-    sampled = runs.where(~F.col("own"))
-    buckets = sampled.groupBy("bucket").agg(F.count(F.lit(1)).alias("runs"), F.min("span").alias("s0"), F.max("span").alias("s1")).where("runs > 1")
-    open_runs = scratch.write(sampled.join(buckets.select("bucket", (F.col("s0") != F.col("s1")).alias("mixed")), "bucket").select("id", "key", "lo", "n", "bucket", "span", "mixed"), "open")
-    free_shuffles(spark)
-    mixed = open_runs.where("mixed")
-    classes = mixed.groupBy("bucket", "span").agg(F.count(F.lit(1)).alias("runs"), F.min(F.struct("id", "key", "lo", "n")).alias("one"))
-    classes = scratch.write(classes.select("bucket", "span", "runs", "one.*"), "classes")
-    whole = mixed.join(classes.where("runs > 1").select("bucket", "span"), ["bucket", "span"], "left_semi")
-    ends = classes.groupBy("id", "key").agg(F.collect_list(F.struct("lo", "n", (F.col("runs") == 1).alias("need"))).alias("runs"))
-    texts = docs.select(F.col("id").alias("id2"), F.col("key").alias("key2"), "text")
-    chosen = texts.join(ends, (F.col("key") == F.col("key2")) & F.col("id").eqNullSafe(F.col("id2"))).select("key", "text", "runs")
-    kinds = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType()), chosen.schema["key"], T.StructField("lo", T.IntegerType()), T.StructField("need", T.BooleanType())])
-    starts = scratch.write(walk(chosen, _starts_batch(length), kinds), "starts")
+    shape = [cols.schema["id"], cols.schema["key"], *(T.StructField(c, k) for c, k in (("lo", T.IntegerType()), ("n", T.IntegerType()), ("bucket", T.LongType()), ("span", T.LongType())))]
+    runs = scratch.write(walk(cols, _runs_batch(length), T.StructType([*shape, T.StructField("own", T.BooleanType())])), "runs")
+    own = scratch.write(runs.where("own").select("key", "lo", "n"), "own")
+    known, left = _refine(runs.where("NOT own").drop("own").withColumn("need", F.lit(True)), scratch, "runs")
+    found = [own, known]
+    scratch.drop("runs")
     free_shuffles(spark)
-    again = starts.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.bool_or("need").alias("asked")).where("c > 1 and asked")
-    single = starts.where("need").join(again.select("a", "b"), ["a", "b"], "left_semi").select("key", "lo", F.lit(1).alias("n"))
-    spans = open_runs.where("not mixed").select("key", "lo", "n").union(whole.select("key", "lo", "n")).union(runs.where("own").select("key", "lo", "n")).union(single)
+    texts = docs.select("id", "key", "text")
+    for step in (STEP, 1):
+        ends = left.groupBy("id", "key").agg(F.collect_list(F.struct("lo", "n", "need")).alias("runs")).withColumnsRenamed({"id": "id2", "key": "key2"})
+        same_row = (F.col("key") == F.col("key2")) & F.col("id").eqNullSafe(F.col("id2"))
+        texts = scratch.write(texts.join(ends, same_row).select("id", "key", "text", "runs"), f"texts-{step}")
+        free_shuffles(spark)
+        pieces = scratch.write(walk(texts, _split_batch(length, step), T.StructType([*shape, T.StructField("need", T.BooleanType())])), f"pieces-{step}")
+        texts = texts.drop("runs")
+        known, left = _refine(pieces, scratch, f"pieces-{step}")
+        found.append(known)
+        scratch.drop(f"pieces-{step}")
+        free_shuffles(spark)
+    spans = found[0].union(found[1]).union(found[2]).union(found[3])
     cover = scratch.write(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "n")).alias("spans")), "cover")
-    for name in ("runs", "open", "classes", "starts"):
+    for name in ("own", *(f"{x}-{y}" for x in ("runs", f"pieces-{STEP}", "pieces-1") for y in ("shared", "classes")), f"texts-{STEP}", "texts-1"):
         scratch.drop(name)
     free_shuffles(spark)
     return cover
