@@ -1,0 +1 @@
+"""Tracks, radar detections and cited documents on Spark."""
