@@ -126,7 +126,7 @@ def summary(matches: DataFrame, *by: str) -> DataFrame:
         F.count_if(F.col("status") == "matched").alias("matched"),
         dark.alias("dark"),
         F.when(total > 0, F.format_string("%.1f%%", F.round(100.0 * dark / F.nullif(total, F.lit(0)), 1))).otherwise("n/a").alias("unmatched_fraction"),
-        F.count_if(F.col("distance_m") < F.col("distance_uncorrected_m") - 0.001).alias("improved")  # by over a millimetre,
+        F.count_if(F.col("distance_m") < F.col("distance_uncorrected_m") - 0.001).alias("improved"),  # by over a millimetre
         F.coalesce(F.bool_and(F.when(F.col("status") == "matched", F.col("source_is_ground_truth"))), F.lit(False)).alias("quotable"),
     )
 
