@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import spatial
+from . import documents, rasters, spatial
 
-MODULES = (spatial,)
+MODULES = (spatial, documents, rasters)
 
 
 def queries() -> dict:
