@@ -47,7 +47,7 @@ def embedded(df: DataFrame, embedder: Embedder, text_col: str = "text", out: str
     return df.withColumn(out, vector(F.col(text_col)))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def point_id(chunk_ids: pd.Series) -> pd.Series:
     """The same id for the same chunk, whenever it is written."""
     return chunk_ids.map(lambda c: None if c is None else str(uuid.uuid5(_SPACE, c)))
