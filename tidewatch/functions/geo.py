@@ -145,8 +145,14 @@ def wkt_ring(wkt: Column) -> Column:
     return F.transform(F.split(body, r"\s*,\s*"), lambda p: F.struct(F.split(F.trim(p), r"\s+")[0].cast("double").alias("lon"), F.split(F.trim(p), r"\s+")[1].cast("double").alias("lat")))
 
 
+def _let(value: Column, f) -> Column:
+    """f(value) with the value worked out once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _edges(ring: Column) -> Column:
-    return F.transform(F.sequence(F.lit(1), F.size(ring)), lambda k: F.struct(F.element_at(ring, k).alias("a"), F.element_at(ring, F.pmod(k, F.size(ring)) + 1).alias("b")))
+    """struct(a, b) of each point and its successor; ``ring`` should be a plain column or variable."""
+    return F.transform(ring, lambda p, k: F.struct(p.alias("a"), F.element_at(ring, F.pmod(k + 1, F.size(ring)) + 1).alias("b")))
 
 
 def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
@@ -157,7 +163,7 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
         at = a["lon"] + (lat - a["lat"]) * (b["lon"] - a["lon"]) / F.nullif(b["lat"] - a["lat"], F.lit(0.0))
         return F.coalesce(above & (lon < at), F.lit(False))
 
-    return F.pmod(F.size(F.filter(_edges(ring), crosses)), F.lit(2)) == 1
+    return _let(ring, lambda r: F.pmod(F.size(F.filter(_edges(r), crosses)), F.lit(2)) == 1)
 
 
 def edge_distance_m(lon: Column, lat: Column, ring: Column) -> Column:
@@ -172,31 +178,33 @@ def edge_distance_m(lon: Column, lat: Column, ring: Column) -> Column:
         t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
         return F.hypot(ax + t * dx, ay + t * dy) * _DEGREE_M
 
-    return F.array_min(F.transform(_edges(ring), one))
+    return _let(ring, lambda r: F.array_min(F.transform(_edges(r), one)))
 
 
 def ring_area(ring: Column) -> Column:
     """Area in square degrees by the shoelace rule."""
-    terms = F.transform(_edges(ring), lambda e: e["a"]["lon"] * e["b"]["lat"] - e["b"]["lon"] * e["a"]["lat"])
-    return F.abs(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x)) / 2
+    cross = lambda e: e["a"]["lon"] * e["b"]["lat"] - e["b"]["lon"] * e["a"]["lat"]
+    return _let(ring, lambda r: F.abs(F.aggregate(F.transform(_edges(r), cross), F.lit(0.0), lambda s, x: s + x)) / 2)
 
 
 def clip_ring(ring: Column, box: tuple[float, float, float, float]) -> Column:
-    """A ring's part in a box, edge by edge of the box; exact for convex rings."""
-    point = lambda lon, lat: F.struct(lon.alias("lon"), lat.alias("lat"))
+    """A ring's part in a box, side by side of the box; exact for convex rings."""
+    side = lambda lon, limit, low: F.struct(F.lit(lon).alias("lon"), F.lit(float(limit)).alias("limit"), F.lit(low).alias("low"))
+    sides = F.array(side(True, box[0], True), side(True, box[2], False), side(False, box[1], True), side(False, box[3], False))
 
-    def side(ring: Column, axis: str, limit: float, above: bool) -> Column:
-        inside = (lambda p: p[axis] >= limit) if above else (lambda p: p[axis] <= limit)
+    def cut(r: Column, s: Column) -> Column:
+        at = lambda p: F.when(s["lon"], p["lon"]).otherwise(p["lat"])
+        inside = lambda p: F.when(s["low"], at(p) >= s["limit"]).otherwise(at(p) <= s["limit"])
 
         def one(e: Column) -> Column:
             a, b = e["a"], e["b"]
-            t = (limit - a[axis]) / F.nullif(b[axis] - a[axis], F.lit(0.0))
-            cut = point(a["lon"] + t * (b["lon"] - a["lon"]), a["lat"] + t * (b["lat"] - a["lat"]))
-            own = point(b["lon"], b["lat"])
-            return F.when(inside(b), F.when(inside(a), F.array(own)).otherwise(F.array(cut, own))).when(inside(a), F.array(cut)).otherwise(F.array().cast("array<struct<lon:double,lat:double>>"))
+            t = (s["limit"] - at(a)) / F.nullif(at(b) - at(a), F.lit(0.0))
+            point = lambda lon, lat: F.struct(lon.alias("lon"), lat.alias("lat"))
+            crossing = point(a["lon"] + t * (b["lon"] - a["lon"]), a["lat"] + t * (b["lat"] - a["lat"]))
+            end = point(b["lon"], b["lat"])
+            return F.filter(F.array(F.when(inside(a) != inside(b), crossing), F.when(inside(b), end)), lambda p: p.isNotNull())
 
-        return F.when(F.size(ring) > 0, F.flatten(F.transform(_edges(ring), one))).otherwise(ring)
+        return F.flatten(F.transform(_edges(r), one))
 
-    for axis, limit, above in (("lon", box[0], True), ("lon", box[2], False), ("lat", box[1], True), ("lat", box[3], False)):
-        ring = side(ring, axis, limit, above)
-    return ring
+    shape = "array<struct<lon:double,lat:double>>"
+    return F.aggregate(sides, ring.cast(shape), lambda r, s: cut(r, s).cast(shape))
