@@ -87,40 +87,27 @@ def trigrams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _partial(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator[pa.RecordBatch]:
+    """(lang, word, n) of a task, counted as they come and passed on when there are many."""
     counts: dict[str, Counter] = defaultdict(Counter)
 
-    def flush():
-        rows = [(lang, w, n) for lang, c in counts.items() for w, n in c.items()]
+    def flush() -> Iterator[pa.RecordBatch]:
+        merged: Counter = Counter()
+        for lang, c in counts.items():
+            for w, n in c.items():
+                if w := letters(w.decode()):
+                    merged[lang, w] += n
         counts.clear()
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["lang", "word", "n"])
+        if merged:
+            langs, words = zip(*merged, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(words, pa.string()), pa.array(merged.values(), pa.int64(), size=len(merged))], ["lang", "word", "n"])
 
     for whole in batches:
         for batch in slices(whole, "text", 4 << 20):
-            langs, rows = batch.column(1).to_pylist(), texts_of(batch.column(0))
-            for lang, text in zip(langs, rows, strict=True):
+            for lang, text in zip(batch.column(1).to_pylist(), texts_of(batch.column(0)), strict=True):
                 counts[lang].update(text.encode().split())
             if sum(map(len, counts.values())) > most:
-                words = {lang: Counter() for lang in counts}
-                for lang, c in counts.items():
-                    for w, n in c.items():
-                        words[lang][w] += n
-                counts.clear()
-                counts.update(words)
-                yield from _decoded(flush())
-    yield from _decoded(flush())
-
-
-def _decoded(batches):
-    for b in batches:
-        merged: Counter = Counter()
-        for lang, w, n in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-            w = letters(w.decode())
-            if w:
-                merged[lang, w] += n
-        if merged:
-            rows = [(lang, w, n) for (lang, w), n in merged.items()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "n"])
+                yield from flush()
+    yield from flush()
 
 
 class Model:
