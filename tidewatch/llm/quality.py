@@ -287,4 +287,35 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op2_quality_rules": query}
-SQL: dict[str, str] = {}
+_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, text IS NOT NULL AND lang IS NOT NULL AS refers, lang FROM documents),
+w AS (SELECT r, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM (SELECT r, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d)),
+nw AS (SELECT r, count(*) AS n_words, sum(length(word)) AS word_chars FROM w GROUP BY r),
+ln AS (SELECT r, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r),
+win AS (SELECT r, i, string_agg(word, ' ') OVER z AS gram, count(*) OVER z AS n FROM w WINDOW z AS (PARTITION BY r ORDER BY i ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, gram) AS c FROM win WHERE n = 8) WHERE c > 1),
+rep AS (SELECT r, count(DISTINCT i + k) AS n_repeat_words FROM twice, range(8) t(k) GROUP BY r),
+base AS (SELECT d.r, doc_id, coalesce(n_words, 0) AS n_words, CAST(coalesce(word_chars, 0) AS BIGINT) AS word_chars, length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, length(text) AS n_chars FROM d LEFT JOIN nw USING (r) LEFT JOIN ln USING (r) LEFT JOIN rep USING (r)),
+patterns(class, pattern) AS (VALUES ('lower', '\p{Ll}'), ('upper', '[\p{Lu}\p{Lt}]'), ('letter', '[\p{Lm}\p{Lo}]'), ('mark', '\p{M}'), ('digit', '\p{N}'), ('space', '[\p{Z}\x09-\x0D]'), ('symbol', '[\p{S}#*$%&|<>]'), ('points', '\p{P}'), ('pointsigns', '[#*%&]')),
+raw AS (SELECT r, class, length(text) - length(regexp_replace(text, pattern, '', 'g')) AS n FROM d, patterns),
+known AS (SELECT r, CASE WHEN class IN ('points', 'pointsigns') THEN 'stop' ELSE class END AS class, sum(CASE WHEN class = 'pointsigns' THEN -n ELSE n END) AS n FROM raw GROUP BY ALL),
+hist AS (SELECT r, class, n FROM known UNION ALL SELECT base.r, 'other', n_chars - coalesce(sum(n), 0) FROM base LEFT JOIN known USING (r) GROUP BY base.r, n_chars),
+refc AS (SELECT lang, class, sum(n) / sum(sum(n)) OVER (PARTITION BY lang) AS q FROM hist JOIN d USING (r) WHERE refers GROUP BY lang, class),
+cores AS (SELECT r, core, count(*) AS n FROM (SELECT r, regexp_replace(lower(word), '^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$', '', 'g') AS core FROM w) WHERE core <> '' GROUP BY r, core),
+tot AS (SELECT r, sum(n) AS total FROM cores GROUP BY r),
+langs AS (SELECT lang, sum(n) AS total FROM cores JOIN d USING (r) WHERE refers GROUP BY lang),
+common AS (SELECT lang, core, sum(n) / any_value(total) AS q FROM cores JOIN d USING (r) JOIN langs USING (lang) WHERE refers GROUP BY lang, core HAVING sum(n) >= @share@ * any_value(total)),
+rest AS (SELECT lang, greatest(0, 1 - sum(q)) AS q FROM common GROUP BY lang),
+cd AS (SELECT h.r, c.lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS dist
+  FROM (SELECT r, class, n / greatest(n_chars, 1) AS p FROM hist JOIN base USING (r)) h JOIN refc c USING (class) GROUP BY h.r, c.lang),
+bins AS (SELECT t.r, c.lang, c.core, coalesce(n, 0) / total AS p, q FROM tot t CROSS JOIN common c LEFT JOIN cores x ON x.r = t.r AND x.core = c.core),
+allbins AS (SELECT r, lang, p, q FROM bins UNION ALL SELECT b.r, b.lang, greatest(0, 1 - sum(b.p)), any_value(rest.q) FROM bins b JOIN rest USING (lang) GROUP BY b.r, b.lang),
+wd AS (SELECT r, lang, sqrt(greatest(0, sum(CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END) / 2)) AS dist FROM allbins GROUP BY r, lang),
+near AS (SELECT base.r, bool_or((n_chars < @min_chars@ OR cd.dist <= @c0@ + @c1@ / sqrt(n_chars)) AND (n_words < @min_words@ OR coalesce(wd.dist, 0) <= @w0@ + @w1@ / sqrt(n_words))) AS ok FROM base JOIN cd USING (r) LEFT JOIN wd ON wd.r = cd.r AND wd.lang = cd.lang GROUP BY base.r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed,
+  coalesce(ok, true) AND NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS kept FROM base LEFT JOIN near USING (r)
+"""
+for _name, _value in {"min_chars": MIN_CHARS, "min_words": MIN_WORDS, "c0": CHAR_LIMIT[0], "c1": CHAR_LIMIT[1], "w0": WORD_LIMIT[0], "w1": WORD_LIMIT[1], "share": COMMON_SHARE}.items():
+    _SQL = _SQL.replace(f"@{_name}@", str(_value))
+SQL = {"op2_quality_rules": _SQL}

@@ -355,4 +355,16 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"op10_suffix_dedup": query}
-SQL: dict[str, str] = {}
+SQL = {
+    "op10_suffix_dedup": r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+s AS (SELECT r, p, md5_number(array_slice(b, p, p + 199)) AS h FROM (SELECT r, b, unnest(range(1, n - 198)) AS p FROM d WHERE n >= 200)),
+hit AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY h) AS c FROM s) WHERE c > 1),
+edge AS (SELECT r, p, coalesce(p > lag(p) OVER (PARTITION BY r ORDER BY p) + 200, true) AS new FROM hit),
+island AS (SELECT r, min(p) AS a, max(p) + 199 AS z FROM (SELECT r, p, sum(new::INT) OVER (PARTITION BY r ORDER BY p) AS k FROM edge) GROUP BY r, k),
+gap AS (SELECT r, coalesce(lag(z) OVER (PARTITION BY r ORDER BY a), 0) + 1 AS a, a - 1 AS z FROM island UNION ALL SELECT d.r, coalesce(max(z), 0) + 1, any_value(d.n) FROM d LEFT JOIN island USING (r) GROUP BY d.r),
+kept AS (SELECT r, sha256(unhex(coalesce(string_agg(hex(array_slice(b, a, z)), '' ORDER BY a) FILTER (WHERE z >= a), ''))) AS kept_sha256 FROM gap JOIN d USING (r) GROUP BY r),
+gone AS (SELECT r, sum(z - a + 1) AS n_removed, count(*) AS n_spans FROM island GROUP BY r)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, kept_sha256 FROM d JOIN kept USING (r) LEFT JOIN gone USING (r)
+"""
+}
