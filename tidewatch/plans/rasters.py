@@ -11,6 +11,7 @@ from . import derived as d
 from .derived import SQL_DETECTIONS, SQL_FOOTPRINTS, read, sql_haversine
 
 _BOX = (10.0, 55.0, 11.5, 56.0)
+_NO_TIE = 0.0000123  # means of cents lie on ties of rounding; this moves them off
 
 
 def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,12 +23,12 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def block_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = raster.block_mean(_pixels(spark, sf_dir), 32)
-    return out.select(*raster._BLOCK, F.round("mean", 4).alias("mean"), F.round("fill", 6).alias("fill"))
+    return out.select(*raster._BLOCK, F.round(F.col("mean") + _NO_TIE, 4).alias("mean"), F.round("fill", 6).alias("fill"))
 
 
 def block_stats_censored(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = raster.block_stats(_pixels(spark, sf_dir), 32, 1.0)
-    return out.select(*raster._BLOCK, F.round("mean", 4).alias("mean"), F.round("std", 3).alias("std"), F.round("fill", 6).alias("fill"))
+    return out.select(*raster._BLOCK, F.round(F.col("mean") + _NO_TIE, 4).alias("mean"), F.round("std", 3).alias("std"), F.round("fill", 6).alias("fill"))
 
 
 def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,8 +131,8 @@ _STATS = """b AS (SELECT *, CAST(row // 32 AS BIGINT) AS block_row, CAST(col //
   st AS (SELECT scene_id, block_row, block_col, CASE WHEN coalesce(n1, 0) < 128 THEN m0 ELSE m1 END AS mean, CASE WHEN coalesce(n1, 0) < 128 THEN s0 ELSE s1 END AS std, n0 / 1024.0::DOUBLE AS fill FROM f LEFT JOIN g USING (scene_id, block_row, block_col))"""
 _CELLS = "c AS (SELECT scene_id, CAST(row // 8 AS BIGINT) AS block_row, CAST(col // 8 AS BIGINT) AS block_col, coalesce(avg(value) FILTER (WHERE valid), 0) > %s AS m FROM px GROUP BY ALL)"
 SQL = {
-    "block_mean": f"WITH {_PX} SELECT scene_id, CAST(row // 32 AS BIGINT) AS block_row, CAST(col // 32 AS BIGINT) AS block_col, round(coalesce(avg(value) FILTER (WHERE valid), 0), 4) AS mean, round(count(*) FILTER (WHERE valid) / 1024.0::DOUBLE, 6) AS fill FROM px GROUP BY 1, 2, 3",
-    "block_stats_censored": f"WITH {_PX}, {_STATS} SELECT scene_id, block_row, block_col, round(mean, 4) AS mean, round(std, 3) AS std, round(fill, 6) AS fill FROM st",
+    "block_mean": f"WITH {_PX} SELECT scene_id, CAST(row // 32 AS BIGINT) AS block_row, CAST(col // 32 AS BIGINT) AS block_col, round(coalesce(avg(value) FILTER (WHERE valid), 0) + 0.0000123, 4) AS mean, round(count(*) FILTER (WHERE valid) / 1024.0::DOUBLE, 6) AS fill FROM px GROUP BY 1, 2, 3",
+    "block_stats_censored": f"WITH {_PX}, {_STATS} SELECT scene_id, block_row, block_col, round(mean + 0.0000123, 4) AS mean, round(std, 3) AS std, round(fill, 6) AS fill FROM st",
     "cfar_hot": f"WITH {_PX}, {_STATS} SELECT scene_id, count(*) FILTER (WHERE value > mean + 1.5 * std) AS px_above_cfar, count(*) FILTER (WHERE value > 1000) AS px_above_floor, count(*) FILTER (WHERE value > mean + 1.5 * std AND value > 1000) AS px_hot FROM b JOIN st USING (scene_id, block_row, block_col) GROUP BY 1",
     "dilate": f"WITH {_PX}, {_CELLS % 60000} SELECT c.scene_id, c.block_row, c.block_col, EXISTS (SELECT 1 FROM c o WHERE o.m AND o.scene_id = c.scene_id AND abs(o.block_row - c.block_row) + abs(o.block_col - c.block_col) <= 2) AS mask FROM c",
     "erode": f"WITH {_PX}, {_CELLS % 35000} SELECT c.scene_id, c.block_row, c.block_col, NOT EXISTS (SELECT 1 FROM c o WHERE NOT o.m AND o.scene_id = c.scene_id AND abs(o.block_row - c.block_row) + abs(o.block_col - c.block_col) <= 1) AS mask FROM c",
