@@ -417,6 +417,60 @@ def test_keep_first(docs, odd):
     assert simhash.keep_first(odd).where("doc_id IS NULL").count() == 1 and simhash.keep_first(odd).where("doc_id = 5").count() <= 1
 
 
+def _alike(texts, shingle=5, percent=80):
+    """Smallest index of each text's component, by all pairs."""
+    sets = [set(simhash.shingles(t, shingle).tolist()) for t in texts]
+    label = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if 100 * len(a & sets[j]) >= percent * len(a | sets[j]):
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    return label
+
+
+@pytest.fixture(scope="module")
+def families():
+    """Texts with copies of one to six changed words, among texts that share a line; short and blank ones."""
+    rnd = random.Random(7)
+    word = lambda: f"w{rnd.randrange(4000)}"
+    out, line = ["", None, " ", "a b", "A  b", "a b c d e f", "a b c d e g"], " ".join(word() for _ in range(12))
+    for size, copies in ((300, 12), (120, 40), (60, 40), (25, 12), (40, 0), (40, 0)):
+        base = [word() for _ in range(size)]
+        out.append(" ".join(base) + " " + line)
+        for _ in range(copies):
+            some = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                some[rnd.randrange(size)] = word()
+            out.append(" ".join(some) + " " + line)
+    return out
+
+
+@pytest.mark.parametrize("bucket", [1, 5, 1000])
+def test_similar_texts_are_those_of_all_pairs(spark, docs, families, bucket, monkeypatch):
+    monkeypatch.setattr(simhash, "BUCKET", bucket)
+    df = spark.createDataFrame(list(enumerate(families)), "doc_id long, text string").repartition(3)
+    want = _alike(families)
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(df).collect()} == dict(enumerate(want))
+    assert simhash.linked_to([simhash.shingles(t, 5) for t in families if t and t.strip()], 80).tolist() == _alike([t for t in families if t and t.strip()])
+    if bucket == 5:
+        rows = sorted(docs.select("doc_id", "text").collect())
+        want = {r.doc_id: rows[k].doc_id for r, k in zip(rows, _alike([r.text for r in rows]), strict=True)}
+        assert {r.doc_id: r.component_id for r in simhash.similar_texts(docs).collect()} == want
+        assert simhash.similar_texts(empty(docs)).count() == 0
+
+
+def test_pipeline_stage_drops_near_copies(spark, docs):
+    """Every word shingle but five is shared; fingerprints are more than two bits apart."""
+    import corpus_pipeline
+
+    text = " ".join(f"w{k}" for k in range(100))
+    near = text.replace("w50 ", "other ").replace("w51 ", "words ")
+    assert (simhash.fingerprint(text) ^ simhash.fingerprint(near)).bit_count() > 2
+    df = spark.createDataFrame([(3, near), (2, text), (1, "quite another text " * 9)], "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [1, 2]
+
+
 # -- 10 repeated strings ------------------------------------------------------------------------
 
 def _repeats(texts, length):

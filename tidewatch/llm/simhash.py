@@ -1,4 +1,4 @@
-"""Near-duplicate groups by SimHash, candidates by the pigeonring principle.
+"""Near-duplicate groups by SimHash, candidates by the pigeonring principle; and by shingle similarity.
 
 Fingerprint: a 64-bit SimHash over word shingles hashed with XXH64.
 
@@ -19,14 +19,24 @@ number of rows in proportion to its size, and no link is lost.
 
 Components: alternating large-star and small-star steps over the links (tables of fingerprints
 that have a link), each written to the shared scratch folder.
+
+Similarity (``similar_texts``): two texts link when their sets of word shingles have a Jaccard
+similarity of ``percent`` or more. That is exact, which no bit budget is: at 80 % fingerprints
+differ in 5 to 11 bits and more, where keys of a 64-bit ring no longer select. Candidates come from
+prefix filters instead: of two sets that overlap enough, the k first common shingles lie within the
+first n - ceil(n * percent / 100) + k of each, in any one order. First in hash order with k about a
+tenth of n, which leaves the texts that share enough with any other; then over these in order of
+rarity with k = 1. A shingle of more than ``BUCKET`` sets isn't paired: texts joined by such shingles
+are decided together by pivots (``linked_to``).
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,16 +52,19 @@ _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuv
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
     """SimHash of a text, unsigned; 0 without words."""
+    hashes = shingles(text, shingle)
+    return majority(hashes) if len(hashes) else 0
+
+
+def shingles(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of each word shingle in order; a shorter text is one shingle."""
     words = (text or "").encode().translate(_LOWER).split()
-    if not words:
-        return 0
     if len(words) <= shingle:
-        grams = [b" ".join(words)]
+        grams = [b" ".join(words)] if words else []
     else:
         grams = map(b" ".join, zip(*(words[k:] for k in range(shingle)), strict=False))
     digest = xxhash.xxh64_intdigest
-    hashes = np.array([digest(g, SEED) for g in grams], dtype="<u8")
-    return majority(hashes)
+    return np.array([digest(g, SEED) for g in grams], dtype="<u8")
 
 
 def majority(hashes: np.ndarray, block: int = 1 << 14) -> int:
@@ -174,6 +187,18 @@ def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 64) -> Dat
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
 
 
+def _classes(distinct: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(fp, component_id) of ``distinct`` (fp, least): the smallest id that the links lead to."""
+    member = components(edges, scratch)
+    # a component's label is its smallest fingerprint; it has no row of its own in the stars
+    named = member.union(member.select(F.col("label").alias("node"), "label").distinct())
+    linked = named.join(distinct, F.col("node") == F.col("fp")).select("fp", "label", "least")
+    lowest = linked.groupBy("label").agg(F.min("least").alias("lowest"))
+    linked = linked.join(lowest, "label").select("fp", "lowest")
+    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
+    return scratch.write(classes, "classes")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """One row per document: (id_col, fingerprint as 16 hex digits, component_id).
 
@@ -187,29 +212,150 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prints = scratch.write(fingerprints(docs, id_col, text_col, shingle), "prints")
     distinct = scratch.write(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     edges = links(distinct.select("fp"), scratch)
-    member = components(edges, scratch)
+    classes = _classes(distinct, edges, scratch)
     scratch.drop("shared")
-    # a component's label is its smallest fingerprint; it has no row of its own in the stars
-    named = member.union(member.select(F.col("label").alias("node"), "label").distinct())
-    linked = named.join(distinct, F.col("node") == F.col("fp")).select("fp", "label", "least")
-    lowest = linked.groupBy("label").agg(F.min("least").alias("lowest"))
-    linked = linked.join(lowest, "label").select("fp", "lowest")
-    classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
-    classes = scratch.write(classes, "classes")
     free_shuffles(spark)
     hexed = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return prints.join(classes, "fp").select(F.col("id").alias(id_col), hexed.alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _least_overlap(n, percent: int):
+    """Shingles that a set of ``n`` shares at least with a set that it links to."""
+    return -(-n * percent // 100)
+
+
+def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int | None) -> DataFrame:
+    """(id, fp, n, hashes): fp names the shingle set, n is its size, hashes its first ones for ``percent``, all without it."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        sets = [np.unique(shingles(t, shingle)) for t in texts_of(batch.column(1))]
+        names = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
+        sizes = [len(x) for x in sets]
+        if percent is not None:
+            sets = [x[: len(x) - _least_overlap(len(x), percent) + 1 + len(x) // 10] for x in sets]
+        ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
+        hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(sizes, pa.int64()), hashes], schema.names)
+
+    cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = T.StructType([T.StructField("id", cols.schema["id"].dataType), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    return walk(cols, run, schema)
+
+
+def linked_to(sets: list[np.ndarray], percent: int) -> np.ndarray:
+    """For each set the smallest index that links of ``percent`` or more lead to.
+
+    A pivot is compared with all sets at once. What links to it needs a comparison of its own only
+    if a set of another component is near enough to the pivot, as Jaccard distance is a metric.
+    """
+    count, reach = len(sets), 1 - percent / 100
+    sizes = np.array([len(x) for x in sets])
+    first = np.concatenate([[0], np.cumsum(sizes)])
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    owners = np.repeat(np.arange(count), sizes)[np.argsort(codes, kind="stable")]
+    starts = np.concatenate([[0], np.cumsum(np.bincount(codes))])
+    component = np.arange(count)
+
+    def compare(k: int) -> tuple[np.ndarray, np.ndarray]:
+        mine = codes[first[k] : first[k + 1]]
+        shared = np.bincount(np.concatenate([owners[starts[c] : starts[c + 1]] for c in mine]), minlength=count)
+        either = sizes[k] + sizes - shared
+        links = np.flatnonzero(100 * shared >= percent * either)
+        joined = np.unique(component[links])
+        if len(joined) > 1:
+            component[np.isin(component, joined)] = joined[0]
+        return links, 1 - shared / either
+
+    covered, held = np.zeros(count, bool), []
+    for k in range(count):
+        if not covered[k]:
+            links, far = compare(k)
+            new = links[~covered[links] & (links != k)]
+            covered[links] = True
+            if len(new):
+                ring = np.flatnonzero(far <= 2 * reach + 1e-9)
+                held.append((new, far[new], ring, far[ring]))
+    for members, own, ring, far in held:
+        for k, d in zip(members, own, strict=True):
+            if np.any((component[ring] != component[k]) & (far <= d + reach + 1e-9)):
+                compare(k)
+    return component
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
+    """(a, b), a > b: links between the sets of ``prints`` (id, fp, n, hashes in ``_sets``' prefix)."""
+    # texts that share enough with any other set
+    keyed = prints.select("fp", "n", F.explode("hashes").alias("h"))
+    several = keyed.groupBy("h").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x < y").select("h")
+    need = F.expr(f"1 + (n * {percent} + 99) div 100 div 10")  # k of the smallest set that links to it
+    some = keyed.join(several, "h").groupBy("fp", "n").agg(F.count(F.lit(1)).alias("shared")).where(F.col("shared") >= need).select("fp")
+    some = scratch.write(some, "some")
+    reps = prints.join(some, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id")).select("id").distinct()
+    id_col, text_col = docs.columns
+    again = docs.join(reps, docs[id_col] == reps["id"], "left_semi")
+    sets = _sets(again, id_col, text_col, shingle, None).join(some, "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "n", "hashes")
+    sets = scratch.write(sets, "sets")
+    # the rarest shingles of each
+    keyed = sets.select("fp", "n", F.explode("hashes").alias("h"))
+    common = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    w = Window.partitionBy("fp")
+    ranked = keyed.join(common, "h").withColumns({"rank": F.row_number().over(w.orderBy("df", "h")), "known": F.count(F.lit(1)).over(w)})
+    least = F.expr(f"(n * {percent} + 99) div 100")
+    prefix = scratch.write(ranked.where(F.col("n") - F.col("known") + F.col("rank") <= F.col("n") - least + 1).select("h", "fp", "n"), "prefix")
+    sizes = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("lowest")).where("size > 1")
+    shared = scratch.write(prefix.join(sizes, "h"), "shared")
+    few = shared.where(F.col("size") <= BUCKET)
+    a, b = few.alias("a"), few.alias("b")
+    near = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
+    pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") > F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
+    one, two = (sets.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("h_a", "h_b"))
+    edges = pairs.join(one, "a").join(two, "b").where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent).select("a", "b")
+    # sets joined by common shingles, decided together
+    stars = scratch.write(shared.where((F.col("size") > BUCKET) & (F.col("fp") > F.col("lowest"))).select(F.col("fp").alias("a"), F.col("lowest").alias("b")).distinct(), "stars")
+    if not stars.isEmpty():
+        member = components(stars, Scratch(docs.sparkSession, "groups"))
+        groups = scratch.write(member.union(member.select(F.col("label").alias("node"), "label").distinct()), "groups")
+
+        def run(frame: pd.DataFrame) -> pd.DataFrame:
+            frame = frame.sort_values("fp")
+            names = frame["fp"].to_numpy()
+            to = names[linked_to(list(frame["hashes"]), percent)]
+            return pd.DataFrame({"a": names[names > to], "b": to[names > to]})
+
+        held = sets.join(groups, F.col("fp") == F.col("node")).select("label", "fp", "hashes")
+        edges = edges.union(held.groupBy("label").applyInPandas(run, "a long, b long"))
+    return edges.distinct()
+
+
+def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """One row per document: (id_col, component_id), by links of ``percent`` Jaccard similarity or more.
+
+    Similarity is that of the sets of ``shingle``-word shingles; texts without words are alike.
+    Rows, nulls and component ids as in ``near_duplicates``.
+    """
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "similar")
+    prints = scratch.write(_sets(docs, id_col, text_col, shingle, percent), "prints")
+    distinct = scratch.write(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
+    edges = scratch.write(similar_links(docs.select(id_col, text_col), prints, scratch, shingle, percent), "links")
+    classes = _classes(distinct, edges, scratch)
+    for name in ("some", "sets", "prefix", "shared", "stars"):
+        scratch.drop(name)
+    free_shuffles(spark)
+    return prints.select("id", "fp").join(classes, "fp").select(F.col("id").alias(id_col), "component_id")
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates) -> DataFrame:
     """The documents with one of each near-duplicate group: the one with the smallest id.
 
-    Returns the columns of ``docs``. Of rows that repeat an id one stays. Rows without an id
-    can't be told apart by id: they stay, once per distinct row.
+    ``groups`` is ``near_duplicates`` or ``similar_texts``. Returns the columns of ``docs``. Of rows
+    that repeat an id one stays. Rows without an id can't be told apart by id: they stay, once per
+    distinct row.
     """
     named = docs.where(F.col(id_col).isNotNull())
-    groups = near_duplicates(named, id_col, text_col)
-    stay = groups.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    found = groups(named, id_col, text_col)
+    stay = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
     return named.join(stay, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).union(docs.where(F.col(id_col).isNull()).distinct())
 
 
