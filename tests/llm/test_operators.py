@@ -322,6 +322,20 @@ def test_extract_pages(spark, small):
     assert html_text.extract(pages.withColumn("html", F.lit(None).cast("string"))).where("text = '' AND n_chars = 0").count() == pages.count()
 
 
+def test_html_wrapped_pages():
+    """An open head, a form or a named wrapper around the page doesn't take the page with it."""
+    text = "<article><p>Some words that make up the text of the page.</p><p>And a second paragraph of it.</p></article>"
+    want = "Some words that make up the text of the page.\nAnd a second paragraph of it."
+    aside = '<div class="sidebar"><p>Beside it.</p></div>'
+    assert html_text.main_text(f"<html><head><title>t</title><body>{text}") == want
+    assert html_text.main_text(f"<html><head><meta charset=x><title>t</title>{text}") == want
+    assert html_text.main_text("<head><title>t</title> only words") == "only words"
+    assert html_text.main_text(f"<body><form action=x>{aside}{text}<form><p>Search</p></form></form></body>") == want
+    assert html_text.main_text(f'<body><div class="layout sidebar-right">{aside}{text}</div></body>') == want
+    assert html_text.main_text('<div class="menu"><ul><li>Longer</li><li>than the text</li></ul></div><article><p>Short.</p></article>') == "Short."
+    assert html_text.main_text(f"<body>{text}<form><p>Your name</p></form>{aside}</body>") == want
+
+
 # -- 8 BPE --------------------------------------------------------------------------------------
 
 def test_bpe_equals_the_library(docs, odd):

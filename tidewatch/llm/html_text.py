@@ -11,7 +11,8 @@ the heart of the page; the smallest density on its path to the body is the thres
 or above it whose path is at or above it too contributes its subtree of the largest sum. What is
 never main text by what it is (scripts, forms, navigation, comments and the like, by element, role,
 or class and id) is cut from the tree before; if the heart lies in an article or main element, that
-whole element is taken.
+whole element is taken. A form or an element of such a class or id stays if it holds the heart or
+most of the text and no article or main stands free of such: then it wraps the page.
 """
 
 from __future__ import annotations
@@ -48,6 +49,7 @@ _ROLES = frozenset("navigation banner contentinfo complementary search dialog al
 _NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar comment comments respond disqus cookie cookies consent gdpr notice notices banner alert menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended newsletter subscribe signup popup modal overlay widget pagination pager login search toolbar skip".split()
 )
+_IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 _HEARTS = frozenset("html body main article".split())
 _TEXT_NAMES = frozenset("article main content body entry story text".split())
 
@@ -55,7 +57,9 @@ _TEXT_NAMES = frozenset("article main content body entry story text".split())
 class Page:
     """The tree, without what is never main text. Node 0 is the body."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, spared: frozenset[int] | None = frozenset()):
+        """``spared``: offsets of tags not cut by form or name; None spares all, ``doubtful`` has their nodes."""
+        self.spared, self.doubtful, self.offset = spared, {}, 0
         self.tag, self.parent, self.items = ["body"], [-1], []  # items: (node, text) or (node, None) where a block starts or ends
         self.stack, self.cut = [0], 0
         at = 0
@@ -75,6 +79,7 @@ class Page:
             if close:
                 self._end(name)
                 continue
+            self.offset = m.start()
             self._start(name, rest)
             if name in _RAW:
                 stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
@@ -86,6 +91,8 @@ class Page:
         return x if isinstance(x, str) else self.tag[x]
 
     def _text(self, text: str) -> None:
+        if self.stack[-1] == "head" and not text.isspace():
+            self._pop()
         if not self.cut and text:
             self.items.append((self.stack[-1], html.unescape(text) if "&" in text else text))
 
@@ -108,6 +115,10 @@ class Page:
                 return
 
     def _start(self, name: str, rest: str) -> None:
+        if name == "body":
+            self._close(("head",), ())
+        elif self.stack[-1] == "head" and name not in _IN_HEAD:
+            self._pop()
         if name in ("html", "body"):
             return
         if name in _ENDS_P:
@@ -120,7 +131,12 @@ class Page:
                 self.tag.append(name)
                 self.parent.append(self.stack[-1])
             return
-        if self.cut or self._never(name, rest):
+        never = not self.cut and self._never(name, rest)
+        if never is None:
+            if self.spared is None:
+                self.doubtful[len(self.tag)] = self.offset
+            never = self.spared is not None and self.offset not in self.spared
+        if self.cut or never:
             if not self.cut and name in _BLOCK:
                 self.items.append((self.stack[-1], None))
             self.stack.append(name)
@@ -139,13 +155,14 @@ class Page:
             return
         self._close((name,), _BLOCK | _SCOPE if name in _INLINE else _SCOPE - {name} if name == "p" else ())
 
-    def _never(self, name: str, rest: str) -> bool:
-        if name in _NEVER:
+    def _never(self, name: str, rest: str) -> bool | None:
+        """Whether it is never main text; None if only the element form or a class or id says so."""
+        if name in _NEVER and name != "form":
             return True
         if name == "header" and not any(self._name(x) in ("article", "main") for x in self.stack):
             return True
         if not rest or rest.isspace():
-            return False
+            return None if name == "form" else False
         given: dict[str, str] = {}
         for a in _ATTRIBUTE.finditer(rest):
             given.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
@@ -156,7 +173,27 @@ class Page:
         if name in _HEARTS:
             return False
         names = set(_NAME_PARTS.findall(f"{given.get('class', '')} {given.get('id', '')}".lower()))
-        return bool(names & _NAMES) and not names & _TEXT_NAMES
+        return None if name == "form" or (names & _NAMES and not names & _TEXT_NAMES) else False
+
+    def wrappers(self) -> frozenset[int]:
+        """Offsets of the doubtful elements that hold the heart or most of the text; beside an article or main there are none."""
+        sums = self.densities()[1]
+        chars = [0] * len(self.tag)
+        for node, text in self.items:
+            if text:
+                chars[node] += len("".join(text.split()))
+        for k in range(len(self.tag) - 1, 0, -1):
+            chars[self.parent[k]] += chars[k]
+        at, path = max(range(len(sums)), key=lambda k: (sums[k], -k)), set()
+        while at >= 0:
+            path.add(at)
+            at = self.parent[at]
+        under, article = [False] * len(chars), [False] * len(chars)  # article: in one with text that no doubtful element holds
+        for k in range(1, len(chars)):
+            under[k] = under[self.parent[k]] or k in self.doubtful
+            article[k] = article[self.parent[k]] or (self.tag[k] in ("article", "main") and not under[k] and chars[k] > 0)
+        found = any(article)
+        return frozenset(offset for k, offset in self.doubtful.items() if (article[k] or not found) and (k in path or 2 * chars[k] > chars[0]))
 
     def densities(self) -> tuple[list[float], list[float]]:
         """Density of each node and the sum of its children's."""
@@ -230,7 +267,10 @@ class Page:
 
 def main_text(source: str | None) -> str:
     """The page's main text, one line per block; empty for null, empty or textless pages."""
-    return Page(source).main_text() if source else ""
+    if not source:
+        return ""
+    page = Page(source, None)
+    return (Page(source, page.wrappers()) if page.doubtful else page).main_text()
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
