@@ -157,3 +157,15 @@ def test_streams(spark, tmp_path):
     q = tracks.brackets(tracks.dedup(tracks.read_positions(spark, f"{tmp_path}/in"))).writeStream.format("memory").queryName("brackets").trigger(availableNow=True).option("checkpointLocation", f"{tmp_path}/c2").outputMode("append").start()
     q.awaitTermination()
     assert [(r.mmsi, r.lat, r.next_lat) for r in spark.table("brackets").collect()] == [("1", 56.0, 56.1)]
+
+
+def test_queries_take_all_rows(spark, small):
+    """on_land_all by every point and footprint; greedy_pairing counts every detection on both sides."""
+    from tidewatch.plans import derived, rasters
+
+    boxes = [tuple(r) for r in derived.footprints(spark, small).select("min_lon", "max_lon", "min_lat", "max_lat").collect()]
+    points = derived.detections(spark, small).selectExpr("detection_id", "scene_id", "round(lon, 4) AS x", "round(lat, 4) AS y", "lon + (detection_id % 9) * 0.001 AS there", "lat").collect()
+    want = {p.detection_id for p in points if any(a <= p.x < b and c <= p.y < e for a, b, c, e in boxes)}
+    assert {r.id for r in rasters.on_land_all(spark, small).collect()} == want > {r.id for r in rasters.on_land(spark, small).collect()}
+    sums = rasters.greedy_pairing(spark, small).selectExpr("sum(ours)", "sum(theirs)").first()
+    assert tuple(sums) == (len(points), len({(p.scene_id, p.there, p.lat) for p in points}))
