@@ -336,6 +336,75 @@ def test_html_wrapped_pages():
     assert html_text.main_text(f"<body>{text}<form><p>Your name</p></form>{aside}</body>") == want
 
 
+def test_densities_by_definition():
+    """Densities and sums against their formula over explicit subtrees."""
+    import math
+    import random
+
+    rng = random.Random(3)
+
+    def some(depth: int) -> str:
+        parts = []
+        for _ in range(rng.randint(1, 4)):
+            name = rng.choice(["div", "section", "a", "span", "ul"])
+            inner = some(depth - 1) if depth and name != "a" else ""
+            parts.append(f"<{name}>{'w' * rng.randint(0, 60)}{inner}</{name}>")
+        return "".join(parts)
+
+    for _ in range(20):
+        page = html_text.Page(some(3))
+        density, sums = page.densities()
+        n = len(page.tag)
+        ancestors = []
+        for k in range(n):
+            line, at = [], k
+            while at >= 0:
+                line.append(at)
+                at = page.parent[at]
+            ancestors.append(line)
+        below = lambda k: [x for x in range(n) if k in ancestors[x]]
+        links = lambda xs, k: [x for x in xs if any(page.tag[a] == "a" for a in ancestors[x][: ancestors[x].index(k) + 1])]
+        count = lambda xs: sum(page.chars[x] for x in xs)
+        body = count(links(range(n), 0)) / (count(range(n)) or 1)
+        for k in range(n):
+            xs = below(k)
+            c, t, inside = count(xs), len(xs), links(xs, k)
+            lc, lt = count(inside), len(inside)
+            want = 0 if not c else c / t * math.log(c / (lc or 1) * t / (lt or 1)) / math.log(math.log(c / ((c - lc) or 1) * lc + body * c + math.e)) if math.log(c / ((c - lc) or 1) * lc + body * c + math.e) > 1.001 and c / (lc or 1) * t / (lt or 1) > 1 else density[k]
+            assert density[k] == pytest.approx(want)
+            assert sums[k] == pytest.approx(sum(density[x] for x in range(n) if page.parent[x] == k))
+
+
+def test_density_decides_on_pages(spark, small):
+    """Without the choice by density most pages differ; without hints few do; nothing is quadratic."""
+    import time
+
+    pages = [r.html for r in spark.read.parquet(f"{small}/pages.parquet").collect()]
+    own = [html_text.main_text(p) for p in pages]
+
+    class Whole(html_text.Page):
+        def inside(self):
+            return [True] * len(self.tag)
+
+    assert sum(Whole(p).main_text() != t for p, t in zip(pages, own, strict=True)) > 0.9 * len(pages)
+    hints = html_text._HINTS
+    try:
+        html_text._HINTS = frozenset()
+        assert sum(html_text.main_text(p) != t for p, t in zip(pages, own, strict=True)) <= 0.1 * len(pages)
+    finally:
+        html_text._HINTS = hints
+    text = "<p>Some words that make up the text of the page.</p><p>And a second paragraph of it.</p>"
+    want = "Some words that make up the text of the page.\nAnd a second paragraph of it."
+    for wrap in ('<div class="promo">{}</div>', '<div class="menu">{}</div>', "<form>{}</form>", '<div class="promo"><article>{}</article></div>', "<section>{}</section><div>Buy this now, it is cheap.</div>", "<div>" * 40 + "{}", '{}<ul class=share><li><a href=x>Share on one</a><li><a href=y>Share on two</a></ul>'):
+        assert html_text.main_text(wrap.format(text)) == want
+    assert html_text.main_text(f"<div>{text}</div><div>{text.replace('second', 'third')}</div><div><a>x</a> <a>y</a></div>").count("\n") == 3
+    assert html_text.main_text('<div class="menu">only text</div>') == "only text"
+    for page in ("<div>" * 50_000 + "x", "<p><object>" + "<div>" * 50_000 + "x", "<p><b>x" * 50_000, "<ul><li>x" * 20_000, "<td>" * 20_000 + "<p>x" * 20_000):
+        at = time.perf_counter()
+        html_text.main_text(page)
+        assert time.perf_counter() - at < 10
+
+
 # -- 8 BPE --------------------------------------------------------------------------------------
 
 def test_bpe_equals_the_library(docs, odd):

@@ -1,18 +1,28 @@
 """Main text of web pages by composite text density.
 
-A page is read into a tree. For every node, C characters and T tags lie below it, of which LC and
-LT in links; the node's density is
+A page is read into a tree. For every node, C characters and T tags (its own included) lie in it, of
+which LC and LT in links; the node's density is
 
     C / T * log(C / LC * T / LT)  to the base  ln(C / (C - LC) * LC + LCb / Cb * C + e)
 
 where b is the body and a zero divisor counts as 1: characters per tag, lessened by links the more
-the richer in links the page is. The node whose children's densities sum to the most is
-the heart of the page; the smallest density on its path to the body is the threshold. Every node at
-or above it whose path is at or above it too contributes its subtree of the largest sum. What is
-never main text by what it is (scripts, forms, navigation, comments and the like, by element, role,
-or class and id) is cut from the tree before; if the heart lies in an article or main element, that
-whole element is taken. A form or an element of such a class or id stays if it holds the heart or
-most of the text and no article or main stands free of such: then it wraps the page.
+the richer in links the page is. Four steps find the main text:
+
+1. The heart is the container whose children's densities sum to the most (paragraphs, headings and
+   inline elements are no containers; of a tie the first). Its subtree is taken whole.
+2. The threshold is the smallest density on the heart's path to the body. A subtree beside that path
+   is taken too if its density and the largest sum within it both reach the threshold: an article may
+   stand in several boxes. A box that holds nothing but its own words has no sum, so a line of
+   advertising isn't taken, however dense.
+3. Within what is taken, a subtree under the threshold goes if most of its characters are in two or
+   more links; so does a form that isn't on the heart's path.
+4. Class, id or role may hint at something beside the text. Characters under a hint weigh ``HINTED``
+   of others, down to the next article or main element, and within what is taken a hinted subtree
+   under the threshold goes. A hint on what holds most of the page and all its articles is no hint. What has most of the page's characters never goes.
+
+Cut from the tree before are only what isn't shown (scripts, styles, comments, hidden elements) and the
+elements that stand for menus, headers, footers, sidebars, notices and controls (``nav``, ``footer``,
+``button``...; a ``header`` within an article or main element is the article's own).
 """
 
 from __future__ import annotations
@@ -34,6 +44,7 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""([^\s"'>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _NAME_PARTS = re.compile(r"[a-z]+")
+# Elements by kind (HTML, fixed values).
 _VOID = frozenset("area base basefont bgsound br col embed frame hr img input keygen link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea noscript iframe xmp noembed noframes".split())
 _BLOCK = frozenset(
@@ -44,28 +55,30 @@ _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td"
 _LIST_SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "tbody": {"table"}, "tfoot": {"table"}, "option": {"select"}}
 _SCOPE = frozenset("html body table td th caption object template button".split())
 _INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var".split())
-_NEVER = frozenset("head nav aside footer form button select option input label fieldset dialog menu search template svg math canvas object audio video map".split()) | _RAW
-_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog alert menu menubar toolbar form".split())
-_NAMES = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion sidebar comment comments respond disqus cookie cookies consent gdpr notice notices banner alert menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended newsletter subscribe signup popup modal overlay widget pagination pager login search toolbar skip".split()
-)
+_NO_CONTAINER = _INLINE | _VOID | frozenset("p h1 h2 h3 h4 h5 h6 pre dt summary caption figcaption legend address hgroup".split())
+_ARTICLES = frozenset("article main".split())
+_HEARTS = _ARTICLES | {"html", "body"}
 _IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
-_HEARTS = frozenset("html body main article".split())
-_TEXT_NAMES = frozenset("article main content body entry story text".split())
+# Elements that are never main text, and words that hint at what stands beside it.
+_NEVER = frozenset("head nav aside footer button select option input label dialog menu search template svg math canvas object audio video map".split()) | _RAW
+_HINTS = frozenset("ad ads advert advertisement alert banner breadcrumb comment comments complementary contentinfo cookie footer menu nav navigation newsletter notice pagination promo related share sidebar social sponsored subscribe widget".split())
+#: Weight of a character under a hint.
+HINTED = 0.02
 
 
 class Page:
-    """The tree, without what is never main text. Node 0 is the body."""
-
-    def __init__(self, source: str, spared: frozenset[int] | None = frozenset()):
-        """``spared``: offsets of tags not cut by form or name; None spares all, ``doubtful`` has their nodes."""
-        self.spared, self.doubtful, self.offset = spared, {}, 0
-        self.tag, self.parent, self.items = ["body"], [-1], []  # items: (node, text) or (node, None) where a block starts or ends
-        self.stack, self.cut = [0], 0
+    """The tree, without what is never shown or never main text. Node 0 is the body."""
+
+    def __init__(self, source: str):
+        self.tag, self.parent, self.items = ["body"], [-1], []  # items: (node, text), or (node, None) where a block starts or ends
+        self.chars, self.hinted = [0], [False]
+        self.stack: list[tuple[str, int]] = [("body", 0)]  # open elements and their nodes, -1 in what is cut
+        self.open: dict[str, list[int]] = {}  # tag -> places in the stack
+        self.blocks, self.cut, self.articles = [0], 0, 0
+        self.line = (0, 0)  # node with line breaks, and the last of these: it counts the words that follow
         at = 0
-        markup = _MARKUP
         while True:
-            m = markup.search(source, at)
+            m = _MARKUP.search(source, at)
             if m is None:
                 self._text(source[at:])
                 break
@@ -79,180 +92,180 @@ class Page:
             if close:
                 self._end(name)
                 continue
-            self.offset = m.start()
             self._start(name, rest)
             if name in _RAW:
                 stop = re.compile(rf"</{re.escape(name)}(?=[\s/>]|\Z)[^>]*(?:>|\Z)", re.I).search(source, at)
                 at = stop.end() if stop else len(source)
                 self._end(name)
 
-    # The stack holds node numbers; below a cut element it holds its tag names (as strings) instead.
-    def _name(self, x) -> str:
-        return x if isinstance(x, str) else self.tag[x]
-
     def _text(self, text: str) -> None:
-        if self.stack[-1] == "head" and not text.isspace():
+        if self.stack[-1][0] == "head" and not text.isspace():
             self._pop()
-        if not self.cut and text:
-            self.items.append((self.stack[-1], html.unescape(text) if "&" in text else text))
+        if self.cut or not text:
+            return
+        if "&" in text:
+            text = html.unescape(text)
+        node = self.stack[-1][1]
+        self.items.append((node, text))
+        self.chars[self.line[1] if node == self.line[0] else node] += len("".join(text.split()))
+
+    def _push(self, name: str, node: int) -> None:
+        self.open.setdefault(name, []).append(len(self.stack))
+        if name in _BLOCK or name in _SCOPE:
+            self.blocks.append(len(self.stack))
+        self.stack.append((name, node))
+        self.articles += name in _ARTICLES
 
     def _pop(self) -> None:
-        x = self.stack.pop()
-        if isinstance(x, str):
+        name, node = self.stack.pop()
+        self.open[name].pop()
+        if self.blocks[-1] == len(self.stack):
+            self.blocks.pop()
+        self.articles -= name in _ARTICLES
+        if node < 0:
             self.cut -= 1
-        elif self.tag[x] in _BLOCK:
-            self.items.append((self.stack[-1] if self.stack else 0, None))
+        elif name in _BLOCK:
+            self.items.append((self.stack[-1][1], None))
+
+    def _nearest(self, names) -> int:
+        return max((self.open[n][-1] for n in names if self.open.get(n)), default=-1)
 
     def _close(self, names, scope) -> None:
-        """Closes the nearest open element of these names, unless one of ``scope`` lies between."""
-        for k in range(len(self.stack) - 1, 0, -1):
-            name = self._name(self.stack[k])
-            if name in names:
-                while len(self.stack) > k:
-                    self._pop()
-                return
-            if name in scope:
-                return
+        """Closes the nearest open element of these names, unless a later one is of ``scope`` (names, or a place in the stack)."""
+        at = self._nearest(names)
+        if at > 0 and at > (scope if isinstance(scope, int) else self._nearest(scope)):
+            while len(self.stack) > at:
+                self._pop()
+
+    def _node(self, name: str, hinted: bool = False) -> int:
+        self.tag.append(name)
+        self.parent.append(self.stack[-1][1])
+        self.chars.append(0)
+        self.hinted.append(hinted)
+        return len(self.tag) - 1
 
     def _start(self, name: str, rest: str) -> None:
         if name == "body":
             self._close(("head",), ())
-        elif self.stack[-1] == "head" and name not in _IN_HEAD:
+        elif self.stack[-1][0] == "head" and name not in _IN_HEAD:
             self._pop()
-        if name in ("html", "body"):
+        if name in ("html", "body") or (name == "form" and self.open.get("form")):  # forms don't nest
             return
         if name in _ENDS_P:
             self._close(("p",), _SCOPE)
         if name in _ENDS:
             self._close(_ENDS[name], _LIST_SCOPE[name] | _HEARTS)
+        top = self.stack[-1][1]
         if name in _VOID:
             if not self.cut:
-                self.items.append((self.stack[-1], None) if name == "hr" else (self.stack[-1], " " if name in ("br", "wbr") else ""))
-                self.tag.append(name)
-                self.parent.append(self.stack[-1])
+                self.items.append((top, None) if name == "hr" else (top, " " if name in ("br", "wbr") else ""))
+                node = self._node(name)
+                if name == "br":
+                    self.line = (top, node)
             return
-        never = not self.cut and self._never(name, rest)
-        if never is None:
-            if self.spared is None:
-                self.doubtful[len(self.tag)] = self.offset
-            never = self.spared is not None and self.offset not in self.spared
+        never, hinted = (False, False) if self.cut else self._judged(name, rest)
         if self.cut or never:
             if not self.cut and name in _BLOCK:
-                self.items.append((self.stack[-1], None))
-            self.stack.append(name)
+                self.items.append((top, None))
             self.cut += 1
+            self._push(name, -1)
             return
-        self.tag.append(name)
-        self.parent.append(self.stack[-1])
-        self.stack.append(len(self.tag) - 1)
+        node = self._node(name, hinted)
+        self._push(name, node)
         if name in _BLOCK:
-            self.items.append((self.stack[-1], None))
+            self.items.append((node, None))
         elif name in ("td", "th"):
-            self.items.append((self.stack[-1], " "))
+            self.items.append((node, " "))
 
     def _end(self, name: str) -> None:
-        if name in ("html", "body"):
-            return
-        self._close((name,), _BLOCK | _SCOPE if name in _INLINE else _SCOPE - {name} if name == "p" else ())
-
-    def _never(self, name: str, rest: str) -> bool | None:
-        """Whether it is never main text; None if only the element form or a class or id says so."""
-        if name in _NEVER and name != "form":
-            return True
-        if name == "header" and not any(self._name(x) in ("article", "main") for x in self.stack):
-            return True
+        if name not in ("html", "body"):
+            self._close((name,), self.blocks[-1] if name in _INLINE else _SCOPE if name == "p" else ())
+
+    def _judged(self, name: str, rest: str) -> tuple[bool, bool]:
+        """Whether an element is cut, and whether something hints that it stands beside the text."""
+        if name in _NEVER or (name == "header" and not self.articles):
+            return True, False
         if not rest or rest.isspace():
-            return None if name == "form" else False
+            return False, False
         given: dict[str, str] = {}
         for a in _ATTRIBUTE.finditer(rest):
             given.setdefault(a[1].lower(), a[2] or a[3] or a[4] or "")
         if "hidden" in given or given.get("aria-hidden") == "true" or "display:none" in given.get("style", "").replace(" ", "").lower():
-            return True
-        if given.get("role", "").lower() in _ROLES:
-            return True
+            return True, False
         if name in _HEARTS:
-            return False
-        names = set(_NAME_PARTS.findall(f"{given.get('class', '')} {given.get('id', '')}".lower()))
-        return None if name == "form" or (names & _NAMES and not names & _TEXT_NAMES) else False
-
-    def wrappers(self) -> frozenset[int]:
-        """Offsets of the doubtful elements that hold the heart or most of the text; beside an article or main there are none."""
-        sums = self.densities()[1]
-        chars = [0] * len(self.tag)
-        for node, text in self.items:
-            if text:
-                chars[node] += len("".join(text.split()))
-        for k in range(len(self.tag) - 1, 0, -1):
-            chars[self.parent[k]] += chars[k]
-        at, path = max(range(len(sums)), key=lambda k: (sums[k], -k)), set()
-        while at >= 0:
-            path.add(at)
-            at = self.parent[at]
-        under, article = [False] * len(chars), [False] * len(chars)  # article: in one with text that no doubtful element holds
-        for k in range(1, len(chars)):
-            under[k] = under[self.parent[k]] or k in self.doubtful
-            article[k] = article[self.parent[k]] or (self.tag[k] in ("article", "main") and not under[k] and chars[k] > 0)
-        found = any(article)
-        return frozenset(offset for k, offset in self.doubtful.items() if (article[k] or not found) and (k in path or 2 * chars[k] > chars[0]))
+            return False, False
+        return False, not _HINTS.isdisjoint(_NAME_PARTS.findall(f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower()))
+
+    def weighed(self) -> list[float]:
+        """Characters of each node alone by their weight; hints of what holds most of the page, and every article of it, are struck out."""
+        n = len(self.tag)
+        below, articles = list(self.chars), [int(t in _ARTICLES) for t in self.tag]
+        for k in range(n - 1, 0, -1):
+            below[self.parent[k]] += below[k]
+            articles[self.parent[k]] += articles[k]
+        weight = [1.0] * n
+        for k in range(1, n):
+            self.hinted[k] = self.hinted[k] and (2 * below[k] <= below[0] or articles[k] < articles[0])
+            weight[k] = 1.0 if self.tag[k] in _ARTICLES else HINTED if self.hinted[k] else weight[self.parent[k]]
+        return [c * w for c, w in zip(self.chars, weight, strict=True)]
 
     def densities(self) -> tuple[list[float], list[float]]:
         """Density of each node and the sum of its children's."""
         n = len(self.tag)
-        chars, tags, link_chars, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
-        for node, text in self.items:
-            if text:
-                chars[node] += len("".join(text.split()))
+        chars, tags, link_chars, link_tags = self.weighed(), [1] * n, [0.0] * n, [0] * n
         for k in range(n - 1, 0, -1):  # children come after their parents
             if self.tag[k] == "a":
-                link_chars[k], link_tags[k] = chars[k], tags[k] + 1
+                link_chars[k], link_tags[k] = chars[k], tags[k]
             p = self.parent[k]
             chars[p] += chars[k]
-            tags[p] += tags[k] + 1
+            tags[p] += tags[k]
             link_chars[p] += link_chars[k]
             link_tags[p] += link_tags[k]
+        self.links = [(lc, c, lt) for lc, c, lt in zip(link_chars, chars, link_tags, strict=True)]
         share = link_chars[0] / (chars[0] or 1)
         density = [0.0] * n
         for k in range(n):
-            c, t, lc, lt = chars[k], tags[k] or 1, link_chars[k], link_tags[k]
+            c, t, lc, lt = chars[k], tags[k], link_chars[k], link_tags[k]
             if c:
                 base = math.log(c / ((c - lc) or 1) * lc + share * c + math.e)
-                density[k] = c / t * math.log(max(c / (lc or 1) * t / (lt or 1), 1.0)) / math.log(base) if base > 1 else c / t * math.log(max(c * t, 1.0)) / math.log(1 + 1e-9 + base)
+                density[k] = c / t * math.log(max(c / (lc or 1) * t / (lt or 1), 1.0)) / math.log(max(base, 1.0) + 1e-9 + (base <= 1))
         sums = [0.0] * n
         for k in range(1, n):
             sums[self.parent[k]] += density[k]
         return density, sums
 
-    def main_nodes(self) -> set[int]:
+    def inside(self) -> list[bool]:
+        """For each node whether its words are main text."""
         density, sums = self.densities()
         n = len(self.tag)
-        heart = max(range(n), key=lambda k: (sums[k], -k))
-        at, threshold = heart, density[heart]
-        while at > 0:
-            at = self.parent[at]
-            threshold = min(threshold, density[at])
-        best = list(range(n))  # of the largest sum within each node's subtree
-        for k in range(n - 1, 0, -1):
-            p = self.parent[k]
-            if sums[best[k]] > sums[best[p]] or (sums[best[k]] == sums[best[p]] and sums[best[p]] > 0 and best[k] < best[p]):
-                best[p] = best[k]
-        taken, passed = set(), [False] * n
-        for k in range(n):
-            passed[k] = (k == 0 or passed[self.parent[k]]) and density[k] >= threshold
-            if passed[k]:
-                taken.add(best[k])
-        at = heart
+        heart = max((k for k in range(n) if self.tag[k] not in _NO_CONTAINER), key=lambda k: (sums[k], -k))
+        path, at, threshold = set(), heart, density[heart]
         while at >= 0:
-            if self.tag[at] in ("article", "main"):
-                taken.add(at)
-                break
+            path.add(at)
+            threshold = min(threshold, density[at])
             at = self.parent[at]
-        return taken
+        largest = list(sums)  # sum within each node's subtree
+        for k in range(n - 1, 0, -1):
+            largest[self.parent[k]] = max(largest[self.parent[k]], largest[k])
+        out = [False] * n
+        out[0] = heart == 0
+        for k in range(1, n):
+            p, low = self.parent[k], density[k] < threshold
+            if k in path:
+                out[k] = out[p] or k == heart
+                continue
+            link_chars, chars, links = self.links[k]
+            linked = links > 1 and 2 * link_chars > chars and self.tag[k] not in _INLINE
+            if (self.tag[k] == "form" or (low and (linked or self.hinted[k]))) and 2 * chars <= self.links[0][1]:
+                out[k] = False
+            elif p in path and not out[p]:
+                out[k] = not low and largest[k] >= threshold > 0
+            else:
+                out[k] = out[p]
+        return out
 
     def main_text(self) -> str:
-        taken = self.main_nodes()
-        inside = [False] * len(self.tag)
-        for k in range(len(self.tag)):
-            inside[k] = k in taken or (k > 0 and inside[self.parent[k]])
+        inside = self.inside()
         blocks, block = [], []
         for node, text in self.items:
             if text is None:
@@ -267,10 +280,7 @@ class Page:
 
 def main_text(source: str | None) -> str:
     """The page's main text, one line per block; empty for null, empty or textless pages."""
-    if not source:
-        return ""
-    page = Page(source, None)
-    return (Page(source, page.wrappers()) if page.doubtful else page).main_text()
+    return Page(source).main_text() if source else ""
 
 
 def extract(pages: DataFrame, html_col: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
