@@ -34,29 +34,59 @@ def test_markings(spark):
         spark.range(1).select(rules.checked_marking(F.lit("odd"))).collect()
 
 
-def test_page_cleaning():
+def cleaned(spark, pages):
+    return documents.clean_pages(spark.createDataFrame([(1, pages)], "id int, pages array<string>")).first().text
+
+
+def test_page_cleaning(spark):
     pages = [f"\nOfficial Journal L 229/{k}\n\nBody of page {'abcdefghij'[k]} with words\nmore of it\nand more\nstill more\nthe end of it\n{k}" for k in range(10)]
-    text = rules.without_running_heads(pages)
+    text = cleaned(spark, pages)
     assert "Journal" not in text and "Body of page c" in text and "\n7\n" not in text
-    assert rules.without_running_heads(pages[:2]) == "\n".join(pages[:2])
-    assert rules.rewrap("INHERENT LIMITS\nThe ves-\nsel is\nseen.\n\n(a) one\n(b) two") == "## INHERENT LIMITS\n\nThe vessel is seen.\n\n(a) one\n(b) two"
-    assert rules.caps_heading("HAS ADOPTED THIS REGULATION:") and not rules.caps_heading("AB") and not rules.caps_heading("Mixed CASE")
+    assert cleaned(spark, pages[:2]) == cleaned(spark, ["\n".join(pages[:2])]) and "229/1" in cleaned(spark, pages[:2])
+    assert cleaned(spark, ["INHERENT LIMITS\nThe ves-\nsel is\nseen.\n\n(a) one\n(b) two"]) == "## INHERENT LIMITS\n\nThe vessel is seen.\n\n(a) one\n(b) two"
+    df = spark.createDataFrame([("HAS ADOPTED THIS REGULATION:",), ("AB",), ("Mixed CASE",)], "line string")
+    assert [r[0] for r in df.select(rules.is_caps_heading(F.col("line"))).collect()] == [True, False, False]
     md = '!!! note "Mind"\n    inside\nafter ![x](y.png) text [@key2020] <br> {.wide}\n\n\n\nend'
-    assert rules.plain_markdown(md) == "**Mind:**\ninside\nafter  text\n\nend"
+    rows = spark.createDataFrame([(1, md, "same"), (1, md, "same"), (2, None, None), (3, "", "x"), (4, "??? my_note\n\n\tdeep\nout", None)], "id int, text string, other string")
+    plain = "**Mind:**\ninside\nafter  text\n\nend"
+    got = documents.clean_markdown(rows).orderBy("id").collect()
+    assert [tuple(r) for r in got] == [(1, plain, "same"), (1, plain, "same"), (2, None, None), (3, "", "x"), (4, "**My_Note:**\n\ndeep\nout", None)]
+    assert documents.clean_markdown(rows.where("false")).count() == 0
+
+
+def test_page_cleaning_of_odd_documents(spark):
+    odd = [(1, None), (2, []), (3, [None, "a-\n-\nb", ""]), (4, ["x\r\n\r\ny\u2028z"]), (5, ["12", "text here", "Page 3/9", "- 4 -"])]
+    df = spark.createDataFrame(odd, "id int, pages array<string>")
+    assert {r.id: r.text for r in documents.clean_pages(df.union(df)).collect()} == {1: None, 2: "", 3: "ab", 4: "x\n\ny z", 5: "text here"}
+    assert documents.clean_pages(df.union(df)).count() == 10
+
+
+def blocks_of(spark, text):
+    rows = documents.blocks(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("block").collect()
+    return [(r.text, tuple(r.path)) for r in rows]
+
+
+def chunks_of(spark, text):
+    rows = documents.chunk_documents(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("ordinal").collect()
+    return [(r.text, r.heading, r.char_start, r.char_end) for r in rows]
 
 
 def test_blocks_and_chunks(spark):
     text = "# A\n\npara one\n\n## B\n\n| t |\n| u |\n\n```\ncode\n\n# no head\n```\ntail"
-    assert documents.blocks_of(text) == [("para one", ("A",)), ("| t |\n| u |", ("A", "B")), ("```\ncode\n\n# no head\n```", ("A", "B")), ("tail", ("A", "B"))]
+    assert blocks_of(spark, text) == [("para one", ("A",)), ("| t |\n| u |", ("A", "B")), ("```\ncode\n\n# no head\n```", ("A", "B")), ("tail", ("A", "B"))]
+    assert blocks_of(spark, "### C\na\n~~~~\n```\n~~~\nb\n~~~~\nc\n## D\n#### E\n# F\nd\n```\nopen") == [("a", ("C",)), ("~~~~\n```\n~~~\nb\n~~~~", ("C",)), ("c", ("C",)), ("d", ("F",)), ("```\nopen", ("F",))]
     long = "# H\n\n" + "\n\n".join(f"Sentence number {k} of the text. " * 9 for k in range(20)) + "\n\n" + "x" * 4000
-    chunks = documents.chunks_of(long)
+    chunks = chunks_of(spark, long)
     assert all(len(c[0]) <= 1500 + 202 for c in chunks) and "".join(c[0] for c in chunks).count("x") >= 4000
     assert chunks[0][2:] == (0, len(chunks[0][0])) and all(a[3] == b[2] for a, b in zip(chunks, chunks[1:], strict=False)) and chunks[0][1] == "H"
-    two = documents.chunks_of("# A\n\n" + "a " * 250 + "\n\nshort tail\n\n# B\n\nnext")
+    two = chunks_of(spark, "# A\n\n" + "a " * 250 + "\n\nshort tail\n\n# B\n\nnext")
     assert [c[1] for c in two] == ["A", "A"] and two[1][0] == "short tail\n\nnext"
-    df = spark.createDataFrame([("d", long), ("e", None), ("f", "")], "doc_id string, text string")
-    rows = documents.chunk_documents(df).orderBy("chunk_id").collect()
-    assert [r.chunk_id for r in rows] == [f"d#{k:04d}" for k in range(len(chunks))]
+    assert [len(c[0]) for c in chunks_of(spark, "\n\n".join(["z" * 1490] * 2))] == [1490]  # the last says the same
+    df = spark.createDataFrame([("d", long), ("e", None), ("f", ""), ("d2", long)], "doc_id string, text string")
+    rows = documents.chunk_documents(df).orderBy("doc_id", "chunk_id").collect()
+    assert [r.chunk_id for r in rows] == [f"{d}#{k:04d}" for d in ("d", "d2") for k in range(len(chunks))]
+    pieces = spark.createDataFrame([("a. " * 600 + "\n" + "b" * 1600,)], "t string").select(documents.pieces(F.col("t"))).first()[0]
+    assert [len(p) for p in pieces] == [1499, 1500, 401] and "".join(pieces).count("b") == 1600
 
 
 def test_rates(spark):

@@ -148,7 +148,68 @@ _TOP = f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e LEFT JOIN
 _CLAIMS = """claims AS (SELECT conv_id, turn AS claim_no, trim(text) AS text, unnest([0, 1, 2]) AS pos, unnest(['doc-' || (conv_id % 40) || '#0000', 'doc-' || ((conv_id + turn) % 40) || '#0000', 'doc-' || ((conv_id + 2 * turn) % 40) || '#0000']) AS chunk_id FROM conversations WHERE length(trim(text)) > 0),
   known AS (SELECT DISTINCT 'doc-' || (item_id % 40) || '#0000' AS chunk_id FROM benchmark WHERE item_id % 3 <> 1)"""
 _LINES = "lines AS (SELECT doc_id, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents)"
+_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
+_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_STRIP = f"regexp_replace(%s, '^{_SPACE}+|{_SPACE}+$', '', 'g')"
+_CLOSED = _STRIP % r"regexp_replace(%s, '\n{3,}', chr(10) || chr(10), 'g')"
+_CAPS = r"length(s) BETWEEN 3 AND 80 AND length(regexp_replace(s, '\P{L}', '', 'g')) >= 3 AND regexp_full_match(regexp_replace(s, '\P{L}', '', 'g'), '\p{Lu}+') AND NOT regexp_matches(s, '^(?:[-*•]|\(\w{1,3}\)|\d{1,3}[.)]|\|)\s')"
+_CLEAN_PAGES = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_split_to_array(text, '\\.\\n') AS ps FROM documents),
+pg AS (SELECT r, len(ps) AS n, generate_subscripts(ps, 1) AS page, unnest(ps) AS t FROM d),
+ln AS (SELECT r, n, page, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM (SELECT *, regexp_split_to_array(t || CASE WHEN n >= 3 THEN chr(10) ELSE '' END, '{_END}') AS ls FROM pg)),
+st AS (SELECT r, n, page, pos, {_STRIP % "line"} AS s FROM ln),
+rk AS (SELECT *, row_number() OVER (PARTITION BY r, page, s <> '' ORDER BY pos) AS up, row_number() OVER (PARTITION BY r, page, s <> '' ORDER BY pos DESC) AS down, greatest(1, least(6, count(*) OVER (PARTITION BY r, page, s <> '') // 3)) AS m FROM st),
+ed AS (SELECT *, s <> '' AND up <= m AS top, s <> '' AND down <= m AS foot, regexp_replace(s, '[0-9]+', '#', 'g') AS key FROM rk),
+se AS (SELECT *, sum(top::INT + foot::INT) OVER (PARTITION BY r, key) AS seen FROM ed),
+kp AS (SELECT *, CASE WHEN s = '' THEN 'blank' WHEN {_CAPS} THEN 'heading' WHEN regexp_matches(s, '^(?:[-*•]|\\(\\w{{1,3}}\\)|\\d{{1,3}}[.)]|\\|)\\s') THEN 'item' ELSE 'text' END AS kind FROM se
+  WHERE NOT (n >= 3 AND (top OR foot) AND ((seen >= greatest(3, floor(n * 0.3)) AND length(key) <= 100) OR regexp_matches(s, '(?i)^\\s*[-—–\\[(]?\\s*(?:page\\s*)?\\d{{1,4}}\\s*(?:/\\s*\\d{{1,4}})?\\s*[-—–\\])]?\\s*$')))),
+nx AS (SELECT *, kind = 'text' AND lead(kind) OVER (PARTITION BY r ORDER BY page, pos) IS NOT DISTINCT FROM 'text' AS on_ FROM kp),
+mk AS (SELECT r, page, pos, CASE WHEN kind = 'heading' THEN chr(10) || '## ' || s || chr(10) || chr(10) WHEN on_ AND regexp_matches(s, '[\\x{{ad}}-]$') THEN regexp_replace(s, '[\\x{{ad}}-]+$', '') WHEN on_ THEN s || ' ' ELSE s || chr(10) END AS part FROM nx),
+jn AS (SELECT r, string_agg(part, '' ORDER BY page, pos) AS t FROM mk GROUP BY r)
+SELECT doc_id, CASE WHEN ps IS NULL THEN NULL ELSE coalesce({_CLOSED % "t"}, '') END AS text FROM d LEFT JOIN jn USING (r)"""
+_LEAD = r"^(\s*)(?:!!!|\?\?\?\+?)\s+(\w+)(?:\s+\"([^\"]*)\")?\s*$"
+_CLEAN_MARKDOWN = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_split_to_array(text, '{_END}') AS ls FROM documents),
+ln AS (SELECT r, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM d),
+ld AS (SELECT *, regexp_matches(line, '{_LEAD}') AS leads, length(line) - length(regexp_replace(line, '^{_SPACE}+', '')) AS indent, {_STRIP % "line"} AS s FROM ln),
+of AS (SELECT *, max(CASE WHEN leads THEN pos END) OVER (PARTITION BY r ORDER BY pos) AS lead_at FROM ld),
+dp AS (SELECT *, first_value(indent) OVER (PARTITION BY r, lead_at ORDER BY pos) AS depth FROM of),
+ins AS (SELECT *, lead_at IS NOT NULL AND NOT bool_or(NOT leads AND s <> '' AND indent <= depth) OVER (PARTITION BY r, lead_at ORDER BY pos) AS inside FROM dp),
+mk AS (SELECT r, pos, CASE WHEN leads THEN '**' || CASE WHEN regexp_extract(line, '{_LEAD}', 3) <> '' THEN regexp_extract(line, '{_LEAD}', 3)
+    ELSE list_aggregate(list_transform(regexp_extract_all(regexp_extract(line, '{_LEAD}', 2), '\\p{{L}}+|\\P{{L}}+'), lambda w: upper(w[1]) || lower(w[2:])), 'string_agg', '') END || ':**'
+  WHEN inside THEN s ELSE regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(line, '!\\[[^\\]]*\\]\\([^)]*\\)', '', 'g'), '\\[@[^\\]]+\\]', '', 'g'), '(?i)</?(?:figure|figcaption|div|span|br|small)[^>]*>', '', 'g'), '\\{{\\s*[.#][^}}]*\\}}\\s*$', ''), '{_SPACE}+$', '') END AS part FROM ins),
+jn AS (SELECT r, string_agg(part, chr(10) ORDER BY pos) AS t FROM mk GROUP BY r)
+SELECT doc_id, {_CLOSED % "t"} AS text FROM d LEFT JOIN jn USING (r)"""
+_MARK, _HEAD = r"^\s*(```+|~~~+)", r"^(#{1,6})\s+(.*?)\s*#*\s*$"
+# Fences, headings, cuts and chunks, each as a recursion that goes through a document in order.
+_CHUNK_DOCUMENTS = f"""WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, CAST(doc_id AS VARCHAR) AS doc_id, regexp_split_to_array(text, '{_END}') AS ls FROM documents),
+ln AS (SELECT r, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line FROM d),
+mk AS (SELECT r, pos, regexp_extract(line, '{_MARK}', 1) AS mark, {_STRIP % "line"} AS s, row_number() OVER (PARTITION BY r ORDER BY pos) AS k FROM ln WHERE regexp_matches(line, '{_MARK}')),
+fence(r, k, pos, held, opens, closes) AS (SELECT r, k, pos, mark, true, false FROM mk WHERE k = 1 UNION ALL
+  SELECT m.r, m.k, m.pos, CASE WHEN f.held = '' THEN m.mark WHEN starts_with(m.s, f.held) THEN '' ELSE f.held END, f.held = '', f.held <> '' AND starts_with(m.s, f.held) FROM fence f JOIN mk m ON m.r = f.r AND m.k = f.k + 1),
+fl AS (SELECT ln.*, coalesce(opens, false) AS opens, coalesce(closes, false) AS closes, coalesce(last_value(held IGNORE NULLS) OVER (PARTITION BY ln.r ORDER BY ln.pos), '') <> '' AS fenced FROM ln LEFT JOIN fence f ON f.r = ln.r AND f.pos = ln.pos),
+hd AS (SELECT *, CASE WHEN NOT fenced AND NOT closes AND regexp_matches(line, '{_HEAD}') THEN length(regexp_extract(line, '{_HEAD}', 1)) END AS level, {_STRIP % f"regexp_extract(line, '{_HEAD}', 2)"} AS title, {_STRIP % "line"} AS s FROM fl),
+hn AS (SELECT r, pos, level, title, row_number() OVER (PARTITION BY r ORDER BY pos) AS k FROM hd WHERE level IS NOT NULL),
+path(r, k, pos, p) AS (SELECT r, k, pos, [title] FROM hn WHERE k = 1 UNION ALL SELECT h.r, h.k, h.pos, list_append(p[1 : h.level - 1], h.title) FROM path q JOIN hn h ON h.r = q.r AND h.k = q.k + 1),
+bd AS (SELECT hd.r, hd.pos, line, fenced OR closes OR (level IS NULL AND s <> '') AS body, opens, closes, coalesce(last_value(p IGNORE NULLS) OVER (PARTITION BY hd.r ORDER BY hd.pos), []) AS p FROM hd LEFT JOIN path q ON q.r = hd.r AND q.pos = hd.pos),
+bs AS (SELECT *, body AND (opens OR NOT coalesce(lag(body AND NOT closes) OVER (PARTITION BY r ORDER BY pos), false)) AS starts FROM bd),
+bn AS (SELECT *, sum(starts::INT) OVER (PARTITION BY r ORDER BY pos) AS block FROM bs),
+bt AS (SELECT r, block, {_STRIP % "string_agg(line, chr(10) ORDER BY pos)"} AS t, first(p ORDER BY pos) AS p FROM bn WHERE body GROUP BY r, block),
+cut(r, block, part, piece, rest) AS (SELECT r, block, 0, NULL::VARCHAR, t FROM bt WHERE t <> '' UNION ALL
+  SELECT r, block, part + 1, CASE WHEN length(rest) <= 1500 THEN rest ELSE {_STRIP % "rest[1 : upto]"} END, CASE WHEN length(rest) <= 1500 THEN '' ELSE regexp_replace(rest[upto + 1 :], '^{_SPACE}+', '') END
+  FROM (SELECT *, CASE WHEN b >= 500 THEN b + 1 ELSE 1500 END AS upto FROM (SELECT *, length(regexp_extract(rest[1 : 1500], '(?s)^(.*)(?:\\n|[.;] )', 1)) AS b FROM cut WHERE rest <> ''))),
+pc AS (SELECT r, list(piece ORDER BY block, part) AS ts, list(length(piece) ORDER BY block, part) AS ns, list(p ORDER BY block, part) AS ps FROM cut JOIN bt USING (r, block) WHERE part > 0 GROUP BY r),
+pack(r, i, a, b0, b1) AS (SELECT r, 1, 1, NULL::BIGINT, NULL::BIGINT FROM pc UNION ALL
+  SELECT r, i + 1, CASE WHEN NOT ends THEN a WHEN k = i - a + 1 THEN i + 1 ELSE i + 1 - k END, CASE WHEN ends THEN a END, CASE WHEN ends THEN i END FROM (
+    SELECT *, size + ns[i + 1] + 2 > 1500 OR (ps[i + 1] <> ps[i] AND size >= 400) AS ends, len(list_filter(range(1, least(i - a + 1, 100) + 1), lambda k: list_sum(ns[i - k + 1 : i]) + 2 * greatest(k - 2, 0) <= 200)) AS k
+    FROM (SELECT pack.r, i, a, ns, ps, list_sum(ns[a : i]) + 2 * (i - a) AS size FROM pack JOIN pc USING (r) WHERE i < len(ns)))),
+ends AS (SELECT r, b0 AS a, b1 AS b FROM pack WHERE b0 IS NOT NULL UNION ALL SELECT r, pack.a, i FROM pack JOIN pc USING (r) WHERE i = len(ns)),
+ch AS (SELECT r, row_number() OVER (PARTITION BY r ORDER BY b) - 1 AS ordinal, count(*) OVER (PARTITION BY r) AS n, array_to_string(ts[a : b], chr(10) || chr(10)) AS text, array_to_string(ps[a], ' › ') AS heading FROM ends JOIN pc USING (r)),
+nb AS (SELECT *, lag(text) OVER (PARTITION BY r ORDER BY ordinal) AS was, sum(length(text)) OVER (PARTITION BY r ORDER BY ordinal) AS stop FROM ch)
+SELECT doc_id, doc_id || '#' || CASE WHEN ordinal < 10000 THEN lpad(CAST(ordinal AS VARCHAR), 4, '0') ELSE CAST(ordinal AS VARCHAR) END AS chunk_id, CAST(ordinal AS INTEGER) AS ordinal, text, heading, CAST(stop - length(text) AS INTEGER) AS char_start, CAST(stop AS INTEGER) AS char_end
+FROM nb JOIN d USING (r) WHERE ordinal < n - 1 OR text IS DISTINCT FROM was"""
 SQL = {
+    "clean_pages": _CLEAN_PAGES,
+    "clean_markdown": _CLEAN_MARKDOWN,
+    "chunk_documents": _CHUNK_DOCUMENTS,
     "cosine_topk": _TOP % "true",
     "cosine_filtered": _TOP % "d.lang IN ('de', 'fr')",
     "score_floor": _TOP % f"{_COS} >= 0.2",
