@@ -166,6 +166,53 @@ def test_queries_take_all_rows(spark, small):
     boxes = [tuple(r) for r in derived.footprints(spark, small).select("min_lon", "max_lon", "min_lat", "max_lat").collect()]
     points = derived.detections(spark, small).selectExpr("detection_id", "scene_id", "round(lon, 4) AS x", "round(lat, 4) AS y", "lon + (detection_id % 9) * 0.001 AS there", "lat").collect()
     want = {p.detection_id for p in points if any(a <= p.x < b and c <= p.y < e for a, b, c, e in boxes)}
-    assert {r.id for r in rasters.on_land_all(spark, small).collect()} == want > {r.id for r in rasters.on_land(spark, small).collect()}
+    assert {r.id for r in rasters.on_land_all(spark, small).collect()} == want == {r.id for r in rasters.on_land(spark, small).collect()}
     sums = rasters.greedy_pairing(spark, small).selectExpr("sum(ours)", "sum(theirs)").first()
     assert tuple(sums) == (len(points), len({(p.scene_id, p.there, p.lat) for p in points}))
+
+
+def test_large_blobs_are_measured(spark):
+    """A blob longer than the window keeps its row, with the box and margin of all its pixels."""
+    from pyspark.sql import types as T
+
+    line = [("S", 5, c, 10.0 + (c == 700), 2.0) for c in range(1100)] + [("S", 40 + r, 3 + c, 8.0, 2.0) for r in range(2) for c in range(3)]
+    df = spark.createDataFrame(line, "scene_id string, row long, col long, value double, threshold double").withColumns({"above_cfar": F.lit(True), "above_floor": F.lit(True)})
+    config = raster.Config(min_pixels=4, grow_halfwidth_px=2)
+    got = {r.pixels: r for r in raster.measure(df, config).collect()}
+    assert set(got) == {1100, 6}
+    big = got[1100]
+    assert (big.row, big.col, big.length_px, big.width_px, abs(big.dx), big.margin) == (5.5, 550.0, 1100.0, 1.0, 1.0, 5.5)
+    both = {r.pixels: r for r in raster.measure(df, config, largest=1).collect()}
+    assert (both[6].length_px, both[6].width_px, both[6].margin) == (3.0, 2.0, 4.0) and tuple(both[1100]) == tuple(big)
+    assert isinstance(raster.measure(df, config).schema["pixels"].dataType, T.IntegerType)
+
+
+def test_every_scene_has_a_rank(spark):
+    rows = spark.range(1500).select(F.format_string("s%04d", "id").alias("scene_id"), F.lit(10.0).alias("min_lon"), F.lit(55.0).alias("min_lat"), (10.0 + F.col("id") % 7).alias("max_lon"), F.lit(57.0).alias("max_lat"), F.timestamp_seconds(F.col("id") % 11).alias("acquisition_time"))
+    got = catalog.ranked(rows, (10.5, 55.5, 12.5, 56.5)).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 1501))
+    assert [r.scene_id for r in got] == [r.scene_id for r in sorted(got, key=lambda r: (-r.coverage, -r.acquisition_time.timestamp(), r.scene_id))]
+
+
+def test_merge_by_cells_links_what_pairs_would(spark):
+    rng = np.random.default_rng(5)
+    points = [(f"S{k % 2}", k, float(10 + rng.uniform(0, 0.03)), float(lat + rng.uniform(0, 0.03)), float(k % 5)) for k, lat in enumerate(np.repeat([56.0, 0.0, -80.0], 40))]
+    points += [("S0", 1000 + k, 179.9999 if k else -179.9999, 10.0, 1.0) for k in range(2)] + [("S0", 1002, points[0][2], points[0][3], 9.0)]
+    df = spark.createDataFrame(points, "scene_id string, id long, lon double, lat double, margin double")
+
+    def far(a, b):
+        la, lb, dl = np.radians(a[3]), np.radians(b[3]), np.radians(b[2] - a[2])
+        h = np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin(dl / 2) ** 2
+        return 2 * 6_371_008.8 * np.arcsin(np.sqrt(h))
+
+    label = list(range(len(points)))
+    for i, a in enumerate(points):
+        for j, b in enumerate(points[:i]):
+            if a[0] == b[0] and label[i] != label[j] and far(a, b) <= 200:
+                old, new = label[i], label[j]
+                label = [new if x == old else x for x in label]
+    groups = {}
+    for x, p in zip(label, points, strict=True):
+        groups.setdefault(x, []).append(p)
+    want = sorted((min(g, key=lambda p: (-p[4], p[1]))[1], len(g)) for g in groups.values())
+    assert sorted((r.id, r.fragments) for r in raster.merge_fragments(df, 200.0).collect()) == want

@@ -91,6 +91,16 @@ def cells_around(lon: Column, lat: Column, reach_m: float) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(8)), one))
 
 
+def tight_cell(lon: Column, lat: Column, reach_m: float) -> Column:
+    """struct(row, col) of a cell so small that any two points in it are within ``reach_m`` of each other."""
+    height = 0.999 * reach_m / math.sqrt(2) / _DEGREE_M
+    row = F.floor((lat + 90.0) / height)
+    low = F.least(F.abs(row * height - 90.0), F.abs((row + 1) * height - 90.0))
+    widest = F.when(F.signum(row * height - 90.0) * F.signum((row + 1) * height - 90.0) <= 0, 0.0).otherwise(low)
+    columns = F.ceil(360.0 * F.cos(F.radians(widest)) / height)
+    return F.struct(row.cast("long").alias("row"), F.least(F.floor(F.pmod(lon + 180.0, F.lit(360.0)) / 360.0 * columns), columns - 1).cast("long").alias("col"))
+
+
 # -- tiles, boxes and polygons -----------------------------------------------------------------
 
 def tile_x(lon: Column, zoom: int) -> Column:

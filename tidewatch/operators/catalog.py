@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from . import match
+from .ranks import numbered
 
 Box = tuple[float, float, float, float]
 
@@ -35,9 +36,7 @@ def footprint_area(ring: Column, box: Box) -> Column:
 def ranked(scenes: DataFrame, box: Box, area: Column | None = None) -> DataFrame:
     """Largest coverage of the box first, the newest of equal ones, then by id; ``rank`` from 1."""
     covered = scenes.withColumn("coverage", overlap_area(box) if area is None else area)
-    order = Window.orderBy(F.desc("coverage"), F.desc("acquisition_time"), "scene_id")
-    top = covered.orderBy(F.desc("coverage"), F.desc("acquisition_time"), "scene_id").limit(1000)  # a report of the best; one task orders no more
-    return top.withColumn("rank", F.row_number().over(order))
+    return numbered(covered, [F.desc("coverage"), F.desc("acquisition_time"), F.asc("scene_id")]).withColumn("rank", F.col("rank").cast("int"))
 
 
 def upsert_scenes(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -105,7 +104,7 @@ def correlate(positions: DataFrame, scenes: DataFrame, detections: DataFrame, bo
     ValueError when no scene covers the box.
     """
     found = search(scenes, box, start, end)
-    best = (found.where(F.col("scene_id") == scene_id) if scene_id is not None else ranked(found, box).where("rank = 1")).limit(1)
+    best = (found.where(F.col("scene_id") == scene_id) if scene_id is not None else found.orderBy(F.desc(overlap_area(box)), F.desc("acquisition_time"), "scene_id")).limit(1)
     row = best.select("scene_id").first()
     if row is None:
         raise ValueError("no scene there and then")

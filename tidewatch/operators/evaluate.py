@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
+from .graph import components
 from .match import spatial_range_join
 
 #: Upper edges, in metres; a distance counts below its edge.
@@ -56,29 +57,34 @@ def partition_check(everything: DataFrame, *parts: DataFrame) -> DataFrame:
 def greedy_pairs(ours: DataFrame, theirs: DataFrame, radius_m: float = 500.0) -> DataFrame:
     """Exclusive pairs within each granule: theirs in (lat, lon) order takes the nearest of ours that is free, within the radius.
 
-    ``ours`` has id, scene_id, lon, lat; ``theirs`` granule_id, lon, lat, matched. The order makes a
-    granule sequential; but only points linked through others within the radius can compete, so
-    each connected group of candidate pairs is decided on its own, and granules spread.
+    ``ours`` has id, scene_id, lon, lat; ``theirs`` granule_id, lon, lat, matched. Only points that are
+    linked through others within the radius can compete, so each connected group of candidate pairs
+    is decided on its own, in order, and the groups of a granule spread over tasks. Two groups whose
+    names meet in a hash are decided as one, which changes nothing.
     """
     a = ours.select(F.col("scene_id").alias("granule_id"), "id", "lon", "lat")
     b = theirs.select("granule_id", F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"), "matched")
     pairs = spatial_range_join(a, b, radius_m, ["granule_id"]).withColumn("distance_m", geo.haversine_m(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat")))
-    schema = T.StructType([pairs.schema["granule_id"], pairs.schema["id"], *(T.StructField(c, T.DoubleType()) for c in ("t_lon", "t_lat")), T.StructField("matched", T.BooleanType()), T.StructField("distance_m", T.DoubleType())])
+    one, other = F.xxhash64(F.lit("a"), "granule_id", "id"), F.xxhash64(F.lit("b"), "granule_id", "t_lat", "t_lon")
+    pairs = pairs.withColumns({"_a": one, "_b": other})
+    groups = components(pairs.select(F.col("_a").alias("a"), F.col("_b").alias("b")))
     cols = ["granule_id", "id", "t_lon", "t_lat", "matched", "distance_m"]
-    ordered = pairs.select(*cols).repartition("granule_id").sortWithinPartitions("granule_id", "t_lat", "t_lon", "distance_m", "id")
+    schema = T.StructType([pairs.schema["granule_id"], pairs.schema["id"], *(T.StructField(c, T.DoubleType()) for c in ("t_lon", "t_lat")), T.StructField("matched", T.BooleanType()), T.StructField("distance_m", T.DoubleType())])
+    dealt = pairs.join(groups, F.col("_a") == F.col("node")).select(*cols, "label")
+    ordered = dealt.repartition("label").sortWithinPartitions("label", "granule_id", "t_lat", "t_lon", "distance_m", "id")
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        granule, taken, done = object(), set(), None  # streams in order: only the ids taken in one granule are held
+        group, taken, done = None, set(), None  # in order: only the ids taken in one group are held
         for f in frames:
             keep = np.zeros(len(f), bool)
             for k, row in enumerate(f.itertuples(index=False)):
-                if row.granule_id != granule:
-                    granule, taken, done = row.granule_id, set(), None
+                if (row.label, row.granule_id) != group:
+                    group, taken, done = (row.label, row.granule_id), set(), None
                 if (row.t_lat, row.t_lon) != done and row.id not in taken:
                     taken.add(row.id)
                     done = (row.t_lat, row.t_lon)
                     keep[k] = True
-            yield f[keep]
+            yield f.loc[keep, cols]
 
     return ordered.mapInPandas(run, schema)
 

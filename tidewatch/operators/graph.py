@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame, root: str, name: str) -> DataFrame:
+def cut(df: DataFrame, root: str, name: str) -> DataFrame:
     """Writes a table to the shared folder and reads it back, so that lineage ends here."""
     path = f"{root}/{name}"
     df.write.mode("overwrite").parquet(path)
@@ -25,16 +25,16 @@ def components(edges: DataFrame, most_rounds: int = 64) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): label is the component's smallest node. Loops and nulls are left out."""
     root = shared_folder(edges, "components")
     pairs = edges.select("a", "b").where("a <> b")
-    pairs = _cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), root, "0")
+    pairs = cut(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), root, "0")
     before = None
     for k in range(1, most_rounds + 1):
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
         up = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        up = _cut(up, root, f"large-{k}")
+        up = cut(up, root, f"large-{k}")
         low = up.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         down = up.join(low, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        pairs = _cut(down.union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), root, f"small-{k}")
+        pairs = cut(down.union(low.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct(), root, f"small-{k}")
         now = pairs.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break

@@ -281,18 +281,17 @@ def grown(values: np.ndarray, lower: np.ndarray, seed: np.ndarray) -> np.ndarray
 _MEASURED = "scene_id string, row double, col double, length_px double, width_px double, dx double, dy double, margin double, pixels int"
 
 
-def measure(tested: DataFrame, config: Config = Config()) -> DataFrame:
+def measure(tested: DataFrame, config: Config = Config(), largest: int = 1024) -> DataFrame:
     """One row per blob of hot pixels: centroid, size and axis after growing at the lower threshold, margin of its peak.
 
-    A blob larger than the longest vessel allows is land or clutter and is measured as it is, so a
-    group is never larger than the window around a vessel.
+    A blob of ``largest`` pixels across is land or clutter. It is measured by aggregates as it is, without
+    growing, so a gathered group is never larger than the window around a vessel.
     """
     hot = label(tested.where("above_cfar AND above_floor"))
-    blobs = hot.groupBy("blob").agg(F.count(F.lit(1)).alias("pixels"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1")).where(F.col("pixels") >= config.min_pixels)
+    blobs = hot.groupBy("blob").agg(F.count(F.lit(1)).alias("pixels"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"), F.avg("row").alias("row_mean"), F.avg("col").alias("col_mean")).where(F.col("pixels") >= config.min_pixels)
     pad, tile = config.grow_halfwidth_px, 256
-    largest = 4 * tile
-    small = blobs.where((F.col("r1") - F.col("r0") < largest) & (F.col("c1") - F.col("c0") < largest))
-    spread = small.select("*", F.explode(F.sequence(F.floor((F.col("r0") - pad) / tile), F.floor((F.col("r1") + pad) / tile))).alias("tr")).withColumn("tc", F.explode(F.sequence(F.floor((F.col("c0") - pad) / tile), F.floor((F.col("c1") + pad) / tile))))
+    fits = (F.col("r1") - F.col("r0") < largest) & (F.col("c1") - F.col("c0") < largest)
+    spread = blobs.where(fits).select("*", F.explode(F.sequence(F.floor((F.col("r0") - pad) / tile), F.floor((F.col("r1") + pad) / tile))).alias("tr")).withColumn("tc", F.explode(F.sequence(F.floor((F.col("c0") - pad) / tile), F.floor((F.col("c1") + pad) / tile))))
     px = tested.select("scene_id", "row", "col", "value", "threshold").withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
     around = px.join(spread.withColumn("scene_id", F.col("blob.scene_id")), ["scene_id", "tr", "tc"]).where(F.col("row").between(F.col("r0") - pad, F.col("r1") + pad) & F.col("col").between(F.col("c0") - pad, F.col("c1") + pad))
     marked = around.join(hot.select("scene_id", "row", "col", F.col("blob").alias("own")), ["scene_id", "row", "col"], "left").withColumn("seed", F.coalesce(F.col("own") == F.col("blob"), F.lit(False)))
@@ -312,7 +311,31 @@ def measure(tested: DataFrame, config: Config = Config()) -> DataFrame:
         limit = threshold[box][np.isfinite(threshold[box])].max()
         return pd.DataFrame([(f["scene_id"].iloc[0], sr.mean() + 0.5 + rows.min(), sc.mean() + 0.5 + cols.min(), length, width, dx, dy, value[box].max() / max(limit, 1e-12), int(seed.sum()))], columns=[x.split()[0] for x in _MEASURED.split(", ")])
 
-    return marked.withColumn("scene_id", F.col("scene_id").cast("string")).groupBy("blob").applyInPandas(one, _MEASURED)
+    measured = marked.withColumn("scene_id", F.col("scene_id").cast("string")).groupBy("blob").applyInPandas(one, _MEASURED)
+    return measured.union(_measured_large(tested, hot, blobs.where(~fits), tile))
+
+
+def _measured_large(tested: DataFrame, hot: DataFrame, blobs: DataFrame, tile: int) -> DataFrame:
+    """Rows of ``_MEASURED`` for blobs of any size: the rectangle from the ends of each image row, the margin from the blob's box."""
+    tiles = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / tile), F.floor(F.col(b) / tile)))
+    boxes = blobs.withColumns({"scene_id": F.col("blob.scene_id"), "tr": tiles("r0", "r1")}).withColumn("tc", tiles("c0", "c1"))
+    px = tested.select("scene_id", "row", "col", "value", "threshold").withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
+    within = px.join(boxes, ["scene_id", "tr", "tc"]).where(F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1")))
+    finite = F.when(F.abs("threshold") < float("inf"), F.col("threshold"))
+    peaks = within.groupBy("blob").agg(F.max("value").alias("peak"), F.max(finite).alias("limit"))
+    ends = hot.join(blobs.select("blob"), "blob", "left_semi").groupBy("blob", "row").agg(F.min("col").alias("left"), F.max("col").alias("right"))
+
+    def rectangle(f: pd.DataFrame) -> pd.DataFrame:
+        rows = np.concatenate([f["row"], f["row"]])
+        size = smallest_rectangle(rows, np.concatenate([f["left"], f["right"]]))
+        first = f["blob"].iloc[0]
+        return pd.DataFrame([(str(first["scene_id"]), int(first["row"]), int(first["col"]), *size)], columns=["scene_id", "b_row", "b_col", "length_px", "width_px", "dx", "dy"])
+
+    # two points for each image row of a blob
+    sizes = ends.groupBy("blob").applyInPandas(rectangle, "scene_id string, b_row long, b_col long, length_px double, width_px double, dx double, dy double")
+    known = blobs.join(peaks, "blob").select(F.col("blob.scene_id").cast("string").alias("scene_id"), F.col("blob.row").alias("b_row"), F.col("blob.col").alias("b_col"), "row_mean", "col_mean", "peak", "limit", "pixels")
+    margin = F.col("peak") / F.greatest("limit", F.lit(1e-12))
+    return known.join(sizes, ["scene_id", "b_row", "b_col"]).select("scene_id", F.col("row_mean") + 0.5, F.col("col_mean") + 0.5, "length_px", "width_px", "dx", "dy", margin, F.col("pixels").cast("int"))
 
 
 # -- detections ---------------------------------------------------------------------------------
@@ -333,27 +356,35 @@ def on_land(points: DataFrame, polygons: DataFrame, buffer_m: float = 0.0) -> Da
     wide = F.least(F.lit(180.0), F.lit(reach) / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("y0"), F.abs("y1"))))), F.lit(0.01)))
     low = lambda axis: F.array_min(F.transform("ring", lambda p: p[axis]))
     high = lambda axis: F.array_max(F.transform("ring", lambda p: p[axis]))
-    boxed = polygons.select("ring", low("lon").alias("x0"), high("lon").alias("x1"), low("lat").alias("y0"), high("lat").alias("y1"))
-    cells = boxed.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") - wide), F.floor(F.col("x1") + wide)))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") - reach), F.floor(F.col("y1") + reach))))
-    near = points.withColumns({"cx": F.floor("lon"), "cy": F.floor("lat")}).join(cells.select("ring", "cx", "cy"), ["cx", "cy"])
+    boxed = polygons.select("ring", low("lon").alias("x0"), high("lon").alias("x1"), low("lat").alias("y0"), high("lat").alias("y1")).withColumn("wide", wide)
+    cells = boxed.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") - F.col("wide")), F.floor(F.col("x1") + F.col("wide"))))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") - reach), F.floor(F.col("y1") + reach))))
     inside = geo.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))
     if buffer_m > 0:
         inside = inside | (geo.edge_distance_m(F.col("lon"), F.col("lat"), F.col("ring")) <= buffer_m)
-    return points.join(near.where(inside).select("id").distinct(), "id", "left_semi")
+    in_box = F.col("lon").between(F.col("x0") - F.col("wide"), F.col("x1") + F.col("wide")) & F.col("lat").between(F.col("y0") - reach, F.col("y1") + reach)
+    # a semi join stops at a point's first polygon
+    same_cell = (F.floor("lon") == F.col("cx")) & (F.floor("lat") == F.col("cy"))
+    return points.join(cells, same_cell & in_box & inside, "left_semi")
 
 
 def merge_fragments(points: DataFrame, radius_m: float = 200.0) -> DataFrame:
     """Of each single-link group within ``radius_m`` the point with the largest margin (the smallest id among equals), with ``fragments``.
 
-    ``points`` has scene_id, id, lon, lat, margin.
+    ``points`` has scene_id, id, lon, lat, margin. Points in one cell whose diagonal is the radius are
+    linked as they are; what is compared are distinct places in different cells, and what is linked
+    are cells. A group is only aggregated, never gathered.
     """
     if radius_m <= 0:
         return points.withColumn("fragments", F.lit(1).cast("long"))
-    there = points.select("scene_id", F.col("id").alias("other"), F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
-    edges = spatial_range_join(points.select("scene_id", "id", "lon", "lat"), there, radius_m, ["scene_id"]).where("id < other").select(F.col("id").alias("a"), F.col("other").alias("b"))
-    group = points.join(components(edges), F.col("id") == F.col("node"), "left").withColumn("cluster", F.coalesce("label", "id"))
-    order = Window.partitionBy("cluster").orderBy(F.desc("margin"), "id")
-    return group.withColumns({"fragments": F.count(F.lit(1)).over(Window.partitionBy("cluster")), "_n": F.row_number().over(order)}).where("_n = 1").drop("_n", "node", "label", "cluster")
+    points = points.withColumn("_box", F.struct("scene_id", geo.tight_cell(F.col("lon"), F.col("lat"), radius_m).alias("cell")))
+    places = points.select("scene_id", "lon", "lat", "_box").distinct()
+    there = places.select("scene_id", F.col("_box").alias("_other"), F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
+    met = spatial_range_join(places, there, radius_m, ["scene_id"]).where("_box < _other")
+    edges = met.select(F.col("_box").alias("a"), F.col("_other").alias("b")).distinct()
+    group = points.join(components(edges), F.col("_box") == F.col("node"), "left").withColumn("_group", F.coalesce("label", "_box"))
+    columns = [c for c in points.columns if c != "_box"]
+    best = F.min(F.struct((-F.col("margin")).alias("_m"), F.col("id").alias("_i"), F.struct(*columns).alias("_row")))
+    return group.groupBy("_group").agg(best.alias("_best"), F.count(F.lit(1)).alias("fragments")).select("_best._row.*", "fragments")
 
 
 def finalise(blobs: DataFrame, spacing_m: float, box: tuple[float, float, float, float] | None = None, land: DataFrame | None = None, buffer_m: float = 1000.0, config: Config = Config()) -> DataFrame:

@@ -76,8 +76,7 @@ def _on_land(spark: SparkSession, sf_dir: str, f: DataFrame) -> DataFrame:
 
 
 def on_land(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Over the tenth of the footprints that its SQL names; ``on_land_all`` has all."""
-    return _on_land(spark, sf_dir, d.footprints(spark, sf_dir).where("scene_id % 10 = 0"))
+    return _on_land(spark, sf_dir, d.footprints(spark, sf_dir))
 
 
 def on_land_all(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,7 +149,7 @@ SQL = {
         SELECT scene_id, detection_id AS id, fragments FROM (SELECT d.scene_id, d.detection_id, count(*) OVER (PARTITION BY label) AS fragments, row_number() OVER (PARTITION BY label ORDER BY length_m DESC, detection_id) AS r FROM comp JOIN detections d ON d.detection_id = comp.n) WHERE r = 1""",
     "length_bands": f"WITH {SQL_DETECTIONS} SELECT scene_id, count(*) AS candidates, count(*) FILTER (WHERE length_m < 15) AS rejected_small, count(*) FILTER (WHERE length_m > 450) AS rejected_large, count(*) FILTER (WHERE length_m BETWEEN 15 AND 450) AS kept FROM detections GROUP BY 1",
     "on_land": f"""WITH {SQL_DETECTIONS}, {SQL_FOOTPRINTS}, p AS (SELECT detection_id AS id, round(lon, 4) AS lon, round(lat, 4) AS lat FROM detections)
-        SELECT id FROM p WHERE EXISTS (SELECT 1 FROM footprints f WHERE f.scene_id % 10 = 0 AND p.lon >= f.min_lon AND p.lon < f.max_lon AND p.lat >= f.min_lat AND p.lat < f.max_lat)""",
+        SELECT id FROM p WHERE EXISTS (SELECT 1 FROM footprints f WHERE p.lon >= f.min_lon AND p.lon < f.max_lon AND p.lat >= f.min_lat AND p.lat < f.max_lat)""",
     "scene_search": f"WITH {SQL_FOOTPRINTS} SELECT scene_id, CAST(at_s * 1000000 AS BIGINT) AS us FROM footprints WHERE min_lon <= 11.5 AND max_lon >= 10.0 AND min_lat <= 56.0 AND max_lat >= 55.0 AND at_s BETWEEN 1704153600 AND 1704758400",
     "scene_rank": f"""WITH {SQL_FOOTPRINTS}, r AS (SELECT scene_id, at_s, greatest(least(max_lon, 11.5::DOUBLE) - greatest(min_lon, 10.0::DOUBLE), 0) * greatest(least(max_lat, 56.0::DOUBLE) - greatest(min_lat, 55.0::DOUBLE), 0) AS coverage FROM footprints)
         SELECT scene_id, CAST(row_number() OVER (ORDER BY coverage DESC, at_s DESC, scene_id) AS INTEGER) AS rank, round(coverage, 6) AS coverage FROM r QUALIFY rank <= 20""",
@@ -158,5 +157,21 @@ SQL = {
     "latest_run": "SELECT o_orderkey AS id, o_custkey AS scene_id, o_orderpriority AS detector FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate DESC, o_orderkey DESC) = 1",
     "scene_counts": f"WITH {SQL_DETECTIONS} SELECT scene_id, count(*) AS n FROM detections GROUP BY 1",
     "table_counts": "SELECT 'scenes' AS name, CAST(30 AS BIGINT) AS rows UNION ALL SELECT 'detections', count(*) FROM orders UNION ALL SELECT 'positions', count(*) FROM events",
+    # a step of the recursion gives the next target of every granule its nearest free detection
+    "greedy_pairing": f"""WITH RECURSIVE {SQL_DETECTIONS}, theirs AS (SELECT scene_id AS g, lon + (detection_id % 9) * 0.001::DOUBLE AS lon, lat, bool_or(detection_id % 8 = 0) AS matched FROM detections GROUP BY 1, 2, 3),
+        pairs AS MATERIALIZED (SELECT g, t.lon AS t_lon, t.lat AS t_lat, matched, o.detection_id AS id, {sql_haversine('o.lon', 'o.lat', 't.lon', 't.lat')} AS m FROM theirs t JOIN detections o ON o.scene_id = g AND abs(o.lat - t.lat) < 0.01 WHERE {sql_haversine('o.lon', 'o.lat', 't.lon', 't.lat')} <= 500),
+        step AS MATERIALIZED (SELECT *, dense_rank() OVER (PARTITION BY g ORDER BY t_lat, t_lon) AS k FROM pairs),
+        walk(g, k, taken, id, m, matched) AS (SELECT DISTINCT g, 0::BIGINT, []::BIGINT[], NULL::BIGINT, NULL::DOUBLE, NULL::BOOLEAN FROM step UNION ALL
+          SELECT g, k, CASE WHEN best IS NULL THEN taken ELSE list_append(taken, struct_extract(best, 'id')) END, struct_extract(best, 'id'), struct_extract(best, 'm'), matched FROM (
+            SELECT w.g, n.k, any_value(w.taken) AS taken, min(struct_pack(m := n.m, id := n.id)) FILTER (WHERE NOT list_contains(w.taken, n.id)) AS best, bool_or(n.matched) AS matched
+            FROM walk w JOIN step n ON n.g = w.g AND n.k = w.k + 1 GROUP BY w.g, n.k)),
+        pair AS (SELECT g, id, m, matched FROM walk WHERE id IS NOT NULL),
+        mine AS (SELECT scene_id AS g, count(*) AS ours FROM detections GROUP BY 1), yours AS (SELECT g, count(*) AS theirs FROM theirs GROUP BY 1),
+        agreed AS (SELECT g, count(*) AS agreed, count(*) FILTER (WHERE matched) AS both_matched, median(m) AS median_distance_m FROM pair GROUP BY 1),
+        alone AS (SELECT * FROM detections WHERE detection_id NOT IN (SELECT id FROM pair)), used AS (SELECT * FROM detections WHERE detection_id IN (SELECT id FROM pair)),
+        frag AS (SELECT a.scene_id AS g, count(DISTINCT a.detection_id) AS likely_fragments FROM alone a JOIN used u ON a.scene_id = u.scene_id AND abs(a.lat - u.lat) < 0.01 WHERE {sql_haversine('a.lon', 'a.lat', 'u.lon', 'u.lat')} <= 200 GROUP BY 1)
+        SELECT g AS granule_id, ours, theirs, coalesce(agreed, 0) AS agreed, coalesce(both_matched, 0) AS their_matched_on_agreed, median_distance_m, coalesce(likely_fragments, 0) AS likely_fragments, ours - coalesce(agreed, 0) AS ours_only, theirs - coalesce(agreed, 0) AS theirs_only,
+          coalesce(agreed, 0) - coalesce(both_matched, 0) AS their_unmatched_on_agreed, CASE WHEN theirs > 0 THEN coalesce(agreed, 0) / theirs ELSE 0.0::DOUBLE END AS recall, ours - coalesce(likely_fragments, 0) AS distinct_targets
+        FROM mine FULL JOIN yours USING (g) LEFT JOIN agreed USING (g) LEFT JOIN frag USING (g)""",
     "partition_check": "SELECT o_orderkey AS detection_id, 'missing' AS side FROM orders WHERE o_orderkey % 3 = 0 AND o_orderkey <= 10",
 }
