@@ -17,8 +17,7 @@ and to its one-bit neighbours outside the key's fixed bits; two of them are with
 when they meet in such a node, and at most 65 can meet in one. So a bucket of any size costs a
 number of rows in proportion to its size, and no link is lost.
 
-Components: alternating large-star and small-star steps over the links (tables of fingerprints
-that have a link), each written to the shared scratch folder.
+Components: alternating large-star and small-star steps over the links.
 
 Similarity (``similar_texts``): two texts link when their sets of word shingles have a Jaccard
 similarity of ``percent`` or more. That is exact, which no bit budget is: at 80 % fingerprints
@@ -26,26 +25,31 @@ differ in 5 to 11 bits and more, where keys of a 64-bit ring no longer select. C
 prefix filters instead: of two sets that overlap enough, the k first common shingles lie within the
 first n - ceil(n * percent / 100) + k of each, in any one order. First in hash order with k about a
 tenth of n, which leaves the texts that share enough with any other; then over these in order of
-rarity with k = 1. A shingle of more than ``BUCKET`` sets isn't paired: texts joined by such shingles
-are decided together by pivots (``linked_to``).
+rarity with k = 1. A shingle of more than ``BUCKET`` sets isn't paired, as its sets are mostly copies of
+one text: there each is first compared with one other, chosen anew in each round, and what is in one
+component already isn't compared again. After ``ROUNDS`` of these most such shingles have all their sets
+in one component, which ends them; in the others, each set outside the largest component is compared
+with those of other components. So no link between components is missed, and no group is gathered.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.graph import components
 from .common import Scratch, free_shuffles, table, texts_of, walk
 
 #: (first bit, bits) of the three segments, lowest first.
 SEGMENTS = ((0, 21), (21, 21), (42, 22))
 #: Fingerprints under one key that are compared in pairs; larger buckets go by neighbours.
 BUCKET = 32
+#: Rounds in which the sets of a common shingle are compared with one of them each; shingles of a set that take part in one.
+ROUNDS, CHOSEN = 3, 2
 SEED = 42
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -155,44 +159,9 @@ def links(fps: DataFrame, scratch: Scratch) -> DataFrame:
     return pairs.union(stars).distinct()
 
 
-def components(edges: DataFrame, scratch: Scratch, most_rounds: int = 64) -> DataFrame:
-    """(node, label): label is the smallest node of the component. ``edges`` has a > b.
-
-    Alternates large-star and small-star until nothing changes; every round's edges are written.
-    A star's centre may have very many leaves: they are only grouped by partial minima, and
-    joined to their minimum by a join whose large side can be split.
-    """
-    edges = scratch.write(edges.select("a", "b"), "edges-0")
-    previous = None
-    for k in range(1, most_rounds + 1):
-        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        # large-star: each neighbour above u goes to the smallest in u's neighbourhood
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        large = scratch.write(large, f"large-{k}")
-        # small-star: u and its smaller neighbours go to the smallest of them
-        lower = large.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
-        small = large.join(lower, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b")
-        small = small.union(lower.select(F.col("u").alias("a"), F.col("m").alias("b"))).distinct()
-        small = scratch.write(small, f"edges-{k}")
-        state = small.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        scratch.drop(f"large-{k}")
-        scratch.drop(f"edges-{k - 1}")
-        edges = small
-        if state == previous:
-            break
-        previous = state
-    else:
-        raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
-
-
 def _classes(distinct: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(fp, component_id) of ``distinct`` (fp, least): the smallest id that the links lead to."""
-    member = components(edges, scratch)
-    # a component's label is its smallest fingerprint; it has no row of its own in the stars
-    named = member.union(member.select(F.col("label").alias("node"), "label").distinct())
-    linked = named.join(distinct, F.col("node") == F.col("fp")).select("fp", "label", "least")
+    linked = components(edges).join(distinct, F.col("node") == F.col("fp")).select("fp", "label", "least")
     lowest = linked.groupBy("label").agg(F.min("least").alias("lowest"))
     linked = linked.join(lowest, "label").select("fp", "lowest")
     classes = distinct.join(linked, "fp", "left").select("fp", F.coalesce("lowest", "least").alias("component_id"))
@@ -242,44 +211,52 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: in
     return walk(cols, run, schema)
 
 
-def linked_to(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the smallest index that links of ``percent`` or more lead to.
-
-    A pivot is compared with all sets at once. What links to it needs a comparison of its own only
-    if a set of another component is near enough to the pivot, as Jaccard distance is a metric.
-    """
-    count, reach = len(sets), 1 - percent / 100
-    sizes = np.array([len(x) for x in sets])
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
-    owners = np.repeat(np.arange(count), sizes)[np.argsort(codes, kind="stable")]
-    starts = np.concatenate([[0], np.cumsum(np.bincount(codes))])
-    component = np.arange(count)
-
-    def compare(k: int) -> tuple[np.ndarray, np.ndarray]:
-        mine = codes[first[k] : first[k + 1]]
-        shared = np.bincount(np.concatenate([owners[starts[c] : starts[c + 1]] for c in mine]), minlength=count)
-        either = sizes[k] + sizes - shared
-        links = np.flatnonzero(100 * shared >= percent * either)
-        joined = np.unique(component[links])
-        if len(joined) > 1:
-            component[np.isin(component, joined)] = joined[0]
-        return links, 1 - shared / either
-
-    covered, held = np.zeros(count, bool), []
-    for k in range(count):
-        if not covered[k]:
-            links, far = compare(k)
-            new = links[~covered[links] & (links != k)]
-            covered[links] = True
-            if len(new):
-                ring = np.flatnonzero(far <= 2 * reach + 1e-9)
-                held.append((new, far[new], ring, far[ring]))
-    for members, own, ring, far in held:
-        for k, d in zip(members, own, strict=True):
-            if np.any((component[ring] != component[k]) & (far <= d + reach + 1e-9)):
-                compare(k)
-    return component
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of the ``pairs`` whose sets are similar."""
+    one, two = (sets.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}")) for c in "ab")
+    both = F.size(F.array_intersect("h_a", "h_b"))
+    return pairs.join(one, "a").join(two, "b").where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent).select("a", "b")
+
+
+def _alike_in_size(a, b, percent: int):
+    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
+
+
+def _common_links(common: DataFrame, sets: DataFrame, edges: DataFrame, scratch: Scratch, percent: int) -> list[DataFrame]:
+    """Links of sets under common shingles (h, fp, n) that join what ``edges`` leave apart, as tables of (a, b)."""
+    known = components(edges)
+    at = scratch.write(common.join(known, F.col("fp") == F.col("node"), "left").select("h", "fp", "n", F.coalesce("label", "fp").alias("label")), "common-0")
+    found = []
+
+    def still_open(at: DataFrame) -> DataFrame:
+        several = at.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
+        return at.join(several, "h", "left_semi")
+
+    def merged(at: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+        """``at`` with new labels; the links are kept in ``found``."""
+        links = scratch.write(_verified(pairs.select("a", "b").distinct(), sets, percent), f"links-{name}")
+        found.append(links)
+        label = at.select("fp", "label").distinct()
+        ends = links.join(label.select(F.col("fp").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("fp").alias("b"), F.col("label").alias("lb")), "b")
+        renamed = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("new"))
+        return scratch.write(still_open(at.join(renamed, "label", "left").select("h", "fp", "n", F.coalesce("new", "label").alias("label"))), f"common-{name}")
+
+    at = still_open(at)
+    for k in range(1, ROUNDS + 1):
+        if at.isEmpty():
+            return found
+        chance = F.xxhash64("fp", "h", F.lit(k))
+        pivots = at.groupBy("h").agg(F.min(F.struct(chance.alias("c"), "fp", "n", "label")).alias("p"))
+        few = at.withColumn("turn", F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("h", F.lit(k)), "h"))).where(F.col("turn") <= CHOSEN)
+        met = few.join(pivots, "h").where((F.col("label") != F.col("p.label")) & _alike_in_size(F.col("n"), F.col("p.n"), percent))
+        at = merged(at, met.select(F.greatest("fp", "p.fp").alias("a"), F.least("fp", "p.fp").alias("b")), str(k))
+    if not at.isEmpty():
+        sizes = at.groupBy("h", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max(F.struct("size", "label")).alias("largest"))
+        named = at.join(sizes.select("h", F.col("largest.label").alias("main")), "h")
+        outside = named.where("label <> main").select("h", F.col("fp").alias("f2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
+        met = named.join(outside, "h").where((F.col("label") != F.col("l2")) & ((F.col("label") == F.col("main")) | (F.col("fp") > F.col("f2"))) & _alike_in_size(F.col("n"), F.col("n2"), percent))
+        merged(at, met.select(F.greatest("fp", "f2").alias("a"), F.least("fp", "f2").alias("b")), "rest")
+    return found
 
 
 def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
@@ -302,29 +279,15 @@ def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, shingle:
     ranked = keyed.join(common, "h").withColumns({"rank": F.row_number().over(w.orderBy("df", "h")), "known": F.count(F.lit(1)).over(w)})
     least = F.expr(f"(n * {percent} + 99) div 100")
     prefix = scratch.write(ranked.where(F.col("n") - F.col("known") + F.col("rank") <= F.col("n") - least + 1).select("h", "fp", "n"), "prefix")
-    sizes = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.min("fp").alias("lowest")).where("size > 1")
+    sizes = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = scratch.write(prefix.join(sizes, "h"), "shared")
     few = shared.where(F.col("size") <= BUCKET)
     a, b = few.alias("a"), few.alias("b")
-    near = (F.col("a.n") * 100 >= F.col("b.n") * percent) & (F.col("b.n") * 100 >= F.col("a.n") * percent)
+    near = _alike_in_size(F.col("a.n"), F.col("b.n"), percent)
     pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") > F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
-    one, two = (sets.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}")) for c in "ab")
-    both = F.size(F.array_intersect("h_a", "h_b"))
-    edges = pairs.join(one, "a").join(two, "b").where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent).select("a", "b")
-    # sets joined by common shingles, decided together
-    stars = scratch.write(shared.where((F.col("size") > BUCKET) & (F.col("fp") > F.col("lowest"))).select(F.col("fp").alias("a"), F.col("lowest").alias("b")).distinct(), "stars")
-    if not stars.isEmpty():
-        member = components(stars, Scratch(docs.sparkSession, "groups"))
-        groups = scratch.write(member.union(member.select(F.col("label").alias("node"), "label").distinct()), "groups")
-
-        def run(frame: pd.DataFrame) -> pd.DataFrame:
-            frame = frame.sort_values("fp")
-            names = frame["fp"].to_numpy()
-            to = names[linked_to(list(frame["hashes"]), percent)]
-            return pd.DataFrame({"a": names[names > to], "b": to[names > to]})
-
-        held = sets.join(groups, F.col("fp") == F.col("node")).select("label", "fp", "hashes")
-        edges = edges.union(held.groupBy("label").applyInPandas(run, "a long, b long"))
+    edges = scratch.write(_verified(pairs, sets, percent), "pairs")
+    for more in _common_links(shared.where(F.col("size") > BUCKET).select("h", "fp", "n"), sets, edges, scratch, percent):
+        edges = edges.union(more)
     return edges.distinct()
 
 
@@ -340,23 +303,29 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = scratch.write(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     edges = scratch.write(similar_links(docs.select(id_col, text_col), prints, scratch, shingle, percent), "links")
     classes = _classes(distinct, edges, scratch)
-    for name in ("some", "sets", "prefix", "shared", "stars"):
+    for name in ("some", "sets", "prefix", "shared", "pairs", *(f"{x}-{k}" for x in ("common", "links") for k in (0, *range(1, ROUNDS + 1), "rest"))):
         scratch.drop(name)
     free_shuffles(spark)
     return prints.select("id", "fp").join(classes, "fp").select(F.col("id").alias(id_col), "component_id")
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", groups=near_duplicates) -> DataFrame:
-    """The documents with one of each near-duplicate group: the one with the smallest id.
+    """The documents with one of each near-duplicate group: the one with the smallest id (null ids last).
 
-    ``groups`` is ``near_duplicates`` or ``similar_texts``. Returns the columns of ``docs``. Of rows
-    that repeat an id one stays. Rows without an id can't be told apart by id: they stay, once per
-    distinct row.
+    ``groups`` is ``near_duplicates`` or ``similar_texts``. Returns the columns of ``docs``. A row is told
+    apart by its id and text, both hashed to 128 bits: of unlike texts with one id each counts for
+    itself, rows with a null id count like any other, and of rows alike in id and text one stays.
+    Texts aren't shuffled while the list of rows that go is small enough to be broadcast.
     """
-    named = docs.where(F.col(id_col).isNotNull())
-    found = groups(named, id_col, text_col)
-    stay = found.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
-    return named.join(stay, id_col, "left_semi").dropDuplicates([id_col]).select(*docs.columns).union(docs.where(F.col(id_col).isNull()).distinct())
+    scratch = Scratch(docs.sparkSession, "keep")
+    keys = {"_k1": F.xxhash64(F.col(id_col), F.col(text_col)), "_k2": F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col))}
+    keyed = docs.withColumns(keys)
+    rows = keyed.select(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "_k1", "_k2").alias("row"), F.col(text_col).alias("text"))
+    found = groups(rows, "row", "text").groupBy("row").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    found = scratch.write(found.where("n > 1 OR row <> first").select("row._k1", "row._k2", F.expr("row = first").alias("stays")), "rows")
+    single = keyed.join(found.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti")
+    repeated = keyed.join(found.where("stays").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
+    return single.select(*docs.columns).union(repeated.select(*docs.columns))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
