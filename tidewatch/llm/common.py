@@ -39,7 +39,8 @@ class Scratch:
         self.spark = spark
         base = spark.conf.get("spark.checkpoint.dir", None)
         if not base:
-            # only a session without a shared folder, such as a local test
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
             base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/scratch"
         self.root = f"{base.rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex[:12]}"
 
@@ -132,10 +133,17 @@ def crc32_mod(id_col: str, modulus: int):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def sample_by_hash(df: DataFrame, id_col: str, bound: int) -> DataFrame:
-    """About ``bound`` rows at most, the same ones on every run: those with small hashes of the id."""
+def sample_by_hash(df: DataFrame, id_col: str, bound: int, *more: str) -> DataFrame:
+    """About ``bound`` rows at most, the same ones on every run: those with small hashes of the id and the ``more`` columns.
+
+    Rows alike in all of these share a hash. Where such rows would come to over twice the bound, as
+    with few ids for very many rows, the share is lessened until they don't; then no row may be left.
+    """
     count = df.count()
     if count <= bound:
         return df
+    hashed = F.pmod(F.xxhash64(F.lit(17), F.col(id_col), *(F.col(c) for c in more)), F.lit(1 << 30))
     share = int(bound / count * (1 << 30))
-    return df.where(F.pmod(F.xxhash64(F.lit(17), F.col(id_col)), F.lit(1 << 30)) < share)
+    while share and df.where(hashed < share).limit(2 * bound + 1).count() > 2 * bound:
+        share //= 2
+    return df.where(hashed < share)

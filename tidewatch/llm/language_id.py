@@ -1,12 +1,14 @@
 """Language identification of mixed text: script ranges, word scores, Viterbi with a switching penalty.
 
-A word's script leaves as candidates the languages that are written in it. Each candidate scores
-the word by its frequency in that language or, for unknown words, by its character trigrams. The
+A word's script leaves as candidates the languages that are written in it, and only these are scored:
+by the word's frequency in the language or, for unknown words, by its character trigrams. The
 best labelling of a text's words, where every change of language costs ``SWITCH``, cuts the text
 into spans of one language; the text's language is the one with most letters in its spans.
 
-The model is fitted on a bounded sample of labelled texts (``SAMPLE_ROWS``); its size is bounded
-by ``LANGUAGES`` times the tables' sizes.
+The model is fitted on a bounded sample of labelled texts (``SAMPLE_ROWS``) with all their languages
+and all their words that stand there ``LEAST`` times. Words x languages numbers are held for a slice of
+texts at a time, which is the smaller the more languages there are; a longer text goes through in
+blocks, forward once for the values at their starts and once more from the last block back.
 """
 
 from __future__ import annotations
@@ -17,14 +19,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_mod, sample_by_hash, slices, table, texts_of, walk, words_of
+from .common import Scratch, crc32_mod, sample_by_hash, slices, table, texts_of, walk, words_of
 from .quality import class_table
 
-SAMPLE_ROWS, LANGUAGES, WORDS, TRIGRAMS = 20_000, 256, 20_000, 1 << 15
+#: Labelled texts of the sample, occurrences in it that make a word known, slots of trigrams.
+SAMPLE_ROWS, LEAST, TRIGRAMS = 20_000, 5, 1 << 15
+#: Words times languages that are scored at once.
+CELLS = 1 << 23
 #: Cost of a change of language; greatest disadvantage of a language in one word; one of another script. In nats.
 SWITCH, WORST, FOREIGN = 9.0, 7.0, 14.0
 #: Share of a language's words from which on a script is one of its scripts.
@@ -110,15 +115,41 @@ def _partial(batches: Iterator[pa.RecordBatch], most: int = 1 << 17) -> Iterator
     yield from flush()
 
 
+def _spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, slot, value) from (lang, word, n): trigrams by the root of n, as a frequent word says less about spelling, and scripts (slots below 0) by n."""
+    for batch in batches:
+        langs, words, n = batch.column(0).dictionary_encode(), batch.column(1).to_pylist(), batch.column(2).to_numpy(zero_copy_only=False)
+        if not words:
+            continue
+        lang = langs.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        slots, first = trigrams(words)
+        per = np.diff(np.append(first, len(slots)))
+        span = TRIGRAMS + len(_NAMES)
+        keys = np.concatenate([np.repeat(lang, per) * span + len(_NAMES) + slots, lang * span + np.array([_NAMES.index(script_of(w)) for w in words])])
+        sums = np.bincount(keys, weights=np.concatenate([np.repeat(np.sqrt(n), per), n]))
+        at = np.flatnonzero(sums)
+        yield pa.RecordBatch.from_arrays([langs.dictionary.take(pa.array(at // span)), pa.array((at % span - len(_NAMES)).astype(np.int32)), pa.array(sums[at])], ["lang", "slot", "value"])
+
+
 class Model:
-    """Word and trigram scores by language; ``score`` gives a word's vector."""
+    """Word and trigram scores by language; ``score`` gives a word's vector. Known words are held sparsely."""
 
-    def __init__(self, langs: list[str], known: dict[str, np.ndarray], grams: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.langs, self.grams = langs, grams.astype(np.float32)
+    def __init__(self, langs: list[str], known: dict[str, dict[int, float]], floor: np.ndarray, grams: np.ndarray, scripts: dict[str, np.ndarray]):
+        self.langs, self.floor, self.grams = langs, floor.astype(np.float32), grams.astype(np.float32)
         self.known = {w: k for k, w in enumerate(known)}
-        self.values = np.array(list(known.values()), np.float32).reshape(len(known), len(langs))
+        self.ends = np.cumsum([0, *map(len, known.values())])
+        self.at = np.array([k for x in known.values() for k in x], np.int64)
+        self.values = np.array([v for x in known.values() for v in x.values()], np.float32)
         self.written = np.array([scripts.get(s, np.zeros(len(langs), bool)) for s in _NAMES])
 
+    def _frequencies(self, rows: np.ndarray) -> np.ndarray:
+        """(words, languages) of known words."""
+        out = np.repeat(self.floor[None, :], len(rows), axis=0)
+        per = self.ends[rows + 1] - self.ends[rows]
+        place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per) + np.repeat(self.ends[rows], per)
+        out[np.repeat(np.arange(len(rows)), per), self.at[place]] = self.values[place]
+        return out
+
     def score(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(words, languages) nats, 0 for the best and everywhere for a word without a letter; letters of each word."""
         n, width = len(words), len(self.langs)
@@ -133,51 +164,54 @@ class Model:
         weights[some] = np.add.reduceat(is_letter, begin)
         if not width:
             return out, weights
-        at = [self.known.get(c) for c in lettered]
-        own = np.empty((len(some), width), np.float32)
-        listed = np.array([a is not None for a in at])
-        if listed.any():
-            own[listed] = self.values[[a for a in at if a is not None]]
-        if not listed.all():
-            slots, first = trigrams([c for c, a in zip(lettered, at, strict=True) if a is None])
-            own[~listed] = np.add.reduceat(self.grams[slots], first, axis=0)
-        own = np.maximum(own - own.max(axis=1, keepdims=True), -WORST)
         kind = np.where(is_letter, _KINDS[np.searchsorted(_STARTS, points, side="right") - 1], 0)
         low, high = np.minimum.reduceat(np.where(kind > 0, kind, len(_NAMES)), begin), np.maximum.reduceat(kind, begin)
         for k in np.flatnonzero((low != high) & (high > 0)):  # letters of several scripts
             high[k] = _NAMES.index(script_of(lettered[k]))
-        written = self.written[high]
-        own = np.where(written | ~written.any(axis=1, keepdims=True), own, -FOREIGN)
-        out[some] = own - own.max(axis=1, keepdims=True)
+        at = np.array([self.known.get(c, -1) for c in lettered], np.int64)
+        for script in np.unique(high):
+            group = np.flatnonzero(high == script)
+            candidates = np.flatnonzero(self.written[script])
+            if not len(candidates):
+                candidates = np.arange(width)
+            if len(candidates) < width:
+                out[some[group]] = -FOREIGN
+            if len(candidates) == 1:  # nothing to tell apart
+                out[some[group], candidates[0]] = 0
+                continue
+            listed = at[group] >= 0
+            own = np.empty((len(group), len(candidates)), np.float32)
+            if listed.any():
+                own[listed] = self._frequencies(at[group[listed]])[:, candidates]
+            if not listed.all():
+                slots, first = trigrams([lettered[k] for k in group[~listed]])
+                own[~listed] = np.add.reduceat(self.grams[slots][:, candidates], first, axis=0)
+            out[np.ix_(some[group], candidates)] = np.maximum(own - own.max(axis=1, keepdims=True), -WORST)
         return out, weights
 
 
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", sample_rows: int = SAMPLE_ROWS) -> Model:
-    """A model from the labelled texts of a bounded sample by hash of the id."""
-    labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sample = sample_by_hash(labelled, "id", sample_rows).where(F.col("text").isNotNull()).select("text", "lang")
+    """A model from the labelled texts of a bounded sample by hash of the id and the text."""
+    labelled = docs.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    sample = sample_by_hash(labelled, "id", sample_rows, "text").where(F.col("text").isNotNull()).select("text", "lang")
     counts = sample.mapInArrow(_partial, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    by = Window.partitionBy("lang")
-    ranked = counts.withColumn("total", F.sum("n").over(by)).withColumn("rank", F.row_number().over(by.orderBy(F.desc("n"), "word")))
-    rows = ranked.where(F.col("rank") <= WORDS).collect()  # of a sample: languages x WORDS
-    totals = {r.lang: r.total for r in rows}
-    langs = sorted(sorted(totals, key=lambda x: (-totals[x], x))[:LANGUAGES])
-    at = {x: k for k, x in enumerate(langs)}
-    grams = np.zeros((TRIGRAMS, len(langs)))
-    words: dict[str, np.ndarray] = {}
-    scripts: dict[str, np.ndarray] = {}
-    for lang, k in at.items():
-        own = {r.word: r.n for r in rows if r.lang == lang}
-        for w, n in own.items():
-            words.setdefault(w, np.zeros(len(langs)))[k] += n
-            scripts.setdefault(script_of(w), np.zeros(len(langs)))[k] += n
-        slots, first = trigrams(list(own))
-        times = np.repeat(np.sqrt(list(own.values())), np.diff(np.append(first, len(slots))))  # a frequent word says less about spelling
-        grams[:, k] = np.bincount(slots, weights=times, minlength=TRIGRAMS)
+    counts = Scratch(docs.sparkSession, "language").write(counts, "counts")
+    totals = {r.lang: r.n for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row a language of the sample
+    langs = sorted(totals)
+    index = {x: k for k, x in enumerate(langs)}
+    # words of the sample that stand in it LEAST times
+    words = counts.groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("by"), F.sum("n").alias("n")).where(F.col("n") >= LEAST).select("word", "by").toPandas()
+    spelled = counts.mapInArrow(_spelling, "lang string, slot int, value double").groupBy("lang", "slot").agg(F.sum("value").alias("value")).toPandas()
     total = np.array([totals[x] for x in langs], float)
+    grams, written = np.zeros((TRIGRAMS, len(langs))), np.zeros((len(_NAMES), len(langs)))
+    if len(spelled):
+        slot, lang = spelled["slot"].to_numpy(), spelled["lang"].map(index).to_numpy()
+        above = slot >= 0
+        grams[slot[above], lang[above]] = spelled["value"].to_numpy()[above]
+        written[slot[~above] + len(_NAMES), lang[~above]] = spelled["value"].to_numpy()[~above]
     grams = np.log((grams + 0.1) / (grams.sum(axis=0) + 0.1 * TRIGRAMS)) if langs else grams
-    known = {w: np.log((c + 0.2) / (total + 1)) for w, c in words.items() if c.sum() >= 5}
-    return Model(langs, known, grams, {s: c >= SCRIPT_SHARE * total for s, c in scripts.items() if s})
+    known = {w: {index[x["lang"]]: float(np.log((x["n"] + 0.2) / (totals[x["lang"]] + 1))) for x in by} for w, by in sorted(zip(words["word"], words["by"], strict=True), key=lambda x: x[0])}
+    return Model(langs, known, np.log(0.2 / (total + 1)), grams, {s: c >= SCRIPT_SHARE * total for s, c in zip(_NAMES, written, strict=True) if s and c.any()})
 
 
 def viterbi(scores: np.ndarray, per: np.ndarray, switch: float = SWITCH) -> np.ndarray:
@@ -230,6 +264,45 @@ def viterbi(scores: np.ndarray, per: np.ndarray, switch: float = SWITCH) -> np.n
     return out
 
 
+def _steps(value: np.ndarray | None, scores: np.ndarray, switch: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Values after the words of ``scores`` from those before, whether each label stays, and the best before each word."""
+    stays, best = np.ones(scores.shape, bool), np.zeros(len(scores), np.int64)
+    for t in range(len(scores)):
+        if value is None:
+            value = scores[t].copy()
+            continue
+        best[t] = value.argmax()
+        jump = value[best[t]] - switch
+        stays[t] = value >= jump
+        value = np.maximum(value, jump) + scores[t]
+        value -= value.max()
+    return value, stays, best
+
+
+def long_labels(model: Model, ids: np.ndarray, names: list[str], switch: float = SWITCH, block: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Labels and letters of a long text's words as ``viterbi`` gives them, holding one block of it at a time."""
+
+    def scores(first: int) -> tuple[np.ndarray, np.ndarray]:
+        distinct, at = np.unique(ids[first : first + block], return_inverse=True)
+        vectors, weights = model.score([names[k] for k in distinct])
+        return vectors[at], weights[at]
+
+    starts, values, weights, value = range(0, len(ids), block), [], [], None
+    for first in starts:
+        values.append(value)
+        own, letters_of = scores(first)
+        weights.append(letters_of)
+        value = _steps(value, own, switch)[0]
+    labels, state = np.empty(len(ids), np.int64), int(value.argmax())
+    for first, value in zip(reversed(starts), reversed(values), strict=True):
+        _, stays, best = _steps(value, scores(first)[0], switch)
+        for t in range(len(best) - 1, -1, -1):
+            labels[first + t] = state
+            if not stays[t, state]:
+                state = best[t]
+    return labels, np.concatenate(weights)
+
+
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, spans: bool = False, switch: float = SWITCH) -> DataFrame:
     """Row for row: the id, the ``keep`` columns, lang_pred, score, n_spans.
 
@@ -239,21 +312,31 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in keep or [] if c != id_col]
-    cols = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    back = text_col in keep  # the text goes to Python once, also where it comes back
+    cols = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep) if c != text_col))
     made = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("n_spans", T.LongType())]
     span = T.StructType([T.StructField("first", T.LongType()), T.StructField("words", T.LongType()), T.StructField("lang", T.StringType())])
     made += [T.StructField("spans", T.ArrayType(span))] if spans else []
-    schema = T.StructType([*cols.schema.fields[1:], *made])
+    schema = T.StructType([*cols.schema.fields[1:], *([T.StructField("text", T.StringType())] if back else []), *made])
+    # a word has about four bytes at least
+    slice_bytes = min(8 << 20, max(1 << 16, 4 * CELLS // max(len(model.langs), 1)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = shared.value
         langs, n = own.langs, batch.num_rows
         ids, names, per = words_of(batch.column(0))
         width = len(langs)
-        vectors, weights = own.score(names)
         row = np.repeat(np.arange(n), per)
-        labels = viterbi(vectors[ids], per, switch) if width else np.zeros(len(ids), np.int64)
-        by = np.bincount(row * max(width, 1) + labels, weights=weights[ids] if len(ids) else None, minlength=n * max(width, 1)).reshape(n, -1)
+        if len(ids) * max(width, 1) > 2 * CELLS:
+            labels, letters_of = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+            for a, b in zip(np.cumsum(per) - per, np.cumsum(per), strict=True):
+                if a < b:
+                    labels[a:b], letters_of[a:b] = long_labels(own, ids[a:b], names, switch, max(1, CELLS // max(width, 1)))
+        else:
+            vectors, weights = own.score(names)
+            letters_of = weights[ids] if len(ids) else np.zeros(0, np.int64)
+            labels = viterbi(vectors[ids], per, switch) if width else np.zeros(len(ids), np.int64)
+        by = np.bincount(row * max(width, 1) + labels, weights=letters_of, minlength=n * max(width, 1)).reshape(n, -1)
         total, best = by.sum(axis=1), by.argmax(axis=1)
         some = (total > 0) & (width > 0)
         heads = np.ones(len(ids), bool)
@@ -269,10 +352,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
             for r, a, m, k in zip(row[at].tolist(), (at - start).tolist(), size.tolist(), labels[at].tolist(), strict=True):
                 rows[r].append({"first": a, "words": m, "lang": langs[k]})
             out.append(pa.array(rows, pa.list_(pa.struct([("first", pa.int64()), ("words", pa.int64()), ("lang", pa.string())]))))
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], *out], schema.names)
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], *([batch.column(0)] if back else []), *out], schema.names)
 
-    done = walk(cols, run, schema, slice_bytes=8 << 20)
-    return done.select(F.col("id").alias(id_col), *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(f.name for f in made))
+    done = walk(cols, run, schema, slice_bytes=slice_bytes)
+    kept = [F.col("text" if c == text_col else f"k{i}").alias(c) for i, c in enumerate(keep)]
+    return done.select(F.col("id").alias(id_col), *kept, *(f.name for f in made))
 
 
 def learned(docs: DataFrame) -> Model:
@@ -282,11 +366,11 @@ def learned(docs: DataFrame) -> Model:
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
     """The rows whose text has a language for at least ``least`` of its letters, with the columns of ``docs``; a null lang is filled in."""
-    columns = [c for c in docs.columns if c != "doc_id"]
-    packed = docs.select(F.struct("*").alias("row"), "doc_id", "text")
-    found = identify(packed, learned(docs), keep=["row"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
-    fields = [F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias(c) if c == "lang" else F.col("row").getField(c).alias(c) for c in columns]
-    return found.select("doc_id", *fields).select(*docs.columns)
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    packed = docs.select(F.struct(*others).alias("row"), "doc_id", "text")
+    found = identify(packed, learned(docs), keep=["row", "text"]).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least))
+    fields = [F.coalesce(F.col("row.lang"), F.col("lang_pred")).alias(c) if c == "lang" else F.col("row").getField(c).alias(c) for c in others]
+    return found.select("doc_id", "text", *fields).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,8 +27,8 @@ from pyspark.sql import types as T
 from .common import SLICE_BYTES, flat_bytes, slices, table, texts_of, walk, words_of
 
 CLASSES = ("lower", "upper", "letter", "mark", "digit", "space", "stop", "symbol", "other")
-#: Share of a language's words that makes a word common, and the languages (those with most words) that get a reference.
-COMMON_SHARE, LANGUAGES = 0.001, 256
+#: Share of a language's words that makes a word common.
+COMMON_SHARE = 0.001
 #: Guards, and (base, slack) of the greatest distances to the nearest reference.
 MIN_CHARS, MIN_WORDS, CHAR_LIMIT, WORD_LIMIT = 200, 50, (0.14, 1.3), (0.20, 2.7)
 _SYMBOLS = b"#*$%&|<>"
@@ -172,9 +172,21 @@ def _exact(words: dict[str, dict[str, int]]):
 
 
 class References:
+    """``classes`` of each language, and for each word that is common in some language these languages and its shares in them."""
+
     def __init__(self, langs: list[str], classes: np.ndarray, words: list[list[str]], shares: list[np.ndarray]):
-        self.langs, self.classes, self.shares = langs, classes, shares
-        self.index = [{w: k for k, w in enumerate(x)} for x in words]
+        self.langs, self.classes = langs, classes
+        by: dict[str, list[tuple[int, float]]] = {}
+        for k, (own, share) in enumerate(zip(words, shares, strict=True)):
+            for w, q in zip(own, share, strict=False):
+                by.setdefault(w, []).append((k, float(q)))
+        self.index = {w: n for n, w in enumerate(by)}
+        self.ends = np.cumsum([0, *map(len, by.values())])
+        self.lang = np.array([k for x in by.values() for k, _ in x], np.int64)
+        self.share = np.array([q for x in by.values() for _, q in x])
+        self.rest = np.array([x[-1] for x in shares])
+        #: entropy term of all of a language's common words
+        self.whole = np.array([_entropy(x[:-1]) for x in shares]) if shares else np.zeros(0)
 
 
 def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text") -> References:
@@ -186,11 +198,21 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     # for each language its classes, its total, and words with 3/4 of the share: a bounded number
     rows = totals.where((F.col("kind") != 1) | (F.col("n") >= 0.75 * COMMON_SHARE * F.col("total"))).collect()
     words_in = {r.lang: r.n for r in rows if r.kind == 2 and r.n}
-    langs = sorted(sorted(words_in, key=lambda x: (-words_in[x], x))[:LANGUAGES])
-    maybe = {x: {w: k for k, w in enumerate(sorted(r.name for r in rows if r.kind == 1 and r.lang == x))} for x in langs}
+    langs = sorted(words_in)
+    at = {x: k for k, x in enumerate(langs)}
+    named: dict[str, list[str]] = {x: [] for x in langs}
+    classes = np.zeros((len(langs), len(CLASSES)))
+    for r in rows:
+        if r.lang in at and r.kind == 1:
+            named[r.lang].append(r.name)
+        elif r.lang in at and r.kind == 0:
+            classes[at[r.lang], CLASSES.index(r.name)] = r.n
+    maybe = {x: {w: k for k, w in enumerate(sorted(w))} for x, w in named.items()}
     counts = texts.mapInArrow(_exact(maybe), shape).groupBy(*key).agg(F.sum("n").alias("n")).collect() if langs else []
-    classes = np.array([[sum(r.n for r in rows if r.kind == 0 and r.lang == x and r.name == c) for c in CLASSES] for x in langs], float).reshape(len(langs), len(CLASSES))
-    common = {x: sorted((r.name, r.n / words_in[x]) for r in counts if r.lang == x and r.n >= COMMON_SHARE * words_in[x]) for x in langs}
+    common: dict[str, list] = {x: [] for x in langs}
+    for r in sorted(counts, key=lambda r: r.name):
+        if r.n >= COMMON_SHARE * words_in[r.lang]:
+            common[r.lang].append((r.name, r.n / words_in[r.lang]))
     shares = [np.array([s for _, s in common[x]] + [max(0.0, 1 - sum(s for _, s in common[x]))]) for x in langs]
     return References(langs, classes / np.maximum(classes.sum(axis=1, keepdims=True), 1), [[w for w, _ in common[x]] for x in langs], shares)
 
@@ -210,17 +232,34 @@ def distances(refs: References, hist: np.ndarray, ids: np.ndarray, names: list[s
     n = len(per)
     row = np.repeat(np.arange(n), per)
     share = hist / np.maximum(hist.sum(axis=1, keepdims=True), 1)
-    chars, words = np.zeros((n, len(refs.langs))), np.zeros((n, len(refs.langs)))
+    chars = np.zeros((n, len(refs.langs)))
+    some = hist.sum(axis=1) > 0
+    for k in range(len(refs.langs)):
+        chars[:, k] = np.where(some, js_distance(share, refs.classes[k]), 0)
     cores = [core(w) for w in names]
     blank = np.array([not c for c in cores], bool)  # words of signs only aren't words here
     counted = ~blank[ids] if len(ids) else np.zeros(0, bool)
-    total = np.maximum(np.bincount(row[counted], minlength=n), 1)[:, None]
-    for k in range(len(refs.langs)):
-        chars[:, k] = np.where(hist.sum(axis=1) > 0, js_distance(share, refs.classes[k]), 0)
-        size = len(refs.shares[k])
-        code = np.array([refs.index[k].get(c, size - 1) for c in cores], np.int64)
-        bins = np.bincount(row[counted] * size + code[ids][counted], minlength=n * size).reshape(n, size) if counted.any() else np.zeros((n, size))
-        words[:, k] = np.where(bins.sum(axis=1) > 0, js_distance(bins / total, refs.shares[k]), 0)
+    total = np.maximum(np.bincount(row[counted], minlength=n), 1)
+    # (text, common word) pairs with their counts, then each with the languages in which the word is common
+    listed = np.array([refs.index.get(c, -1) for c in cores], np.int64)
+    of = listed[ids] if len(ids) else np.zeros(0, np.int64)
+    size = max(len(refs.index), 1)
+    pairs, times = np.unique(row[of >= 0] * size + of[of >= 0], return_counts=True)
+    text, word = pairs // size, pairs % size
+    per_word = refs.ends[word + 1] - refs.ends[word] if len(word) else word
+    at = np.arange(per_word.sum()) - np.repeat(np.cumsum(per_word) - per_word, per_word) + np.repeat(refs.ends[word], per_word) if len(word) else word
+    p, q, lang, text = np.repeat(times / total[text], per_word), refs.share[at], refs.lang[at], np.repeat(text, per_word)
+    cell, cells, width = text * len(refs.langs) + lang, n * len(refs.langs), len(refs.langs)
+    plus = lambda x: np.bincount(cell, weights=x, minlength=cells).reshape(n, width)
+    h = lambda x: -x * np.log2(np.where(x > 0, x, 1))
+    mine = plus(p)
+    # of words that a text doesn't have, half of their share is mixed with nothing
+    absent = h(refs.share / 2)
+    mixed = plus(h((p + q) / 2) - absent[at]) + np.bincount(refs.lang, weights=absent, minlength=width)
+    apart = plus(h(p)) + refs.whole
+    other = np.maximum(1 - mine, 0)
+    divergence = mixed + h((other + refs.rest) / 2) - (apart + h(other) + h(refs.rest)) / 2
+    words = np.where((np.bincount(row[counted], minlength=n) > 0)[:, None], np.sqrt(np.maximum(divergence, 0)), 0)
     return chars, words
 
 
@@ -240,9 +279,10 @@ def quality_rules(
     """
     refs = docs.sparkSession.sparkContext.broadcast(references(docs, lang_col, text_col))
     keep = [c for c in keep or [] if c != id_col]
-    cols = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep)))
+    back = text_col in keep  # the text goes to Python once, also where it comes back
+    cols = docs.select(F.col(text_col).alias("text"), F.col(id_col).alias("id"), *(F.col(c).alias(f"k{i}") for i, c in enumerate(keep) if c != text_col))
     made = [*((c, T.LongType()) for c in COUNTS), ("base_failed", T.BooleanType()), ("kept", T.BooleanType()), ("char_distance", T.DoubleType()), ("word_distance", T.DoubleType())]
-    schema = T.StructType([*cols.schema.fields[1:], *(T.StructField(c, k) for c, k in made)])
+    schema = T.StructType([*cols.schema.fields[1:], *([T.StructField("text", T.StringType())] if back else []), *(T.StructField(c, k) for c, k in made)])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         known = refs.value
@@ -269,17 +309,18 @@ def quality_rules(
             near, chars, words = np.ones(n, bool), np.zeros(n), np.zeros(n)
             no_chars, no_words = np.ones(n, bool), np.ones(n, bool)
         out = [*(pa.array(counts[c]) for c in COUNTS), pa.array(failed), pa.array(near & ~failed), pa.array(chars, mask=no_chars), pa.array(words, mask=no_words)]
-        return pa.RecordBatch.from_arrays([*batch.columns[1:], *out], schema.names)
+        return pa.RecordBatch.from_arrays([*batch.columns[1:], *([batch.column(0)] if back else []), *out], schema.names)
 
     done = walk(cols, run, schema)
-    return done.select(F.col("id").alias(id_col), *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *(c for c, _ in made))
+    kept = [F.col("text" if c == text_col else f"k{i}").alias(c) for i, c in enumerate(keep)]
+    return done.select(F.col("id").alias(id_col), *kept, *(c for c, _ in made))
 
 
 def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows that the rules keep, with the columns of ``docs``."""
-    columns = [c for c in docs.columns if c != id_col]
-    judged = quality_rules(docs.select(F.struct("*").alias("row"), F.col(id_col), F.col(text_col), F.col(lang_col)), id_col, text_col, lang_col, keep=["row"])
-    return judged.where("kept").select(F.col(id_col), *(F.col("row").getField(c).alias(c) for c in columns)).select(*docs.columns)
+    others = [c for c in docs.columns if c not in (id_col, text_col)]
+    judged = quality_rules(docs.select(F.struct(*others).alias("row"), F.col(id_col), F.col(text_col), F.col(lang_col)), id_col, text_col, lang_col, keep=["row", text_col])
+    return judged.where("kept").select(F.col(id_col), F.col(text_col), *(F.col("row").getField(c).alias(c) for c in others)).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
