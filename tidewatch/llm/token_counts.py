@@ -3,9 +3,10 @@
 A pre-token is a run of spaces and what follows up to the next space. No piece of the model goes
 on past a space after a non-space (checked when the model is loaded), and merges are local, so a
 text has as many tokens as its pre-tokens have together. Tier one is a compact table of frequent
-pre-tokens and their lengths, made from a bounded sample of texts and broadcast; tier two is each
-worker's own cache, filled by encoding what the table lacks. Nothing is shuffled. The sample only
-decides what is looked up where; it has no part in the counts.
+pre-tokens and their lengths, made from a bounded sample of texts of all partitions and broadcast;
+a worker reads it as it is and never changes it. Tier two, asked for what the table lacks, is each
+worker's own cache, filled by encoding. Nothing is shuffled. The sample only decides what is looked up
+where; it has no part in the counts.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import types as T
 from .common import table, texts_of, walk
 
 MODEL = "piece_bpe_32k.model"
-#: Texts sampled for the broadcast table and their greatest size, its entries, the longest entry, and entries of a worker's cache.
+#: Texts sampled for the broadcast table (as many on average) and their greatest size, its entries, the longest entry, and entries of a worker's cache.
 SAMPLE_ROWS, SAMPLE_BYTES, TABLE_ENTRIES, ENTRY_CHARS, CACHE_ENTRIES = 1000, 1 << 16, 1 << 15, 40, 1 << 19
 _SPACE = "▁"  # the model's own mark of a space
 _PRE_TOKENS = re.compile(" *[^ ]+| +").findall
@@ -37,10 +38,10 @@ def pre_tokens(text: str) -> list[str]:
 
 
 class Lengths(dict):
-    """Pre-token -> number of tokens; encodes and keeps what is missing."""
+    """Worker's cache, pre-token -> number of tokens: encodes and keeps what is missing. ``known`` is the table that is asked first."""
 
     def __init__(self, model_path: str, known: dict[str, int] | None = None):
-        super().__init__(known or {})
+        super().__init__()
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_path)
         self.known, self.limit = known or {}, CACHE_ENTRIES
         pieces = (self.model.id_to_piece(i) for i in range(self.model.get_piece_size()))
@@ -51,15 +52,20 @@ class Lengths(dict):
     def __missing__(self, pre_token: str) -> int:
         # encode() puts the first space back
         n = len(self.model.encode(pre_token[1:], num_threads=1)) if len(pre_token) > 1 else self.lone
-        if len(self) >= self.limit + len(self.known):
+        if len(self) >= self.limit:
             self.clear()
-            self.update(self.known)
         if len(pre_token) <= 256:
             self[pre_token] = n
         return n
 
     def count(self, text: str) -> int:
-        return sum(map(self.__getitem__, pre_tokens(text))) if text else 0
+        if not text:
+            return 0
+        parts = pre_tokens(text)
+        found = list(map(self.known.get, parts))
+        if None not in found:
+            return sum(found)
+        return sum(self[p] if n is None else n for p, n in zip(parts, found, strict=True))
 
 
 _WORKER: dict = {}
@@ -68,11 +74,12 @@ _WORKER: dict = {}
 def frequent(texts: DataFrame, model_path: str) -> tuple[bytes, np.ndarray, np.ndarray]:
     """The table: the pre-tokens end to end, where each ends, and their numbers of tokens.
 
-    From at most ``SAMPLE_ROWS`` texts of ``SAMPLE_BYTES`` at most each, which Spark takes from
-    the first partitions that have them, so nothing more is read and nothing shuffled.
+    From about ``SAMPLE_ROWS`` texts of ``SAMPLE_BYTES`` at most each, drawn alike from all partitions.
     """
     seen: Counter = Counter()
-    for row in texts.where((F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES)).limit(SAMPLE_ROWS).collect():
+    share = min(1.0, SAMPLE_ROWS / max(texts.count(), 1))
+    short = texts.where((F.octet_length("text") > 0) & (F.octet_length("text") <= SAMPLE_BYTES))
+    for row in short.sample(share, seed=17).collect():
         seen.update(p for p in pre_tokens(row.text) if len(p) <= ENTRY_CHARS)
     names = [p for p, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TABLE_ENTRIES]]
     lengths = Lengths(model_path)
