@@ -8,7 +8,8 @@ and of one source at most ``per_source`` do (a bitmap for each of the first ``pe
 
 Documents are dealt by a hash into blocks of about ``BLOCK`` rows, each packed on its own, so the
 work is parallel, bounded and the same for any number of partitions. No bin spans blocks, so
-conflicts hold everywhere. A source or cluster of any size is spread over all blocks.
+conflicts hold everywhere. A source or cluster of any size is spread over all blocks, and so are rows
+that repeat: alike ones are counted first and each gets a number that counts in its hash.
 
 A document longer than a bin is cut into pieces of a whole bin each and a rest, which is packed.
 """
@@ -26,8 +27,10 @@ from pyspark.sql import types as T
 from .common import Scratch, table
 from .token_counts import token_counts
 
-#: Tokens of a bin, documents of a source in it, documents of a block; a block that gets more than ``MOST`` times that is packed in parts.
-CAPACITY, PER_SOURCE, BLOCK, MOST = 4096, 1, 2048, 4
+#: Tokens of a bin, documents of a source in it, documents of a block on average.
+CAPACITY, PER_SOURCE, BLOCK = 4096, 1, 2048
+#: Rows alike that are dealt out at once.
+_LOT = 1024
 
 
 class Packer:
@@ -36,10 +39,6 @@ class Packer:
     def __init__(self, capacity: int = CAPACITY, per_source: int = PER_SOURCE):
         self.capacity, self.per_source = capacity, per_source
         self.bins = 0
-        self.clear()
-
-    def clear(self) -> None:
-        """Closes all bins; numbers go on."""
         self.open: list[tuple[int, int]] = []  # (room left, bin), ascending
         self.sources: dict[int, list[int]] = {}
         self.clusters: dict[int, int] = {}
@@ -97,22 +96,22 @@ def pack(
     size = F.coalesce(F.col(size_col).cast("long"), F.lit(0))
     rows = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.col(source_col).cast("string").alias("source"), F.col(cluster_col).cast("string").alias("cluster"))
     blocks = max(1, -(-rows.count() // block))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("id", "cluster"), F.lit(blocks)))
+    alike = rows.groupBy("id", "size", "source", "cluster").agg(F.count(F.lit(1)).alias("n"))
+    lots = alike.withColumn("lot", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {_LOT}"))))
+    each = lots.withColumn("place", F.explode(F.sequence(F.lit(0).cast("long"), F.least(F.lit(_LOT), F.col("n") - F.col("lot") * _LOT) - 1)))
+    number = F.col("lot") * _LOT + F.col("place")
+    dealt = each.select(*rows.columns, F.pmod(F.when(number == 0, F.xxhash64("id", "cluster")).otherwise(F.xxhash64("id", "cluster", number)), F.lit(blocks)).alias("block"))
     ordered = dealt.repartition("block").sortWithinPartitions("block", F.desc("size"), "id", "source", "cluster")
     made = [("piece", T.IntegerType()), ("first_token", T.LongType()), ("n_tokens", T.LongType()), ("bin_id", T.LongType()), ("bin_offset", T.LongType())]
     schema = T.StructType([rows.schema["id"], *(T.StructField(c, k) for c, k in made)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, packer, seen = None, None, 0
+        now, packer = None, None
         for batch in batches:
             index, out = [], []
             for k, (size, source, cluster, number) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(1, 5)), strict=True)):
                 if number != now:
-                    now, packer, seen = number, Packer(capacity, per_source), 0
-                elif seen >= MOST * block:
-                    packer.clear()
-                    seen = 0
-                seen += 1
+                    now, packer = number, Packer(capacity, per_source)
                 got = [(p, f, n, number << 32 | b, o) for p, f, n, b, o in packer.pieces(size, source, cluster)] or [(0, 0, 0, None, None)]
                 index += [k] * len(got)
                 out += got
@@ -123,9 +122,10 @@ def pack(
     return ordered.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Packs by token counts; copies of a text are a duplicate cluster."""
-    keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))).alias("cluster"))
+def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", cluster_col: str | None = None) -> DataFrame:
+    """Packs by token counts. ``cluster_col`` names duplicate clusters, such as the component ids of near-duplicates; without it copies of a text are one."""
+    cluster = F.xxhash64(F.coalesce(F.col(text_col), F.lit(""))) if cluster_col is None else F.col(cluster_col)
+    keyed = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"), F.col(source_col).alias("source"), cluster.alias("cluster"))
     counted = token_counts(keyed, keep=["doc", "source", "cluster"], out="size")
     # the counts are read twice, to size the blocks and to pack; the texts once
     counted = Scratch(docs.sparkSession, "packing").write(counted, "sizes")
