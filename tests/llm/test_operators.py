@@ -610,3 +610,94 @@ def test_runs_and_pieces_do_not_depend_on_blocks():
     assert per_start[0] == per_start[1] and len(per_start[0]) == len(text) - 199
     run, p, n, core, span = suffix_dedup._pieces(text, lo, n, 200, suffix_dedup.STEP)
     assert n.sum() == len(text) - 199 and n.max() <= suffix_dedup.STEP
+
+
+def test_strings_that_meet_in_a_polynomial(spark):
+    """A Thue-Morse string and its complement meet modulo 2**64; they aren't repeats of each other."""
+    morse = "".join("ab"[bin(k).count("1") & 1] for k in range(2048))
+    texts = ["x" + morse[:1024] + "y", "z" + morse[1024:2048] + "w"]  # the second half is the first one's complement
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(df).collect()}
+    assert [got[k] for k in range(2)] == _repeats(texts, 200)
+    data = np.frombuffer("".join(texts).encode(), np.uint8)
+    whole = suffix_dedup.PrimePrefix(data)
+    a, b = whole.at(np.array([1, 1027]), np.array([1024, 1024]))
+    plain = suffix_dedup.Prefix(data).at(np.array([1, 1027]), np.array([1024, 1024]))
+    assert plain[0] == plain[1] and a != b
+
+
+@pytest.mark.parametrize("hot", [0, 2])
+def test_hot_buckets_are_joined_apart(spark, hot, monkeypatch):
+    """The result doesn't depend on where a bucket counts as hot."""
+    rnd = random.Random(4)
+    line = "".join(rnd.choice("abcdef ") for _ in range(260))
+    texts = [f"{k} " * rnd.randint(0, 40) + line[: rnd.randint(190, 260)] + f" {rnd.random()}" * rnd.randint(0, 20) for k in range(40)] + [line] * 5 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    usual = sorted(map(tuple, suffix_dedup.remove_repeats(df).collect()))
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
+    assert sorted(map(tuple, suffix_dedup.remove_repeats(df).collect())) == usual and sum(r[2] for r in usual) > 0
+
+
+def test_merged_runs():
+    spans = pa.array([[{"lo": 5, "n": 3}, {"lo": 0, "n": 1}], [], [{"lo": 0, "n": 2}, {"lo": 11, "n": 1}]], pa.list_(pa.struct([("lo", pa.int32()), ("n", pa.int32())])))
+    row, begin, end = suffix_dedup.merged(np.array([0, 20, 30, 60]), spans, 10)
+    assert (row.tolist(), begin.tolist(), end.tolist()) == ([0, 2], [0, 30], [17, 51])
+
+
+def test_rows_that_repeat_are_spread_over_blocks(spark):
+    df = spark.createDataFrame([(None, 100, "s", "c")] * 3000 + [(k, 50, None, None) for k in range(100)], "doc_id long, size long, source string, cluster string")
+    got = packing.pack(df, "size", block=200).toPandas()
+    assert len(got) == 3100 and (got[got.n_tokens == 100].groupby("bin_id").size() == 1).all()
+    blocks = (got.bin_id // (1 << 32)).value_counts()
+    assert len(blocks) == 16 and blocks.max() < 300
+    assert got.groupby("bin_id").n_tokens.sum().max() <= packing.CAPACITY
+
+
+def test_packing_fills_its_bins(spark, docs):
+    got = packing.pack_documents(docs.withColumn("source", F.lit(None).cast("string"))).toPandas()
+    full = got.groupby("bin_id").n_tokens.sum()
+    assert full.sum() / packing.CAPACITY / len(full) > 0.85  # a lower bound of bins is their tokens by capacity
+
+
+def test_keep_first_of_unlike_texts_with_one_id(spark):
+    df = spark.createDataFrame([(1, "one text here", "a"), (1, "quite another one", "b"), (1, "one text here", "c"), (None, "third", "d"), (None, "third", "e"), (None, "fourth", "f"), (2, "third", "g")], "doc_id long, text string, other string")
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_first(df, groups=simhash.similar_texts).collect())
+    assert kept == [(0, "fourth"), (1, "one text here"), (1, "quite another one"), (2, "third")]
+
+
+def test_many_languages(spark):
+    """More languages than any cap: each is known, and a long text goes through in blocks."""
+    rows = [(f"{k}-{j}", " ".join(f"{chr(97 + k % 26)}{chr(97 + k // 26)}q{w}x" for w in "abcdefgh" * 3), f"l{k:03d}") for k in range(300) for j in range(2)]
+    df = spark.createDataFrame(rows, "doc_id string, text string, lang string")
+    model = language_id.fit(df)
+    assert len(model.langs) == 300
+    got = language_id.identify(df, model, keep=["lang"]).collect()
+    assert all(r.lang_pred == r.lang for r in got)
+    refs = quality.references(df)
+    assert len(refs.langs) == 300 and quality.quality_rules(df).count() == 600
+
+
+def test_long_texts_are_labelled_in_blocks(docs):
+    model = language_id.learned(docs)
+    words = " ".join(r.text for r in docs.where("text IS NOT NULL").limit(30).collect()).split()
+    names = sorted(set(words))
+    ids = np.array([names.index(w) for w in words])
+    vectors, weights = model.score(names)
+    want = language_id.viterbi(vectors[ids], np.array([len(ids)]))
+    labels, letters_of = language_id.long_labels(model, ids, names, block=101)
+    assert (labels == want).all() and (letters_of == weights[ids]).all()
+
+
+def test_distances_are_those_of_the_definition():
+    rng = np.random.default_rng(0)
+    words, shares = [["a", "b", "c"], ["b", "d"], []], [np.array([0.2, 0.1, 0.3, 0.4]), np.array([0.5, 0.2, 0.3]), np.array([1.0])]
+    classes = rng.dirichlet(np.ones(len(quality.CLASSES)), 3)
+    names, ids, per = ["A", "b!", "d", "zz", "--", "c"], rng.integers(0, 6, 60), np.array([20, 0, 30, 10])
+    hist, row = rng.integers(0, 9, (4, len(quality.CLASSES))), np.repeat(np.arange(4), per)
+    chars, got = quality.distances(quality.References(["x", "y", "z"], classes, words, shares), hist, ids, names, per)
+    for t in range(4):
+        own = [c for c in (quality.core(names[i]) for i in ids[row == t]) if c]
+        for k in range(3):
+            p = np.array([own.count(w) for w in words[k]] + [sum(c not in words[k] for c in own)], float) / max(len(own), 1)
+            assert got[t, k] == pytest.approx(quality.js_distance(p, shares[k]) if own else 0, abs=1e-9)
+            assert chars[t, k] == pytest.approx(quality.js_distance(hist[t] / hist[t].sum(), classes[k]))

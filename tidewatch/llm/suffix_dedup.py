@@ -18,18 +18,23 @@ else. With q = length / 2, the suffix at p is told apart from others in steps.
    identifier of the bytes that all starts of such a piece share; pieces that differ there have
    no string in common. Then steps 2 and 3 are used again on the pieces.
 5. Once more for what is mixed even so, with single starts: the bucket is the start's own pointer
-   and it is refined by the pointer at the later offset p + q. Equal pairs are equal strings.
-
-Identifiers are 64 bits and only ever compared in pairs (bucket and span, pointer and later
-pointer), so strings count as equal on 128 bits. Groups of copies stay in one class of
-runs, which partial aggregation counts; a class is never gathered, and no pairs are made.
+   and it is refined by its whole string. The rounds end as soon as nothing is mixed.
+
+Two kinds of identifiers are compared together. A bucket pointer is a polynomial modulo 2**64, fast
+enough for each byte; as strings can be made that such sums don't tell apart (Thue-Morse), what a
+bucket is refined by are polynomials modulo two primes over the whole span. Strings count as equal
+on both, 64 and 62 bits. Groups of copies stay in one class of runs, which partial aggregation
+counts; a class is never gathered, and no pairs are made. Buckets and classes of over ``HOT`` rows
+are few and joined apart from the others, by a broadcast where Spark finds their table small enough.
 Matches can't cross documents, as no start within ``length`` bytes of a text's end has a string.
-Texts are handled in blocks with an overlap, so their length doesn't bound a task's memory.
+Texts are handled in blocks with an overlap, and what is removed is merged as intervals, so no array
+is as long as a text but its bytes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +49,10 @@ LENGTH = 200
 STEP = 8
 #: Bytes whose identifiers are in memory at once.
 BLOCK = 1 << 21
+#: Rows of a bucket or class from which on it is joined apart.
+HOT = 4096
+#: Moduli and bases of the second kind of identifiers.
+_PRIMES = (((1 << 31) - 1, 1_150_286_909), ((1 << 31) - 19, 842_003_191))
 _MULTIPLIER = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_MULTIPLIER, -1, 1 << 64)
 
@@ -93,6 +102,37 @@ class Prefix:
         return _mixed((self.sums[length:] - self.sums[:n]) * self.up[:n])
 
 
+class PrimePrefix:
+    """As ``Prefix``, modulo two primes: slower, and without strings that are known to meet."""
+
+    _powers: dict = {}
+
+    @classmethod
+    def powers(cls, prime: int, base: int, n: int) -> np.ndarray:
+        known = cls._powers.get((prime, base), np.ones(1, np.uint64))
+        while len(known) < n:
+            step = np.uint64(pow(base, len(known), prime))
+            known = np.concatenate([known, known * step % np.uint64(prime)])
+        cls._powers[prime, base] = known
+        return known
+
+    def __init__(self, data: np.ndarray):
+        n, self.parts = len(data), []
+        for prime, base in _PRIMES:
+            p = np.uint64(prime)
+            digits = _BYTES % p
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(digits[data] * self.powers(prime, pow(base, -1, prime), n + 1)[:n] % p, out=sums[1:])
+            self.parts.append((p, sums, self.powers(prime, base, n + 1)))
+
+    def at(self, start: np.ndarray, length) -> np.ndarray:
+        """For strings of different lengths the length counts too."""
+        out = np.zeros(len(start), np.uint64)
+        for p, sums, up in self.parts:
+            out = out << np.uint64(31) | (sums[start + length] - sums[start]) % p * up[start] % p
+        return _mixed(out) + np.asarray(length).astype(np.uint64) * np.uint64(_MULTIPLIER)
+
+
 def _sliding(x: np.ndarray, width: int, pick) -> np.ndarray:
     """pick() over each window of ``width`` values, by doubling."""
     span = 1
@@ -135,7 +175,8 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, block: int = BLO
         new[1:] = (bucket[1:] != bucket[:-1]) | (at[1:] != at[:-1] + 1)
         head = np.flatnonzero(new)
         lo, n = at[head], np.diff(np.append(head, len(at)))
-        span = ids.at(lo, n - 1 + length) + n.astype(np.uint64)
+        whole = PrimePrefix(part)
+        span = whole.at(lo, n - 1 + length)
         found.append((row[lo], lo + first - offsets[row[lo]], n, bucket[head], span))
         # a bucket's q-gram that stands twice within a run's span: only then can the run hold equal starts
         most = _sliding(np.concatenate([np.zeros(length - q, np.uint64), least, np.zeros(length - q, np.uint64)]), length - q + 1, np.maximum)
@@ -145,7 +186,7 @@ def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, block: int = BLO
             k = np.clip(np.searchsorted(lo, twice, side="right") - 1, 0, len(lo) - 1)
             k = np.unique(np.concatenate([k, np.maximum(k - 1, 0), np.minimum(k + 1, len(lo) - 1)]))
             run, p = _spread(lo[k], n[k])
-            a, b = ids.at(p, q), ids.at(p + q, q)
+            a, b = ids.at(p, q), whole.at(p, length)
             order = np.lexsort((b, a, run))
             same = (run[order][1:] == run[order][:-1]) & (a[order][1:] == a[order][:-1]) & (b[order][1:] == b[order][:-1])
             hit = np.zeros(len(p), bool)
@@ -191,10 +232,10 @@ def _runs_batch(length: int):
 
 def _pieces(part: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int, step: int):
     """Pieces of runs (run, first start, starts, bucket, span id); with step 1 single starts."""
-    q, ids = length // 2, Prefix(part)
+    q, ids, whole = length // 2, Prefix(part), PrimePrefix(part)
     run, p = _spread(lo, n)
     if step == 1:
-        return run, p, np.ones(len(p), np.int64), ids.at(p, q), ids.at(p + q, q)
+        return run, p, np.ones(len(p), np.int64), ids.at(p, q), whole.at(p, length)
     grams = ids.every(q)
     # a run's bucket is the smallest gram of any of its starts
     wide, j = _spread(lo, n + length - q)
@@ -213,7 +254,7 @@ def _pieces(part: np.ndarray, lo: np.ndarray, n: np.ndarray, length: int, step:
     slot = offset[head] // step
     # shared by all starts that a piece of this slot can have, whether this one has them or not
     core = ids.at(gram_at - slot * step, length - step + 1)
-    span = ids.at(p[head], size - 1 + length) + (size * 256 + offset[head]).astype(np.uint64)
+    span = whole.at(p[head], size - 1 + length) + offset[head].astype(np.uint64)
     return run[head], p[head], size, core, span
 
 
@@ -244,35 +285,43 @@ def _split_batch(length: int, step: int):
     return run
 
 
-def covered(rows: int, offsets: np.ndarray, spans: pa.Array, length: int) -> np.ndarray:
-    """Mask of the bytes that lie in a repeated string."""
-    edges = np.zeros(int(offsets[-1]) + 1, np.int32)
+def merged(offsets: np.ndarray, spans: pa.Array, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, begin, end) of the maximal runs of bytes in repeated strings, in order; begin and end count from the first text."""
     per = np.diff(np.asarray(spans.offsets)) if len(spans) else np.zeros(0, np.int64)
     flat = spans.flatten()
-    if len(flat):
-        row = np.repeat(np.arange(rows), per)
-        lo, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "n"))
-        begin = offsets[row] + lo
-        np.add.at(edges, begin, 1)
-        np.add.at(edges, begin + n - 1 + length, -1)
-    return np.cumsum(edges[:-1]) > 0
+    row = np.repeat(np.arange(len(per)), per)
+    lo, n = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("lo", "n"))
+    begin = offsets[row] + lo
+    order = np.lexsort((begin, row))
+    row, begin, end = row[order], begin[order], (begin + n - 1 + length)[order]
+    reach = np.maximum.accumulate(end) if len(end) else end  # rows follow one another, so an earlier row reaches no further
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (begin[1:] > reach[:-1])
+    head = np.flatnonzero(new)
+    return row[head], begin[head], reach[np.append(head[1:], len(row)) - 1] if len(head) else end
 
 
 _UNIT = ["id", "key", "lo", "n"]
 
 
+def _matched(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """``rows`` joined to a written ``table`` of (on..., c, ...), one row a key with the number ``c`` of its rows: keys of many rows apart."""
+    hot = table.where(F.col("c") > HOT)
+    return rows.join(hot.drop("c"), on, how).unionByName(rows.join(hot.select(*on), on, "left_anti").join(table.where(F.col("c") <= HOT).drop("c"), on, how))
+
+
 def _refine(rows: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, DataFrame]:
     """One round over (id, key, lo, n, bucket, span, need): what repeats as a whole, and one of each class that is still open.
 
     ``need`` marks rows of which it isn't known yet; the others only stand for their class.
     """
     buckets = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("c"), F.min("span").alias("s0"), F.max("span").alias("s1"), F.bool_or("need").alias("asked"))
-    buckets = buckets.where("c > 1 AND asked").select("bucket", (F.col("s0") != F.col("s1")).alias("mixed"))
-    shared = scratch.write(rows.join(buckets, "bucket"), f"{name}-shared")
+    buckets = scratch.write(buckets.where("c > 1 AND asked").select("bucket", "c", (F.col("s0") != F.col("s1")).alias("mixed")), f"{name}-buckets")
+    shared = scratch.write(_matched(rows, buckets, ["bucket"]), f"{name}-shared")
     mixed = shared.where("mixed")
     classes = mixed.groupBy("bucket", "span").agg(F.count(F.lit(1)).alias("c"), F.bool_or("need").alias("asked"), F.min(F.struct(*_UNIT)).alias("one"))
     classes = scratch.write(classes.select("bucket", "span", "c", (F.col("asked") & (F.col("c") == 1)).alias("need"), "one.*"), f"{name}-classes")
-    alike = mixed.where("need").join(classes.where("c > 1").select("bucket", "span"), ["bucket", "span"], "left_semi")
+    alike = _matched(mixed.where("need"), classes.where("c > 1").select("bucket", "span", "c"), ["bucket", "span"], "left_semi")
     known = shared.where("need AND NOT mixed").select("key", "lo", "n").union(alike.select("key", "lo", "n"))
     unsettled = classes.where("need").select("bucket").distinct()
     return known, classes.join(unsettled, "bucket", "left_semi").select(*_UNIT, "need")
@@ -291,6 +340,8 @@ def _cover(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
     free_shuffles(spark)
     texts = docs.select("id", "key", "text")
     for step in (STEP, 1):
+        if left.isEmpty():
+            break
         ends = left.groupBy("id", "key").agg(F.collect_list(F.struct("lo", "n", "need")).alias("runs")).withColumnsRenamed({"id": "id2", "key": "key2"})
         same_row = (F.col("key") == F.col("key2")) & F.col("id").eqNullSafe(F.col("id2"))
         texts = scratch.write(texts.join(ends, same_row).select("id", "key", "text", "runs"), f"texts-{step}")
@@ -301,9 +352,9 @@ def _cover(docs: DataFrame, length: int, scratch: Scratch) -> DataFrame:
         found.append(known)
         scratch.drop(f"pieces-{step}")
         free_shuffles(spark)
-    spans = found[0].union(found[1]).union(found[2]).union(found[3])
+    spans = reduce(DataFrame.union, found)
     cover = scratch.write(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "n")).alias("spans")), "cover")
-    for name in ("own", *(f"{x}-{y}" for x in ("runs", f"pieces-{STEP}", "pieces-1") for y in ("shared", "classes")), f"texts-{STEP}", "texts-1"):
+    for name in ("own", *(f"{x}-{y}" for x in ("runs", f"pieces-{STEP}", "pieces-1") for y in ("buckets", "shared", "classes")), f"texts-{STEP}", "texts-1"):
         scratch.drop(name)
     free_shuffles(spark)
     return cover
@@ -328,16 +379,15 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         data, offsets = flat_bytes(batch.column(0))
-        gone = covered(batch.num_rows, offsets, pa.concat_arrays([batch.column(1)]), length)
-        rises = gone.copy()
-        rises[1:] &= ~gone[:-1]
-        inner = offsets[(offsets > 0) & (offsets < len(data))]
-        rises[inner] = gone[inner]
-        sums = lambda x: np.concatenate([[0], np.cumsum(x)])[offsets]
-        n_removed, n_spans = np.diff(sums(gone)), np.diff(sums(rises))
-        left, size = data[~gone].tobytes(), np.diff(offsets)
-        ends = np.cumsum(size - n_removed).tolist()
-        kept = [left[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+        row, begin, end = merged(offsets, pa.concat_arrays([batch.column(1)]), length)
+        count = batch.num_rows
+        n_removed, n_spans = np.bincount(row, weights=end - begin, minlength=count).astype(np.int64), np.bincount(row, minlength=count)
+        size, view, at = np.diff(offsets), memoryview(data), np.concatenate([[0], np.cumsum(n_spans)]).tolist()
+        edges, borders = np.column_stack([begin, end]).tolist(), offsets.tolist()
+        kept = []
+        for k in range(count):
+            cuts = [borders[k], *(x for pair in edges[at[k] : at[k + 1]] for x in pair), borders[k + 1]]
+            kept.append(b"".join(view[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)))
         out = [pa.array(size), pa.array(n_removed), pa.array(n_spans), pa.array([hashlib.sha256(x).hexdigest() for x in kept], pa.string())]
         out += [pa.array([x.decode(errors="ignore") for x in kept], pa.string())] if text else []
         return pa.RecordBatch.from_arrays([*batch.columns[2:], *out], names)
@@ -347,7 +397,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fields += [T.StructField("kept_text", T.StringType())] if text else []
     names = [f.name for f in fields]
     done = walk(joined, run, T.StructType(fields))
-    return done.select(F.col("id").alias(id_col), *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *names[len(keep) + 1 :])
+    return done.select(F.col("id").alias(id_col), *(F.col(f"k{i}").alias(c) for i, c in enumerate(keep)), *names[len(keep) + 1 :])  # "cover" is read by whoever reads the result
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
