@@ -244,7 +244,13 @@ def distances(refs: References, hist: np.ndarray, ids: np.ndarray, names: list[s
     listed = np.array([refs.index.get(c, -1) for c in cores], np.int64)
     of = listed[ids] if len(ids) else np.zeros(0, np.int64)
     size = max(len(refs.index), 1)
-    pairs, times = np.unique(row[of >= 0] * size + of[of >= 0], return_counts=True)
+    pairs = row[of >= 0] * size + of[of >= 0]
+    if n * size <= 1 << 22:  # a table of all pairs is quicker than sorting
+        table = np.bincount(pairs, minlength=n * size)
+        pairs = np.flatnonzero(table)
+        times = table[pairs]
+    else:
+        pairs, times = np.unique(pairs, return_counts=True)
     text, word = pairs // size, pairs % size
     per_word = refs.ends[word + 1] - refs.ends[word] if len(word) else word
     at = np.arange(per_word.sum()) - np.repeat(np.cumsum(per_word) - per_word, per_word) + np.repeat(refs.ends[word], per_word) if len(word) else word

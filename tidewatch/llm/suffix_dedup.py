@@ -48,7 +48,7 @@ LENGTH = 200
 #: Offsets that stay together in the second round.
 STEP = 8
 #: Bytes whose identifiers are in memory at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 #: Rows of a bucket or class from which on it is joined apart.
 HOT = 4096
 #: Moduli and bases of the second kind of identifiers.
@@ -112,7 +112,7 @@ class PrimePrefix:
         known = cls._powers.get((prime, base), np.ones(1, np.uint64))
         while len(known) < n:
             step = np.uint64(pow(base, len(known), prime))
-            known = np.concatenate([known, known * step % np.uint64(prime)])
+            known = np.concatenate([known, known[: n - len(known)] * step % np.uint64(prime)])
         cls._powers[prime, base] = known
         return known
 
