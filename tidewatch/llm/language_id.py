@@ -319,7 +319,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     made += [T.StructField("spans", T.ArrayType(span))] if spans else []
     schema = T.StructType([*cols.schema.fields[1:], *([T.StructField("text", T.StringType())] if back else []), *made])
     # a word has about four bytes at least
-    slice_bytes = min(8 << 20, max(1 << 16, 4 * CELLS // max(len(model.langs), 1)))
+    slice_bytes = min(4 << 20, max(1 << 16, 4 * CELLS // max(len(model.langs), 1)))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         own = shared.value

@@ -26,10 +26,12 @@ prefix filters instead: of two sets that overlap enough, the k first common shin
 first n - ceil(n * percent / 100) + k of each, in any one order. First in hash order with k about a
 tenth of n, which leaves the texts that share enough with any other; then over these in order of
 rarity with k = 1. A shingle of more than ``BUCKET`` sets isn't paired, as its sets are mostly copies of
-one text: there each is first compared with one other, chosen anew in each round, and what is in one
-component already isn't compared again. After ``ROUNDS`` of these most such shingles have all their sets
-in one component, which ends them; in the others, each set outside the largest component is compared
-with those of other components. So no link between components is missed, and no group is gathered.
+one text: there each is first compared with a pivot, the set with the smallest share of shingles that
+stand nowhere else, as the text is that others are changed copies of; and what is in one component
+already isn't compared again. After ``ROUNDS`` of these, each with other pivots, most such shingles have
+all their sets in one component, which ends them; in the others, each set outside the largest component
+is compared once with those of other components. So no link between components is missed, and no
+group is gathered.
 """
 
 from __future__ import annotations
@@ -211,22 +213,31 @@ def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: in
     return walk(cols, run, schema)
 
 
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) with the sizes of their sets and how many shingles they share."""
+    one, two = (sets.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}")) for c in "ab")
+    return pairs.join(one, "a").join(two, "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("h_a", "h_b")).cast("long").alias("both"))
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b) of the ``pairs`` whose sets are similar."""
-    one, two = (sets.select(F.col("fp").alias(c), F.col("n").alias(f"n_{c}"), F.col("hashes").alias(f"h_{c}")) for c in "ab")
-    both = F.size(F.array_intersect("h_a", "h_b"))
-    return pairs.join(one, "a").join(two, "b").where(both * 100 >= (F.col("n_a") + F.col("n_b") - both) * percent).select("a", "b")
+    return _overlaps(pairs, sets).where(F.col("both") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("both")) * percent).select("a", "b")
+
+
+def _may_be_alike(n, known, n2, known2, percent: int):
+    """Whether sets of these sizes can be similar when they have nothing in common but what is known from other sets too."""
+    return _enough(F.least(known, known2), n, n2, percent)
 
 
-def _alike_in_size(a, b, percent: int):
-    return (a * 100 >= b * percent) & (b * 100 >= a * percent)
+def _enough(both, n, n2, percent: int):
+    return both * (100 + percent) >= (n + n2) * percent
 
 
 def _common_links(common: DataFrame, sets: DataFrame, edges: DataFrame, scratch: Scratch, percent: int) -> list[DataFrame]:
-    """Links of sets under common shingles (h, fp, n) that join what ``edges`` leave apart, as tables of (a, b)."""
-    known = components(edges)
-    at = scratch.write(common.join(known, F.col("fp") == F.col("node"), "left").select("h", "fp", "n", F.coalesce("label", "fp").alias("label")), "common-0")
-    found = []
+    """Links of sets under common shingles (h, fp, n, known: shingles that other sets have too) that join what ``edges`` leave apart, as tables of (a, b)."""
+    known, columns = components(edges), ["h", "fp", "n", "known"]
+    at = scratch.write(common.join(known, F.col("fp") == F.col("node"), "left").select(*columns, F.coalesce("label", "fp").alias("label")), "common-0")
+    found, used = [], None
 
     def still_open(at: DataFrame) -> DataFrame:
         several = at.groupBy("h").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("h")
@@ -239,22 +250,37 @@ def _common_links(common: DataFrame, sets: DataFrame, edges: DataFrame, scratch:
         label = at.select("fp", "label").distinct()
         ends = links.join(label.select(F.col("fp").alias("a"), F.col("label").alias("la")), "a").join(label.select(F.col("fp").alias("b"), F.col("label").alias("lb")), "b")
         renamed = components(ends.select(F.col("la").alias("a"), F.col("lb").alias("b"))).select(F.col("node").alias("label"), F.col("label").alias("new"))
-        return scratch.write(still_open(at.join(renamed, "label", "left").select("h", "fp", "n", F.coalesce("new", "label").alias("label"))), f"common-{name}")
+        return scratch.write(still_open(at.join(renamed, "label", "left").select(*columns, F.coalesce("new", "label").alias("label"))), f"common-{name}")
 
     at = still_open(at)
     for k in range(1, ROUNDS + 1):
         if at.isEmpty():
             return found
-        chance = F.xxhash64("fp", "h", F.lit(k))
-        pivots = at.groupBy("h").agg(F.min(F.struct(chance.alias("c"), "fp", "n", "label")).alias("p"))
+        fresh = at if used is None else at.join(used, ["h", "fp"], "left_anti")
+        pivots = scratch.write(fresh.groupBy("h").agg(F.min(F.struct((1 - F.col("known") / F.col("n")).alias("own"), "fp", "n", "known", "label")).alias("p")), f"pivots-{k}")
+        now = pivots.select("h", "p.fp")
+        used = now if used is None else used.union(now)
         few = at.withColumn("turn", F.row_number().over(Window.partitionBy("fp").orderBy(F.xxhash64("h", F.lit(k)), "h"))).where(F.col("turn") <= CHOSEN)
-        met = few.join(pivots, "h").where((F.col("label") != F.col("p.label")) & _alike_in_size(F.col("n"), F.col("p.n"), percent))
+        met = few.join(pivots, "h").where((F.col("label") != F.col("p.label")) & _may_be_alike(F.col("n"), F.col("known"), F.col("p.n"), F.col("p.known"), percent))
         at = merged(at, met.select(F.greatest("fp", "p.fp").alias("a"), F.least("fp", "p.fp").alias("b")), str(k))
+        if found[-1].isEmpty():
+            break
     if not at.isEmpty():
+        # What two sets share lies in the pivot, of which neither has more than it shares with that, or outside,
+        # where neither has more than it shares with any set: most sets outside the largest component are
+        # too far from the pivot for all that have little of their own but unknown shingles.
+        pivots = scratch.write(at.groupBy("h").agg(F.min(F.struct((1 - F.col("known") / F.col("n")).alias("own"), "fp")).alias("p")).select("h", F.col("p.fp").alias("pivot")), "pivots-rest")
+        at = at.join(pivots, "h")
+        shared = _overlaps(at.select(F.col("fp").alias("a"), F.col("pivot").alias("b")).distinct(), sets).select(F.col("a").alias("fp"), F.col("b").alias("pivot"), "both")
+        at = scratch.write(at.join(shared, ["fp", "pivot"]).withColumn("both", F.least("both", "known")), "common-rest-0")
         sizes = at.groupBy("h", "label").agg(F.count(F.lit(1)).alias("size")).groupBy("h").agg(F.max(F.struct("size", "label")).alias("largest"))
-        named = at.join(sizes.select("h", F.col("largest.label").alias("main")), "h")
-        outside = named.where("label <> main").select("h", F.col("fp").alias("f2"), F.col("n").alias("n2"), F.col("label").alias("l2"))
-        met = named.join(outside, "h").where((F.col("label") != F.col("l2")) & ((F.col("label") == F.col("main")) | (F.col("fp") > F.col("f2"))) & _alike_in_size(F.col("n"), F.col("n2"), percent))
+        # a set's own common shingles: a pair meets under the smallest that both have
+        named = at.drop("pivot").join(sizes.select("h", F.col("largest.label").alias("main")), "h").join(at.groupBy("fp").agg(F.collect_set("h").alias("all")), "fp")
+        outside = named.where("label <> main").select("h", F.col("fp").alias("f2"), F.col("n").alias("n2"), F.col("known").alias("known2"), F.col("label").alias("l2"), F.col("both").alias("both2"), F.col("all").alias("all2"))
+        once = F.array_min(F.array_intersect("all", "all2")) == F.col("x.h")
+        most = F.least(F.col("both") + F.col("known2") - F.col("both2"), F.col("both2") + F.col("known") - F.col("both"))
+        near = _may_be_alike(F.col("n"), F.col("known"), F.col("n2"), F.col("known2"), percent) & _enough(most, F.col("n"), F.col("n2"), percent)
+        met = named.alias("x").join(outside.alias("y"), (F.col("x.h") == F.col("y.h")) & (F.col("label") != F.col("l2")) & near & once)
         merged(at, met.select(F.greatest("fp", "f2").alias("a"), F.least("fp", "f2").alias("b")), "rest")
     return found
 
@@ -278,15 +304,15 @@ def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, shingle:
     w = Window.partitionBy("fp")
     ranked = keyed.join(common, "h").withColumns({"rank": F.row_number().over(w.orderBy("df", "h")), "known": F.count(F.lit(1)).over(w)})
     least = F.expr(f"(n * {percent} + 99) div 100")
-    prefix = scratch.write(ranked.where(F.col("n") - F.col("known") + F.col("rank") <= F.col("n") - least + 1).select("h", "fp", "n"), "prefix")
+    prefix = scratch.write(ranked.where(F.col("n") - F.col("known") + F.col("rank") <= F.col("n") - least + 1).select("h", "fp", "n", "known"), "prefix")
     sizes = prefix.groupBy("h").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     shared = scratch.write(prefix.join(sizes, "h"), "shared")
     few = shared.where(F.col("size") <= BUCKET)
     a, b = few.alias("a"), few.alias("b")
-    near = _alike_in_size(F.col("a.n"), F.col("b.n"), percent)
+    near = _may_be_alike(F.col("a.n"), F.col("a.known"), F.col("b.n"), F.col("b.known"), percent)
     pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") > F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
     edges = scratch.write(_verified(pairs, sets, percent), "pairs")
-    for more in _common_links(shared.where(F.col("size") > BUCKET).select("h", "fp", "n"), sets, edges, scratch, percent):
+    for more in _common_links(shared.where(F.col("size") > BUCKET).select("h", "fp", "n", "known"), sets, edges, scratch, percent):
         edges = edges.union(more)
     return edges.distinct()
 
@@ -303,7 +329,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = scratch.write(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     edges = scratch.write(similar_links(docs.select(id_col, text_col), prints, scratch, shingle, percent), "links")
     classes = _classes(distinct, edges, scratch)
-    for name in ("some", "sets", "prefix", "shared", "pairs", *(f"{x}-{k}" for x in ("common", "links") for k in (0, *range(1, ROUNDS + 1), "rest"))):
+    for name in ("some", "sets", "prefix", "shared", "pairs", *(f"{x}-{k}" for x in ("common", "links", "pivots") for k in (0, *range(1, ROUNDS + 1), "rest", "rest-0"))):
         scratch.drop(name)
     free_shuffles(spark)
     return prints.select("id", "fp").join(classes, "fp").select(F.col("id").alias(id_col), "component_id")
