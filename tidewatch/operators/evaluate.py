@@ -24,6 +24,26 @@ def distance_bands(df: DataFrame, distance: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(*(F.count_if(F.col(distance) < b).alias(f"within_{b}") for b in BANDS), F.count(F.lit(1)).alias("n"))
 
 
+def best_variant(df: DataFrame, variant: str, distance: str, *by: str, edge: float = 500.0) -> DataFrame:
+    """The variant with most distances below ``edge`` of each group, the smallest among equals, and their number.
+
+    A null distance counts nowhere; rows of a null variant are left out. No rows for an empty table.
+    """
+    close = df.where(F.col(variant).isNotNull()).groupBy(*by, variant).agg(F.count_if(F.col(distance) < edge).alias("n"))
+    best = F.min(F.struct((-F.col("n")).alias("_n"), F.col(variant).alias("_v")))
+    return close.groupBy(*by).agg(best.alias("_best")).where("_best IS NOT NULL").select(*by, F.col("_best._v").alias(variant), (-F.col("_best._n")).alias("within"))
+
+
+def fullest(theirs: DataFrame, granule: str = "granule_id") -> DataFrame:
+    """Granules by how many reference detections they hold, most first, then by id: (granule, n, chosen); one is chosen.
+
+    Nothing is chosen in an empty reference. The granules, not the detections, are ordered.
+    """
+    counted = theirs.where(F.col(granule).isNotNull()).groupBy(granule).agg(F.count(F.lit(1)).alias("n"))
+    first = counted.agg(F.min(F.struct((-F.col("n")).alias("m"), F.col(granule).alias("g"))).alias("first"))
+    return counted.join(F.broadcast(first), F.lit(True)).select(granule, "n", (F.col(granule) == F.col("first.g")).alias("chosen"))  # one row
+
+
 def quantiles(df: DataFrame, value: str, *by: str) -> DataFrame:
     """Exact median, 90th percentile (linear between ranks) and maximum."""
     v = F.col(value)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents, rasters, spatial
+from . import documents, pieces, rasters, spatial
 
-MODULES = (spatial, documents, rasters)
+MODULES = (spatial, documents, rasters, pieces)
 
 
 def queries() -> dict:
