@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from ..operators import catalog, evaluate, raster, report
 from . import derived as d
-from .derived import SQL_DETECTIONS, SQL_POSITIONS, read, sql_haversine
-from .rasters import _NO_TIE, _PX, _pixels
+from .derived import SQL_DETECTIONS, SQL_FOOTPRINTS, SQL_POSITIONS, read, sql_haversine
+from .rasters import _BOX, _NO_TIE, _PX, _pixels
 
 #: A lattice of 3 lines and 4 pixels, as a product's annotation has them.
 _LINES, _COLS = (0.0, 100.0, 250.0), (0.0, 120.0, 260.0, 400.0)
@@ -35,7 +35,7 @@ def lattice_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def land_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bright blocks opened and grown, and blocks with too little in them."""
-    config = raster.Config(land_block=8, land_sigma0_db=45.0, land_open_blocks=1, land_dilate_blocks=1, max_fill_fraction=0.9)
+    config = raster.Config(land_block=8, land_sigma0_db=47.6, land_open_blocks=1, land_dilate_blocks=1, max_fill_fraction=0.98)
     return raster.land_mask(_pixels(spark, sf_dir), config)
 
 
@@ -73,13 +73,13 @@ def run_replacement(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth detection is agreed on; metres to it from the others, within 2 km."""
+    """Every fifth detection of a scene is agreed on; metres to it from the others, within 2 km."""
     ours = d.detections(spark, sf_dir).select(F.col("detection_id").alias("id"), "scene_id", "lon", "lat")
-    return evaluate.isolation(ours, ours.where("id % 5 = 0"), 2000.0).select("id", F.round("to_agreed_m", 3).alias("to_agreed_m"))
+    return evaluate.isolation(ours, ours.where("id div 30 % 5 = 0"), 2000.0).select("id", F.round("to_agreed_m", 3).alias("to_agreed_m"))
 
 
 def best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tried = d.detections(spark, sf_dir).select("scene_id", (1 - 2 * (F.col("detection_id") % 2)).alias("sign"), (F.col("length_m") * 3).alias("away"))
+    tried = d.detections(spark, sf_dir).select("scene_id", F.expr("1 - 2 * (detection_id div 30 % 2)").alias("sign"), (F.col("length_m") * 3).alias("away"))
     return evaluate.best_variant(tried, "sign", "away", "scene_id")
 
 
@@ -87,6 +87,13 @@ def fullest_granule(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.fullest(d.detections(spark, sf_dir).select(F.col("scene_id").alias("granule_id")))
 
 
+def footprint_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a box cuts out of rectangular footprints."""
+    corner = lambda x, y: F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"))
+    ring = F.array(corner("min_lon", "min_lat"), corner("max_lon", "min_lat"), corner("max_lon", "max_lat"), corner("min_lon", "max_lat"))
+    return d.footprints(spark, sf_dir).select("scene_id", F.round(catalog.footprint_area(ring, _BOX), 6).alias("area"))
+
+
 def long_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.long_enough(d.detections(spark, sf_dir), 250.0).select("detection_id")
 
@@ -96,7 +103,7 @@ def preview(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("detection_id")
+    k = F.expr("detection_id div 30")  # the ids of a scene have one remainder by 30
     return d.detections(spark, sf_dir).withColumns({"status": F.when(k % 3 == 0, "dark").otherwise("matched"), "mmsi": F.when(k % 3 > 0, (k % 40).cast("string"))})
 
 
@@ -114,7 +121,7 @@ def rate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.rate_verdict(rows).select("quotable", F.size("reasons").alias("reasons"), F.get("reasons", F.lit(0)).contains("archive, live").alias("names_feeds"))
 
 
-QUERIES = {f.__name__: f for f in (calibration, lattice_values, land_blocks, stretch, medians, orbital_speed, scene_upsert, run_replacement, isolation, best_variant, fullest_granule, long_enough, preview, top_leads, findings, rate_verdict)}
+QUERIES = {f.__name__: f for f in (calibration, lattice_values, land_blocks, stretch, medians, orbital_speed, scene_upsert, run_replacement, isolation, best_variant, fullest_granule, footprint_cut, long_enough, preview, top_leads, findings, rate_verdict)}
 
 
 def _sql_lattice() -> str:
@@ -131,13 +138,13 @@ def _sql_lattice() -> str:
     return "CASE " + " ".join(cases) + " END"
 
 
-_JUDGED = f"WITH {SQL_DETECTIONS}, j AS (SELECT *, detection_id % 3 = 0 AS dark, CASE WHEN detection_id % 3 > 0 THEN detection_id % 40 END AS mmsi FROM detections)"
+_JUDGED = f"WITH {SQL_DETECTIONS}, j AS (SELECT *, detection_id // 30 % 3 = 0 AS dark, CASE WHEN detection_id // 30 % 3 > 0 THEN detection_id // 30 % 40 END AS mmsi FROM detections)"
 SQL = {
     "calibration": """SELECT l_orderkey, l_linenumber, round(s, 9) AS sigma0, CASE WHEN s IS NOT NULL THEN round(10 * log10(greatest(s, 1e-12::DOUBLE)), 6) END AS db, round(range_m, 3) AS range_m FROM (
         SELECT *, (l_quantity * l_quantity - l_discount) / nullif(round(l_tax * 100) * round(l_tax * 100), 0) AS s, l_extendedprice / 1e9::DOUBLE * 299792458.0::DOUBLE / 2 AS range_m FROM lineitem)""",
     "lattice_values": f"SELECT o_orderkey, round({_sql_lattice()} + 1e-9::DOUBLE, 6) AS v FROM (SELECT o_orderkey, (o_orderkey % 300)::DOUBLE AS r, (o_custkey % 450)::DOUBLE AS c FROM orders)",
-    "land_blocks": f"""WITH {_PX}, c AS (SELECT scene_id, CAST(row // 8 AS BIGINT) AS block_row, CAST(col // 8 AS BIGINT) AS block_col, coalesce(avg(value) FILTER (WHERE valid), 0) > pow(10, 4.5::DOUBLE) AS m,
-          count(*) FILTER (WHERE valid) / 64.0::DOUBLE < 0.1 AS empty FROM px GROUP BY ALL),
+    "land_blocks": f"""WITH {_PX}, c AS (SELECT scene_id, CAST(row // 8 AS BIGINT) AS block_row, CAST(col // 8 AS BIGINT) AS block_col, coalesce(avg(value) FILTER (WHERE valid), 0) > pow(10, 4.76::DOUBLE) AS m,
+          count(*) FILTER (WHERE valid) / 64.0::DOUBLE < 0.02 AS empty FROM px GROUP BY ALL),
         e AS (SELECT c.*, NOT EXISTS (SELECT 1 FROM c o WHERE NOT o.m AND o.scene_id = c.scene_id AND abs(o.block_row - c.block_row) + abs(o.block_col - c.block_col) <= 1) AS kept FROM c)
         SELECT scene_id, block_row, block_col, empty OR EXISTS (SELECT 1 FROM e o WHERE o.kept AND o.scene_id = e.scene_id AND abs(o.block_row - e.block_row) + abs(o.block_col - e.block_col) <= 2) AS masked FROM e""",
     "stretch": f"WITH {_PX} SELECT scene_id, round(quantile_cont(value, 0.02) + 0.0000123, 3) AS p2_0, round(quantile_cont(value, 0.995) + 0.0000123, 3) AS p99_5, round(quantile_cont(value, 0.999) + 0.0000123, 3) AS p99_9 FROM px GROUP BY 1",
@@ -147,12 +154,13 @@ SQL = {
         SELECT id, concat('name-', id, '-', CASE WHEN o.id IS NULL THEN v ELSE 1 END) AS name, concat('item-', id, '-', coalesce(v, 1)) AS item, concat('path-', id, '-', coalesce(v, 1)) AS granule_path, coalesce(v, 1) AS ingested_at FROM o FULL JOIN n USING (id)""",
     "run_replacement": """SELECT l_orderkey AS run_id, l_linenumber::BIGINT AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'O'
         AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_custkey % 7 = 0)) UNION ALL SELECT -c_custkey, 1 FROM customer WHERE c_custkey % 7 = 0""",
-    "isolation": f"""WITH {SQL_DETECTIONS}, near AS (SELECT a.detection_id AS id, min({sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')}) AS m FROM detections a JOIN detections b ON a.scene_id = b.scene_id AND b.detection_id % 5 = 0 AND abs(a.lat - b.lat) < 0.02
-          WHERE a.detection_id % 5 > 0 AND {sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 2000 GROUP BY 1)
-        SELECT detection_id AS id, round(m, 3) AS to_agreed_m FROM detections d LEFT JOIN near ON near.id = d.detection_id WHERE detection_id % 5 > 0""",
-    "best_variant": f"""WITH {SQL_DETECTIONS}, n AS (SELECT scene_id, 1 - 2 * (detection_id % 2) AS sign, count(*) FILTER (WHERE length_m * 3 < 500) AS within FROM detections GROUP BY ALL)
+    "isolation": f"""WITH {SQL_DETECTIONS}, near AS (SELECT a.detection_id AS id, min({sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')}) AS m FROM detections a JOIN detections b ON a.scene_id = b.scene_id AND b.detection_id // 30 % 5 = 0 AND abs(a.lat - b.lat) < 0.02
+          WHERE a.detection_id // 30 % 5 > 0 AND {sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 2000 GROUP BY 1)
+        SELECT detection_id AS id, round(m, 3) AS to_agreed_m FROM detections d LEFT JOIN near ON near.id = d.detection_id WHERE detection_id // 30 % 5 > 0""",
+    "best_variant": f"""WITH {SQL_DETECTIONS}, n AS (SELECT scene_id, 1 - 2 * (detection_id // 30 % 2) AS sign, count(*) FILTER (WHERE length_m * 3 < 500) AS within FROM detections GROUP BY ALL)
         SELECT scene_id, sign, within FROM n QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY within DESC, sign) = 1""",
     "fullest_granule": f"WITH {SQL_DETECTIONS}, n AS (SELECT scene_id AS granule_id, count(*) AS n FROM detections GROUP BY 1) SELECT granule_id, n, row_number() OVER (ORDER BY n DESC, granule_id) = 1 AS chosen FROM n",
+    "footprint_cut": f"""WITH {SQL_FOOTPRINTS} SELECT scene_id, round(greatest(least(max_lon, 11.5::DOUBLE) - greatest(min_lon, 10.0::DOUBLE), 0) * greatest(least(max_lat, 56.0::DOUBLE) - greatest(min_lat, 55.0::DOUBLE), 0), 6) AS area FROM footprints""",
     "long_enough": f"WITH {SQL_DETECTIONS} SELECT detection_id FROM detections WHERE length_m >= 250",
     "preview": "SELECT o_orderkey AS detection_id, (SELECT count(*) > 10 FROM orders) AS partial FROM orders ORDER BY o_orderkey LIMIT 10",
     "top_leads": f"{_JUDGED} SELECT detection_id FROM j WHERE dark ORDER BY length_m DESC, detection_id LIMIT 10",
