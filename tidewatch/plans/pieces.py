@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import catalog, evaluate, raster, report
+from ..sources import ais
 from . import derived as d
 from .derived import SQL_DETECTIONS, SQL_FOOTPRINTS, SQL_POSITIONS, read, sql_haversine
 from .rasters import _BOX, _NO_TIE, _PX, _pixels
@@ -94,6 +95,14 @@ def footprint_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.footprints(spark, sf_dir).select("scene_id", F.round(catalog.footprint_area(ring, _BOX), 6).alias("area"))
 
 
+def search_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window for each order: by date, by a date that is none, or by hours back, some of them out of range."""
+    k, now = F.col("o_orderkey"), F.col("o_orderdate").cast("timestamp")
+    on_date = F.when(k % 3 == 0, F.date_format(now, "yyyy-MM-dd")).when(k % 3 == 1, F.when(k % 2 == 0, "soon").otherwise(""))
+    start, end, fault = ais.search_window(on_date, F.col("o_custkey") * 37 % 12_000 - 1_000, now)
+    return read(spark, sf_dir, "orders").select("o_orderkey", F.unix_micros(start).alias("start_us"), F.unix_micros(end).alias("end_us"), fault.alias("fault"))
+
+
 def long_enough(spark: SparkSession, sf_dir: str) -> DataFrame:
     return catalog.long_enough(d.detections(spark, sf_dir), 250.0).select("detection_id")
 
@@ -121,7 +130,7 @@ def rate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.rate_verdict(rows).select("quotable", F.size("reasons").alias("reasons"), F.get("reasons", F.lit(0)).contains("archive, live").alias("names_feeds"))
 
 
-QUERIES = {f.__name__: f for f in (calibration, lattice_values, land_blocks, stretch, medians, orbital_speed, scene_upsert, run_replacement, isolation, best_variant, fullest_granule, footprint_cut, long_enough, preview, top_leads, findings, rate_verdict)}
+QUERIES = {f.__name__: f for f in (calibration, lattice_values, land_blocks, stretch, medians, orbital_speed, scene_upsert, run_replacement, isolation, best_variant, fullest_granule, footprint_cut, search_windows, long_enough, preview, top_leads, findings, rate_verdict)}
 
 
 def _sql_lattice() -> str:
@@ -161,6 +170,9 @@ SQL = {
         SELECT scene_id, sign, within FROM n QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY within DESC, sign) = 1""",
     "fullest_granule": f"WITH {SQL_DETECTIONS}, n AS (SELECT scene_id AS granule_id, count(*) AS n FROM detections GROUP BY 1) SELECT granule_id, n, row_number() OVER (ORDER BY n DESC, granule_id) = 1 AS chosen FROM n",
     "footprint_cut": f"""WITH {SQL_FOOTPRINTS} SELECT scene_id, round(greatest(least(max_lon, 11.5::DOUBLE) - greatest(min_lon, 10.0::DOUBLE), 0) * greatest(least(max_lat, 56.0::DOUBLE) - greatest(min_lat, 55.0::DOUBLE), 0), 6) AS area FROM footprints""",
+    "search_windows": """WITH o AS (SELECT *, o_custkey * 37 % 12000 - 1000 AS h FROM orders)
+        SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN epoch_us(date_trunc('day', o_orderdate)) ELSE epoch_us(o_orderdate) - CASE WHEN h BETWEEN 1 AND 8760 THEN h ELSE 72 END * 3600000000 END AS start_us,
+          CASE WHEN o_orderkey % 3 = 0 THEN epoch_us(date_trunc('day', o_orderdate)) + 86400000000 ELSE epoch_us(o_orderdate) END AS end_us, o_orderkey % 3 = 1 AND o_orderkey % 2 = 0 AS fault FROM o""",
     "long_enough": f"WITH {SQL_DETECTIONS} SELECT detection_id FROM detections WHERE length_m >= 250",
     "preview": "SELECT o_orderkey AS detection_id, (SELECT count(*) > 10 FROM orders) AS partial FROM orders ORDER BY o_orderkey LIMIT 10",
     "top_leads": f"{_JUDGED} SELECT detection_id FROM j WHERE dark ORDER BY length_m DESC, detection_id LIMIT 10",

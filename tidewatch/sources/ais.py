@@ -143,6 +143,23 @@ def acquisition_window(centre: datetime, minutes: float) -> tuple[datetime, date
     return centre - timedelta(minutes=minutes), centre + timedelta(minutes=minutes)
 
 
+#: Hours of a look back when none are given, and the most that may be.
+LOOK_BACK_HOURS, MOST_HOURS = 72, 24 * 365
+
+
+def search_window(on_date: Column, hours_back: Column, now: Column) -> tuple[Column, Column, Column]:
+    """(start, end, fault) of what was asked for: 24 hours from a date, else the hours before ``now``.
+
+    A date is ISO, with a time or without. One that isn't is a fault and counts as none, like null and
+    an empty text, which are no faults. Hours that are null, below 1 or over a year are the default.
+    """
+    iso = on_date.rlike(r"^\d{4}-\d{2}-\d{2}([T ]\d{2}:\d{2}(:\d{2})?)?\z")
+    day = F.when(iso, F.try_to_timestamp(on_date))
+    back = F.make_dt_interval(hours=F.when(hours_back.between(1, MOST_HOURS), hours_back).otherwise(LOOK_BACK_HOURS).cast("int"))
+    given = F.coalesce(on_date, F.lit("")) != ""
+    return F.coalesce(day, now - back), F.when(day.isNotNull(), day + F.make_dt_interval(F.lit(1))).otherwise(now), given & day.isNull()
+
+
 def slice_name(area: str, start: datetime, end: datetime) -> str:
     return f"{re.sub(r'[^A-Za-z0-9_-]+', '-', area)}_{start:%Y%m%dT%H%M%SZ}_{end:%Y%m%dT%H%M%SZ}.csv"
 
