@@ -107,7 +107,12 @@ def test_quality_references_and_distance(docs):
     counts = {}
     for r in docs.collect():
         counts.setdefault(r.lang, Counter()).update(c for c in map(quality.core, WORD.findall(r.text)) if c)
-    for lang, index, shares in zip(refs.langs, refs.index, refs.shares, strict=True):
+    assert refs.langs == sorted(counts)
+    for k, lang in enumerate(refs.langs):
+        rows = {w: slice(refs.ends[n], refs.ends[n + 1]) for w, n in refs.index.items()}
+        own = {w: refs.share[at][refs.lang[at] == k] for w, at in rows.items()}
+        index = {w: n for n, w in enumerate(w for w, x in own.items() if len(x))}
+        shares = np.array([own[w].item() for w in index])
         total = sum(counts[lang].values())
         assert set(index) == {w for w, n in counts[lang].items() if n >= quality.COMMON_SHARE * total}
         assert all(abs(shares[k] - counts[lang][w] / total) < 1e-12 for w, k in index.items())
@@ -701,3 +706,32 @@ def test_distances_are_those_of_the_definition():
             p = np.array([own.count(w) for w in words[k]] + [sum(c not in words[k] for c in own)], float) / max(len(own), 1)
             assert got[t, k] == pytest.approx(quality.js_distance(p, shares[k]) if own else 0, abs=1e-9)
             assert chars[t, k] == pytest.approx(quality.js_distance(hist[t] / hist[t].sum(), classes[k]))
+
+
+# -- no row or answer lost by size ---------------------------------------------------------------
+
+def test_sample_of_repeats_is_never_empty(spark):
+    rows = spark.createDataFrame([(k % 2, f"copied text {k % 2}", "en" if k % 2 else "de") for k in range(200)], "doc_id long, text string, lang string")
+    assert sorted(r.doc_id for r in common.sample_by_hash(rows, "doc_id", 20, "text").collect()) == [0, 1]
+    many = spark.range(3000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    first, again = (sorted(r.doc_id for r in common.sample_by_hash(many.repartition(n), "doc_id", 100, "text").collect()) for n in (1, 5))
+    assert first == again and len(first) == 100
+    assert language_id.fit(rows, sample_rows=20).langs == ["de", "en"]
+    assert common.sample_by_hash(many.where("false"), "doc_id", 10).count() == 0
+
+
+def test_keep_first_with_clashing_names_and_ties(spark):
+    shape = "doc_id long, text string, k1 string, k2 string, row string, doc string, _k1 string"
+    rows = [(1, "one two three four five", "mine", *"bcde"), (1, "one two three four five", "mine", *"acde"), (2, "one two three four five", "mine", *"acde"), (3, "else", "x", *"acde")]
+    for order in (rows, rows[::-1]):
+        kept = simhash.keep_first(spark.createDataFrame(order, shape), groups=simhash.similar_texts)
+        assert sorted(map(tuple, kept.collect())) == [rows[1], rows[3]]
+
+
+def test_broken_files_have_a_fault(spark):
+    good = matroska.mux(b"\x01" * 576)
+    files = [(1, good), (2, bytes.fromhex("1A45DFA3") + b"garbage"), (3, good[: len(good) // 2]), (4, b"no such file"), (5, None), (6, b"")]
+    got = matroska.packets(spark.createDataFrame(files, "doc_id long, media binary")).collect()
+    whole = [r for r in got if r.doc_id == 1]
+    assert whole and all(r.fault is None for r in whole)
+    assert {r.doc_id for r in got if r.fault} >= {2, 4} and {r.doc_id for r in got} <= {1, 2, 3, 4}

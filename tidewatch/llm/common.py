@@ -134,16 +134,21 @@ def crc32_mod(id_col: str, modulus: int):
 
 
 def sample_by_hash(df: DataFrame, id_col: str, bound: int, *more: str) -> DataFrame:
-    """About ``bound`` rows at most, the same ones on every run: those with small hashes of the id and the ``more`` columns.
+    """At most ``bound`` rows that differ in the id and the ``more`` columns, the same ones on every run: those with the smallest hashes.
 
-    Rows alike in all of these share a hash. Where such rows would come to over twice the bound, as
-    with few ids for very many rows, the share is lessened until they don't; then no row may be left.
+    Rows alike in these columns count once, so a text of very many copies takes the place of one row.
+    The result is empty only where ``df`` is.
     """
-    count = df.count()
+    keys = [id_col, *more]
+    hashed = F.pmod(F.xxhash64(F.lit(17), *(F.col(c) for c in keys)), F.lit(1 << 62))
+    count, most = df.count(), 1 << 62
     if count <= bound:
-        return df
-    hashed = F.pmod(F.xxhash64(F.lit(17), F.col(id_col), *(F.col(c) for c in more)), F.lit(1 << 30))
-    share = int(bound / count * (1 << 30))
-    while share and df.where(hashed < share).limit(2 * bound + 1).count() > 2 * bound:
-        share //= 2
-    return df.where(hashed < share)
+        return df.dropDuplicates(keys)
+    share = (most // count) * bound
+    while True:
+        # only as many hashes as are looked for come to the driver, eight bytes each
+        least = df.where(hashed < share).select(hashed.alias("h")).distinct().orderBy("h").limit(bound).collect()
+        if len(least) >= min(bound, 64) or share >= most:
+            break
+        share = min(most, share * 8)
+    return df.where(hashed <= (least[-1].h if least else -1)).dropDuplicates(keys)

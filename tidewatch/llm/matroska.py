@@ -280,21 +280,25 @@ def mux(payload: bytes, kind: int = FIXED_LACING, frame: int = FRAME, rate: int
 def packets(df: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
     """The packet table: one row per frame with its id, track, timestamp and byte range in the file.
 
-    A null or empty file has no packets; bytes that aren't Matroska raise. Repeated rows give
-    repeated packets.
+    A null or empty file has no packets. A file that can't be read gives one row with the reason in
+    ``fault`` and nulls elsewhere; ``fault`` is null in all other rows. Repeated rows give repeated packets.
     """
     cols = df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media"))
-    schema = T.StructType([cols.schema["id"], *T.StructType.fromDDL(PACKETS).fields])
+    fields = T.StructType.fromDDL(PACKETS).fields
+    schema = T.StructType([cols.schema["id"], *fields, T.StructField("fault", T.StringType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
         rows, out = [], []
         for k, data in enumerate(batch.column(1).to_pylist()):
-            got = parse(data).packets if data else []
+            try:
+                got = [(*p, None) for p in parse(data).packets] if data else []
+            except (ValueError, IndexError, KeyError, struct.error) as fault:  # what broken bytes make of sizes, offsets and tracks
+                got = [(*[None] * len(fields), f"{type(fault).__name__}: {fault}")]
             rows += [k] * len(got)
             out += got
         if not out:
             return None
-        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32()]
+        kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.string()]
         return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows)), *(pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True))], schema.names)
 
     return walk(cols, run, schema, "media").withColumnRenamed("id", id_col)

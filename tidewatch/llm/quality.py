@@ -20,11 +20,11 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import SLICE_BYTES, flat_bytes, slices, table, texts_of, walk, words_of
+from .common import SLICE_BYTES, Scratch, flat_bytes, slices, table, texts_of, walk, words_of
 
 CLASSES = ("lower", "upper", "letter", "mark", "digit", "space", "stop", "symbol", "other")
 #: Share of a language's words that makes a word common.
@@ -193,10 +193,13 @@ def references(docs: DataFrame, lang_col: str = "lang", text_col: str = "text")
     """Histograms of each language over all documents that have one; of a bounded size."""
     texts = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
     shape, key = "lang string, kind int, name string, n long", ["lang", "kind", "name"]
-    found = texts.mapInArrow(_candidates, shape).groupBy(*key).agg(F.sum("n").alias("n"))
-    totals = found.withColumn("total", F.sum(F.when(F.col("kind") == 2, F.col("n"))).over(Window.partitionBy("lang")))
+    scratch = Scratch(docs.sparkSession, "references")
+    found = scratch.write(texts.mapInArrow(_candidates, shape).groupBy(*key).agg(F.sum("n").alias("n")), "found")
+    totals = found.where("kind = 2").select("lang", F.col("n").alias("total"))  # a row a language
     # for each language its classes, its total, and words with 3/4 of the share: a bounded number
-    rows = totals.where((F.col("kind") != 1) | (F.col("n") >= 0.75 * COMMON_SHARE * F.col("total"))).collect()
+    frequent = found.where("kind = 1").join(totals, "lang").where(F.col("n") >= 0.75 * COMMON_SHARE * F.col("total")).select(*found.columns)
+    rows = found.where("kind <> 1").union(frequent).collect()
+    scratch.drop("found")
     words_in = {r.lang: r.n for r in rows if r.kind == 2 and r.n}
     langs = sorted(words_in)
     at = {x: k for k, x in enumerate(langs)}

@@ -340,18 +340,19 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     ``groups`` is ``near_duplicates`` or ``similar_texts``. Returns the columns of ``docs``. A row is told
     apart by its id and text, both hashed to 128 bits: of unlike texts with one id each counts for
-    itself, rows with a null id count like any other, and of rows alike in id and text one stays.
+    itself, rows with a null id count like any other, and of rows alike in id and text the one stays whose
+    other columns come first as JSON. Columns of ``docs`` may have any names.
     Texts aren't shuffled while the list of rows that go is small enough to be broadcast.
     """
     scratch = Scratch(docs.sparkSession, "keep")
-    keys = {"_k1": F.xxhash64(F.col(id_col), F.col(text_col)), "_k2": F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col))}
-    keyed = docs.withColumns(keys)
-    rows = keyed.select(F.struct(F.col(id_col).isNull().alias("last"), F.col(id_col).alias("id"), "_k1", "_k2").alias("row"), F.col(text_col).alias("text"))
-    found = groups(rows, "row", "text").groupBy("row").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n"))
-    found = scratch.write(found.where("n > 1 OR row <> first").select("row._k1", "row._k2", F.expr("row = first").alias("stays")), "rows")
-    single = keyed.join(found.select("_k1", "_k2"), ["_k1", "_k2"], "left_anti")
-    repeated = keyed.join(found.where("stays").select("_k1", "_k2"), ["_k1", "_k2"], "left_semi").dropDuplicates(["_k1", "_k2"])
-    return single.select(*docs.columns).union(repeated.select(*docs.columns))
+    k1, k2 = F.xxhash64(F.col(id_col), F.col(text_col)), F.xxhash64(F.lit(1), F.col(text_col), F.col(id_col))
+    keyed = docs.select(k1.alias("k1"), k2.alias("k2"), F.struct(*docs.columns).alias("doc"))
+    last = F.struct(F.col(f"doc.`{id_col}`").isNull().alias("last"), F.col(f"doc.`{id_col}`").alias("id"), "k1", "k2").alias("row")
+    found = groups(keyed.select(last, F.col(f"doc.`{text_col}`").alias("text")), "row", "text").groupBy("row").agg(F.min("component_id").alias("first"), F.count(F.lit(1)).alias("n"))
+    found = scratch.write(found.where("n > 1 OR row <> first").select("row.k1", "row.k2", F.expr("row = first").alias("stays")), "rows")
+    single = keyed.join(found.select("k1", "k2"), ["k1", "k2"], "left_anti").select("doc")
+    repeated = keyed.join(found.where("stays").select("k1", "k2"), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.min_by("doc", F.to_json("doc")).alias("doc")).select("doc")
+    return single.union(repeated).select("doc.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
