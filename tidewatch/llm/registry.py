@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, language_id, matroska, packing, quality, quality_model, simhash, suffix_dedup, token_counts
+from . import bpe, html_text, language_id, matroska, packing, quality, quality_model, simhash, suffix_dedup, token_counts, whitening
 
-MODULES = (language_id, quality, token_counts, quality_model, matroska, packing, html_text, bpe, simhash, suffix_dedup)
+MODULES = (language_id, quality, token_counts, quality_model, matroska, packing, html_text, bpe, simhash, suffix_dedup, whitening)
 
 
 def queries() -> dict:
