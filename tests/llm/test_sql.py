@@ -9,7 +9,8 @@ from tidewatch.llm import registry
 @pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
 def test_query_equals_sql(spark, small, name):
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{small}/documents.parquet'")
+    for t in ("documents", "conversations"):
+        con.execute(f"create view {t} as select * from '{small}/{t}.parquet'")
     want = con.execute(registry.oracle_sql()[name])
     columns = [c[0] for c in want.description]
     rows = want.fetchall()

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, html_text, language_id, matroska, mixing, packing, quality, quality_model, simhash, suffix_dedup, token_counts, whitening
+from . import bpe, conversations, html_text, language_id, matroska, mixing, packing, quality, quality_model, simhash, suffix_dedup, token_counts, whitening
 
-MODULES = (language_id, quality, token_counts, quality_model, matroska, packing, html_text, bpe, simhash, suffix_dedup, mixing, whitening)
+MODULES = (language_id, quality, token_counts, quality_model, matroska, packing, html_text, bpe, simhash, suffix_dedup, mixing, whitening, conversations)
 
 
 def queries() -> dict:
