@@ -6,7 +6,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewatch.operators import catalog, evaluate, graph, raster
+from tidewatch.operators import catalog, evaluate, graph, raster, tiles
+from tidewatch.operators.radar import Config
 
 
 def table(spark, values, scene="S"):
@@ -30,7 +31,7 @@ def test_block_statistics(spark):
     rng = np.random.default_rng(0)
     v = rng.normal(-1.0, 0.5, (40, 50))
     v[3, 3] = 1000.0
-    got = {(r.block_row, r.block_col): r for r in raster.block_stats(table(spark, v), 16, 4.0).collect()}
+    got = {(r.block_row, r.block_col): r for r in tiles.block_stats(tiles.tile(table(spark, v), 32), 16, 4.0, 32).collect()}
     assert len(got) == 3 * 4
     for (i, j), r in got.items():
         b = v[16 * i : 16 * i + 16, 16 * j : 16 * j + 16].ravel()
@@ -56,6 +57,34 @@ def test_morphology(spark):
 
     assert (grid(raster.dilate(cells(spark, mask), 2)) == dilate(mask, 2)).all()
     assert (grid(raster.erode(cells(spark, ~mask), 1)) == ~dilate(mask, 1)).all()
+    # over tiles smaller than the radius, with a column that stays
+    wide = tiles.dilate_cells(cells(spark, mask & (rng.random(mask.shape) > 0.8)).withColumn("other", F.lit(1)), 7, "mask", side=4)
+    assert raster.dilate(cells(spark, mask).withColumn("other", F.lit(1)), 2).columns == ["scene_id", "block_row", "block_col", "other", "mask"]
+    assert wide.count() == mask.size
+
+
+def test_dilation_over_tiles(spark):
+    rng = np.random.default_rng(4)
+    mask = rng.random((30, 41)) > 0.985
+    for radius in (1, 5, 12):
+        want = np.array([[any(abs(r - y) + abs(c - x) <= radius for y, x in zip(*np.nonzero(mask), strict=True)) for c in range(41)] for r in range(30)])
+        assert (grid(tiles.dilate_cells(cells(spark, mask), radius, "mask", side=8)) == want).all()
+        sent = tiles.with_halo(tiles.tile_cells(cells(spark, mask), "block_row", "block_col", "mask", 16), radius, 16)
+        assert sent.count() == 2 * 3  # a row a tile, whatever the radius
+
+
+def test_halo_of_values(spark):
+    v = np.arange(70 * 50, dtype=float).reshape(70, 50)
+    got = {(r.tile_row, r.tile_col): r for r in tiles.with_halo(tiles.tile(table(spark, v), 16), 20, 16).collect()}
+    assert len(got) == 5 * 4
+    whole = np.full((80 + 40, 64 + 40), -1.0)
+    whole[20:90, 20:70] = v
+    for (i, j), r in got.items():
+        want = whole[16 * i : 16 * i + 56, 16 * j : 16 * j + 56]
+        state, value = np.frombuffer(r.state, "u1").reshape(56, 56), np.frombuffer(r.value).reshape(56, 56)
+        assert ((state > 0) == (want >= 0)).all() and (value[state > 0] == want[want >= 0]).all()
+    near = tiles.window(tiles.tile(table(spark, v), 16), (17, 32), (40, 50), 16)
+    assert sorted((r.tile_row, r.tile_col) for r in near.collect()) == [(1, 2), (1, 3)]
 
 
 def test_detection_of_bright_targets(spark):
@@ -65,14 +94,14 @@ def test_detection_of_bright_targets(spark):
     v[70:76, 60] = 0.5
     v[5, 90] = 1.0  # a speck
     v[60, 20], v[61, 21], v[62, 22], v[63, 23] = [0.8] * 4  # joined by corners only
-    got = sorted(raster.detect(table(spark, v), nesz=1e-5).collect(), key=lambda r: r.row)
+    got = sorted(tiles.detect(tiles.tile(table(spark, v), 32), nesz=1e-5, side=32).collect(), key=lambda r: r.row)
     assert [(round(r.row, 1), round(r.col, 1), r.pixels) for r in got] == [(21.5, 36.0, 36), (62.0, 22.0, 4), (73.0, 60.5, 6)]
     assert (got[0].length_px, got[0].width_px) == pytest.approx((12, 3)) and abs(got[0].dx) == pytest.approx(1) and got[0].margin > 5
 
 
 def test_smallest_rectangle():
     k = np.arange(20)
-    length, width, dx, dy = raster.smallest_rectangle(k, k)
+    length, width, dx, dy = tiles.rectangle(tiles.corners(k, k))
     assert abs(abs(dx) - abs(dy)) < 1e-9 and length == pytest.approx(20 * np.sqrt(2), rel=0.02) and width == pytest.approx(np.sqrt(2), rel=0.01)
 
 
@@ -160,31 +189,84 @@ def test_streams(spark, tmp_path):
 
 
 def test_queries_take_all_rows(spark, small):
-    """on_land_all by every point and footprint; greedy_pairing counts every detection on both sides."""
+    """on_land by every point and footprint; greedy_pairing counts every detection on both sides."""
     from tidewatch.plans import derived, rasters
 
     boxes = [tuple(r) for r in derived.footprints(spark, small).select("min_lon", "max_lon", "min_lat", "max_lat").collect()]
     points = derived.detections(spark, small).selectExpr("detection_id", "scene_id", "round(lon, 4) AS x", "round(lat, 4) AS y", "lon + (detection_id % 9) * 0.001 AS there", "lat").collect()
     want = {p.detection_id for p in points if any(a <= p.x < b and c <= p.y < e for a, b, c, e in boxes)}
-    assert {r.id for r in rasters.on_land_all(spark, small).collect()} == want == {r.id for r in rasters.on_land(spark, small).collect()}
+    assert {r.id for r in rasters.on_land(spark, small).collect()} == want
     sums = rasters.greedy_pairing(spark, small).selectExpr("sum(ours)", "sum(theirs)").first()
     assert tuple(sums) == (len(points), len({(p.scene_id, p.there, p.lat) for p in points}))
 
 
-def test_large_blobs_are_measured(spark):
-    """A blob longer than the window keeps its row, with the box and margin of all its pixels."""
-    from pyspark.sql import types as T
-
-    line = [("S", 5, c, 10.0 + (c == 700), 2.0) for c in range(1100)] + [("S", 40 + r, 3 + c, 8.0, 2.0) for r in range(2) for c in range(3)]
-    df = spark.createDataFrame(line, "scene_id string, row long, col long, value double, threshold double").withColumns({"above_cfar": F.lit(True), "above_floor": F.lit(True)})
-    config = raster.Config(min_pixels=4, grow_halfwidth_px=2)
-    got = {r.pixels: r for r in raster.measure(df, config).collect()}
-    assert set(got) == {1100, 6}
-    big = got[1100]
-    assert (big.row, big.col, big.length_px, big.width_px, abs(big.dx), big.margin) == (5.5, 550.0, 1100.0, 1.0, 1.0, 5.5)
-    both = {r.pixels: r for r in raster.measure(df, config, largest=1).collect()}
-    assert (both[6].length_px, both[6].width_px, both[6].margin) == (3.0, 2.0, 4.0) and tuple(both[1100]) == tuple(big)
-    assert isinstance(raster.measure(df, config).schema["pixels"].dataType, T.IntegerType)
+def hot_tiles(spark, value, threshold, seed, side, config):
+    """Tiles as ``tested`` gives them, with one threshold."""
+    df = tiles.tile(table(spark, value), side).collect()
+    rows = []
+    for r in df:
+        state = np.frombuffer(r.state, "u1").reshape(side, side).copy()
+        part = seed[r.tile_row * side : (r.tile_row + 1) * side, r.tile_col * side : (r.tile_col + 1) * side]
+        state[: part.shape[0], : part.shape[1]] |= (part * tiles.HOT).astype(np.uint8)
+        rows.append((r.scene_id, r.tile_row, r.tile_col, bytearray(r.value), bytearray(state.tobytes()), bytearray(np.full((side // config.block,) * 2, threshold).tobytes())))
+    return spark.createDataFrame(rows, "scene_id string, tile_row long, tile_col long, value binary, state binary, threshold binary")
+
+
+def plain_components(mask):
+    todo, out = set(zip(*(x.tolist() for x in np.nonzero(mask)), strict=True)), []
+    while todo:
+        group, new = set(), {min(todo)}
+        while new:
+            group |= new
+            new = {(r + a, c + b) for r, c in new for a in (-1, 0, 1) for b in (-1, 0, 1)} & todo - group
+        todo -= group
+        out.append(group)
+    return out
+
+
+@pytest.mark.parametrize("side", [16, 64])
+def test_blobs_over_tiles(spark, side):
+    """Labels, growth and measures by whole images; snakes and blobs reach over many tiles."""
+    rng = np.random.default_rng(6)
+    v = rng.uniform(0, 1, (60, 90)) + (rng.random((60, 90)) > 0.9) * 3
+    v[8:10, 3:80] = 5.0
+    v[10:50, 78:80] = 5.0
+    v[30, 5:60] = 1.5  # joined to a seed at its end only, at the lower threshold
+    v[30, 60] = v[31, 60] = 9.0
+    config = Config(block=16, k=4.0, k_grow=1.0, grow_halfwidth_px=7, min_pixels=2)
+    seed = v > 3.6
+    hot = hot_tiles(spark, v, 4.0, seed, side, config)
+    groups = plain_components(seed)
+    assert {(r.row, r.col): (r.blob.row, r.blob.col) for r in tiles.labels(hot, side).collect()} == {p: min(g) for g in groups for p in g}
+    want = set()
+    for g in groups:
+        if len(g) < 2:
+            continue
+        rows, cols = np.array(sorted(g)).T
+        r0, r1, c0, c1 = rows.min(), rows.max(), cols.min(), cols.max()
+        inside = np.zeros_like(seed)
+        window = slice(max(r0 - 7, 0), r1 + 8), slice(max(c0 - 7, 0), c1 + 8)
+        inside[window] = v[window] > 1.0
+        region = set().union(*(x for x in plain_components(inside) if x & g))
+        y, x = np.array(sorted(region if len(region) >= len(g) else g)).T
+        size = tiles.rectangle(np.concatenate([np.column_stack([x + a, y + b]) for a in (0, 1) for b in (0, 1)]))
+        margin = v[r0 : r1 + 1, c0 : c1 + 1].max() / 4.0
+        want.add(tuple(np.round([rows.mean() + 0.5, cols.mean() + 0.5, *size, margin], 9)) + (len(g),))
+    got = {tuple(np.round(tuple(r)[1:-1], 9)) + (r.pixels,) for r in tiles.measure(hot, config, side).collect()}
+    assert got == want and max(r[-1] for r in got) > 200
+
+
+def test_rectangles_by_all_directions():
+    rng = np.random.default_rng(7)
+    for _ in range(40):
+        pts = np.unique(rng.integers(0, 9, (rng.integers(1, 12), 2)), axis=0)
+        box = np.concatenate([pts + (a, b) for a in (0, 1) for b in (0, 1)])
+        length, width, dx, dy = tiles.rectangle(box)
+        areas = []
+        for ex, ey in ((x, y) for x in range(10) for y in range(-9, 10) if (x, y) != (0, 0)):
+            areas.append(np.ptp(box @ (ex, ey)) * np.ptp(box @ (-ey, ex)) / (ex * ex + ey * ey))
+        assert length * width == pytest.approx(min(areas)) and length >= width and dx >= 0
+        assert np.ptp(box @ (dx, dy)) == pytest.approx(length) and np.ptp(box @ (-dy, dx)) == pytest.approx(width)
 
 
 def test_every_scene_has_a_rank(spark):

@@ -1,68 +1,21 @@
-"""Radar rasters as tables of pixels: calibration, block statistics, thresholds, morphology, blobs, detections.
+"""Radar rasters: lattices, tie points, display, masks of cells, and the way from blobs to detections.
 
-A raster is (scene_id, row, col, value) with optional valid. Block sums need no padding: a block at
-the edge has fewer pixels. Components are 8-connected.
+What works on whole rasters is in ``tiles``; here a raster is (scene_id, row, col, value) with optional valid,
+and cells are (scene_id, block_row, block_col, flag).
 """
 
 from __future__ import annotations
 
-
-from dataclasses import dataclass
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
 from ..functions import geo
 from .graph import components
 from .match import spatial_range_join
-
-SPEED_OF_LIGHT = 299_792_458.0
-DETECTOR, VERSION = "cfar", "1"
-
-
-@dataclass(frozen=True)
-class Config:
-    """The detector's fixed parameters."""
-
-    block: int = 32
-    k: float = 8.0
-    censor: float = 4.0
-    min_snr_db: float = 10.0
-    land_block: int = 8
-    land_sigma0_db: float = -22.0
-    land_open_blocks: int = 2
-    land_dilate_blocks: int = 10
-    max_fill_fraction: float = 0.1
-    min_length_m: float = 15.0
-    max_length_m: float = 450.0
-    min_pixels: int = 4
-    k_grow: float = 2.5
-    grow_halfwidth_px: int = 40
-    min_heading_px: float = 4.0
-    min_heading_aspect: float = 1.6
-    merge_radius_m: float = 200.0
-
-
-# -- calibration --------------------------------------------------------------------------------
-
-def sigma0(dn: Column, noise: Column, gain: Column) -> Column:
-    """Backscatter less thermal noise; it may be negative."""
-    return (dn * dn - noise) / F.nullif(gain * gain, F.lit(0.0))
-
-
-def to_db(x: Column) -> Column:
-    return 10.0 * F.log10(F.greatest(x, F.lit(1e-12)))
-
-
-def from_db(db: float) -> float:
-    return 10.0 ** (db / 10.0)
-
-
-def slant_range_m(two_way_s: Column) -> Column:
-    return two_way_s * SPEED_OF_LIGHT / 2
+from .radar import Config, from_db, to_db
+from .tiles import dilate_cells
 
 
 def orbital_speed(velocities: DataFrame, *by: str) -> DataFrame:
@@ -136,28 +89,6 @@ def block_mean(pixels: DataFrame, block: int) -> DataFrame:
     return _blocked(pixels, block).groupBy(*_BLOCK).agg(F.coalesce(F.sum(F.when(ok, F.col("value"))) / F.nullif(n, F.lit(0)), F.lit(0.0)).alias("mean"), (n / float(block * block)).alias("fill"))
 
 
-def block_stats(pixels: DataFrame, block: int, censor: float) -> DataFrame:
-    """Mean and deviation (of the population) of each block without what lies over ``censor`` deviations above a first mean.
-
-    A block with less than an eighth of its pixels left takes the first pass's values. Deviations
-    are counted above the mean, as the mean of noise can be below 0.
-    """
-    ok = _blocked(pixels.where(_valid(pixels) & F.col("value").isNotNull()), block)
-    v = F.col("value").cast("double")
-
-    def pass_over(df: DataFrame, tag: str) -> DataFrame:
-        n = F.count(F.lit(1))
-        mean = F.sum(v) / n
-        return df.groupBy(*_BLOCK).agg(n.alias(f"n{tag}"), mean.alias(f"mean{tag}"), F.sqrt(F.greatest(F.sum(v * v) / n - mean * mean, F.lit(0.0))).alias(f"std{tag}"))
-
-    first = pass_over(ok, "0")
-    kept = ok.join(first, _BLOCK).where(v <= F.col("mean0") + censor * F.col("std0"))
-    second = pass_over(kept.select(*ok.columns), "1")
-    thin = F.coalesce(F.col("n1"), F.lit(0)) < max(block * block // 8, 1)
-    out = first.join(second, _BLOCK, "left")
-    return out.select(*_BLOCK, F.when(thin, F.col("mean0")).otherwise(F.col("mean1")).alias("mean"), F.when(thin, F.col("std0")).otherwise(F.col("std1")).alias("std"), (F.col("n0") / float(block * block)).alias("fill"))
-
-
 def medians(df: DataFrame, value: str, *by: str) -> DataFrame:
     return df.groupBy(*by).agg(F.median(value).alias("median"))
 
@@ -171,22 +102,17 @@ def stretch(pixels: DataFrame, *by: str) -> DataFrame:
 
 # -- masks --------------------------------------------------------------------------------------
 
-def dilate(cells: DataFrame, radius: int, flag: str = "mask") -> DataFrame:
+def dilate(cells: DataFrame, radius: int, flag: str = "mask", invert: bool = False) -> DataFrame:
     """``radius`` rounds of growth to the four neighbours, within the cells that are there: (scene_id, block_row, block_col, flag)."""
     if radius <= 0:
         return cells
-    ball = [(r, c) for r in range(-radius, radius + 1) for c in range(-radius, radius + 1) if abs(r) + abs(c) <= radius]
-    steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ball))
-    grown = cells.where(flag).select("scene_id", "block_row", "block_col", F.explode(steps).alias("s"))
-    grown = grown.select("scene_id", (F.col("block_row") + F.col("s.r")).alias("block_row"), (F.col("block_col") + F.col("s.c")).alias("block_col")).distinct().withColumn("_on", F.lit(True))
-    return cells.join(grown, _BLOCK, "left").withColumn(flag, F.coalesce("_on", F.lit(False))).drop("_on")
+    grown = dilate_cells(cells, radius, flag, invert)
+    return grown if sorted(cells.columns) == sorted([*_BLOCK, flag]) else cells.drop(flag).join(grown, _BLOCK)
 
 
 def erode(cells: DataFrame, radius: int, flag: str = "mask") -> DataFrame:
     """The complement of its complement's growth; cells that aren't there count as set."""
-    if radius <= 0:
-        return cells
-    return dilate(cells.withColumn(flag, ~F.col(flag)), radius, flag).withColumn(flag, ~F.col(flag))
+    return dilate(cells, radius, flag, invert=True)
 
 
 def land_mask(pixels: DataFrame, config: Config = Config()) -> DataFrame:
@@ -197,147 +123,6 @@ def land_mask(pixels: DataFrame, config: Config = Config()) -> DataFrame:
     return opened.select(*_BLOCK, (F.col("mask") | F.col("fill_mask")).alias("masked"))
 
 
-def hot_pixels(pixels: DataFrame, stats: DataFrame, mask: DataFrame, nesz: float | None, config: Config = Config()) -> DataFrame:
-    """Pixels outside the mask above mean + k deviations of their block and, given a noise floor, min_snr_db above it; with both tests as columns."""
-    base = _blocked(pixels.where(_valid(pixels) & F.col("value").isNotNull()), config.block).join(stats.select(*_BLOCK, "mean", "std"), _BLOCK).drop("block_row", "block_col")
-    base = _blocked(base, config.land_block).join(mask.where("masked").select(*_BLOCK), _BLOCK, "left_anti").drop("block_row", "block_col")
-    threshold = F.col("mean") + config.k * F.col("std")
-    floor = F.lit(True) if nesz is None else F.col("value") > nesz * from_db(config.min_snr_db)
-    return base.withColumns({"threshold": threshold, "above_cfar": F.col("value") > threshold, "above_floor": floor})
-
-
-def threshold_counts(tested: DataFrame) -> DataFrame:
-    return tested.groupBy("scene_id").agg(F.count_if("above_cfar").alias("px_above_cfar"), F.count_if("above_floor").alias("px_above_floor"), F.count_if(F.col("above_cfar") & F.col("above_floor")).alias("px_hot"))
-
-
-# -- blobs --------------------------------------------------------------------------------------
-
-def label(pixels: DataFrame) -> DataFrame:
-    """Adds ``blob``, the first pixel (scene_id, row, col) of each 8-connected group."""
-    node = lambda s, r, c: F.struct(F.col(s).alias("scene_id"), r.alias("row"), c.alias("col"))
-    own = pixels.select("scene_id", "row", "col")
-    steps = F.array(*(F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")) for r, c in ((0, 1), (1, -1), (1, 0), (1, 1))))
-    ahead = own.select("scene_id", F.col("row").alias("r0"), F.col("col").alias("c0"), F.explode(steps).alias("s"))
-    ahead = ahead.select("scene_id", "r0", "c0", (F.col("r0") + F.col("s.r")).alias("row"), (F.col("c0") + F.col("s.c")).alias("col"))
-    met = ahead.join(own, ["scene_id", "row", "col"])
-    edges = met.select(node("scene_id", F.col("r0"), F.col("c0")).alias("a"), node("scene_id", F.col("row"), F.col("col")).alias("b"))
-    found = components(edges)
-    me = node("scene_id", F.col("row"), F.col("col"))
-    return pixels.withColumn("_me", me).join(found, F.col("_me") == F.col("node"), "left").withColumn("blob", F.coalesce("label", "_me")).drop("_me", "node", "label")
-
-
-def hull(points: np.ndarray) -> np.ndarray:
-    """Convex hull, counter-clockwise."""
-    pts = sorted(map(tuple, np.unique(points, axis=0)))
-    if len(pts) < 3:
-        return np.array(pts, float)
-    turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
-    halves = []
-    for seq in (pts, pts[::-1]):
-        part: list = []
-        for p in seq:
-            while len(part) > 1 and turn(part[-2], part[-1], p) <= 0:
-                part.pop()
-            part.append(p)
-        halves.append(part[:-1])
-    return np.array(halves[0] + halves[1], float)
-
-
-def smallest_rectangle(rows: np.ndarray, cols: np.ndarray) -> tuple[float, float, float, float]:
-    """(length, width, dx, dy) of the smallest rectangle around whole pixels; dx, dy along its long side."""
-    corners = np.concatenate([np.column_stack([cols + dx, rows + dy]) for dx in (0, 1) for dy in (0, 1)])
-    h = hull(corners)
-    best = None
-    for k in range(len(h)):
-        e = h[(k + 1) % len(h)] - h[k]
-        e = e / max(np.hypot(*e), 1e-12)
-        along, across = h @ e, h @ np.array([-e[1], e[0]])
-        a, b = np.ptp(along), np.ptp(across)
-        if best is None or a * b < best[0] - 1e-9:
-            best = (a * b, a, b, e)
-    _, a, b, e = best
-    axis = e if a >= b else np.array([-e[1], e[0]])
-    return float(max(a, b)), float(min(a, b)), float(axis[0]), float(axis[1])
-
-
-def grown(values: np.ndarray, lower: np.ndarray, seed: np.ndarray) -> np.ndarray | None:
-    """The 8-connected region above ``lower`` that touches the seed; None if it is smaller than the seed."""
-    above = values > lower
-    region = seed & above
-    while True:
-        wide = region.copy()
-        wide[1:] |= region[:-1]
-        wide[:-1] |= region[1:]
-        tall = wide.copy()
-        wide[:, 1:] |= tall[:, :-1]
-        wide[:, :-1] |= tall[:, 1:]
-        wide &= above
-        if (wide == region).all():
-            break
-        region = wide
-    return region if region.sum() >= seed.sum() else None
-
-
-_MEASURED = "scene_id string, row double, col double, length_px double, width_px double, dx double, dy double, margin double, pixels int"
-
-
-def measure(tested: DataFrame, config: Config = Config(), largest: int = 1024) -> DataFrame:
-    """One row per blob of hot pixels: centroid, size and axis after growing at the lower threshold, margin of its peak.
-
-    A blob of ``largest`` pixels across is land or clutter. It is measured by aggregates as it is, without
-    growing, so a gathered group is never larger than the window around a vessel.
-    """
-    hot = label(tested.where("above_cfar AND above_floor"))
-    blobs = hot.groupBy("blob").agg(F.count(F.lit(1)).alias("pixels"), F.min("row").alias("r0"), F.max("row").alias("r1"), F.min("col").alias("c0"), F.max("col").alias("c1"), F.avg("row").alias("row_mean"), F.avg("col").alias("col_mean")).where(F.col("pixels") >= config.min_pixels)
-    pad, tile = config.grow_halfwidth_px, 256
-    fits = (F.col("r1") - F.col("r0") < largest) & (F.col("c1") - F.col("c0") < largest)
-    spread = blobs.where(fits).select("*", F.explode(F.sequence(F.floor((F.col("r0") - pad) / tile), F.floor((F.col("r1") + pad) / tile))).alias("tr")).withColumn("tc", F.explode(F.sequence(F.floor((F.col("c0") - pad) / tile), F.floor((F.col("c1") + pad) / tile))))
-    px = tested.select("scene_id", "row", "col", "value", "threshold").withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
-    around = px.join(spread.withColumn("scene_id", F.col("blob.scene_id")), ["scene_id", "tr", "tc"]).where(F.col("row").between(F.col("r0") - pad, F.col("r1") + pad) & F.col("col").between(F.col("c0") - pad, F.col("c1") + pad))
-    marked = around.join(hot.select("scene_id", "row", "col", F.col("blob").alias("own")), ["scene_id", "row", "col"], "left").withColumn("seed", F.coalesce(F.col("own") == F.col("blob"), F.lit(False)))
-
-    def one(f: pd.DataFrame) -> pd.DataFrame:
-        rows, cols = f["row"].to_numpy(), f["col"].to_numpy()
-        r, c = rows - rows.min(), cols - cols.min()
-        shape = (r.max() + 1, c.max() + 1)
-        value, threshold, seed = np.full(shape, -np.inf), np.full(shape, np.inf), np.zeros(shape, bool)
-        value[r, c], threshold[r, c], seed[r, c] = f["value"], f["threshold"], f["seed"]
-        lower = threshold * (config.k_grow / config.k)
-        region = grown(value, lower, seed)
-        sr, sc = np.nonzero(seed)
-        gr, gc = np.nonzero(seed if region is None else region)
-        length, width, dx, dy = smallest_rectangle(gr, gc)
-        box = (slice(sr.min(), sr.max() + 1), slice(sc.min(), sc.max() + 1))
-        limit = threshold[box][np.isfinite(threshold[box])].max()
-        return pd.DataFrame([(f["scene_id"].iloc[0], sr.mean() + 0.5 + rows.min(), sc.mean() + 0.5 + cols.min(), length, width, dx, dy, value[box].max() / max(limit, 1e-12), int(seed.sum()))], columns=[x.split()[0] for x in _MEASURED.split(", ")])
-
-    measured = marked.withColumn("scene_id", F.col("scene_id").cast("string")).groupBy("blob").applyInPandas(one, _MEASURED)
-    return measured.union(_measured_large(tested, hot, blobs.where(~fits), tile))
-
-
-def _measured_large(tested: DataFrame, hot: DataFrame, blobs: DataFrame, tile: int) -> DataFrame:
-    """Rows of ``_MEASURED`` for blobs of any size: the rectangle from the ends of each image row, the margin from the blob's box."""
-    tiles = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / tile), F.floor(F.col(b) / tile)))
-    boxes = blobs.withColumns({"scene_id": F.col("blob.scene_id"), "tr": tiles("r0", "r1")}).withColumn("tc", tiles("c0", "c1"))
-    px = tested.select("scene_id", "row", "col", "value", "threshold").withColumns({"tr": F.floor(F.col("row") / tile), "tc": F.floor(F.col("col") / tile)})
-    within = px.join(boxes, ["scene_id", "tr", "tc"]).where(F.col("row").between(F.col("r0"), F.col("r1")) & F.col("col").between(F.col("c0"), F.col("c1")))
-    finite = F.when(F.abs("threshold") < float("inf"), F.col("threshold"))
-    peaks = within.groupBy("blob").agg(F.max("value").alias("peak"), F.max(finite).alias("limit"))
-    ends = hot.join(blobs.select("blob"), "blob", "left_semi").groupBy("blob", "row").agg(F.min("col").alias("left"), F.max("col").alias("right"))
-
-    def rectangle(f: pd.DataFrame) -> pd.DataFrame:
-        rows = np.concatenate([f["row"], f["row"]])
-        size = smallest_rectangle(rows, np.concatenate([f["left"], f["right"]]))
-        first = f["blob"].iloc[0]
-        return pd.DataFrame([(str(first["scene_id"]), int(first["row"]), int(first["col"]), *size)], columns=["scene_id", "b_row", "b_col", "length_px", "width_px", "dx", "dy"])
-
-    # two points for each image row of a blob
-    sizes = ends.groupBy("blob").applyInPandas(rectangle, "scene_id string, b_row long, b_col long, length_px double, width_px double, dx double, dy double")
-    known = blobs.join(peaks, "blob").select(F.col("blob.scene_id").cast("string").alias("scene_id"), F.col("blob.row").alias("b_row"), F.col("blob.col").alias("b_col"), "row_mean", "col_mean", "peak", "limit", "pixels")
-    margin = F.col("peak") / F.greatest("limit", F.lit(1e-12))
-    return known.join(sizes, ["scene_id", "b_row", "b_col"]).select("scene_id", F.col("row_mean") + 0.5, F.col("col_mean") + 0.5, "length_px", "width_px", "dx", "dy", margin, F.col("pixels").cast("int"))
-
-
 # -- detections ---------------------------------------------------------------------------------
 
 def length_bands(blobs: DataFrame, config: Config = Config()) -> DataFrame:
@@ -408,9 +193,3 @@ def finalise(blobs: DataFrame, spacing_m: float, box: tuple[float, float, float,
         F.when(long, F.bround(heading, 1)).alias("heading_deg"), F.bround(F.least(F.lit(1.0), F.greatest(F.lit(0.0), to_db(F.col("margin")) / 10)), 3).alias("confidence"),
         F.col("row").alias("px_row"), F.col("col").alias("px_col"), F.bround(to_db(F.col("margin")), 2).alias("cfar_margin_db"), "fragments",
     )
-
-
-def detect(pixels: DataFrame, nesz: float | None = None, config: Config = Config()) -> DataFrame:
-    """Measured blobs of a raster: statistics, mask, thresholds, components, sizes."""
-    stats = block_stats(pixels, config.block, config.censor)
-    return measure(hot_pixels(pixels, stats, land_mask(pixels, config), nesz, config), config)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import catalog, evaluate, raster, report
+from ..operators import catalog, evaluate, radar, raster, report
 from ..sources import ais
 from . import derived as d
 from .derived import SQL_DETECTIONS, SQL_FOOTPRINTS, SQL_POSITIONS, read, sql_haversine
@@ -22,10 +22,10 @@ def _lattice(i: int, j: int) -> float:
 
 def calibration(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Backscatter, its decibels and the slant range of every line item; no gain, no backscatter."""
-    value = raster.sigma0(F.col("l_quantity"), F.col("l_discount"), F.round(F.col("l_tax") * 100))
-    range_m = raster.slant_range_m(F.col("l_extendedprice") / 1e9)
+    value = radar.sigma0(F.col("l_quantity"), F.col("l_discount"), F.round(F.col("l_tax") * 100))
+    range_m = radar.slant_range_m(F.col("l_extendedprice") / 1e9)
     # a null is no value: greatest() would read it as the floor
-    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(value, 9).alias("sigma0"), F.when(value.isNotNull(), F.round(raster.to_db(value), 6)).alias("db"), F.round(range_m, 3).alias("range_m"))
+    return read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(value, 9).alias("sigma0"), F.when(value.isNotNull(), F.round(radar.to_db(value), 6)).alias("db"), F.round(range_m, 3).alias("range_m"))
 
 
 def lattice_values(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,7 +36,7 @@ def lattice_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def land_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bright blocks opened and grown, and blocks with too little in them."""
-    config = raster.Config(land_block=8, land_sigma0_db=47.6, land_open_blocks=1, land_dilate_blocks=1, max_fill_fraction=0.98)
+    config = radar.Config(land_block=8, land_sigma0_db=47.6, land_open_blocks=1, land_dilate_blocks=1, max_fill_fraction=0.98)
     return raster.land_mask(_pixels(spark, sf_dir), config)
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import catalog, evaluate, raster
+from ..operators import catalog, evaluate, raster, tiles
+from ..operators.radar import Config
 from . import derived as d
 from .derived import SQL_DETECTIONS, SQL_FOOTPRINTS, read, sql_haversine
 
@@ -21,42 +22,62 @@ def _pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "lineitem").groupBy(*cell).agg((cents / 100.0).alias("value"), (F.sum(F.floor("l_quantity").cast("long")) % 13 != 0).alias("valid"))
 
 
+#: Pixels along a tile: 16 tiles a scene.
+_SIDE = 64
+
+
+def _tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiles.tile(_pixels(spark, sf_dir), _SIDE)
+
+
 def block_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = raster.block_mean(_pixels(spark, sf_dir), 32)
+    out = tiles.block_mean(_tiles(spark, sf_dir), 32, _SIDE)
     return out.select(*raster._BLOCK, F.round(F.col("mean") + _NO_TIE, 4).alias("mean"), F.round("fill", 6).alias("fill"))
 
 
 def block_stats_censored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = raster.block_stats(_pixels(spark, sf_dir), 32, 1.0)
+    out = tiles.block_stats(_tiles(spark, sf_dir), 32, 1.0, _SIDE)
     return out.select(*raster._BLOCK, F.round(F.col("mean") + _NO_TIE, 4).alias("mean"), F.round("std", 3).alias("std"), F.round("fill", 6).alias("fill"))
 
 
-def _tested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = _pixels(spark, sf_dir)
-    config = raster.Config(k=1.5, censor=1.0, land_sigma0_db=200.0, max_fill_fraction=1.1)
-    return raster.hot_pixels(px, raster.block_stats(px, 32, 1.0), raster.land_mask(px, config), 100.0, config)
+_CONFIG = Config(k=1.5, censor=1.0, k_grow=1.0, min_pixels=2, grow_halfwidth_px=4)
+_LAND = Config(k=1.5, censor=1.0, land_sigma0_db=47.6, land_open_blocks=1, land_dilate_blocks=1, max_fill_fraction=0.2)
+
+
+def _counts(tested: DataFrame) -> DataFrame:
+    return tested.groupBy("scene_id").agg(*(F.sum(c).alias(c) for c in tiles.COUNTS))
 
 
 def cfar_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.threshold_counts(_tested(spark, sf_dir))
+    return _counts(tiles.tested(_tiles(spark, sf_dir), None, 100.0, _CONFIG, _SIDE)).select("scene_id", "px_above_cfar", "px_above_floor", "px_hot")
+
+
+def cfar_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both tests over water only: the mask is left out of the statistics and of the pixels."""
+    source = tiles.written(_tiles(spark, sf_dir), "source")
+    return _counts(tiles.tested(source, tiles.land_mask(source, _LAND, _SIDE), 100.0, _LAND, _SIDE))
+
+
+def _flagged(spark: SparkSession, sf_dir: str, level: float) -> DataFrame:
+    return tiles.block_mean(_tiles(spark, sf_dir), 8, _SIDE).select(*raster._BLOCK, (F.col("mean") > level).alias("mask"))
 
 
 def dilate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = raster.block_mean(_pixels(spark, sf_dir), 8).select(*raster._BLOCK, (F.col("mean") > 60000).alias("mask"))
-    return raster.dilate(cells, 2)
+    return raster.dilate(_flagged(spark, sf_dir, 60000), 2)
 
 
 def erode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = raster.block_mean(_pixels(spark, sf_dir), 8).select(*raster._BLOCK, (F.col("mean") > 35000).alias("mask"))
-    return raster.erode(cells, 1)
+    return raster.erode(_flagged(spark, sf_dir, 35000), 1)
 
 
 def components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.label(_tested(spark, sf_dir).where("above_cfar")).select("scene_id", "row", "col", F.col("blob.row").alias("blob_row"), F.col("blob.col").alias("blob_col"))
+    out = tiles.labels(tiles.tested(_tiles(spark, sf_dir), None, None, _CONFIG, _SIDE), _SIDE)
+    return out.select("scene_id", "row", "col", F.col("blob.row").alias("blob_row"), F.col("blob.col").alias("blob_col"))
 
 
 def detect_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return raster.measure(_tested(spark, sf_dir), raster.Config(k=1.5, min_pixels=4, grow_halfwidth_px=4))
+    out = tiles.measure(tiles.tested(_tiles(spark, sf_dir), None, 100.0, _CONFIG, _SIDE), _CONFIG, _SIDE)
+    return out.select("scene_id", *(F.round(c, 6).alias(c) for c in ("row", "col", "length_px", "width_px", "dx", "dy", "margin")), "pixels")
 
 
 def single_link_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,21 +89,14 @@ def length_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raster.length_bands(d.detections(spark, sf_dir))
 
 
-def _on_land(spark: SparkSession, sf_dir: str, f: DataFrame) -> DataFrame:
+def on_land(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = d.footprints(spark, sf_dir)
     corner = lambda x, y: F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"))
     polygons = f.select(F.array(corner("min_lon", "min_lat"), corner("max_lon", "min_lat"), corner("max_lon", "max_lat"), corner("min_lon", "max_lat")).alias("ring"))
     points = d.detections(spark, sf_dir).select(F.col("detection_id").alias("id"), F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"))
     return raster.on_land(points, polygons).select("id")
 
 
-def on_land(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _on_land(spark, sf_dir, d.footprints(spark, sf_dir))
-
-
-def on_land_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _on_land(spark, sf_dir, d.footprints(spark, sf_dir))
-
-
 def scene_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = catalog.search(d.footprints(spark, sf_dir), _BOX, "2024-01-02", "2024-01-09")
     return found.select("scene_id", F.unix_micros("acquisition_time").alias("us"))
@@ -128,7 +142,7 @@ def greedy_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.compare(ours, _reference(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (block_mean, block_stats_censored, cfar_hot, dilate, erode, components, detect_blobs, single_link_merge, length_bands, on_land, on_land_all, scene_search, scene_rank, footprint_area, latest_run, scene_counts, table_counts, partition_check, greedy_pairing)}
+QUERIES = {f.__name__: f for f in (block_mean, block_stats_censored, cfar_hot, cfar_masked, dilate, erode, components, detect_blobs, single_link_merge, length_bands, on_land, scene_search, scene_rank, footprint_area, latest_run, scene_counts, table_counts, partition_check, greedy_pairing)}
 
 _PX = """px AS (SELECT l_returnflag AS scene_id, l_orderkey % 256 AS row, (l_partkey * 7 + l_linenumber) % 256 AS col, sum(floor(l_extendedprice * 100 + 0.5)::BIGINT) / 100.0::DOUBLE AS value,
     sum(floor(l_quantity)::BIGINT) % 13 <> 0 AS valid FROM lineitem GROUP BY 1, 2, 3)"""
@@ -137,10 +151,46 @@ _STATS = """b AS (SELECT *, CAST(row // 32 AS BIGINT) AS block_row, CAST(col //
   g AS (SELECT scene_id, block_row, block_col, count(*) AS n1, avg(value) AS m1, sqrt(greatest(sum(value * value) / count(*) - pow(sum(value) / count(*), 2), 0)) AS s1 FROM b JOIN f USING (scene_id, block_row, block_col) WHERE value <= m0 + 1.0 * s0 GROUP BY ALL),
   st AS (SELECT scene_id, block_row, block_col, CASE WHEN coalesce(n1, 0) < 128 THEN m0 ELSE m1 END AS mean, CASE WHEN coalesce(n1, 0) < 128 THEN s0 ELSE s1 END AS std, n0 / 1024.0::DOUBLE AS fill FROM f LEFT JOIN g USING (scene_id, block_row, block_col))"""
 _CELLS = "c AS (SELECT scene_id, CAST(row // 8 AS BIGINT) AS block_row, CAST(col // 8 AS BIGINT) AS block_col, coalesce(avg(value) FILTER (WHERE valid), 0) > %s AS m FROM px GROUP BY ALL)"
+_WALK = """walk AS (SELECT scene_id, row, col, row AS lr, col AS lc FROM hot
+    UNION SELECT n.scene_id, n.row, n.col, w.lr, w.lc FROM walk w JOIN hot n ON n.scene_id = w.scene_id AND n.row BETWEEN w.row - 1 AND w.row + 1 AND n.col BETWEEN w.col - 1 AND w.col + 1),
+  comp AS MATERIALIZED (SELECT scene_id, row, col, (l).r AS lr, (l).c AS lc FROM (SELECT scene_id, row, col, min(struct_pack(r := lr, c := lc)) AS l FROM walk GROUP BY 1, 2, 3))"""
 SQL = {
     "block_mean": f"WITH {_PX} SELECT scene_id, CAST(row // 32 AS BIGINT) AS block_row, CAST(col // 32 AS BIGINT) AS block_col, round(coalesce(avg(value) FILTER (WHERE valid), 0) + 0.0000123, 4) AS mean, round(count(*) FILTER (WHERE valid) / 1024.0::DOUBLE, 6) AS fill FROM px GROUP BY 1, 2, 3",
     "block_stats_censored": f"WITH {_PX}, {_STATS} SELECT scene_id, block_row, block_col, round(mean + 0.0000123, 4) AS mean, round(std, 3) AS std, round(fill, 6) AS fill FROM st",
     "cfar_hot": f"WITH {_PX}, {_STATS} SELECT scene_id, count(*) FILTER (WHERE value > mean + 1.5 * std) AS px_above_cfar, count(*) FILTER (WHERE value > 1000) AS px_above_floor, count(*) FILTER (WHERE value > mean + 1.5 * std AND value > 1000) AS px_hot FROM b JOIN st USING (scene_id, block_row, block_col) GROUP BY 1",
+    "cfar_masked": f"""WITH {_PX}, c AS (SELECT scene_id, CAST(row // 8 AS BIGINT) AS br, CAST(col // 8 AS BIGINT) AS bc, coalesce(avg(value) FILTER (WHERE valid), 0) > pow(10, 4.76::DOUBLE) AS m, count(*) FILTER (WHERE valid) < 0.8::DOUBLE * count(*) AS fill FROM px GROUP BY ALL),
+        e AS (SELECT c.*, m AND NOT EXISTS (SELECT 1 FROM c o WHERE NOT o.m AND o.scene_id = c.scene_id AND abs(o.br - c.br) + abs(o.bc - c.bc) <= 1) AS core FROM c),
+        land AS (SELECT scene_id, br, bc, fill OR EXISTS (SELECT 1 FROM e o WHERE o.core AND o.scene_id = e.scene_id AND abs(o.br - e.br) + abs(o.bc - e.bc) <= 2) AS masked FROM e),
+        w AS (SELECT px.*, masked, CAST(row // 32 AS BIGINT) AS block_row, CAST(col // 32 AS BIGINT) AS block_col FROM px JOIN land ON land.scene_id = px.scene_id AND br = row // 8 AND bc = col // 8),
+        f AS (SELECT scene_id, block_row, block_col, count(*) AS n0, avg(value) AS m0, sqrt(greatest(sum(value * value) / count(*) - pow(sum(value) / count(*), 2), 0)) AS s0 FROM w WHERE valid AND NOT masked GROUP BY ALL),
+        g AS (SELECT scene_id, block_row, block_col, count(*) AS n1, avg(value) AS m1, sqrt(greatest(sum(value * value) / count(*) - pow(sum(value) / count(*), 2), 0)) AS s1 FROM w JOIN f USING (scene_id, block_row, block_col) WHERE valid AND NOT masked AND value <= m0 + 1.0 * s0 GROUP BY ALL),
+        st AS (SELECT scene_id, block_row, block_col, CASE WHEN coalesce(n1, 0) < 128 THEN m0 ELSE m1 END AS mean, CASE WHEN coalesce(n1, 0) < 128 THEN s0 ELSE s1 END AS std FROM f LEFT JOIN g USING (scene_id, block_row, block_col))
+        SELECT scene_id, count(*) FILTER (WHERE valid) AS examined, count(*) FILTER (WHERE valid AND masked) AS masked, count(*) FILTER (WHERE valid AND NOT masked) AS water, count(*) FILTER (WHERE valid AND NOT masked AND value > mean + 1.5 * std) AS px_above_cfar,
+          count(*) FILTER (WHERE valid AND NOT masked AND value > 1000) AS px_above_floor, count(*) FILTER (WHERE valid AND NOT masked AND value > mean + 1.5 * std AND value > 1000) AS px_hot FROM w LEFT JOIN st USING (scene_id, block_row, block_col) GROUP BY 1""",
+    "components": f"""WITH RECURSIVE {_PX}, {_STATS}, hot AS MATERIALIZED (SELECT scene_id, row, col FROM b JOIN st USING (scene_id, block_row, block_col) WHERE value > mean + 1.5 * std), {_WALK}
+        SELECT scene_id, row, col, lr AS blob_row, lc AS blob_col FROM comp""",
+    # growth within the window of each blob, then the smallest rectangle over all directions between lattice points of its box
+    "detect_blobs": f"""WITH RECURSIVE {_PX}, {_STATS}, v AS MATERIALIZED (SELECT scene_id, row, col, value, mean + 1.5 * std AS thr FROM b JOIN st USING (scene_id, block_row, block_col)),
+        hot AS MATERIALIZED (SELECT scene_id, row, col FROM v WHERE value > thr AND value > 1000), {_WALK},
+        blobs AS MATERIALIZED (SELECT scene_id, lr, lc, count(*) AS n, avg(row) + 0.5 AS row, avg(col) + 0.5 AS col, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM comp GROUP BY 1, 2, 3 HAVING count(*) >= 2),
+        low AS MATERIALIZED (SELECT scene_id, row, col FROM v WHERE value > thr * (1.0::DOUBLE / 1.5::DOUBLE)),
+        grow AS (SELECT scene_id, lr, lc, row, col FROM comp JOIN low USING (scene_id, row, col) SEMI JOIN blobs USING (scene_id, lr, lc)
+          UNION SELECT g.scene_id, g.lr, g.lc, n.row, n.col FROM grow g JOIN blobs o ON o.scene_id = g.scene_id AND o.lr = g.lr AND o.lc = g.lc JOIN low n ON n.scene_id = g.scene_id AND n.row BETWEEN g.row - 1 AND g.row + 1 AND n.col BETWEEN g.col - 1 AND g.col + 1
+            WHERE n.row BETWEEN r0 - 4 AND r1 + 4 AND n.col BETWEEN c0 - 4 AND c1 + 4),
+        size AS (SELECT scene_id, lr, lc, count(*) AS grown FROM grow GROUP BY 1, 2, 3),
+        region AS (SELECT g.* FROM grow g JOIN size USING (scene_id, lr, lc) JOIN blobs USING (scene_id, lr, lc) WHERE grown >= n
+          UNION ALL SELECT c.scene_id, c.lr, c.lc, c.row, c.col FROM comp c JOIN blobs o ON o.scene_id = c.scene_id AND o.lr = c.lr AND o.lc = c.lc LEFT JOIN size s ON s.scene_id = c.scene_id AND s.lr = c.lr AND s.lc = c.lc WHERE coalesce(grown, 0) < n),
+        pts AS MATERIALIZED (SELECT DISTINCT scene_id, lr, lc, col + dx AS x, row + dy AS y FROM region, range(2) a(dx), range(2) e(dy)),
+        wide AS (SELECT scene_id, lr, lc, max(x) - min(x) AS w, max(y) - min(y) AS h FROM pts GROUP BY 1, 2, 3),
+        dirs AS (SELECT dx, dy FROM range(0, 64) a(dx), range(-63, 64) e(dy) WHERE gcd(dx, dy) = 1 AND (dx > 0 OR dy > 0)),
+        cast_ AS (SELECT scene_id, lr, lc, dx, dy, dx * dx + dy * dy AS nn, max(x * dx + y * dy) - min(x * dx + y * dy) AS along, max(y * dx - x * dy) - min(y * dx - x * dy) AS across
+          FROM pts JOIN wide USING (scene_id, lr, lc) JOIN dirs ON dx <= greatest(w, h) AND abs(dy) <= greatest(w, h) GROUP BY 1, 2, 3, 4, 5, 6),
+        cand AS (SELECT scene_id, lr, lc, nn, along, across, along AS long, across AS short, dx AS ux, dy AS uy FROM cast_ WHERE along >= across
+          UNION ALL SELECT scene_id, lr, lc, nn, along, across, across, along, CASE WHEN dy < 0 OR (dy = 0 AND dx < 0) THEN -dy WHEN dy = 0 THEN 0 ELSE dy END, CASE WHEN dy < 0 THEN dx WHEN dy = 0 THEN abs(dx) ELSE -dx END FROM cast_ WHERE across >= along),
+        best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY scene_id, lr, lc ORDER BY (along * across)::DOUBLE / nn, -(long * long)::DOUBLE / nn, abs(uy) / sqrt(nn), -uy) = 1),
+        peak AS (SELECT o.scene_id, o.lr, o.lc, max(value) AS top, max(thr) AS lim FROM blobs o JOIN v ON v.scene_id = o.scene_id AND v.row BETWEEN r0 AND r1 AND v.col BETWEEN c0 AND c1 GROUP BY 1, 2, 3)
+        SELECT scene_id, round(row, 6) AS row, round(col, 6) AS col, round(long / sqrt(nn), 6) AS length_px, round(short / sqrt(nn), 6) AS width_px, round(ux / sqrt(nn), 6) AS dx, round(uy / sqrt(nn), 6) AS dy, round(top / greatest(lim, 1e-12), 6) AS margin, n AS pixels
+        FROM blobs JOIN best USING (scene_id, lr, lc) JOIN peak USING (scene_id, lr, lc)""",
     "dilate": f"WITH {_PX}, {_CELLS % 60000} SELECT c.scene_id, c.block_row, c.block_col, EXISTS (SELECT 1 FROM c o WHERE o.m AND o.scene_id = c.scene_id AND abs(o.block_row - c.block_row) + abs(o.block_col - c.block_col) <= 2) AS mask FROM c",
     "erode": f"WITH {_PX}, {_CELLS % 35000} SELECT c.scene_id, c.block_row, c.block_col, NOT EXISTS (SELECT 1 FROM c o WHERE NOT o.m AND o.scene_id = c.scene_id AND abs(o.block_row - c.block_row) + abs(o.block_col - c.block_col) <= 1) AS mask FROM c",
     "single_link_merge": f"""WITH RECURSIVE {SQL_DETECTIONS}, near AS (SELECT a.detection_id AS a, b.detection_id AS b FROM detections a JOIN detections b USING (scene_id) WHERE abs(a.lat - b.lat) < 0.01 AND {sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 200),

@@ -12,7 +12,7 @@ import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.raster import SPEED_OF_LIGHT
+from ..operators.radar import SPEED_OF_LIGHT
 from ..schemas import REFERENCE_DETECTIONS
 
 SCENE_GLOB = "S1*_IW_GRDH_*.zip"
