@@ -152,3 +152,41 @@ def test_polygons_and_boxes(spark):
             geo.parse_box(bad)
     wkt = spark.range(1).select(geo.ring_area(geo.wkt_ring(F.lit(geo.box_wkt((0.0, 0.0, 2.0, 3.0)))))).first()[0]
     assert wkt == pytest.approx(6.0)
+
+
+def test_published_geodesics(spark):
+    """Test lines of Vincenty (1975) and of the Australian datum manual, to a millimetre."""
+    from tidewatch.functions import spheroid
+
+    dms = lambda d, m, s: (abs(d) + m / 60 + s / 3600) * (-1 if str(d).startswith("-") else 1)
+    lines = [  # ellipsoid, latitude, bearing, metres, longitude and latitude of the end
+        (spheroid.BESSEL, dms(55, 45, 0), dms(96, 36, 8.79960), 14110526.170, dms(108, 13, 0), dms(-33, 26, 0)),
+        (spheroid.INTERNATIONAL, dms(37, 19, 54.95367), dms(95, 27, 59.63089), 4085966.703, dms(41, 28, 35.50729), dms(26, 7, 42.83946)),
+        (spheroid.INTERNATIONAL, dms(35, 16, 11.24862), dms(15, 44, 23.74850), 8084823.839, dms(137, 47, 28.31435), dms(67, 22, 14.77638)),
+        (spheroid.WGS84, dms(-37, 57, 3.72030), dms(306, 52, 5.37), 54972.271, dms(143, 55, 35.38390) - dms(144, 25, 29.52440), dms(-37, 39, 10.15610)),
+    ]
+    for on, lat, bearing, metres, lon2, lat2 in lines:
+        v = lambda x: F.lit(float(x))
+        lon3, lat3 = spheroid.destination(v(0), v(lat), v(metres), v(bearing), on)
+        r = spark.range(1).select(spheroid.distance_m(v(0), v(lat), v(lon2), v(lat2), on), lon3, lat3).first()
+        assert abs(r[0] - metres) < 0.0015 and abs(r[1] - lon2) < 5e-7 and abs(r[2] - lat2) < 5e-7
+        back_lon, back_lat = spheroid.destination(v(7), v(lat), v(-metres / 10), v(bearing), on)
+        assert abs(spark.range(1).select(back_lon.alias("x"), back_lat.alias("y")).select(spheroid.distance_m(v(7), v(lat), F.col("x"), F.col("y"), on)).first()[0] - metres / 10) < 1e-5
+    ends = [(0.0, 0.0, 0.0, 0.0, 0.0), (10.0, 0.0, 11.0, 0.0, 111319.491), (0.0, 0.0, 0.0, 1.0, 110574.389), (0.0, 90.0, 77.0, 90.0, 0.0)]
+    df = spark.createDataFrame(ends, "a double, b double, c double, d double, m double")
+    assert all(abs(r.m - r.got) < 0.002 for r in df.withColumn("got", spheroid.distance_m(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).collect())
+    over, beside = (spark.range(1).select(spheroid.distance_m(F.lit(a), F.lit(10.0), F.lit(b), F.lit(11.0))).first()[0] for a, b in ((179.5, -179.5), (20.0, 21.0)))
+    assert abs(over - beside) < 1e-6  # over the date line
+    opposite = spark.range(1).select(spheroid.distance_m(F.lit(0.0), F.lit(0.0), F.lit(179.9), F.lit(0.1))).first()[0]
+    assert 19.9e6 < opposite < 20.1e6
+
+
+def test_metric_at_the_edge_of_the_radius(spark):
+    """North-south at 56 degrees the ellipsoid is longer than the sphere: 500 m of one is not 500 m of the other."""
+    from tidewatch.functions import spheroid
+
+    one = spark.createDataFrame([("s", 11.0, 56.0)], "scene_id string, lon double, lat double")
+    for metres, sphere, ellipsoid in ((498.5, 1, 1), (499.9, 1, 1), (500.5, 1, 0), (501.5, 0, 0)):
+        lon, lat = spheroid.destination(F.col("lon"), F.col("lat"), F.lit(metres), F.lit(0.0))
+        other = one.select("scene_id", lon.alias("t_lon"), lat.alias("t_lat"))
+        assert [match.spatial_range_join(one, other, 500.0, ["scene_id"], m).count() for m in ("sphere", "ellipsoid")] == [sphere, ellipsoid]

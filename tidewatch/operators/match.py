@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, spheroid
 
 RADIUS_M, PREFILTER_M = 500.0, 2000.0
 
@@ -68,32 +68,40 @@ def truth(bracketed: DataFrame) -> DataFrame:
     return out.drop(*dropped).withColumnsRenamed({"true_lat": "lat", "true_lon": "lon", "true_sog": "sog_ms", "true_cog": "cog_deg"})
 
 
-def spatial_range_join(left: DataFrame, right: DataFrame, reach_m: float, keys: list[str]) -> DataFrame:
+#: distance, destination, and how much wider cells have to be than on the sphere they are laid out on.
+METRICS = {"sphere": (geo.haversine_m, geo.destination, 1.0), "ellipsoid": (spheroid.distance_m, spheroid.destination, 1.006)}
+
+
+def spatial_range_join(left: DataFrame, right: DataFrame, reach_m: float, keys: list[str], metric: str = "sphere") -> DataFrame:
     """Pairs of equal keys with at most ``reach_m`` between (lon, lat) of ``left`` and (t_lon, t_lat) of ``right``.
 
     By equality of grid cells: a point of ``right`` is sent to the cells around it, one of ``left``
     to its own, so that a pair meets once; then the exact distance.
     """
-    a = left.withColumn("_cell", geo.cell(F.col("lon"), F.col("lat"), reach_m))
-    b = right.withColumn("_cell", F.explode(geo.cells_around(F.col("t_lon"), F.col("t_lat"), reach_m)))
-    distance = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat"))
-    return a.join(b, [*keys, "_cell"]).where(distance <= reach_m).drop("_cell")
+    measure, _, wider = METRICS[metric]
+    a = left.withColumn("_cell", geo.cell(F.col("lon"), F.col("lat"), reach_m * wider))
+    b = right.withColumn("_cell", F.explode(geo.cells_around(F.col("t_lon"), F.col("t_lat"), reach_m * wider)))
+    ends = F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat")
+    near = measure(*ends) <= reach_m
+    # the cheap distance first, where the other one is dear
+    return a.join(b, [*keys, "_cell"]).where(near if metric == "sphere" else (geo.haversine_m(*ends) <= reach_m * wider) & near).drop("_cell")
 
 
-def candidates(detections: DataFrame, vessels: DataFrame, radius_m: float = RADIUS_M, correct: bool = True, prefilter_m: float = PREFILTER_M) -> DataFrame:
-    """All pairs within the radius after the shift, with both distances.
+def candidates(detections: DataFrame, vessels: DataFrame, radius_m: float = RADIUS_M, correct: bool = True, prefilter_m: float = PREFILTER_M, metric: str = "sphere") -> DataFrame:
+    """All pairs within the radius after the shift, with both distances, on the sphere or the ellipsoid.
 
     The true position must lie within radius + prefilter, which limits the shift that can be
     recovered. The shift takes the detection's own incidence_deg and r_over_v_s.
     """
     there = vessels.withColumnsRenamed({"lat": "t_lat", "lon": "t_lon"})
-    pairs = spatial_range_join(detections, there, radius_m + prefilter_m, ["scene_id"])
+    measure, project, _ = METRICS[metric]
+    pairs = spatial_range_join(detections, there, radius_m + prefilter_m, ["scene_id"], metric)
     shift = geo.azimuth_shift_m(F.col("sog_ms"), F.col("cog_deg"), F.col("range_bearing_deg"), F.col("incidence_deg"), F.col("r_over_v_s")) if correct else F.lit(0.0)
     pairs = pairs.withColumn("azimuth_shift_m", shift)
-    a_lon, a_lat = geo.destination(F.col("t_lon"), F.col("t_lat"), F.col("azimuth_shift_m"), F.col("azimuth_bearing_deg"))
+    a_lon, a_lat = project(F.col("t_lon"), F.col("t_lat"), F.col("azimuth_shift_m"), F.col("azimuth_bearing_deg"))
     pairs = pairs.withColumns({"apparent_lon": a_lon, "apparent_lat": a_lat})
-    pairs = pairs.withColumn("distance_m", geo.haversine_m(F.col("lon"), F.col("lat"), F.col("apparent_lon"), F.col("apparent_lat")))
-    return pairs.where(F.col("distance_m") <= radius_m).withColumn("distance_uncorrected_m", geo.haversine_m(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat")))
+    pairs = pairs.withColumn("distance_m", measure(F.col("lon"), F.col("lat"), F.col("apparent_lon"), F.col("apparent_lat")))
+    return pairs.where(F.col("distance_m") <= radius_m).withColumn("distance_uncorrected_m", measure(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat")))
 
 
 def nearest(pairs: DataFrame, k: int = 1) -> DataFrame:
@@ -102,11 +110,11 @@ def nearest(pairs: DataFrame, k: int = 1) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k)
 
 
-def match(positions: DataFrame, scenes: DataFrame, detections: DataFrame, window_s: float, radius_m: float = RADIUS_M, correct: bool = True) -> DataFrame:
+def match(positions: DataFrame, scenes: DataFrame, detections: DataFrame, window_s: float, radius_m: float = RADIUS_M, correct: bool = True, metric: str = "sphere") -> DataFrame:
     """Every detection once, with its vessel or as ``dark``. A vessel may match several detections."""
     vessels = truth(bracket(positions, scenes, window_s))
     picked = ["mmsi", "distance_m", "distance_uncorrected_m", "azimuth_shift_m", "sog_ms", F.col("report_gap_s").alias("time_delta_s"), "is_ground_truth"]
-    best = nearest(candidates(detections, vessels, radius_m, correct)).select("detection_id", *picked)
+    best = nearest(candidates(detections, vessels, radius_m, correct, metric=metric)).select("detection_id", *picked)
     out = detections.join(best, "detection_id", "left")
     return out.withColumn("source_is_ground_truth", F.coalesce("is_ground_truth", F.lit(False))).withColumn("status", F.when(F.col("mmsi").isNull(), "dark").otherwise("matched")).drop("is_ground_truth")
 

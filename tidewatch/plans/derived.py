@@ -127,3 +127,61 @@ pairs AS (
   SELECT * FROM (SELECT *, {sql_haversine("lon", "lat", "a_lon", "a_lat")} AS d1 FROM moved) WHERE d1 <= {radius}),
 best AS (
   SELECT * FROM pairs QUALIFY row_number() OVER (PARTITION BY detection_id ORDER BY d1, mmsi) = 1)"""
+
+
+_A, _F = "6378137.0::DOUBLE", "(1 / 298.257223563::DOUBLE)"
+_B = f"({_A} * (1 - {_F}))"
+_E2 = f"(({_A} * {_A} - {_B} * {_B}) / ({_B} * {_B}))"
+
+
+def _sql_series(cos2: str) -> tuple[str, str]:
+    u = f"({cos2} * {_E2})"
+    return f"(1 + {u} / 16384 * (4096 + {u} * (-768 + {u} * (320 - 175 * {u}))))", f"({u} / 1024 * (256 + {u} * (-128 + {u} * (74 - 47 * {u}))))"
+
+
+def _sql_correction(b: str, sin_s: str, cos_s: str, mid: str) -> str:
+    return f"({b} * {sin_s} * ({mid} + {b} / 4 * ({cos_s} * (-1 + 2 * {mid} * {mid}) - {b} / 6 * {mid} * (-3 + 4 * {sin_s} * {sin_s}) * (-3 + 4 * {mid} * {mid}))))"
+
+
+def sql_geodesic(source: str, out: str, column: str, lon1: str, lat1: str, lon2: str, lat2: str, times: int = 10) -> str:
+    """CTEs that add ``column``, the length of the geodesic, to the rows of ``source``, as the CTE ``out``; one CTE for each iteration."""
+    arc = """sqrt(pow(_c2 * sin(_l), 2) + pow(_c1 * _s2 - _s1 * _c2 * cos(_l), 2)) AS _ss, _s1 * _s2 + _c1 * _c2 * cos(_l) AS _cs, atan2(_ss, _cs) AS _sg, coalesce(_c1 * _c2 * sin(_l) / nullif(_ss, 0), 0) AS _sa, 1 - _sa * _sa AS _k, coalesce(_cs - 2 * _s1 * _s2 / nullif(_k, 0), 0) AS _m"""
+    c = f"({_F} / 16 * _k * (4 + {_F} * (4 - 3 * _k)))"
+    own = "_u1, _u2, _s1, _c1, _s2, _c2, _ll, _l, _moved"
+    ctes = [f"{out}_0 AS (SELECT *, atan((1 - {_F}) * tan(radians({lat1}))) AS _u1, atan((1 - {_F}) * tan(radians({lat2}))) AS _u2, sin(_u1) AS _s1, cos(_u1) AS _c1, sin(_u2) AS _s2, cos(_u2) AS _c2, radians((({lon2}) - ({lon1}) + 900) % 360 - 180) AS _ll, _ll AS _l, 1.0::DOUBLE AS _moved FROM {source})"]
+    for k in range(times):
+        ctes.append(f"{out}_{k + 1} AS (SELECT * EXCLUDE (_l, _moved, _n, _ss, _cs, _sg, _sa, _k, _m), _n AS _l, abs(_n - _l) AS _moved FROM (SELECT *, {arc}, _ll + (1 - {c}) * {_F} * _sa * (_sg + {c} * _ss * (_m + {c} * _cs * (-1 + 2 * _m * _m))) AS _n FROM {out}_{k}))")
+    big, small = _sql_series("_k")
+    ctes.append(f"{out} AS (SELECT * EXCLUDE ({own}, _ss, _cs, _sg, _sa, _k, _m), CASE WHEN _moved <= 1e-11 AND abs(_l) <= pi() THEN {_B} * {big} * (_sg - {_sql_correction(small, '_ss', '_cs', '_m')}) ELSE {sql_haversine(lon1, lat1, lon2, lat2)} END AS {column} FROM (SELECT *, {arc} FROM {out}_{times}))")
+    return ", ".join(ctes)
+
+
+def sql_destination(source: str, out: str, lon: str, lat: str, metres: str, bearing: str, out_lon: str, out_lat: str, times: int = 10) -> str:
+    """CTEs that add the end of a geodesic to the rows of ``source``, as the CTE ``out``."""
+    big, small = _sql_series("_k")
+    ctes = [f"{out}_0 AS (SELECT *, (1 - {_F}) * tan(radians({lat})) AS _t, 1 / sqrt(1 + _t * _t) AS _cu, _t * _cu AS _su, radians({bearing}) AS _az, atan2(_t, cos(_az)) AS _s1, _cu * sin(_az) AS _sa, 1 - _sa * _sa AS _k, ({metres}) / ({_B} * {big}) AS _w, {small} AS _b, _w AS _s FROM {source})"]
+    for k in range(times):
+        ctes.append(f"{out}_{k + 1} AS (SELECT * REPLACE (_w + {_sql_correction('_b', 'sin(_s)', 'cos(_s)', 'cos(2 * _s1 + _s)')} AS _s) FROM {out}_{k})")
+    c = f"({_F} / 16 * _k * (4 + {_F} * (4 - 3 * _k)))"
+    lam = "atan2(sin(_s) * sin(_az), _cu * cos(_s) - _su * sin(_s) * cos(_az))"
+    mid = "cos(2 * _s1 + _s)"
+    ctes.append(f"""{out} AS (SELECT * EXCLUDE (_t, _cu, _su, _az, _s1, _sa, _k, _w, _b, _s), (({lon}) + degrees({lam} - (1 - {c}) * {_F} * _sa * (_s + {c} * sin(_s) * ({mid} + {c} * cos(_s) * (-1 + 2 * {mid} * {mid})))) + 900) % 360 - 180 AS {out_lon},
+      degrees(atan2(_su * cos(_s) + _cu * sin(_s) * cos(_az), (1 - {_F}) * sqrt(_sa * _sa + pow(_su * sin(_s) - _cu * cos(_s) * cos(_az), 2)))) AS {out_lat} FROM {out}_{times})""")
+    return ", ".join(ctes)
+
+
+def sql_pairs_ellipsoid(radius: float = 500.0) -> str:
+    """As ``sql_pairs``, with distances and ends on the ellipsoid."""
+    shift = "CASE WHEN t.cog_deg IS NOT NULL THEN -d.r_over_v_s * t.sog_ms * cos(radians(t.cog_deg - t.range_bearing_deg)) * sin(radians(d.incidence_deg)) ELSE 0.0 END"
+    near = sql_haversine("d.lon", "d.lat", "t.lon", "t.lat")
+    return f"""
+{SQL_DETECTIONS.strip()},
+close AS MATERIALIZED (
+  SELECT d.detection_id, d.scene_id, d.lon, d.lat, t.mmsi, t.lon AS t_lon, t.lat AS t_lat, t.is_ground_truth, t.report_gap_s, t.sog_ms, t.azimuth_bearing_deg AS ab, {shift} AS shift
+  FROM detections d JOIN truth t USING (scene_id) WHERE {near} <= {1.006 * (radius + 2000)}),
+{sql_geodesic("close", "g", "d0", "lon", "lat", "t_lon", "t_lat")},
+shifted AS MATERIALIZED (SELECT * FROM g WHERE d0 <= {radius + 2000}),
+{sql_destination("shifted", "moved", "t_lon", "t_lat", "shift", "ab", "a_lon", "a_lat")},
+{sql_geodesic("moved", "h", "d1", "lon", "lat", "a_lon", "a_lat")},
+best AS (
+  SELECT * FROM h WHERE d1 <= {radius} QUALIFY row_number() OVER (PARTITION BY detection_id ORDER BY d1, mmsi) = 1)"""

@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import geo
+from ..functions import geo, spheroid
 from ..operators import evaluate, match
 from ..sources import ais
 from . import derived as d
-from .derived import SQL_DETECTIONS, SQL_POSITIONS, SQL_SCENES, SQL_TRUTH, WINDOW_S, sql_haversine, sql_pairs
+from .derived import SQL_DETECTIONS, SQL_POSITIONS, SQL_SCENES, SQL_TRUTH, WINDOW_S, sql_destination, sql_geodesic, sql_haversine, sql_pairs, sql_pairs_ellipsoid
 
 _BOX = (10.6, 55.4, 12.0, 56.2)
 
@@ -35,6 +35,19 @@ def match_no_correction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(_match(spark, sf_dir, correct=False))
 
 
+def dark_match_ellipsoid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(match.match(d.positions(spark, sf_dir), d.scenes(spark), d.detections(spark, sf_dir), WINDOW_S, metric="ellipsoid"))
+
+
+def geodesics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lengths and ends of geodesics all over the globe."""
+    k, a, b = F.col("c_custkey"), F.col("c_acctbal"), F.col("c_nationkey")
+    lon1, lat1, lon2, lat2 = (k % 360 - 180).cast("double"), (k % 170 - 85).cast("double"), (b * 7 - 80).cast("double"), (F.pmod(F.floor(a), F.lit(160)) - 80).cast("double")
+    lon3, lat3 = spheroid.destination(lon1, lat1, a * 100, lat2 * 2)
+    rows = d.read(spark, sf_dir, "customer").select("c_custkey", F.round(spheroid.distance_m(lon1, lat1, lon2, lat2), 3).alias("distance_m"), F.round(lon3, 8).alias("end_lon"), F.round(lat3, 8).alias("end_lat"))
+    return rows
+
+
 def bracket_interpolate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _vessels(spark, sf_dir).select("scene_id", "mmsi", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("sog_ms", 4).alias("sog_ms"), F.round("cog_deg", 3).alias("cog_deg"), F.round("report_gap_s", 3).alias("report_gap_s"))
 
@@ -132,7 +145,7 @@ def tiles_for(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select("scene_id", F.explode(tiles).alias("t")).select("scene_id", "t.x", "t.y")
 
 
-QUERIES = {f.__name__: f for f in (dark_match, match_no_correction, bracket_interpolate, match_summary, nearest_topk, feed_by_source, feed_combined, ais_dedup, ais_window_bbox, ais_counts, ais_clean, distance_bands, shift_quantiles, length_corr, empirical_cdf, geodesy_vectors, tile_index, tiles_for)}
+QUERIES = {f.__name__: f for f in (dark_match, dark_match_ellipsoid, geodesics, match_no_correction, bracket_interpolate, match_summary, nearest_topk, feed_by_source, feed_combined, ais_dedup, ais_window_bbox, ais_counts, ais_clean, distance_bands, shift_quantiles, length_corr, empirical_cdf, geodesy_vectors, tile_index, tiles_for)}
 
 _FINAL = """SELECT d.detection_id, d.scene_id, b.mmsi, round(b.d1, 3) AS distance_m, round(b.d0, 3) AS distance_uncorrected_m, round(b.shift, 3) + 0.0 AS azimuth_shift_m,
   round(b.report_gap_s, 3) AS time_delta_s, coalesce(b.is_ground_truth, false) AS source_is_ground_truth, CASE WHEN b.mmsi IS NULL THEN 'dark' ELSE 'matched' END AS status
@@ -145,6 +158,10 @@ _GEO = """WITH v AS (SELECT c_custkey, CAST(c_custkey % 360 - 180 AS DOUBLE) AS
   x AS (SELECT *, asin(least(1.0, greatest(-1.0, sin(radians(lat1)) * cos(dr) + cos(radians(lat1)) * sin(dr) * cos(b)))) AS p2 FROM w)"""
 SQL = {
     "dark_match": f"WITH {SQL_TRUTH}, {sql_pairs()} {_FINAL}",
+    "dark_match_ellipsoid": f"WITH {SQL_TRUTH}, {sql_pairs_ellipsoid()} {_FINAL}",
+    "geodesics": f"""WITH v AS (SELECT c_custkey, CAST(c_custkey % 360 - 180 AS DOUBLE) AS lon1, CAST(c_custkey % 170 - 85 AS DOUBLE) AS lat1, CAST(c_nationkey * 7 - 80 AS DOUBLE) AS lon2,
+        CAST(((floor(c_acctbal)::BIGINT % 160) + 160) % 160 - 80 AS DOUBLE) AS lat2, c_acctbal * 100 AS m FROM customer), {sql_geodesic("v", "g", "m1", "lon1", "lat1", "lon2", "lat2")}, {sql_destination("g", "p", "lon1", "lat1", "m", "lat2 * 2", "lon3", "lat3")}
+        SELECT c_custkey, round(m1, 3) AS distance_m, round(lon3, 8) AS end_lon, round(lat3, 8) AS end_lat FROM p""",
     "match_no_correction": f"WITH {SQL_TRUTH}, {sql_pairs(False)} {_FINAL}",
     "bracket_interpolate": f"WITH {SQL_TRUTH} SELECT scene_id, mmsi, round(lat, 6) AS lat, round(lon, 6) AS lon, round(sog_ms, 4) AS sog_ms, round(cog_deg, 3) AS cog_deg, round(report_gap_s, 3) AS report_gap_s FROM truth",
     "match_summary": f"""WITH {SQL_TRUTH}, {sql_pairs()} SELECT d.scene_id, count(*) AS detections, count(b.mmsi) AS matched, count(*) - count(b.mmsi) AS dark,
