@@ -109,6 +109,13 @@ def test_vectors(spark):
     assert {int(r.chunk_id[1:]) for r in only} == {k for k in range(200) if k % 2 and k % 3 == 0 and score[k] >= 0}
     batch = vectors.top_k_batch(df, x[:3], [0, 1, 2], 4, "chunk_id").where("query_id = 2").orderBy("rank").collect()
     assert [r.chunk_id for r in batch] == [f"c{k:03d}" for k in np.argsort(-(unit @ unit[2]))[:4]]
+    zero = df.union(spark.createDataFrame([("zero", [0.0] * 8, "de", ["a"]), ("null", None, "de", ["a"])], df.schema)).repartition(3)
+    joined = vectors.top_k_join(zero, df.where("chunk_id < 'c007'"), 4, "chunk_id", query_id="chunk_id", query_rows=3, vector_rows=16).collect()
+    for j in range(7):
+        best = sorted((r["rank"], r.chunk_id, r.score) for r in joined if r.query_id == f"c{j:03d}")
+        order = np.argsort(-(unit @ unit[j]))[:4]
+        assert [b[1] for b in best] == [f"c{k:03d}" for k in order] and [b[2] for b in best] == pytest.approx((unit @ unit[j])[order], abs=1e-6)
+    assert vectors.top_k_join(df, df.where("false"), 4, "chunk_id", query_id="chunk_id").count() == 0
     assert {r.value: r.n for r in vectors.facets(df, "aoi").collect()} == {"a": 133, "b": 133, "c": 67}
     made = vectors.embedded(spark.createDataFrame([("a b b",), (None,)], "text string"), vectors.HashingEmbedder(16)).collect()
     assert sum(made[0].embedding) == 3 and sum(made[1].embedding) == 0

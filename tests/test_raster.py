@@ -298,3 +298,38 @@ def test_merge_by_cells_links_what_pairs_would(spark):
         groups.setdefault(x, []).append(p)
     want = sorted((min(g, key=lambda p: (-p[4], p[1]))[1], len(g)) for g in groups.values())
     assert sorted((r.id, r.fragments) for r in raster.merge_fragments(df, 200.0).collect()) == want
+
+
+def test_quantiles_by_rank(spark):
+    rng = np.random.default_rng(8)
+    rows = [(g, None if k % 11 == 0 else float(np.round(rng.normal(), 1))) for g, n in (("hot", 900), ("b", 7), ("one", 1), (None, 40)) for k in range(1, n + 1)] + [("void", None)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(5)
+    got = {r.g: r for r in evaluate.quantiles(df, "v", "g").collect()}
+    for g in {r[0] for r in rows}:
+        v = [x for h, x in rows if h == g and x is not None]
+        assert got[g].n == len(v)
+        want = [np.percentile(v, p) for p in (50, 90, 100)] if v else [None] * 3
+        assert [got[g].median, got[g].p90, got[g].max] == (pytest.approx(want) if v else want)
+    whole = [x for _, x in rows if x is not None]
+    assert evaluate.quantiles(df, "v").first()[:2] == (len(whole), pytest.approx(np.median(whole)))
+    ties = evaluate.cdf(df.where("g = 'hot'").withColumn("t", F.monotonically_increasing_id()), "v", "t", "g")
+    assert sorted(round(r.percent * 9) for r in ties.collect()) == list(range(1, 901)) and ties.columns == ["g", "v", "t", "percent"]
+    assert evaluate.quantiles(df.where("false"), "v", "g").count() == 0
+
+
+def test_nearest_without_radius(spark):
+    rng = np.random.default_rng(9)
+    left = [(k, "ab"[k % 2], float(rng.uniform(-180, 180)), float(rng.uniform(-89, 89))) for k in range(80)] + [(100, "a", 179.99, 10.0), (101, "none", 0.0, 0.0), (102, "a", None, 1.0), (103, "b", 0.0, 90.0)]
+    right = [("ab"[k % 2], float(rng.uniform(-180, 180)), float(rng.uniform(-89, 89))) for k in range(12)] + [("a", -179.99, 10.0), ("c", 0.0, 0.0), ("a", None, 0.0)]
+    ours, theirs = spark.createDataFrame(left, "id long, scene_id string, lon double, lat double"), spark.createDataFrame(right + right, "scene_id string, t_lon double, t_lat double")
+
+    def far(a, b):
+        la, lb, dl = np.radians(a[1]), np.radians(b[1]), np.radians(b[0] - a[0])
+        h = np.sin((lb - la) / 2) ** 2 + np.cos(la) * np.cos(lb) * np.sin(dl / 2) ** 2
+        return 2 * 6_371_008.8 * np.arcsin(np.sqrt(h))
+
+    got = {r.id: r.nearest_m for r in evaluate.nearest_join(ours, theirs, ["scene_id"]).collect()}
+    for i, s, lon, lat in left:
+        want = min((far((lon, lat), r[1:]) for r in right if r[0] == s and None not in r), default=None) if lon is not None else None
+        assert got[i] == (want if want is None else pytest.approx(want, abs=1e-3))
+    assert {r.nearest_m for r in evaluate.nearest_join(ours, theirs.where("false"), ["scene_id"]).collect()} == {None}

@@ -150,3 +150,64 @@ def test_archives(spark, tmp_path):
         assert {r.path: r.refusal for r in got.collect()} == want, name
     late = manifest.verify_archive(spark, archive(tmp_path / "late.tar", entries, good, first=False))
     assert late.first().refusal == "manifest_not_first"
+
+
+BIG = (2 << 30) + 12_345
+
+
+def test_tar_over_two_gigabytes(spark, tmp_path):
+    """A sparse member of over 2 GB, and the same archive cut off within it; workers get no more than 64 MB of either."""
+    zeros, block = hashlib.sha256(), bytes(1 << 20)
+    for _ in range(BIG >> 20):
+        zeros.update(block)
+    zeros.update(bytes(BIG & (1 << 20) - 1))
+    listed = json.dumps({"entries": [{"path": "big.bin", "bytes": BIG, "sha256": zeros.hexdigest(), "kind": "data"}, {"path": "end.txt", "bytes": 3, "sha256": hashlib.sha256(b"end").hexdigest(), "kind": "data"}]}).encode()
+
+    def write(path, whole):
+        with open(path, "wb") as f:
+            for name, data, size in (("manifest.json", listed, len(listed)), ("big.bin", b"", BIG), ("end.txt", b"end", 3)):
+                info = tarfile.TarInfo(name)
+                info.size = size
+                f.write(info.tobuf())
+                f.write(data)
+                f.seek(f.tell() + size - len(data) + -size % 512)
+                if name == "big.bin" and not whole:
+                    f.truncate(f.tell() - (1 << 20))
+                    return
+            f.truncate(f.tell() + 1024)
+
+    write(tmp_path / "whole.tar", True)
+    write(tmp_path / "cut.tar", False)
+    assert manifest.verify_archive(spark, str(tmp_path / "whole.tar")).collect() == []
+    assert [tuple(r) for r in manifest.verify_archive(spark, str(tmp_path / "cut.tar")).collect()] == [("big.bin", "truncated")]
+    sizes = {r.path: r.bytes for r in manifest.members(spark, str(tmp_path / "whole.tar")).collect()}
+    assert sizes == {"manifest.json": len(listed), "big.bin": BIG, "end.txt": 3}
+
+
+def test_zip_over_two_gigabytes(spark, tmp_path):
+    """What stands before the zip's first member makes the file large, and is never read."""
+    with open(tmp_path / "large.zip", "wb") as f:
+        f.seek(BIG)
+        with zipfile.ZipFile(f, "w") as z:
+            z.writestr("day.csv", "# head\n" + ",".join(f"f{k}" for k in range(26)) + "\n")
+    assert (tmp_path / "large.zip").stat().st_size > BIG
+    assert [tuple(r) for r in ais.read_zip(spark, str(tmp_path / "large.zip")).collect()] == [tuple(f"f{k}" for k in range(26))]
+
+
+def test_empty_and_broken_archives(spark, tmp_path):
+    (tmp_path / "none.tar").write_bytes(b"")
+    with tarfile.open(tmp_path / "no_members.tar", "w"):
+        pass
+    (tmp_path / "junk.tar").write_bytes(b"no archive at all" * 100)
+    got = {n: [r.refusal for r in manifest.verify_archive(spark, str(tmp_path / f"{n}.tar")).collect()] for n in ("none", "no_members", "junk")}
+    assert got == dict.fromkeys(got, ["manifest_not_first"])
+
+
+def test_slice_is_written_with_its_counts(spark, day, tmp_path):
+    window = datetime(2026, 7, 17, 5, 12), datetime(2026, 7, 17, 5, 34)
+    for _ in range(2):  # the second time it is replaced
+        kept, scanned = ais.write_slice(spark, f"{day}/day.csv", str(tmp_path / "slice"), BOX, *window)
+    lines = sorted(r.value for r in spark.read.text(str(tmp_path / "slice")).collect())
+    assert lines == sorted(r.value for r in ais.slice_day(spark, f"{day}/day.csv", BOX, *window).collect())
+    assert (kept, scanned) == (len(lines), spark.read.text(f"{day}/day.csv").count()) and 0 < kept < scanned
+    assert not (tmp_path / "slice.part").exists()

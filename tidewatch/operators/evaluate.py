@@ -3,15 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import geo
-from .graph import components
+from . import ranks
+from .graph import components, cut, drop, shared_folder
 from .match import spatial_range_join
 
 #: Upper edges, in metres; a distance counts below its edge.
@@ -45,9 +47,8 @@ def fullest(theirs: DataFrame, granule: str = "granule_id") -> DataFrame:
 
 
 def quantiles(df: DataFrame, value: str, *by: str) -> DataFrame:
-    """Exact median, 90th percentile (linear between ranks) and maximum."""
-    v = F.col(value)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.percentile(v, F.lit(0.5)).alias("median"), F.percentile(v, F.lit(0.9)).alias("p90"), F.max(v).alias("max"))
+    """Exact median, 90th percentile (linear between ranks) and maximum, by picking ranks: no task holds a group."""
+    return ranks.quantiles(df, value, list(by), {"median": 0.5, "p90": 0.9, "max": 1.0})
 
 
 def agreement(df: DataFrame, a: str, b: str, *by: str, least: int = 5) -> DataFrame:
@@ -60,9 +61,8 @@ def agreement(df: DataFrame, a: str, b: str, *by: str, least: int = 5) -> DataFr
 
 def cdf(df: DataFrame, value: str, tie: str, *by: str) -> DataFrame:
     """Percent of the group's rows up to and with each row, in order of value."""
-    group = Window.partitionBy(*by)
-    return df.withColumn("percent", 100.0 * F.row_number().over(group.orderBy(value, tie)) / F.count(F.lit(1)).over(group))
-
+    ranked = ranks.numbered_within(df, list(by), [F.col(value), F.col(tie)], "_rank", "_size")
+    return ranked.withColumn("percent", 100.0 * F.col("_rank") / F.col("_size")).drop("_rank", "_size")
 
 
 def partition_check(everything: DataFrame, *parts: DataFrame) -> DataFrame:
@@ -111,7 +111,7 @@ def greedy_pairs(ours: DataFrame, theirs: DataFrame, radius_m: float = 500.0) ->
 
 def compare(ours: DataFrame, theirs: DataFrame, radius_m: float = 500.0) -> DataFrame:
     """Counters per granule: ours, theirs, agreed, only ours, only theirs, recall, median distance, likely fragments, distinct targets."""
-    theirs = theirs.dropDuplicates(["granule_id", "lon", "lat"])
+    theirs = theirs.groupBy("granule_id", "lon", "lat").agg(F.bool_or("matched").alias("matched"))
     pairs = greedy_pairs(ours, theirs, radius_m)
     mine = ours.groupBy(F.col("scene_id").alias("granule_id")).agg(F.count(F.lit(1)).alias("ours"))
     yours = theirs.groupBy("granule_id").agg(F.count(F.lit(1)).alias("theirs"))
@@ -130,9 +130,43 @@ def compare(ours: DataFrame, theirs: DataFrame, radius_m: float = 500.0) -> Data
     )
 
 
-def isolation(ours: DataFrame, pairs: DataFrame, reach_m: float) -> DataFrame:
-    """Metres from each detection that only we have to the nearest agreed one, within ``reach_m``; null beyond."""
+#: Half the globe's circumference and a little.
+FARTHEST_M = 20_100_000.0
+
+
+def nearest_join(left: DataFrame, right: DataFrame, keys: list[str], first_m: float = 1000.0, wider: float = 3.0) -> DataFrame:
+    """(id, nearest_m): metres from each (id, keys..., lon, lat) to the nearest (keys..., t_lon, t_lat) of equal keys, however far.
+
+    Rings of cells: within ``first_m`` all points are looked up; those that found none, and only those, again with a reach
+    ``wider`` times as long, until all have found one. Whatever lies within a reach is found, so what is found is the
+    nearest. Null where there is no point with the keys, or no position; a point of ``left`` needs an id of its own.
+    """
+    root = shared_folder(left, "nearest")
+    places = cut(right.select(*keys, "t_lon", "t_lat").where("t_lon IS NOT NULL AND t_lat IS NOT NULL").distinct(), root, "places")
+    points = left.select("id", *keys, "lon", "lat")
+    # what no reach can help isn't looked for
+    todo = cut(points.where("lon IS NOT NULL AND lat IS NOT NULL").join(places.select(*keys).distinct(), keys, "left_semi"), root, "open-0")
+    found, reach, k = [], first_m, 0
+    while not todo.isEmpty():
+        reach, k = min(reach, FARTHEST_M), k + 1
+        near = spatial_range_join(todo, places, reach, keys)
+        metres = geo.haversine_m(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat"))
+        found.append(cut(near.groupBy("id").agg(F.min(metres).alias("nearest_m")), root, f"found-{k}"))
+        if reach >= FARTHEST_M:
+            break
+        todo = cut(todo.join(found[-1], "id", "left_anti"), root, f"open-{k}")
+        drop(left, root, f"open-{k - 1}")
+        reach *= wider
+    if not found:
+        return left.select("id", F.lit(None).cast("double").alias("nearest_m"))
+    return left.select("id").join(reduce(DataFrame.union, found), "id", "left")
+
+
+def isolation(ours: DataFrame, pairs: DataFrame, reach_m: float | None = None) -> DataFrame:
+    """Metres from each detection that only we have to the nearest agreed one of its scene, within ``reach_m`` if given; else null."""
     left = ours.join(pairs.select("id"), "id", "left_anti").select("id", "scene_id", "lon", "lat")
     taken = ours.join(pairs.select("id"), "id", "left_semi").select("scene_id", F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
+    if reach_m is None:
+        return nearest_join(left, taken, ["scene_id"]).withColumnRenamed("nearest_m", "to_agreed_m")
     near = spatial_range_join(left, taken, reach_m, ["scene_id"]).withColumn("d", geo.haversine_m(F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat")))
     return left.select("id").join(near.groupBy("id").agg(F.min("d").alias("to_agreed_m")), "id", "left")

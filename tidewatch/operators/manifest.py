@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 import hashlib
-import io
-import json
 import tarfile
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import MANIFEST
+from ..sources import archives
+from .graph import cut, shared_folder
 
 KINDS = ("model", "image", "data", "corpus", "code")
-MEMBERS = "archive string, position long, path string, bytes long, sha256 string, is_file boolean, manifest string"
+MEMBERS = "archive string, position long, path string, bytes long, sha256 string, is_file boolean, manifest string, fault string"
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -25,27 +24,32 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.inline(entries))
 
 
-def members(spark: SparkSession, path: str, block: int = 1 << 20) -> DataFrame:
-    """Members of tar archives in order, each hashed as it passes; the first one's text if it is a manifest."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def members(spark: SparkSession, path: str) -> DataFrame:
+    """Members of tar archives in order, each hashed as it passes; the first one's text if it is a manifest.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, content in zip(f["path"], f["content"], strict=True):
-                rows = []
-                with tarfile.open(fileobj=io.BytesIO(content), mode="r|*") as t:
-                    for k, m in enumerate(t):
-                        digest, text = hashlib.sha256(), []
-                        if m.isreg():
-                            data = t.extractfile(m)
-                            while part := data.read(block):
-                                digest.update(part)
-                                if k == 0 and m.name.endswith(".json"):
-                                    text.append(part)
-                        rows.append((name, k, m.name, m.size, digest.hexdigest(), m.isreg(), b"".join(text).decode() if text else None))
-                yield pd.DataFrame(rows, columns=[c.split()[0] for c in MEMBERS.split(", ")])
+    An archive is read once, from its first to its last byte, a megabyte at a time. One that ends within a member
+    has a last row with the fault ``truncated``.
+    """
 
-    return files.mapInPandas(run, MEMBERS)
+    def one(name: str) -> Iterator[tuple]:
+        position, at = 0, None
+        try:
+            with archives.opened(name) as f, tarfile.open(fileobj=f, mode="r|*", bufsize=archives.BUFFER) as t:
+                for m in t:
+                    at = m.name
+                    text, size, sha = b"", m.size, hashlib.sha256().hexdigest()
+                    if m.isreg():
+                        read, sha, text = archives.digest(t.extractfile(m), position == 0 and m.name.endswith(".json"))
+                        if read < size:
+                            raise tarfile.ReadError("unexpected end of data")
+                    yield name, position, at, size, sha, m.isreg(), text.decode() if text else None, None
+                    position, at = position + 1, None
+        except (tarfile.ReadError, EOFError) as e:
+            if position == 0 and at is None and "empty" in str(e):
+                return  # no member at all
+            yield name, position, at, None, None, None, None, "truncated"
+
+    return archives.read_each(archives.listed(spark, path), one, MEMBERS)
 
 
 def verify(manifest: DataFrame, found: DataFrame) -> DataFrame:
@@ -73,20 +77,29 @@ def by_kind(manifest: DataFrame) -> DataFrame:
 
 
 def verify_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Refusals of one archive whose first member is its manifest; one row ``manifest_not_first`` if it isn't. No rows: it is whole."""
+    """Refusals of one archive whose first member is its manifest. No rows: it is whole.
+
+    One row ``manifest_not_first`` if it isn't, and one ``truncated`` with the member in which the archive ends. The
+    archive is read in one pass; what is kept of it is a row for each member.
+    """
     rows = members(spark, path)
-    first = rows.where("position = 0").select("path", "manifest").first()
-    if first is None or first.manifest is None:
-        return spark.createDataFrame([(None if first is None else first.path, "manifest_not_first")], "path string, refusal string")
-    entries = [(e["path"], int(e["bytes"]), e["sha256"]) for e in json.loads(first.manifest)["entries"]]
-    listed = spark.createDataFrame(entries, "path string, bytes long, sha256 string")
-    return verify(listed, rows.where("position > 0")).where("refusal IS NOT NULL").select("path", "refusal")
+    rows = cut(rows, shared_folder(rows, "archive"), "members")
+    first = rows.where("position = 0 AND manifest IS NOT NULL")
+    shape = "struct<entries:array<struct<path:string,bytes:bigint,sha256:string>>>"
+    listed = first.select(F.inline(F.from_json("manifest", shape)["entries"]))
+    broken = rows.where("fault IS NOT NULL").select("path", F.col("fault").alias("refusal"))
+    checked = verify(listed, rows.where("position > 0 AND fault IS NULL")).where("refusal IS NOT NULL").select("path", "refusal")
+    found = F.count_if((F.col("position") == 0) & F.col("manifest").isNotNull())
+    head = rows.agg(found.alias("n"), F.min_by("path", "position").alias("path"))
+    headless = head.where("n = 0").select("path", F.lit("manifest_not_first").alias("refusal"))
+    # without a manifest nothing can be said of the members; what an archive lacks behind its end isn't listed twice
+    judged = checked.where("refusal <> 'missing'").union(checked.where("refusal = 'missing'").join(rows.where("fault IS NOT NULL").select(F.lit(1)).limit(1), how="left_anti"))
+    return headless.union(broken.union(judged).join(first.select(F.lit(1)).limit(1), how="left_semi"))
 
 
 def check_files(spark: SparkSession, manifest: DataFrame, path: str) -> DataFrame:
-    """Refusals of files below a folder against a manifest of names."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
-    return verify(manifest, files.select(F.substring_index("path", "/", -1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256")))
+    """Refusals of files below a folder against a manifest of names; files of any size are hashed as they are read."""
+    return verify(manifest, archives.hashed(spark, path))
 
 
 def select_roles(items: DataFrame, roles: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -15,6 +15,7 @@ from ..functions import geo
 from .graph import components
 from .match import spatial_range_join
 from .radar import Config, from_db, to_db
+from .ranks import quantiles
 from .tiles import dilate_cells
 
 
@@ -90,14 +91,14 @@ def block_mean(pixels: DataFrame, block: int) -> DataFrame:
 
 
 def medians(df: DataFrame, value: str, *by: str) -> DataFrame:
-    return df.groupBy(*by).agg(F.median(value).alias("median"))
+    return quantiles(df, value, list(by), {"median": 0.5}).drop("n")
 
 
 def stretch(pixels: DataFrame, *by: str) -> DataFrame:
     """Percentiles of finite values for display."""
     v = F.col("value").cast("double")
     finite = pixels.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
-    return finite.groupBy(*by).agg(*(F.percentile("value", F.lit(p / 100)).alias(f"p{str(p).replace('.', '_')}") for p in (2.0, 99.5, 99.9)))
+    return quantiles(finite, "value", list(by), {f"p{str(p).replace('.', '_')}": p / 100 for p in (2.0, 99.5, 99.9)}).drop("n")
 
 
 # -- masks --------------------------------------------------------------------------------------

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 REFUSAL = "Not supported by available sources."
 CONTEXT_CHARS = 14_000
@@ -24,7 +27,7 @@ class Embedder(Protocol):
 
 
 class HashingEmbedder:
-    """Word counts by hash; the same for the same words everywhere."""
+    """Word counts by hash; the same for the same words everywhere. It knows no meaning: a stand-in for tests and dry runs."""
 
     def __init__(self, dim: int = 64):
         self.dim = dim
@@ -114,6 +117,58 @@ def top_k_batch(vectors: DataFrame, queries: np.ndarray, query_ids: list, k: int
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", F.col("id").alias(id_col), "score", "rank")
 
 
+def _packed(df: DataFrame, id_col: str, vector_col: str, rows: int) -> DataFrame:
+    """(ids, x): vectors of unit length as matrices of ``rows`` rows at most, task by task; null vectors are left out."""
+    cols = df.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
+    kind = cols.schema["id"].dataType
+    schema = T.StructType([T.StructField("ids", T.ArrayType(kind)), T.StructField("x", T.BinaryType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, parts = [], []
+
+        def matrix() -> pa.RecordBatch:
+            x = np.stack(parts[:rows])
+            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            return pa.RecordBatch.from_arrays([pa.array([ids[:rows]], to_arrow_schema(schema).types[0]), pa.array([unit.tobytes()], pa.binary())], names=schema.names)
+
+        for batch in batches:
+            ids += batch.column(0).to_pylist()
+            parts += [np.array(v, np.float64) for v in batch.column(1).to_pylist()]
+            while len(ids) >= rows:
+                yield matrix()
+                ids, parts = ids[rows:], parts[rows:]
+        if ids:
+            yield matrix()
+
+    return cols.mapInArrow(run, schema)
+
+
+def top_k_join(vectors: DataFrame, queries: DataFrame, k: int = 8, id_col: str = "vec_id", vector_col: str = "embedding", query_id: str = "vec_id", query_rows: int = 512, vector_rows: int = 4096) -> DataFrame:
+    """(query_id, id_col, score, rank): the k best of ``vectors`` for each of ``queries`` by cosine, ties by id.
+
+    Both sides are packed into blocks; each pair of blocks is one product of matrices, of which k rows a query go on, and
+    those are merged by query. Neither side passes through the driver. Null vectors are left out, zero vectors score 0.
+    """
+    asked = _packed(queries, query_id, vector_col, query_rows).select(F.col("ids").alias("q_ids"), F.col("x").alias("q"))
+    pairs = _packed(vectors, id_col, vector_col, vector_rows).crossJoin(asked)  # of blocks: a stated set of queries against all rows
+    schema = T.StructType([T.StructField("query_id", queries.schema[query_id].dataType), T.StructField(id_col, vectors.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
+    kinds = to_arrow_schema(schema).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                ids, x, q_ids, q = (c[row].as_py() for c in batch.columns)
+                s = np.frombuffer(q).reshape(len(q_ids), -1) @ np.frombuffer(x).reshape(len(ids), -1).T
+                names = np.array(ids)
+                order = np.argsort(names, kind="stable")  # ties by id
+                top = np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]
+                at = order[top]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(q_ids, object), at.shape[1]).tolist(), kinds[0]), pa.array(names[at].ravel().tolist(), kinds[1]), pa.array(np.take_along_axis(s, at, axis=1).ravel())], names=schema.names)
+
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
+    return pairs.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def facets(df: DataFrame, key: str) -> DataFrame:
     """(value, n), most first; each value of a list counts, nulls don't."""
     value = F.explode(key) if dict(df.dtypes)[key].startswith("array") else F.col(key)

@@ -37,10 +37,8 @@ def score_floor(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cosine_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every hundredth vector against all."""
-    import numpy as np
-
-    asked = read(spark, sf_dir, "embeddings").where("vec_id % 100 = 0").orderBy("vec_id").collect()
-    found = vectors.top_k_batch(read(spark, sf_dir, "embeddings"), np.array([r.embedding for r in asked]), [r.vec_id for r in asked], 5)
+    rows = read(spark, sf_dir, "embeddings")
+    found = vectors.top_k_join(rows, rows.where("vec_id % 100 = 0"), 5)
     return found.select("query_id", "vec_id", F.round("score", 6).alias("score"), "rank")
 
 

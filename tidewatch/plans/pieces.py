@@ -79,6 +79,12 @@ def isolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.isolation(ours, ours.where("id div 30 % 5 = 0"), 2000.0).select("id", F.round("to_agreed_m", 3).alias("to_agreed_m"))
 
 
+def isolation_any(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As isolation, however far, with a few agreed ones only; scenes of the last ten have none."""
+    ours = d.detections(spark, sf_dir).select(F.col("detection_id").alias("id"), "scene_id", "lon", "lat")
+    return evaluate.isolation(ours, ours.where("id div 30 % 40 = 3 AND scene_id < 20")).select("id", F.round("to_agreed_m", 3).alias("to_agreed_m"))
+
+
 def best_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     tried = d.detections(spark, sf_dir).select("scene_id", F.expr("1 - 2 * (detection_id div 30 % 2)").alias("sign"), (F.col("length_m") * 3).alias("away"))
     return evaluate.best_variant(tried, "sign", "away", "scene_id")
@@ -130,7 +136,7 @@ def rate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.rate_verdict(rows).select("quotable", F.size("reasons").alias("reasons"), F.get("reasons", F.lit(0)).contains("archive, live").alias("names_feeds"))
 
 
-QUERIES = {f.__name__: f for f in (calibration, lattice_values, land_blocks, stretch, medians, orbital_speed, scene_upsert, run_replacement, isolation, best_variant, fullest_granule, footprint_cut, search_windows, long_enough, preview, top_leads, findings, rate_verdict)}
+QUERIES = {f.__name__: f for f in (calibration, lattice_values, land_blocks, stretch, medians, orbital_speed, scene_upsert, run_replacement, isolation, isolation_any, best_variant, fullest_granule, footprint_cut, search_windows, long_enough, preview, top_leads, findings, rate_verdict)}
 
 
 def _sql_lattice() -> str:
@@ -166,6 +172,8 @@ SQL = {
     "isolation": f"""WITH {SQL_DETECTIONS}, near AS (SELECT a.detection_id AS id, min({sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')}) AS m FROM detections a JOIN detections b ON a.scene_id = b.scene_id AND b.detection_id // 30 % 5 = 0 AND abs(a.lat - b.lat) < 0.02
           WHERE a.detection_id // 30 % 5 > 0 AND {sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 2000 GROUP BY 1)
         SELECT detection_id AS id, round(m, 3) AS to_agreed_m FROM detections d LEFT JOIN near ON near.id = d.detection_id WHERE detection_id // 30 % 5 > 0""",
+    "isolation_any": f"""WITH {SQL_DETECTIONS}, a AS (SELECT * FROM detections WHERE detection_id // 30 % 40 = 3 AND scene_id < 20), o AS (SELECT * FROM detections WHERE NOT (detection_id // 30 % 40 = 3 AND scene_id < 20))
+        SELECT o.detection_id AS id, round(min({sql_haversine('o.lon', 'o.lat', 'a.lon', 'a.lat')}) FILTER (WHERE a.detection_id IS NOT NULL), 3) AS to_agreed_m FROM o LEFT JOIN a USING (scene_id) GROUP BY 1""",
     "best_variant": f"""WITH {SQL_DETECTIONS}, n AS (SELECT scene_id, 1 - 2 * (detection_id // 30 % 2) AS sign, count(*) FILTER (WHERE length_m * 3 < 500) AS within FROM detections GROUP BY ALL)
         SELECT scene_id, sign, within FROM n QUALIFY row_number() OVER (PARTITION BY scene_id ORDER BY within DESC, sign) = 1""",
     "fullest_granule": f"WITH {SQL_DETECTIONS}, n AS (SELECT scene_id AS granule_id, count(*) AS n FROM detections GROUP BY 1) SELECT granule_id, n, row_number() OVER (ORDER BY n DESC, granule_id) = 1 AS chosen FROM n",

@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import re
 import zipfile
 from collections.abc import Iterator
 
-import pandas as pd
 import yaml
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.radar import SPEED_OF_LIGHT
 from ..schemas import REFERENCE_DETECTIONS
+from . import archives
 
 SCENE_GLOB = "S1*_IW_GRDH_*.zip"
 
@@ -24,8 +23,7 @@ class NotConfigured(RuntimeError):
 
 def find_scenes(spark: SparkSession, folder: str) -> DataFrame:
     """Paths and sizes of scene archives below a folder, by path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", SCENE_GLOB).load(folder)
-    return files.select("path", "length").orderBy("path")
+    return archives.listed(spark, folder, SCENE_GLOB).orderBy("path")
 
 
 def annotation_members(spark: SparkSession, path: str, polarization: str = "vh") -> DataFrame:
@@ -35,24 +33,19 @@ def annotation_members(spark: SparkSession, path: str, polarization: str = "vh")
         "calibration": re.compile(rf"[^/]+\.SAFE/annotation/calibration/calibration-[^/]*-{polarization}-[^/]*\.xml$", re.I),
         "noise": re.compile(rf"[^/]+\.SAFE/annotation/calibration/noise-[^/]*-{polarization}-[^/]*\.xml$", re.I),
     }
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).select("path", "content")
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            for name, content in zip(f["path"], f["content"], strict=True):
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    roots = {m.split("/")[0] for m in z.namelist() if m.split("/")[0].endswith(".SAFE")}
-                    if len(roots) != 1:
-                        raise NotConfigured(f"{name} holds {len(roots)} products, not one")
-                    rows = []
-                    for kind, pattern in patterns.items():
-                        hits = [m for m in z.namelist() if pattern.fullmatch(m)]
-                        if len(hits) != 1:
-                            raise NotConfigured(f"{name} holds {len(hits)} {kind} files for {polarization}, not one")
-                        rows.append((name, kind, z.read(hits[0]).decode()))
-                yield pd.DataFrame(rows, columns=["path", "kind", "xml"])
-
-    return files.mapInPandas(run, "path string, kind string, xml string")
+
+    def one(name: str) -> Iterator[tuple]:
+        with archives.opened(name) as raw, zipfile.ZipFile(raw) as z:
+            roots = {m.split("/")[0] for m in z.namelist() if m.split("/")[0].endswith(".SAFE")}
+            if len(roots) != 1:
+                raise NotConfigured(f"{name} holds {len(roots)} products, not one")
+            for kind, pattern in patterns.items():
+                hits = [m for m in z.namelist() if pattern.fullmatch(m)]
+                if len(hits) != 1:
+                    raise NotConfigured(f"{name} holds {len(hits)} {kind} files for {polarization}, not one")
+                yield name, kind, z.read(hits[0]).decode()
+
+    return archives.read_each(archives.listed(spark, path), one, "path string, kind string, xml string", 1)
 
 
 def _one(xml: Column, path: str) -> Column:
