@@ -333,3 +333,58 @@ def test_nearest_without_radius(spark):
         want = min((far((lon, lat), r[1:]) for r in right if r[0] == s and None not in r), default=None) if lon is not None else None
         assert got[i] == (want if want is None else pytest.approx(want, abs=1e-3))
     assert {r.nearest_m for r in evaluate.nearest_join(ours, theirs.where("false"), ["scene_id"]).collect()} == {None}
+
+
+def _ring_holds(ring, x, y):
+    return sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) % 2 == 1
+
+
+def _off(ring, x, y):
+    best, k = 1e9, np.cos(np.radians(y))
+    for a, b in zip(ring, ring[1:] + ring[:1], strict=True):
+        p, q = np.array([(a[0] - x) * k, a[1] - y]), np.array([(b[0] - x) * k, b[1] - y])
+        t = np.clip(-(p @ (q - p)) / max((q - p) @ (q - p), 1e-30), 0, 1)
+        best = min(best, np.hypot(*(p + t * (q - p))))
+    return best * 6_371_008.8 * np.pi / 180
+
+
+def _polygons():
+    rng = np.random.default_rng(10)
+    star = [(float(11 + r * np.cos(a)), float(55 + r * np.sin(a) / 1.7)) for a, r in zip(np.linspace(0, 2 * np.pi, 60, endpoint=False), rng.uniform(0.3, 2.2, 60), strict=True)]
+    hole = [(10.9, 54.95), (11.1, 54.95), (11.0, 55.05), (11.0, 55.0)]
+    grid = [(8.0, 53.0), (9.0, 53.0), (9.0, 54.0), (8.5, 53.5), (8.0, 54.0)]  # corners on the sides of cells
+    return [[star, hole], [grid], [[(20.0, 60.0), (20.01, 60.0), (20.0, 60.01)]], [[(8.0, 53.0), (8.25, 53.0), (8.25, 53.25), (8.0, 53.25), (8.0, 53.0)]]]
+
+
+@pytest.mark.parametrize(("buffer_m", "size"), [(0.0, 0.25), (1000.0, 0.25), (7000.0, 0.05), (0.0, 3.0)])
+def test_land_of_any_shape(spark, buffer_m, size):
+    rng = np.random.default_rng(11)
+    pts = [(k, float(rng.uniform(7.5, 13.5)), float(rng.uniform(52.7, 57))) for k in range(300)] + [(1000 + 20 * i + j, 8 + i / 4, 53 + j / 8) for i in range(6) for j in range(10)]
+    pts += [(5000, 20.004, 60.003), (5001, 20.02, 60.0), (5002, 0.0, 0.0), (5003, None, 1.0), (5004, 11.3, 55.1), (5004, 11.3, 55.1)]
+    df = spark.createDataFrame(pts, "id long, lon double, lat double")
+    shape = spark.createDataFrame([([[tuple(p) for p in r] for r in rings],) for rings in _polygons()], "rings array<array<struct<lon:double,lat:double>>>")
+    from tidewatch.operators import land
+
+    inside = lambda x, y: any(sum(_ring_holds(r, x, y) for r in rings) % 2 or (buffer_m and min(_off(r, x, y) for r in rings) <= buffer_m) for rings in _polygons())
+    ids = {i for i, x, y in pts if x is not None and inside(x, y)}
+    got = [r.id for r in land.on_land(df, shape, buffer_m, size).collect()]
+    assert sorted(got) == sorted(i for i, *_ in pts if i in ids) and len(ids) > 30
+
+
+def test_clip_and_coastline(spark, tmp_path):
+    from tidewatch.operators import land
+    from tidewatch.sources import scenes
+
+    box = (10.5, 54.8, 11.6, 55.6)
+    shape = spark.createDataFrame([(k, [[tuple(p) for p in r] for r in rings]) for k, rings in enumerate(_polygons())], "k int, rings array<array<struct<lon:double,lat:double>>>")
+    cut = land.clip(shape, box)
+    assert [r.k for r in cut.collect()] == [0]
+    land.write_coastline(cut, str(tmp_path / "coast"))
+    back = scenes.read_coastline(spark, str(tmp_path / "coast"))
+    rng = np.random.default_rng(12)
+    pts = [(k, float(rng.uniform(10, 12)), float(rng.uniform(54.5, 56))) for k in range(400)]
+    df = spark.createDataFrame(pts, "id long, lon double, lat double")
+    want = {i for i, x, y in pts if box[0] <= x < box[2] and box[1] <= y < box[3] and sum(_ring_holds(r, x, y) for r in _polygons()[0]) % 2}
+    assert {r.id for r in land.on_land(df, back).collect()} == want and len(want) > 20
+    land.write_coastline(cut.where("false"), str(tmp_path / "none"))
+    assert land.on_land(df, scenes.read_coastline(spark, str(tmp_path / "none"))).count() == 0

@@ -176,19 +176,14 @@ def in_ring(lon: Column, lat: Column, ring: Column) -> Column:
     return _let(ring, lambda r: F.pmod(F.size(F.filter(_edges(r), crosses)), F.lit(2)) == 1)
 
 
-def edge_distance_m(lon: Column, lat: Column, ring: Column) -> Column:
-    """Metres to the nearest edge, on a local plane at the point's latitude."""
+def segment_distance_m(lon: Column, lat: Column, ax: Column, ay: Column, bx: Column, by: Column) -> Column:
+    """Metres from a point to a segment, on a local plane at the point's latitude."""
     k = F.cos(F.radians(lat))
-
-    def one(e: Column) -> Column:
-        ax, ay = (e["a"]["lon"] - lon) * k, e["a"]["lat"] - lat
-        bx, by = (e["b"]["lon"] - lon) * k, e["b"]["lat"] - lat
-        dx, dy = bx - ax, by - ay
-        t = F.coalesce(-(ax * dx + ay * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
-        t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
-        return F.hypot(ax + t * dx, ay + t * dy) * _DEGREE_M
-
-    return _let(ring, lambda r: F.array_min(F.transform(_edges(r), one)))
+    px, py, qx, qy = (ax - lon) * k, ay - lat, (bx - lon) * k, by - lat
+    dx, dy = qx - px, qy - py
+    t = F.coalesce(-(px * dx + py * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), t))
+    return F.hypot(px + t * dx, py + t * dy) * _DEGREE_M
 
 
 def ring_area(ring: Column) -> Column:
@@ -198,7 +193,7 @@ def ring_area(ring: Column) -> Column:
 
 
 def clip_ring(ring: Column, box: tuple[float, float, float, float]) -> Column:
-    """A ring's part in a box, side by side of the box; exact for convex rings."""
+    """A ring's part in a box, side by side of the box; parts of a concave ring stay joined along the box's sides."""
     side = lambda lon, limit, low: F.struct(F.lit(lon).alias("lon"), F.lit(float(limit)).alias("limit"), F.lit(low).alias("low"))
     sides = F.array(side(True, box[0], True), side(True, box[2], False), side(False, box[1], True), side(False, box[3], False))
 

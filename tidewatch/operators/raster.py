@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geo
 from .graph import components
+from .land import on_land
 from .match import spatial_range_join
 from .radar import Config, from_db, to_db
 from .ranks import quantiles
@@ -132,27 +133,6 @@ def length_bands(blobs: DataFrame, config: Config = Config()) -> DataFrame:
     return blobs.groupBy("scene_id").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(small).alias("rejected_small"), F.count_if(large).alias("rejected_large"), F.count_if(~small & ~large).alias("kept"))
 
 
-def on_land(points: DataFrame, polygons: DataFrame, buffer_m: float = 0.0) -> DataFrame:
-    """Points (id, lon, lat) in a polygon or within ``buffer_m`` of its edge; ``polygons`` has ring.
-
-    Polygons are sent to the one-degree cells that their box, widened by the buffer, touches, so a
-    point meets few of them.
-    """
-    reach = buffer_m / 111_000
-    wide = F.least(F.lit(180.0), F.lit(reach) / F.greatest(F.cos(F.radians(F.least(F.lit(89.0), F.greatest(F.abs("y0"), F.abs("y1"))))), F.lit(0.01)))
-    low = lambda axis: F.array_min(F.transform("ring", lambda p: p[axis]))
-    high = lambda axis: F.array_max(F.transform("ring", lambda p: p[axis]))
-    boxed = polygons.select("ring", low("lon").alias("x0"), high("lon").alias("x1"), low("lat").alias("y0"), high("lat").alias("y1")).withColumn("wide", wide)
-    cells = boxed.withColumn("cx", F.explode(F.sequence(F.floor(F.col("x0") - F.col("wide")), F.floor(F.col("x1") + F.col("wide"))))).withColumn("cy", F.explode(F.sequence(F.floor(F.col("y0") - reach), F.floor(F.col("y1") + reach))))
-    inside = geo.in_ring(F.col("lon"), F.col("lat"), F.col("ring"))
-    if buffer_m > 0:
-        inside = inside | (geo.edge_distance_m(F.col("lon"), F.col("lat"), F.col("ring")) <= buffer_m)
-    in_box = F.col("lon").between(F.col("x0") - F.col("wide"), F.col("x1") + F.col("wide")) & F.col("lat").between(F.col("y0") - reach, F.col("y1") + reach)
-    # a semi join stops at a point's first polygon
-    same_cell = (F.floor("lon") == F.col("cx")) & (F.floor("lat") == F.col("cy"))
-    return points.join(cells, same_cell & in_box & inside, "left_semi")
-
-
 def merge_fragments(points: DataFrame, radius_m: float = 200.0) -> DataFrame:
     """Of each single-link group within ``radius_m`` the point with the largest margin (the smallest id among equals), with ``fragments``.
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import catalog, evaluate, raster, tiles
+from ..operators import catalog, evaluate, land, raster, tiles
 from ..operators.radar import Config
 from . import derived as d
 from .derived import SQL_DETECTIONS, SQL_FOOTPRINTS, read, sql_haversine
@@ -94,7 +94,23 @@ def on_land(spark: SparkSession, sf_dir: str) -> DataFrame:
     corner = lambda x, y: F.struct(F.col(x).alias("lon"), F.col(y).alias("lat"))
     polygons = f.select(F.array(corner("min_lon", "min_lat"), corner("max_lon", "min_lat"), corner("max_lon", "max_lat"), corner("min_lon", "max_lat")).alias("ring"))
     points = d.detections(spark, sf_dir).select(F.col("detection_id").alias("id"), F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"))
-    return raster.on_land(points, polygons).select("id")
+    return land.on_land(points, polygons).select("id")
+
+
+def _islands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A concave polygon with a hole from each customer's footprint: an arrow that points down, its hole of the same shape in the upper part."""
+    f = d.footprints(spark, sf_dir)
+    w, h = F.col("max_lon") - F.col("min_lon"), F.col("max_lat") - F.col("min_lat")
+    at = lambda x, y: F.struct((F.col("min_lon") + w * x).alias("lon"), (F.col("min_lat") + h * y).alias("lat"))
+    outer = F.array(at(0, 1), at(0.5, 0), at(1, 1), at(0.5, 0.5))
+    hole = F.array(at(0.46, 0.4), at(0.5, 0.2), at(0.54, 0.4), at(0.5, 0.3))
+    return f.select("scene_id", F.array(outer, hole).alias("rings"))
+
+
+def shore_buffer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points on the islands of every customer or within 1 km of their shores."""
+    points = d.detections(spark, sf_dir).select(F.col("detection_id").alias("id"), F.round("lon", 4).alias("lon"), F.round("lat", 4).alias("lat"))
+    return land.on_land(points, _islands(spark, sf_dir), 1000.0).select("id")
 
 
 def scene_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,7 +158,7 @@ def greedy_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.compare(ours, _reference(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (block_mean, block_stats_censored, cfar_hot, cfar_masked, dilate, erode, components, detect_blobs, single_link_merge, length_bands, on_land, scene_search, scene_rank, footprint_area, latest_run, scene_counts, table_counts, partition_check, greedy_pairing)}
+QUERIES = {f.__name__: f for f in (block_mean, block_stats_censored, cfar_hot, cfar_masked, dilate, erode, components, detect_blobs, single_link_merge, length_bands, on_land, shore_buffer, scene_search, scene_rank, footprint_area, latest_run, scene_counts, table_counts, partition_check, greedy_pairing)}
 
 _PX = """px AS (SELECT l_returnflag AS scene_id, l_orderkey % 256 AS row, (l_partkey * 7 + l_linenumber) % 256 AS col, sum(floor(l_extendedprice * 100 + 0.5)::BIGINT) / 100.0::DOUBLE AS value,
     sum(floor(l_quantity)::BIGINT) % 13 <> 0 AS valid FROM lineitem GROUP BY 1, 2, 3)"""
@@ -200,6 +216,14 @@ SQL = {
     "length_bands": f"WITH {SQL_DETECTIONS} SELECT scene_id, count(*) AS candidates, count(*) FILTER (WHERE length_m < 15) AS rejected_small, count(*) FILTER (WHERE length_m > 450) AS rejected_large, count(*) FILTER (WHERE length_m BETWEEN 15 AND 450) AS kept FROM detections GROUP BY 1",
     "on_land": f"""WITH {SQL_DETECTIONS}, {SQL_FOOTPRINTS}, p AS (SELECT detection_id AS id, round(lon, 4) AS lon, round(lat, 4) AS lat FROM detections)
         SELECT id FROM p WHERE EXISTS (SELECT 1 FROM footprints f WHERE p.lon >= f.min_lon AND p.lon < f.max_lon AND p.lat >= f.min_lat AND p.lat < f.max_lat)""",
+    "shore_buffer": f"""WITH {SQL_DETECTIONS}, {SQL_FOOTPRINTS}, p AS (SELECT detection_id AS id, round(lon, 4) AS lon, round(lat, 4) AS lat FROM detections), place AS (SELECT DISTINCT lon, lat FROM p),
+        e(ring, x1, y1, x2, y2) AS (VALUES (0, 0.0, 1.0, 0.5, 0.0), (0, 0.5, 0.0, 1.0, 1.0), (0, 1.0, 1.0, 0.5, 0.5), (0, 0.5, 0.5, 0.0, 1.0), (1, 0.46, 0.4, 0.5, 0.2), (1, 0.5, 0.2, 0.54, 0.4), (1, 0.54, 0.4, 0.5, 0.3), (1, 0.5, 0.3, 0.46, 0.4)),
+        g AS MATERIALIZED (SELECT DISTINCT min_lon, min_lat, max_lon, max_lat, min_lon + (max_lon - min_lon) * x1 AS ax, min_lat + (max_lat - min_lat) * y1 AS ay, min_lon + (max_lon - min_lon) * x2 AS bx, min_lat + (max_lat - min_lat) * y2 AS bz FROM footprints, e),
+        m AS (SELECT p.lon, p.lat, min_lon, min_lat, max_lon, max_lat, (ay > p.lat) <> (bz > p.lat) AND p.lon < ax + (p.lat - ay) * (bx - ax) / nullif(bz - ay, 0) AS hit, (ax - p.lon) * cos(radians(p.lat)) AS px, ay - p.lat AS py, (bx - p.lon) * cos(radians(p.lat)) AS qx, bz - p.lat AS qy
+          FROM place p JOIN g ON p.lon BETWEEN min_lon - 0.03 AND max_lon + 0.03 AND p.lat BETWEEN min_lat - 0.03 AND max_lat + 0.03),
+        n AS (SELECT *, least(1, greatest(0, -(px * (qx - px) + py * (qy - py)) / (pow(qx - px, 2) + pow(qy - py, 2)))) AS t FROM m),
+        r AS (SELECT lon, lat FROM n GROUP BY lon, lat, min_lon, min_lat, max_lon, max_lat HAVING count(*) FILTER (WHERE hit) % 2 = 1 OR min(sqrt(pow(px + t * (qx - px), 2) + pow(py + t * (qy - py), 2))) * 6371008.8 * pi() / 180 <= 1000)
+        SELECT id FROM p SEMI JOIN r USING (lon, lat)""",
     "scene_search": f"WITH {SQL_FOOTPRINTS} SELECT scene_id, CAST(at_s * 1000000 AS BIGINT) AS us FROM footprints WHERE min_lon <= 11.5 AND max_lon >= 10.0 AND min_lat <= 56.0 AND max_lat >= 55.0 AND at_s BETWEEN 1704153600 AND 1704758400",
     "scene_rank": f"""WITH {SQL_FOOTPRINTS}, r AS (SELECT scene_id, at_s, greatest(least(max_lon, 11.5::DOUBLE) - greatest(min_lon, 10.0::DOUBLE), 0) * greatest(least(max_lat, 56.0::DOUBLE) - greatest(min_lat, 55.0::DOUBLE), 0) AS coverage FROM footprints)
         SELECT scene_id, CAST(row_number() OVER (ORDER BY coverage DESC, at_s DESC, scene_id) AS INTEGER) AS rank, round(coverage, 6) AS coverage FROM r QUALIFY rank <= 20""",

@@ -120,12 +120,13 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_coastline(spark: SparkSession, path: str) -> DataFrame:
-    """Outer rings of a GeoJSON file's polygons; no features, no land."""
+    """Rings (outer ones and holes) of a GeoJSON file's polygons, and the outer one as ``ring``; no features, no land."""
     whole = spark.read.text(path, wholetext=True)
     features = F.from_json(F.get_json_object("value", "$.features"), "array<struct<geometry:struct<type:string,coordinates:string>>>")
     g = whole.select(F.explode(features).alias("f")).select("f.geometry.type", "f.geometry.coordinates")
     flat = F.when(F.col("type") == "Polygon", F.array(F.from_json("coordinates", "array<array<array<double>>>"))).when(F.col("type") == "MultiPolygon", F.from_json("coordinates", "array<array<array<array<double>>>>"))
-    return g.select(F.explode(flat).alias("p")).select(F.transform(F.col("p")[0], lambda q: F.struct(q[0].alias("lon"), q[1].alias("lat"))).alias("ring"))
+    rings = F.transform("p", lambda r: F.transform(r, lambda q: F.struct(q[0].alias("lon"), q[1].alias("lat"))))
+    return g.select(F.explode(flat).alias("p")).select(rings.alias("rings")).withColumn("ring", F.col("rings")[0])
 
 
 def reference_ids(tiles: DataFrame, content_col: str = "content") -> DataFrame:
