@@ -111,12 +111,77 @@ def test_lattice_and_thin_plate(spark):
     pts = spark.createDataFrame([(5.0, 50.0), (20.0, 50.0), (5.0, 200.0)], "row double, col double")
     assert [r.v for r in raster.interpolate_lattice(pts, lattice, lines, pixels, "v").collect()] == pytest.approx([55, 70, 105])
     assert [r.v for r in raster.interpolate_lattice(pts, lattice, lines, pixels, "v", clamp_pixels=False).collect()][2] == pytest.approx(205)
+    from tidewatch.operators import geolocate
+
     rng = np.random.default_rng(3)
-    r, c = rng.uniform(0, 1000, 30), rng.uniform(0, 1000, 30)
-    lon, lat = 10 + r * 1e-4 + np.sin(c / 300) * 1e-2, 55 + c * 1e-4
-    tie = spark.createDataFrame([(float(a), float(b)) for a, b in zip(r, c, strict=True)], "row double, col double")
-    got = raster.thin_plate(tie, r, c, lon, lat).collect()
-    assert [g.lon for g in got] == pytest.approx(list(lon), abs=1e-8) and [g.lat for g in got] == pytest.approx(list(lat), abs=1e-8)
+    rows = []
+    for scene, bend in (("S", 1e-2), ("T", 0.0)):
+        r, c = rng.uniform(0, 1000, 30), rng.uniform(0, 1000, 30)
+        rows += [(scene, float(a), float(b), float(10 + a * 1e-4 + np.sin(b / 300) * bend), float(55 + b * 1e-4)) for a, b in zip(r, c, strict=True)]
+    ties = spark.createDataFrame(rows, "scene_id string, row double, col double, lon double, lat double")
+    got = geolocate.located(ties.select("scene_id", "row", "col", F.col("lon").alias("x"), F.col("lat").alias("y")), geolocate.splines(ties)).collect()
+    assert len(got) == 60 and all(abs(g.lon - g.x) < 1e-8 and abs(g.lat - g.y) < 1e-8 for g in got)
+    assert geolocate.located(spark.createDataFrame([("none", 1.0, 1.0)], "scene_id string, row double, col double"), geolocate.splines(ties)).first()[3:] == (None, None)
+    sizes = spark.createDataFrame([("S", 1000, 1000), ("T", 1000, 900)], "scene_id string, height int, width int")
+    t = {r.scene_id: tuple(r)[1:] for r in geolocate.windows(ties, sizes, (10.02, 55.03, 10.05, 55.089), 20).collect()}["T"]
+    assert all(abs(a - b) <= 1 for a, b in zip(t, (180, 520, 280, 900), strict=True))  # 200 to 500 by 300 to 890, 20 wider, cut at 900
+
+
+def test_vessels_end_to_end_and_reuse(spark):
+    """Pixels to ids in two scenes; the second call takes the stored run of the one that has it."""
+    from tidewatch.operators import geolocate
+
+    rng = np.random.default_rng(13)
+    values = {}
+    for scene in ("S", "T"):
+        v = rng.uniform(-1e-4, 1e-4, (192, 192))
+        v[20:24, 30:42] = 1.0
+        v[100:103, 150:158] = 0.5
+        v[180:184, 3:10] = 0.7
+        values[scene] = v
+    pixels = table(spark, values["S"], "S").union(table(spark, values["T"], "T"))
+    ties = [(s, float(r), float(c), 10 + c * 1e-3, 56 - r * 1e-3) for s in "ST" for r in (0, 96, 192) for c in (0, 96, 192)]
+    ties = spark.createDataFrame(ties, "scene_id string, row double, col double, lon double, lat double")
+    sizes = spark.createDataFrame([("S", 192, 192), ("T", 192, 192)], "scene_id string, height int, width int")
+    source, config = tiles.tile(pixels, 64), Config(merge_radius_m=0.0, land_open_blocks=3)
+    box = (10.02, 55.85, 10.19, 56.0)  # without the last one
+    run = lambda **more: geolocate.detect_vessels(source, ties, sizes, box, 10.0, 1e-5, config=config, pad=16, side=64, **more)
+    first = run().cache()
+    got = {r.id: r for r in first.collect()}
+    assert sorted(got) == [f"{s}:det_0000{k}" for s in "ST" for k in (0, 1)]
+    assert [(round(got[f"S:det_0000{k}"].lon, 3), round(got[f"S:det_0000{k}"].lat, 3), got[f"S:det_0000{k}"].length_m) for k in (0, 1)] == [(10.036, 55.978, 120.0), (10.154, 55.898, 80.0)]
+    assert got["T:det_00000"].heading_deg == pytest.approx(90, abs=0.1)
+    params = catalog.parameters(config)
+    runs = [("old", "S", "cfar", datetime(2026, 1, 1), params), ("new", "S", "cfar", datetime(2026, 1, 2), {**params, "min_length_m": 10.0}), ("else", "S", "cfar", datetime(2026, 1, 3), {**params, "k": 9.0}), ("lone", "T", "cfar", datetime(2026, 1, 3), {"k": 8.0})]
+    runs = spark.createDataFrame(runs, "id string, scene_id string, detector string, started_at timestamp, parameters map<string,double>")
+    assert [(r.scene_id, r.id) for r in catalog.reusable_runs(runs, params).collect()] == [("S", "new")]
+    stored = first.where("scene_id = 'S'").withColumn("run_id", F.lit("new")).withColumn("lon", F.lit(1.0))
+    short = stored.withColumn("length_m", F.lit(12.0)).withColumn("id", F.lit("short"))
+    again = {r.id: r.lon for r in run(runs=runs, stored=stored.union(short)).collect()}
+    assert sorted(again) == sorted(got) and again["S:det_00001"] == 1.0 and again["T:det_00001"] == pytest.approx(10.154, abs=1e-3)
+
+
+def test_chips_and_spread(spark):
+    rng = np.random.default_rng(14)
+    v = rng.uniform(0.1, 10, (50, 70))
+    source = tiles.tile(table(spark, v).withColumn("valid", F.col("col") != 33), 16)
+    centres = spark.createDataFrame([(1, "S", 25, 35), (2, "S", 1, 2), (3, "S", 49, 69), (4, "none", 5, 5)], "id long, scene_id string, row long, col long")
+    sizes = spark.createDataFrame([("S", 50, 70)], "scene_id string, height int, width int")
+    for half, step in ((9, 1), (9, 4), (3, 10)):
+        got = {(r.id, r.y, r.x): r.db for r in tiles.chips(source, centres, sizes, half, step, 16).collect()}
+        want = {}
+        for i, r, c in ((1, 25, 35), (2, 1, 2), (3, 49, 69)):
+            r0, r1, c0, c1 = max(0, r - half), min(50, r + half), max(0, c - half), min(70, c + half)
+            h, w = max(1, (r1 - r0) // step), max(1, (c1 - c0) // step)
+            for y in range(h):
+                for x in range(w):
+                    p, q = r0 + int((y + 0.5) * (r1 - r0) / h), c0 + int((x + 0.5) * (c1 - c0) / w)
+                    want[i, y, x] = None if q == 33 else pytest.approx(10 * np.log10(v[p, q]))
+        assert got == want
+    rows = spark.range(101).selectExpr("id", "CAST(id * 7 % 101 AS DOUBLE) AS score")
+    got = sorted(catalog.spread(rows, [F.desc("score"), F.col("id")], 5).collect(), key=lambda r: r.place)
+    assert [(r.place, r.score) for r in got] == [(1, 100.0), (26, 75.0), (51, 50.0), (76, 25.0), (101, 0.0)]
+    assert catalog.spread(rows, [F.col("id")], 500).count() == 101 and catalog.spread(rows.where("false"), [F.col("id")], 5).count() == 0
 
 
 def test_components(spark):

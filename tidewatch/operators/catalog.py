@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import asdict
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -70,10 +71,17 @@ def same_parameters(stored: dict, wanted: dict) -> bool:
     return True
 
 
-def reusable_run(runs: DataFrame, scene_id: str, wanted: dict) -> dict | None:
-    """The newest run of a scene made with these parameters; its driver reads that scene's runs only."""
-    rows = runs.where(F.col("scene_id") == scene_id).orderBy(F.desc("started_at"), F.desc("id")).toLocalIterator()
-    return next((r.asDict() for r in rows if same_parameters(dict(r.parameters or {}), wanted)), None)
+def parameters(config) -> dict[str, float]:
+    """A detector's configuration as the numbers that a run keeps."""
+    return {k: float(v) for k, v in asdict(config).items()}
+
+
+def reusable_runs(runs: DataFrame, wanted: dict[str, float]) -> DataFrame:
+    """The newest run of each scene that was made with these parameters (``parameters``: map of numbers), by ``same_parameters``' rules."""
+    asked = F.create_map(*(x for k, v in wanted.items() for x in (F.lit(k), F.lit(float(v)))))
+    near = lambda k, v: F.when(k == "min_length_m", v <= asked[k] + 1e-9).otherwise(F.abs(v - asked[k]) <= 1e-9)
+    same = F.forall(F.map_entries("parameters"), lambda e: F.coalesce(near(e["key"], e["value"]), F.lit(False)))
+    return latest_runs(runs.where(F.col("parameters").isNotNull() & (F.size("parameters") == len(wanted)) & same), "scene_id")
 
 
 def replace_run(detections: DataFrame, runs: DataFrame, new_run: DataFrame, new_detections: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -126,3 +134,14 @@ def in_callers_order(rows: DataFrame, id_col: str, ids: list) -> DataFrame:
     spark = rows.sparkSession
     order = spark.createDataFrame([(x, k) for k, x in enumerate(dict.fromkeys(ids))], f"_id {rows.schema[id_col].dataType.simpleString()}, _k int")
     return rows.join(F.broadcast(order), F.col(id_col) == F.col("_id")).orderBy("_k").drop("_id", "_k")  # as long as the caller's own list
+
+
+def spread(rows: DataFrame, order: list, n: int, place: str = "place") -> DataFrame:
+    """``n`` rows that lie evenly over an order, the first and the last among them, with their number in it from 1; all where there are no more.
+
+    For sheets of examples: the best ones alone say nothing of the marginal ones.
+    """
+    ranked = numbered(rows, order, place)
+    count = F.lit(rows.count())
+    picked = F.array(*(F.bround(F.lit(k) * (count - 1) / F.lit(float(max(n - 1, 1)))).cast("long") + 1 for k in range(n)))
+    return ranked.where((count <= n) | F.array_contains(picked, F.col(place)))

@@ -47,30 +47,6 @@ def interpolate_lattice(points: DataFrame, lattice: np.ndarray, lines: np.ndarra
     return points.withColumn(out, at("row", "col"))
 
 
-def thin_plate(points: DataFrame, rows: np.ndarray, cols: np.ndarray, lons: np.ndarray, lats: np.ndarray) -> DataFrame:
-    """lon and lat of (row, col) by thin-plate splines through tie points (some hundred; solved here, applied in batches)."""
-    xy = np.column_stack([rows, cols]).astype(float)
-    mean, scale = xy.mean(axis=0), max(xy.std(), 1e-9)
-    z = (xy - mean) / scale
-
-    def kernel(a: np.ndarray) -> np.ndarray:
-        d2 = ((a[:, None, :] - z[None, :, :]) ** 2).sum(axis=2)
-        return np.where(d2 > 0, d2 * np.log(np.where(d2 > 0, d2, 1)), 0.0) / 2
-
-    n = len(z)
-    flat = np.column_stack([np.ones(n), z])
-    system = np.block([[kernel(z), flat], [flat.T, np.zeros((3, 3))]])
-    weights = np.linalg.solve(system, np.vstack([np.column_stack([lons, lats]), np.zeros((3, 2))]))
-
-    @F.pandas_udf("struct<lon:double,lat:double>")
-    def at(row: pd.Series, col: pd.Series) -> pd.DataFrame:
-        a = (np.column_stack([row, col]).astype(float) - mean) / scale
-        out = np.hstack([kernel(a), np.ones((len(a), 1)), a]) @ weights
-        return pd.DataFrame({"lon": out[:, 0], "lat": out[:, 1]})
-
-    return points.withColumn("_at", at("row", "col")).withColumns({"lon": F.col("_at.lon"), "lat": F.col("_at.lat")}).drop("_at")
-
-
 # -- statistics ---------------------------------------------------------------------------------
 
 def _blocked(pixels: DataFrame, block: int) -> DataFrame:

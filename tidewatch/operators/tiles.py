@@ -539,3 +539,37 @@ def detect(tiles: DataFrame, nesz: float | None = None, config: Config = Config(
     """Measured blobs of a raster: mask, statistics of the water, thresholds, components, sizes."""
     tiles = written(tiles, "source")
     return measure(tested(tiles, land_mask(tiles, config, side), nesz, config, side), config, side)
+
+
+def chips(tiles: DataFrame, centres: DataFrame, sizes: DataFrame, half: int = 40, decimate: int = 1, side: int = SIDE) -> DataFrame:
+    """(id, y, x, db): decibels around each of ``centres`` (id, scene_id, row, col), one pixel of ``decimate`` in each direction.
+
+    A chip reaches ``half`` pixels to each side and is cut at the image's edges (``sizes``: scene_id, height, width). Its pixels are
+    those nearest to the middles of its cells; null where there is none or none that is valid. Only the tiles that chips touch
+    are looked into, each for its own part of them.
+    """
+    edge = lambda c, size: (F.greatest(F.lit(0), F.col(c).cast("long") - half), F.least(F.col(size).cast("long"), F.col(c).cast("long") + half))
+    (r0, r1), (c0, c1) = edge("row", "height"), edge("col", "width")
+    boxes = centres.select("id", "scene_id", "row", "col").join(sizes, "scene_id").select("id", "scene_id", r0.alias("r0"), c0.alias("c0"), (r1 - r0).alias("h"), (c1 - c0).alias("w")).where("h > 0 AND w > 0")
+    out = lambda c: F.greatest(F.lit(1), F.floor(F.col(c) / decimate))
+    boxes = boxes.withColumns({"out_h": out("h"), "out_w": out("w")})
+    span = lambda a, n: F.explode(F.sequence(F.floor(F.col(a) / side), F.floor((F.col(a) + F.col(n) - 1) / side)))
+    touched = boxes.withColumn("tile_row", span("r0", "h")).withColumn("tile_col", span("c0", "w"))
+    todo = touched.groupBy(*KEY).agg(F.collect_list(F.struct("id", "r0", "c0", "h", "w", "out_h", "out_w")).alias("todo"))
+    schema = T.StructType([T.StructField("id", centres.schema["id"].dataType), *T.StructType.fromDDL("y long, x long, db double").fields])
+
+    def look(scene, tr: int, tc: int, value: bytes, state: bytes, asked: list) -> Iterator[tuple]:
+        v, ok = _grid(value, "f8", side), (_grid(state, "u1", side) & VALID) > 0
+        for a in asked:
+            rows = a["r0"] + ((np.arange(a["out_h"]) + 0.5) * a["h"] / a["out_h"]).astype(np.int64) - tr * side
+            cols = a["c0"] + ((np.arange(a["out_w"]) + 0.5) * a["w"] / a["out_w"]).astype(np.int64) - tc * side
+            ys, xs = np.flatnonzero((rows >= 0) & (rows < side)), np.flatnonzero((cols >= 0) & (cols < side))
+            if len(ys) and len(xs):
+                part = np.ix_(rows[ys], cols[xs])
+                db, good = 10 * np.log10(np.maximum(v[part], 1e-9)), ok[part]
+                for i, y in enumerate(ys.tolist()):
+                    yield from ((a["id"], y, x, float(d)) for x, d, g in zip(xs.tolist(), db[i], good[i], strict=True) if g)
+
+    seen = each(tiles.select(*KEY, "value", "state").join(todo, KEY), look, schema, 4096)
+    grid = boxes.select("id", "out_w", F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_h") - 1)).alias("y")).select("id", "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("out_w") - 1)).alias("x"))
+    return grid.join(seen, ["id", "y", "x"], "left")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geo
-from ..operators import catalog, evaluate, land, raster, tiles
+from ..operators import catalog, evaluate, geolocate, land, raster, tiles
 from ..operators.radar import Config
 from . import derived as d
 from .derived import SQL_DETECTIONS, SQL_FOOTPRINTS, read, sql_haversine
@@ -80,6 +80,43 @@ def detect_blobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("scene_id", *(F.round(c, 6).alias(c) for c in ("row", "col", "length_px", "width_px", "dx", "dy", "margin")), "pixels")
 
 
+#: Off the lattice of places that pixels can have.
+_AREA = (10.0500371, 55.8000173, 10.2000371, 55.9500173)
+_VESSELS = Config(k=1.5, censor=1.0, k_grow=1.0, min_pixels=2, grow_halfwidth_px=4, land_sigma0_db=200.0, max_fill_fraction=1.1, min_length_m=25.0, max_length_m=90.0, merge_radius_m=0.0, min_heading_aspect=1.57)
+
+
+def _ties(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Tie points of an image that is turned against north, the same for each return flag, and the images' sizes."""
+    scenes = read(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("scene_id")).distinct()
+    steps = F.array(*(F.lit(float(x)) for x in (0, 64, 128, 192, 256)))
+    grid = scenes.select("scene_id", F.explode(steps).alias("row")).select("*", F.explode(steps).alias("col"))
+    lon, lat = 10.0 + 0.001 * F.col("col") + 0.0001 * F.col("row"), 56.0 - 0.001 * F.col("row") + 0.0002 * F.col("col")
+    return grid.select("*", lon.alias("lon"), lat.alias("lat")), scenes.select("scene_id", F.lit(256).alias("height"), F.lit(256).alias("width"))
+
+
+def aoi_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return geolocate.windows(*_ties(spark, sf_dir), _AREA, 20)
+
+
+def vessels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From pixels to detections with ids, within an area and a band of lengths."""
+    ties, sizes = _ties(spark, sf_dir)
+    out = geolocate.detect_vessels(_tiles(spark, sf_dir), ties, sizes, _AREA, 10.0, 100.0, config=_VESSELS, pad=32, side=_SIDE)
+    return out.select("id", "scene_id", *(F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("lon", "lat")), "length_m", "width_m", "heading_deg", "confidence", "cfar_margin_db")
+
+
+def chips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A decimated chip around a place of each supplier."""
+    k = F.col("s_suppkey")
+    centres = read(spark, sf_dir, "supplier").select(k.alias("id"), F.element_at(F.array(F.lit("A"), F.lit("N"), F.lit("R")), (k % 3 + 1).cast("int")).alias("scene_id"), (k * 37 % 256).alias("row"), (k * 91 % 256).alias("col"))
+    return tiles.chips(_tiles(spark, sf_dir), centres, _ties(spark, sf_dir)[1], 18, 5, _SIDE).select("id", "y", "x", F.round("db", 6).alias("db"))
+
+
+def spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = d.detections(spark, sf_dir).select("detection_id", "length_m")
+    return catalog.spread(rows, [F.desc("length_m"), F.col("detection_id")], 48).select("detection_id", "place")
+
+
 def single_link_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     points = d.detections(spark, sf_dir).select("scene_id", F.col("detection_id").alias("id"), "lon", "lat", F.col("length_m").alias("margin"))
     return raster.merge_fragments(points, 200.0).select("scene_id", "id", "fragments")
@@ -158,7 +195,7 @@ def greedy_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.compare(ours, _reference(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (block_mean, block_stats_censored, cfar_hot, cfar_masked, dilate, erode, components, detect_blobs, single_link_merge, length_bands, on_land, shore_buffer, scene_search, scene_rank, footprint_area, latest_run, scene_counts, table_counts, partition_check, greedy_pairing)}
+QUERIES = {f.__name__: f for f in (block_mean, block_stats_censored, cfar_hot, cfar_masked, dilate, erode, components, detect_blobs, aoi_windows, vessels, chips, spread, single_link_merge, length_bands, on_land, shore_buffer, scene_search, scene_rank, footprint_area, latest_run, scene_counts, table_counts, partition_check, greedy_pairing)}
 
 _PX = """px AS (SELECT l_returnflag AS scene_id, l_orderkey % 256 AS row, (l_partkey * 7 + l_linenumber) % 256 AS col, sum(floor(l_extendedprice * 100 + 0.5)::BIGINT) / 100.0::DOUBLE AS value,
     sum(floor(l_quantity)::BIGINT) % 13 <> 0 AS valid FROM lineitem GROUP BY 1, 2, 3)"""
@@ -170,23 +207,8 @@ _CELLS = "c AS (SELECT scene_id, CAST(row // 8 AS BIGINT) AS block_row, CAST(col
 _WALK = """walk AS (SELECT scene_id, row, col, row AS lr, col AS lc FROM hot
     UNION SELECT n.scene_id, n.row, n.col, w.lr, w.lc FROM walk w JOIN hot n ON n.scene_id = w.scene_id AND n.row BETWEEN w.row - 1 AND w.row + 1 AND n.col BETWEEN w.col - 1 AND w.col + 1),
   comp AS MATERIALIZED (SELECT scene_id, row, col, (l).r AS lr, (l).c AS lc FROM (SELECT scene_id, row, col, min(struct_pack(r := lr, c := lc)) AS l FROM walk GROUP BY 1, 2, 3))"""
-SQL = {
-    "block_mean": f"WITH {_PX} SELECT scene_id, CAST(row // 32 AS BIGINT) AS block_row, CAST(col // 32 AS BIGINT) AS block_col, round(coalesce(avg(value) FILTER (WHERE valid), 0) + 0.0000123, 4) AS mean, round(count(*) FILTER (WHERE valid) / 1024.0::DOUBLE, 6) AS fill FROM px GROUP BY 1, 2, 3",
-    "block_stats_censored": f"WITH {_PX}, {_STATS} SELECT scene_id, block_row, block_col, round(mean + 0.0000123, 4) AS mean, round(std, 3) AS std, round(fill, 6) AS fill FROM st",
-    "cfar_hot": f"WITH {_PX}, {_STATS} SELECT scene_id, count(*) FILTER (WHERE value > mean + 1.5 * std) AS px_above_cfar, count(*) FILTER (WHERE value > 1000) AS px_above_floor, count(*) FILTER (WHERE value > mean + 1.5 * std AND value > 1000) AS px_hot FROM b JOIN st USING (scene_id, block_row, block_col) GROUP BY 1",
-    "cfar_masked": f"""WITH {_PX}, c AS (SELECT scene_id, CAST(row // 8 AS BIGINT) AS br, CAST(col // 8 AS BIGINT) AS bc, coalesce(avg(value) FILTER (WHERE valid), 0) > pow(10, 4.76::DOUBLE) AS m, count(*) FILTER (WHERE valid) < 0.8::DOUBLE * count(*) AS fill FROM px GROUP BY ALL),
-        e AS (SELECT c.*, m AND NOT EXISTS (SELECT 1 FROM c o WHERE NOT o.m AND o.scene_id = c.scene_id AND abs(o.br - c.br) + abs(o.bc - c.bc) <= 1) AS core FROM c),
-        land AS (SELECT scene_id, br, bc, fill OR EXISTS (SELECT 1 FROM e o WHERE o.core AND o.scene_id = e.scene_id AND abs(o.br - e.br) + abs(o.bc - e.bc) <= 2) AS masked FROM e),
-        w AS (SELECT px.*, masked, CAST(row // 32 AS BIGINT) AS block_row, CAST(col // 32 AS BIGINT) AS block_col FROM px JOIN land ON land.scene_id = px.scene_id AND br = row // 8 AND bc = col // 8),
-        f AS (SELECT scene_id, block_row, block_col, count(*) AS n0, avg(value) AS m0, sqrt(greatest(sum(value * value) / count(*) - pow(sum(value) / count(*), 2), 0)) AS s0 FROM w WHERE valid AND NOT masked GROUP BY ALL),
-        g AS (SELECT scene_id, block_row, block_col, count(*) AS n1, avg(value) AS m1, sqrt(greatest(sum(value * value) / count(*) - pow(sum(value) / count(*), 2), 0)) AS s1 FROM w JOIN f USING (scene_id, block_row, block_col) WHERE valid AND NOT masked AND value <= m0 + 1.0 * s0 GROUP BY ALL),
-        st AS (SELECT scene_id, block_row, block_col, CASE WHEN coalesce(n1, 0) < 128 THEN m0 ELSE m1 END AS mean, CASE WHEN coalesce(n1, 0) < 128 THEN s0 ELSE s1 END AS std FROM f LEFT JOIN g USING (scene_id, block_row, block_col))
-        SELECT scene_id, count(*) FILTER (WHERE valid) AS examined, count(*) FILTER (WHERE valid AND masked) AS masked, count(*) FILTER (WHERE valid AND NOT masked) AS water, count(*) FILTER (WHERE valid AND NOT masked AND value > mean + 1.5 * std) AS px_above_cfar,
-          count(*) FILTER (WHERE valid AND NOT masked AND value > 1000) AS px_above_floor, count(*) FILTER (WHERE valid AND NOT masked AND value > mean + 1.5 * std AND value > 1000) AS px_hot FROM w LEFT JOIN st USING (scene_id, block_row, block_col) GROUP BY 1""",
-    "components": f"""WITH RECURSIVE {_PX}, {_STATS}, hot AS MATERIALIZED (SELECT scene_id, row, col FROM b JOIN st USING (scene_id, block_row, block_col) WHERE value > mean + 1.5 * std), {_WALK}
-        SELECT scene_id, row, col, lr AS blob_row, lc AS blob_col FROM comp""",
-    # growth within the window of each blob, then the smallest rectangle over all directions between lattice points of its box
-    "detect_blobs": f"""WITH RECURSIVE {_PX}, {_STATS}, v AS MATERIALIZED (SELECT scene_id, row, col, value, mean + 1.5 * std AS thr FROM b JOIN st USING (scene_id, block_row, block_col)),
+# growth within the window of each blob, then the smallest rectangle over all directions between lattice points of its box
+_BLOBS = f"""WITH RECURSIVE {_PX}, {_STATS}, v AS MATERIALIZED (SELECT scene_id, row, col, value, mean + 1.5 * std AS thr FROM b JOIN st USING (scene_id, block_row, block_col)),
         hot AS MATERIALIZED (SELECT scene_id, row, col FROM v WHERE value > thr AND value > 1000), {_WALK},
         blobs AS MATERIALIZED (SELECT scene_id, lr, lc, count(*) AS n, avg(row) + 0.5 AS row, avg(col) + 0.5 AS col, min(row) AS r0, max(row) AS r1, min(col) AS c0, max(col) AS c1 FROM comp GROUP BY 1, 2, 3 HAVING count(*) >= 2),
         low AS MATERIALIZED (SELECT scene_id, row, col FROM v WHERE value > thr * (1.0::DOUBLE / 1.5::DOUBLE)),
@@ -204,9 +226,41 @@ SQL = {
         cand AS (SELECT scene_id, lr, lc, nn, along, across, along AS long, across AS short, dx AS ux, dy AS uy FROM cast_ WHERE along >= across
           UNION ALL SELECT scene_id, lr, lc, nn, along, across, across, along, CASE WHEN dy < 0 OR (dy = 0 AND dx < 0) THEN -dy WHEN dy = 0 THEN 0 ELSE dy END, CASE WHEN dy < 0 THEN dx WHEN dy = 0 THEN abs(dx) ELSE -dx END FROM cast_ WHERE across >= along),
         best AS (SELECT * FROM cand QUALIFY row_number() OVER (PARTITION BY scene_id, lr, lc ORDER BY (along * across)::DOUBLE / nn, -(long * long)::DOUBLE / nn, abs(uy) / sqrt(nn), -uy) = 1),
-        peak AS (SELECT o.scene_id, o.lr, o.lc, max(value) AS top, max(thr) AS lim FROM blobs o JOIN v ON v.scene_id = o.scene_id AND v.row BETWEEN r0 AND r1 AND v.col BETWEEN c0 AND c1 GROUP BY 1, 2, 3)
+        peak AS (SELECT o.scene_id, o.lr, o.lc, max(value) AS top, max(thr) AS lim FROM blobs o JOIN v ON v.scene_id = o.scene_id AND v.row BETWEEN r0 AND r1 AND v.col BETWEEN c0 AND c1 GROUP BY 1, 2, 3)"""
+SQL = {
+    "block_mean": f"WITH {_PX} SELECT scene_id, CAST(row // 32 AS BIGINT) AS block_row, CAST(col // 32 AS BIGINT) AS block_col, round(coalesce(avg(value) FILTER (WHERE valid), 0) + 0.0000123, 4) AS mean, round(count(*) FILTER (WHERE valid) / 1024.0::DOUBLE, 6) AS fill FROM px GROUP BY 1, 2, 3",
+    "block_stats_censored": f"WITH {_PX}, {_STATS} SELECT scene_id, block_row, block_col, round(mean + 0.0000123, 4) AS mean, round(std, 3) AS std, round(fill, 6) AS fill FROM st",
+    "cfar_hot": f"WITH {_PX}, {_STATS} SELECT scene_id, count(*) FILTER (WHERE value > mean + 1.5 * std) AS px_above_cfar, count(*) FILTER (WHERE value > 1000) AS px_above_floor, count(*) FILTER (WHERE value > mean + 1.5 * std AND value > 1000) AS px_hot FROM b JOIN st USING (scene_id, block_row, block_col) GROUP BY 1",
+    "cfar_masked": f"""WITH {_PX}, c AS (SELECT scene_id, CAST(row // 8 AS BIGINT) AS br, CAST(col // 8 AS BIGINT) AS bc, coalesce(avg(value) FILTER (WHERE valid), 0) > pow(10, 4.76::DOUBLE) AS m, count(*) FILTER (WHERE valid) < 0.8::DOUBLE * count(*) AS fill FROM px GROUP BY ALL),
+        e AS (SELECT c.*, m AND NOT EXISTS (SELECT 1 FROM c o WHERE NOT o.m AND o.scene_id = c.scene_id AND abs(o.br - c.br) + abs(o.bc - c.bc) <= 1) AS core FROM c),
+        land AS (SELECT scene_id, br, bc, fill OR EXISTS (SELECT 1 FROM e o WHERE o.core AND o.scene_id = e.scene_id AND abs(o.br - e.br) + abs(o.bc - e.bc) <= 2) AS masked FROM e),
+        w AS (SELECT px.*, masked, CAST(row // 32 AS BIGINT) AS block_row, CAST(col // 32 AS BIGINT) AS block_col FROM px JOIN land ON land.scene_id = px.scene_id AND br = row // 8 AND bc = col // 8),
+        f AS (SELECT scene_id, block_row, block_col, count(*) AS n0, avg(value) AS m0, sqrt(greatest(sum(value * value) / count(*) - pow(sum(value) / count(*), 2), 0)) AS s0 FROM w WHERE valid AND NOT masked GROUP BY ALL),
+        g AS (SELECT scene_id, block_row, block_col, count(*) AS n1, avg(value) AS m1, sqrt(greatest(sum(value * value) / count(*) - pow(sum(value) / count(*), 2), 0)) AS s1 FROM w JOIN f USING (scene_id, block_row, block_col) WHERE valid AND NOT masked AND value <= m0 + 1.0 * s0 GROUP BY ALL),
+        st AS (SELECT scene_id, block_row, block_col, CASE WHEN coalesce(n1, 0) < 128 THEN m0 ELSE m1 END AS mean, CASE WHEN coalesce(n1, 0) < 128 THEN s0 ELSE s1 END AS std FROM f LEFT JOIN g USING (scene_id, block_row, block_col))
+        SELECT scene_id, count(*) FILTER (WHERE valid) AS examined, count(*) FILTER (WHERE valid AND masked) AS masked, count(*) FILTER (WHERE valid AND NOT masked) AS water, count(*) FILTER (WHERE valid AND NOT masked AND value > mean + 1.5 * std) AS px_above_cfar,
+          count(*) FILTER (WHERE valid AND NOT masked AND value > 1000) AS px_above_floor, count(*) FILTER (WHERE valid AND NOT masked AND value > mean + 1.5 * std AND value > 1000) AS px_hot FROM w LEFT JOIN st USING (scene_id, block_row, block_col) GROUP BY 1""",
+    "components": f"""WITH RECURSIVE {_PX}, {_STATS}, hot AS MATERIALIZED (SELECT scene_id, row, col FROM b JOIN st USING (scene_id, block_row, block_col) WHERE value > mean + 1.5 * std), {_WALK}
+        SELECT scene_id, row, col, lr AS blob_row, lc AS blob_col FROM comp""",
+    "detect_blobs": f"""{_BLOBS}
         SELECT scene_id, round(row, 6) AS row, round(col, 6) AS col, round(long / sqrt(nn), 6) AS length_px, round(short / sqrt(nn), 6) AS width_px, round(ux / sqrt(nn), 6) AS dx, round(uy / sqrt(nn), 6) AS dy, round(top / greatest(lim, 1e-12), 6) AS margin, n AS pixels
         FROM blobs JOIN best USING (scene_id, lr, lc) JOIN peak USING (scene_id, lr, lc)""",
+    "aoi_windows": """WITH s AS (SELECT DISTINCT l_returnflag AS scene_id FROM lineitem), k(lon, lat) AS (VALUES (10.0500371, 55.8000173), (10.2000371, 55.8000173), (10.0500371, 55.9500173), (10.2000371, 55.9500173)),
+        p AS (SELECT ((lon - 10) * 0.0002 / 0.001 - (lat - 56)) / (0.001 + 0.0001 * 0.0002 / 0.001) AS r, (lon - 10 - 0.0001 * ((lon - 10) * 0.0002 / 0.001 - (lat - 56)) / (0.001 + 0.0001 * 0.0002 / 0.001)) / 0.001 AS c FROM k)
+        SELECT scene_id, greatest(0, min(floor(r))::BIGINT - 20) AS row0, least(256, max(ceil(r))::BIGINT + 20) AS row1, greatest(0, min(floor(c))::BIGINT - 20) AS col0, least(256, max(ceil(c))::BIGINT + 20) AS col1 FROM s, p GROUP BY 1""",
+    "vessels": f"""{_BLOBS},
+        sized AS (SELECT scene_id, row, col, 10 * long / sqrt(nn) AS length_m, 10 * short / sqrt(nn) AS width_m, row + 40 * uy / sqrt(nn) AS tr, col + 40 * ux / sqrt(nn) AS tc, 10 * log10(greatest(top / greatest(lim, 1e-12), 1e-12)) AS db FROM blobs JOIN best USING (scene_id, lr, lc) JOIN peak USING (scene_id, lr, lc)),
+        placed AS (SELECT *, 10 + 0.001 * col + 0.0001 * row AS lon, 56 - 0.001 * row + 0.0002 * col AS lat, 10 + 0.001 * tc + 0.0001 * tr AS lon2, 56 - 0.001 * tr + 0.0002 * tc AS lat2 FROM sized WHERE length_m BETWEEN 25 AND 90),
+        named AS (SELECT *, row_number() OVER (PARTITION BY scene_id ORDER BY row, col) - 1 AS k, (degrees(atan2(sin(radians(lon2 - lon)) * cos(radians(lat2)), cos(radians(lat)) * sin(radians(lat2)) - sin(radians(lat)) * cos(radians(lat2)) * cos(radians(lon2 - lon)))) + 360) % 180 AS h
+          FROM placed WHERE lon BETWEEN 10.0500371 AND 10.2000371 AND lat BETWEEN 55.8000173 AND 55.9500173)
+        SELECT printf('%s:det_%05d', scene_id, k) AS id, scene_id, round(lon + 1e-9, 6) AS lon, round(lat + 1e-9, 6) AS lat, round_even(length_m, 1) AS length_m, round_even(width_m, 1) AS width_m,
+          CASE WHEN length_m / 10 >= 4 AND length_m / greatest(width_m, 10) >= 1.57 THEN round_even(h, 1) END AS heading_deg, round_even(least(1, greatest(0, db / 10)), 3) AS confidence, round_even(db, 2) AS cfar_margin_db FROM named""",
+    "chips": f"""WITH {_PX}, c AS (SELECT s_suppkey AS id, ['A', 'N', 'R'][s_suppkey % 3 + 1] AS scene_id, s_suppkey * 37 % 256 AS r, s_suppkey * 91 % 256 AS c FROM supplier),
+        b AS (SELECT id, c.scene_id, greatest(0, r - 18) AS r0, greatest(0, c - 18) AS c0, least(256, r + 18) - greatest(0, r - 18) AS h, least(256, c + 18) - greatest(0, c - 18) AS w FROM c SEMI JOIN px USING (scene_id)),
+        o AS (SELECT *, unnest(range(greatest(1, h // 5))) AS y, greatest(1, h // 5) AS oh, greatest(1, w // 5) AS ow FROM b), g AS (SELECT *, unnest(range(ow)) AS x FROM o)
+        SELECT id, y, x, CASE WHEN value IS NOT NULL THEN round(10 * log10(greatest(value, 1e-9)), 6) END AS db FROM g LEFT JOIN px ON px.scene_id = g.scene_id AND px.valid AND px.row = r0 + floor((y + 0.5) * h / oh)::BIGINT AND px.col = c0 + floor((x + 0.5) * w / ow)::BIGINT""",
+    "spread": f"""WITH {SQL_DETECTIONS}, r AS (SELECT detection_id, row_number() OVER (ORDER BY length_m DESC, detection_id) AS place, count(*) OVER () AS n FROM detections)
+        SELECT detection_id, place FROM r WHERE n <= 48 OR place - 1 IN (SELECT CAST(round_even(k * ((SELECT count(*) FROM orders) - 1) / 47.0::DOUBLE, 0) AS BIGINT) FROM range(48) t(k))""",
     "dilate": f"WITH {_PX}, {_CELLS % 60000} SELECT c.scene_id, c.block_row, c.block_col, EXISTS (SELECT 1 FROM c o WHERE o.m AND o.scene_id = c.scene_id AND abs(o.block_row - c.block_row) + abs(o.block_col - c.block_col) <= 2) AS mask FROM c",
     "erode": f"WITH {_PX}, {_CELLS % 35000} SELECT c.scene_id, c.block_row, c.block_col, NOT EXISTS (SELECT 1 FROM c o WHERE NOT o.m AND o.scene_id = c.scene_id AND abs(o.block_row - c.block_row) + abs(o.block_col - c.block_col) <= 1) AS mask FROM c",
     "single_link_merge": f"""WITH RECURSIVE {SQL_DETECTIONS}, near AS (SELECT a.detection_id AS a, b.detection_id AS b FROM detections a JOIN detections b USING (scene_id) WHERE abs(a.lat - b.lat) < 0.01 AND {sql_haversine('a.lon', 'a.lat', 'b.lon', 'b.lat')} <= 200),
