@@ -735,3 +735,78 @@ def test_broken_files_have_a_fault(spark):
     whole = [r for r in got if r.doc_id == 1]
     assert whole and all(r.fault is None for r in whole)
     assert {r.doc_id for r in got if r.fault} >= {2, 4} and {r.doc_id for r in got} <= {1, 2, 3, 4}
+
+
+# -- 7 pages of other shapes ---------------------------------------------------------------------
+
+_LONG = "Words that make up a paragraph of the article, one after another, as there are some more of them. " * 2
+_AROUND = '<div class="side"><ul><li><a href=1>One</a></li><li><a href=2>Two</a></li><li><a href=3>Three</a></li></ul></div>'
+
+
+def _text(body):
+    return html_text.main_text(f"<html><body>{_AROUND}{body}{_AROUND}</body></html>").split("\n")
+
+
+def test_an_article_keeps_what_is_in_it():
+    p = f"<p>{_LONG}</p>"
+    want = _LONG.strip()
+    sources = "<ul><li><a href=x>First source</a></li><li><a href=y>Second source</a></li></ul>"
+    assert _text(f"<article>{p}{p}{sources}</article>") == [want, want, "First source", "Second source"]
+    assert _text(f'<article>{p}<div class="notice-board related"><p>On the notice board.</p></div>{p}</article>') == [want, "On the notice board.", want]
+    assert _text(f"<article>{p}<p>It holds that <math><mi>a</mi><mo>=</mo><mi>b</mi></math> here.</p></article>") == [want, "It holds that a=b here."]
+    # what the article's text is not
+    assert _text(f'<article>{p}{p}<div class="ad"><p>Buy it</p></div><div class="related"><a href=z>More of this</a></div><section class="comments"><p>Nice!</p></section></article>') == [want, want]
+
+
+def test_boxes_beside_each_other():
+    p = f"<p>{_LONG}</p>"
+    want = _LONG.strip()
+    assert _text(f"<div><h1>The title of it all</h1><div>{p}{p}{p}</div><div><p>A last short box with some words of its own.</p></div></div>") == ["The title of it all", want, want, want, "A last short box with some words of its own."]
+    assert _text(f'<div><div>{p}{p}{p}</div><div class="promo"><p>A short box with some words about an offer.</p></div></div>') == [want] * 3
+    assert _text(f"<table><tr><td>{p}{p}</td></tr></table>") == [want, want]
+    assert _text(f"<main><section><h2>One</h2>{p}</section><section><h2>Two</h2>{p}{p}</section></main>") == ["One", want, "Two", want, want]
+    assert _text(f"<blockquote>{p}{p}</blockquote>") == [want, want]
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_heart_and_threshold_by_their_definition(seed):
+    """The choice on random trees: heart, threshold and sums worked out again from the densities, node by node."""
+    rng = random.Random(seed)
+
+    def some(depth):
+        if depth == 0 or rng.random() < 0.3:
+            return rng.choice(["<p>{}</p>", "<div>{}</div>", "<span>{}</span>", "<a href=x>{}</a>"]).format("word " * rng.randrange(1, 40))
+        return "<div>" + "".join(some(depth - 1) for _ in range(rng.randrange(1, 4))) + "</div>"
+
+    page = html_text.Page(some(4))
+    density, sums = page.densities()
+    n, parent = len(page.tag), page.parent
+    kids = [[k for k in range(1, n) if parent[k] == j] for j in range(n)]
+    assert all(abs(sums[j] - sum(density[k] for k in kids[j])) < 1e-9 for j in range(n))
+    containers = [k for k in range(n) if page.tag[k] not in html_text._NO_CONTAINER]
+    heart = min((k for k in containers if sums[k] == max(sums[j] for j in containers)))
+    path = [heart]
+    while parent[path[-1]] >= 0:
+        path.append(parent[path[-1]])
+    threshold = min(density[k] for k in path)
+
+    def most(k):
+        return max([sums[k], *(most(j) for j in kids[k])])
+
+    def below(k):
+        return [k, *(x for j in kids[k] for x in below(j))]
+
+    links = {k: sum(page.tag[j] == "a" for j in below(k)) for k in range(n)}
+    want = set(below(heart))
+    for up in path[1:]:
+        for k in kids[up]:
+            own = up == parent[heart] and not links[k] and (page.tag[k] in html_text._PROSE or any(page.tag[j] in html_text._PROSE for j in kids[k]))
+            if k not in path and density[k] >= threshold > 0 and (own or most(k) >= threshold):
+                want |= set(below(k))
+    # less what is mostly links and thin
+    total = page.links[0][1]
+    for k in sorted(want - set(path)):
+        lc, c, lt = page.links[k]
+        if density[k] < threshold and lt > 1 and 2 * lc > c and page.tag[k] not in html_text._INLINE and 2 * c <= total:
+            want -= set(below(k))
+    assert {k for k, x in enumerate(page.inside()) if x and page.chars[k]} == {k for k in want if page.chars[k]}

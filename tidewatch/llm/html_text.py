@@ -13,12 +13,15 @@ the richer in links the page is. Four steps find the main text:
 2. The threshold is the smallest density on the heart's path to the body. A subtree beside that path
    is taken too if its density and the largest sum within it both reach the threshold: an article may
    stand in several boxes. A box that holds nothing but its own words has no sum, so a line of
-   advertising isn't taken, however dense.
+   advertising isn't taken, however dense; but of what stands in one element with the heart, titles,
+   paragraphs and boxes of these only need the density, if they have no link and no hint.
 3. Within what is taken, a subtree under the threshold goes if most of its characters are in two or
-   more links; so does a form that isn't on the heart's path.
+   more links; so does a form that isn't on the heart's path. Lists of links in an article or main
+   element stay.
 4. Class, id or role may hint at something beside the text. Characters under a hint weigh ``HINTED``
    of others, down to the next article or main element, and within what is taken a hinted subtree
-   under the threshold goes. A hint on what holds most of the page and all its articles is no hint. What has most of the page's characters never goes.
+   under the threshold goes; in an article or main element only if it has links or the hint is of
+   advertising or comments. A hint on what holds most of the page and all its articles is no hint. What has most of the page's characters never goes.
 
 Cut from the tree before are only what isn't shown (scripts, styles, comments, hidden elements) and the
 elements that stand for menus, headers, footers, sidebars, notices and controls (``nav``, ``footer``,
@@ -60,8 +63,11 @@ _ARTICLES = frozenset("article main".split())
 _HEARTS = _ARTICLES | {"html", "body"}
 _IN_HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
 # Elements that are never main text, and words that hint at what stands beside it.
-_NEVER = frozenset("head nav aside footer button select option input label dialog menu search template svg math canvas object audio video map".split()) | _RAW
+_NEVER = frozenset("head nav aside footer button select option input label dialog menu search template svg canvas object audio video map".split()) | _RAW
 _HINTS = frozenset("ad ads advert advertisement alert banner breadcrumb comment comments complementary contentinfo cookie footer menu nav navigation newsletter notice pagination promo related share sidebar social sponsored subscribe widget".split())
+# Of these, what stands within an article's text without belonging to it.
+_FOREIGN = frozenset("ad ads advert advertisement comment comments cookie newsletter sponsored".split())
+_PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 #: Weight of a character under a hint.
 HINTED = 0.02
 
@@ -71,7 +77,7 @@ class Page:
 
     def __init__(self, source: str):
         self.tag, self.parent, self.items = ["body"], [-1], []  # items: (node, text), or (node, None) where a block starts or ends
-        self.chars, self.hinted = [0], [False]
+        self.chars, self.hinted = [0], [0]  # hinted: 1 at something beside the text, 2 at what isn't text within it
         self.stack: list[tuple[str, int]] = [("body", 0)]  # open elements and their nodes, -1 in what is cut
         self.open: dict[str, list[int]] = {}  # tag -> places in the stack
         self.blocks, self.cut, self.articles = [0], 0, 0
@@ -137,7 +143,7 @@ class Page:
             while len(self.stack) > at:
                 self._pop()
 
-    def _node(self, name: str, hinted: bool = False) -> int:
+    def _node(self, name: str, hinted: int = 0) -> int:
         self.tag.append(name)
         self.parent.append(self.stack[-1][1])
         self.chars.append(0)
@@ -181,8 +187,8 @@ class Page:
         if name not in ("html", "body"):
             self._close((name,), self.blocks[-1] if name in _INLINE else _SCOPE if name == "p" else ())
 
-    def _judged(self, name: str, rest: str) -> tuple[bool, bool]:
-        """Whether an element is cut, and whether something hints that it stands beside the text."""
+    def _judged(self, name: str, rest: str) -> tuple[bool, int]:
+        """Whether an element is cut, and how far its names hint that it isn't text (0 to 2)."""
         if name in _NEVER or (name == "header" and not self.articles):
             return True, False
         if not rest or rest.isspace():
@@ -194,7 +200,8 @@ class Page:
             return True, False
         if name in _HEARTS:
             return False, False
-        return False, not _HINTS.isdisjoint(_NAME_PARTS.findall(f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower()))
+        words = _NAME_PARTS.findall(f"{given.get('class', '')} {given.get('id', '')} {given.get('role', '')}".lower())
+        return False, 2 * (not _FOREIGN.isdisjoint(words)) or int(not _HINTS.isdisjoint(words))
 
     def weighed(self) -> list[float]:
         """Characters of each node alone by their weight; hints of what holds most of the page, and every article of it, are struck out."""
@@ -205,7 +212,7 @@ class Page:
             articles[self.parent[k]] += articles[k]
         weight = [1.0] * n
         for k in range(1, n):
-            self.hinted[k] = self.hinted[k] and (2 * below[k] <= below[0] or articles[k] < articles[0])
+            self.hinted[k] = self.hinted[k] if 2 * below[k] <= below[0] or articles[k] < articles[0] else 0
             weight[k] = 1.0 if self.tag[k] in _ARTICLES else HINTED if self.hinted[k] else weight[self.parent[k]]
         return [c * w for c, w in zip(self.chars, weight, strict=True)]
 
@@ -247,19 +254,26 @@ class Page:
         largest = list(sums)  # sum within each node's subtree
         for k in range(n - 1, 0, -1):
             largest[self.parent[k]] = max(largest[self.parent[k]], largest[k])
-        out = [False] * n
+        beside, prose = self.parent[heart], [False] * n
+        for k in range(1, n):
+            prose[self.parent[k]] = prose[self.parent[k]] or self.tag[k] in _PROSE
+        out, within = [False] * n, [False] * n
         out[0] = heart == 0
         for k in range(1, n):
             p, low = self.parent[k], density[k] < threshold
+            within[k] = within[p] or self.tag[p] in _ARTICLES
             if k in path:
                 out[k] = out[p] or k == heart
                 continue
             link_chars, chars, links = self.links[k]
             linked = links > 1 and 2 * link_chars > chars and self.tag[k] not in _INLINE
-            if (self.tag[k] == "form" or (low and (linked or self.hinted[k]))) and 2 * chars <= self.links[0][1]:
+            # a list of sources or a box with a telling name is the article's own; advertising and comments aren't, nor are boxes of links
+            apart = self.hinted[k] and links if within[k] else linked or self.hinted[k]
+            if (self.tag[k] == "form" or (low and apart) or (within[k] and self.hinted[k] == 2)) and 2 * chars <= self.links[0][1]:
                 out[k] = False
             elif p in path and not out[p]:
-                out[k] = not low and largest[k] >= threshold > 0
+                own = p == beside and not links and not self.hinted[k] and (self.tag[k] in _PROSE or prose[k])
+                out[k] = not low and threshold > 0 and (own or largest[k] >= threshold)
             else:
                 out[k] = out[p]
         return out
