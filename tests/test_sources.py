@@ -211,3 +211,66 @@ def test_slice_is_written_with_its_counts(spark, day, tmp_path):
     assert lines == sorted(r.value for r in ais.slice_day(spark, f"{day}/day.csv", BOX, *window).collect())
     assert (kept, scanned) == (len(lines), spark.read.text(f"{day}/day.csv").count()) and 0 < kept < scanned
     assert not (tmp_path / "slice.part").exists()
+
+
+def tiff(values, order="<", large=False, rows=3):
+    """An uncompressed image in strips of ``rows`` rows."""
+    import struct
+
+    data = values.astype(values.dtype.newbyteorder(order)).tobytes()
+    height, width = values.shape
+    line = width * values.dtype.itemsize
+    word, head = ("Q", 16) if large else ("I", 8)
+    offsets = [head + r * line for r in range(0, height, rows)]
+    listed = struct.pack(f"{order}{len(offsets)}{word}", *offsets)
+    tags = [(256, 4, 1, width), (257, 4, 1, height), (258, 3, 1, values.dtype.itemsize * 8), (259, 3, 1, 1), (273, 16 if large else 4, len(offsets), head + len(data) if len(offsets) > 1 else offsets[0]), (277, 3, 1, 1), (278, 4, 1, rows), (339, 3, 1, 3 if values.dtype.kind == "f" else 1)]
+    size = 8 if large else 4
+    entry = lambda t, k, n, v: struct.pack(f"{order}HH{word}", t, k, n) + struct.pack(order + {3: "H", 4: "I", 16: "Q"}[k if n == 1 else (16 if large else 4)], v).ljust(size, b"\0")
+    start = head + len(data) + len(listed)
+    begin = struct.pack(f"{order}2sHHHQ", b"II" if order == "<" else b"MM", 43, 8, 0, start) if large else struct.pack(f"{order}2sHI", b"II" if order == "<" else b"MM", 42, start)
+    return begin + data + listed + struct.pack(order + ("Q" if large else "H"), len(tags)) + b"".join(entry(*t) for t in tags) + bytes(size)
+
+
+def test_images_by_windows(spark, tmp_path):
+    import numpy as np
+
+    from tidewatch.operators import tiles
+    from tidewatch.sources import rasters
+
+    rng = np.random.default_rng(0)
+    images = {"a": rng.integers(0, 4, (50, 37)).astype(np.uint16), "b.x": rng.uniform(-1, 9, (40, 20)).astype(np.float32)}
+    (tmp_path / "a.tiff").write_bytes(tiff(images["a"]))
+    (tmp_path / "b.x.tif").write_bytes(tiff(images["b.x"], ">", True, 7))
+    sizes = rasters.image_sizes(spark, str(tmp_path))
+    assert {r.scene_id: (r.height, r.width) for r in sizes.collect()} == {k: v.shape for k, v in images.items()}
+    got = {(r.scene_id, r.tile_row, r.tile_col): r for r in rasters.read_tiles(sizes, 16).collect()}
+    assert set(got) == {(s, r, c) for s, v in images.items() for r in range(-(-v.shape[0] // 16)) for c in range(-(-v.shape[1] // 16))}
+    for (s, r, c), t in got.items():
+        want = images[s][16 * r : 16 * r + 16, 16 * c : 16 * c + 16]
+        value, state = np.frombuffer(t.value).reshape(16, 16), np.frombuffer(t.state, "u1").reshape(16, 16)
+        box = tuple(slice(0, n) for n in want.shape)
+        assert (value[box] == want).all() and ((state[box] & tiles.VALID > 0) == (want > 0)).all() and (state[box] & tiles.THERE).all() and (state & tiles.THERE).sum() == want.size
+    part = rasters.read_tiles(sizes, 16, (17, 33), (16, 21)).collect()
+    assert sorted((r.scene_id, r.tile_row, r.tile_col) for r in part) == [(s, r, 1) for s in ("a", "b.x") for r in (1, 2)]
+    luts = [("a", [0.0, 20.0, 40.0], [0.0, 10.0, 30.0], [float(x) for x in range(2, 11)], [0.1 * x for x in range(9)])]
+    done = rasters.calibrated(rasters.read_tiles(sizes, 16), spark.createDataFrame(luts, "scene_id string, lines array<double>, pixels array<double>, gain array<double>, noise array<double>"), 16)
+    rows = {(r.tile_row, r.tile_col): r for r in done.collect()}
+    assert len(rows) == 12
+
+    def linear(flat, r, c):
+        g, x, y = np.array(flat).reshape(3, 3), (0, 20, 40), (0, 10, 30)
+        i, j = (0 if r < 20 else 1), (0 if c < 10 else 1)
+        u, v = (r - x[i]) / (x[i + 1] - x[i]), min(1, (c - y[j]) / (y[j + 1] - y[j]))
+        return (g[i, j] * (1 - v) + g[i, j + 1] * v) * (1 - u) + (g[i + 1, j] * (1 - v) + g[i + 1, j + 1] * v) * u
+
+    for r, c in ((0, 0), (5, 7), (21, 12), (39, 29), (47, 36), (33, 31)):
+        t, dn = rows[r // 16, c // 16], float(images["a"][r, c])
+        gain, noise = linear(luts[0][3], r, c), linear(luts[0][4], r, c)
+        assert np.frombuffer(t.value).reshape(16, 16)[r % 16, c % 16] == pytest.approx((dn * dn - noise) / gain**2)
+        assert np.frombuffer(t.noise).reshape(16, 16)[r % 16, c % 16] == pytest.approx(noise / gain**2)
+    counts = tiles.tested(done, None, None, tiles.Config(block=8, min_snr_db=0.0), 16).agg(F.sum("examined"), F.sum("px_above_floor")).first()
+    want = sum(images["a"][r, c] > 0 and (float(images["a"][r, c]) ** 2 - linear(luts[0][4], r, c)) > linear(luts[0][4], r, c) for r in range(50) for c in range(37))
+    assert tuple(counts) == (int((images["a"] > 0).sum()), want)
+    (tmp_path / "no.tif").write_bytes(b"nothing of the kind")
+    with pytest.raises(Exception, match="no TIFF"):
+        rasters.image_sizes(spark, str(tmp_path)).collect()

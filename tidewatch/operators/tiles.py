@@ -42,8 +42,9 @@ def _batch(schema: T.StructType, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), shape.types, strict=True)], names=shape.names)
 
 
-def each(tiles: DataFrame, fn: Callable[..., Iterator[tuple]], schema: T.StructType, most: int = 64) -> DataFrame:
+def each(tiles: DataFrame, fn: Callable[..., Iterator[tuple]], schema: T.StructType | str, most: int = 64) -> DataFrame:
     """Rows of ``schema`` that ``fn`` gives for each row of ``tiles``, ``most`` at a time."""
+    schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
