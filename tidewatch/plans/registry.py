@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import documents, pieces, rasters, spatial
+from . import documents, formats, pieces, rasters, spatial
 
-MODULES = (spatial, documents, rasters, pieces)
+MODULES = (spatial, documents, rasters, pieces, formats)
 
 
 def queries() -> dict:

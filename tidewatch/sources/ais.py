@@ -83,7 +83,11 @@ def clean(raw: DataFrame, source: str, is_ground_truth: bool = True) -> DataFram
 
 def read_capture(spark: SparkSession, path: str, source: str = "live") -> DataFrame:
     """Positions of a replay capture: a CSV with a header (utc, MMSI or mmsi, lat, lon, sog, cog, name). Never ground truth."""
-    rows = spark.read.option("header", True).csv(path)
+    return capture(spark.read.option("header", True).csv(path), source)
+
+
+def capture(rows: DataFrame, source: str = "live") -> DataFrame:
+    """Positions of a capture's fields as text; fields that aren't there are null."""
     have = {c.lower(): c for c in rows.columns}
     col = lambda c: F.nullif(F.trim(F.col(have[c])), F.lit("")) if c in have else F.lit(None).cast("string")
     null = lambda kind: F.lit(None).cast(kind)

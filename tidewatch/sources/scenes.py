@@ -109,7 +109,11 @@ def item_link(item_json: Column, rel: str = "self") -> Column:
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue items, one JSON file each, as scene rows."""
-    whole = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    return items(spark.read.option("recursiveFileLookup", True).text(path, wholetext=True))
+
+
+def items(whole: DataFrame) -> DataFrame:
+    """Scene rows from catalogue items (value: JSON)."""
     prop = lambda p: F.get_json_object("value", f"$.properties['{p}']")
     ring = F.transform(F.from_json(F.get_json_object("value", "$.geometry.coordinates[0]"), "array<array<double>>"), lambda p: F.struct(p[0].alias("lon"), p[1].alias("lat")))
     return whole.select(
@@ -121,7 +125,11 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
 
 def read_coastline(spark: SparkSession, path: str) -> DataFrame:
     """Rings (outer ones and holes) of a GeoJSON file's polygons, and the outer one as ``ring``; no features, no land."""
-    whole = spark.read.text(path, wholetext=True)
+    return polygons(spark.read.text(path, wholetext=True))
+
+
+def polygons(whole: DataFrame) -> DataFrame:
+    """As ``read_coastline``, from GeoJSON texts (value)."""
     features = F.from_json(F.get_json_object("value", "$.features"), "array<struct<geometry:struct<type:string,coordinates:string>>>")
     g = whole.select(F.explode(features).alias("f")).select("f.geometry.type", "f.geometry.coordinates")
     flat = F.when(F.col("type") == "Polygon", F.array(F.from_json("coordinates", "array<array<array<double>>>"))).when(F.col("type") == "MultiPolygon", F.from_json("coordinates", "array<array<array<array<double>>>>"))
