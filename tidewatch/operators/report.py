@@ -47,6 +47,12 @@ def leads(matches: DataFrame, most: int = MOST_LEADS) -> DataFrame:
     return matches.where("status = 'dark'").orderBy(F.desc_nulls_last("length_m"), "detection_id").limit(most)
 
 
+def cited_marking(claims: DataFrame, chunks: DataFrame, *by: str) -> DataFrame:
+    """(by..., classification): the marking of what the claims (``by``, chunk_ids) cite of ``chunks`` (chunk_id, classification), each chunk once."""
+    cited = claims.select(*by, F.explode("chunk_ids").alias("chunk_id")).distinct()
+    return cited.join(chunks.select("chunk_id", "classification"), "chunk_id").groupBy(*by).agg(rules.combined_marking(F.col("classification")).alias("classification"))
+
+
 def report(matches: DataFrame, chunks: DataFrame, claims: DataFrame, area: str, date: str) -> DataFrame:
     """One row: title, findings, published and removed claims, leads, caveats, marking. Never releasable by itself."""
     kept, removed = scrub(claims)
@@ -58,7 +64,7 @@ def report(matches: DataFrame, chunks: DataFrame, claims: DataFrame, area: str,
         removed.agg(F.count(F.lit(1)).alias("removed_claims")),
         leads(matches).agg(F.array_sort(F.collect_list("detection_id")).alias("leads")),
         rate_verdict(matches, "source" if "source" in matches.columns else "status"),
-        chunks.join(kept.select(F.explode("chunk_ids").alias("chunk_id")).distinct(), "chunk_id", "left_semi").agg(rules.combined_marking(F.col("classification")).alias("classification")),
+        cited_marking(kept, chunks),
     ]
     out = parts[0]
     for p in parts[1:]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as rules
@@ -90,11 +90,19 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.context(d, "source").select("source", "chunk_id", "used")
 
 
-def marking_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    k = F.col("doc_id")
+def _marked(k: Column) -> Column:
     level = F.when(k % 97 == 0, "secret").when(k % 31 == 0, "Confidential").otherwise("UNCLASSIFIED")
-    mark = F.concat(level, F.when(k % 5 == 0, " // synthetic").otherwise(""), F.when(k % 13 == 0, " // NOFORN // SYNTHETIC").otherwise(""))
-    return read(spark, sf_dir, "documents").groupBy("source").agg(rules.combined_marking(mark).alias("marking"))
+    return F.concat(level, F.when(k % 5 == 0, " // synthetic").otherwise(""), F.when(k % 13 == 0, " // NOFORN // SYNTHETIC").otherwise(""))
+
+
+def marking_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "documents").groupBy("source").agg(rules.combined_marking(_marked(F.col("doc_id"))).alias("marking"))
+
+
+def cited_marking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The marking of what each conversation cites, its chunks being those of the documents."""
+    chunks = read(spark, sf_dir, "documents").select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string"), F.lit("#0000")).alias("chunk_id"), _marked(F.col("doc_id")).alias("classification"))
+    return report.cited_marking(_claims(spark, sf_dir), chunks, "conv_id")
 
 
 def digit_blind_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,7 +151,7 @@ def manifest_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.by_kind(read(spark, sf_dir, "part").select(F.col("p_brand").alias("kind"), F.col("p_size").cast("long").alias("bytes")))
 
 
-QUERIES = {f.__name__: f for f in (cosine_topk, cosine_filtered, score_floor, cosine_batch, facets, facets_list, vector_upsert, citation_verify, citation_dropped, context_budget, marking_combine, digit_blind_heads, caps_headings, rate_claim_scrub, chunk_documents, clean_markdown, clean_pages, corpus_stats, manifest_set_equality, manifest_kinds)}
+QUERIES = {f.__name__: f for f in (cosine_topk, cosine_filtered, score_floor, cosine_batch, facets, facets_list, vector_upsert, citation_verify, citation_dropped, context_budget, marking_combine, cited_marking, digit_blind_heads, caps_headings, rate_claim_scrub, chunk_documents, clean_markdown, clean_pages, corpus_stats, manifest_set_equality, manifest_kinds)}
 
 _COS = "list_dot_product(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) / (sqrt(list_dot_product(e.embedding::DOUBLE[], e.embedding::DOUBLE[])) * sqrt(list_dot_product(q.embedding::DOUBLE[], q.embedding::DOUBLE[])))"
 _TOP = f"SELECT e.vec_id, round({_COS}, 6) AS score FROM embeddings e LEFT JOIN documents d ON d.doc_id = e.vec_id, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE %s ORDER BY {_COS} DESC, e.vec_id LIMIT 8"
@@ -226,6 +234,9 @@ SQL = {
         r AS (SELECT source, chunk_id, CAST(sum(n) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS used FROM b) SELECT * FROM r WHERE used <= 14000""",
     "marking_combine": """WITH m AS (SELECT source, CASE WHEN doc_id % 97 = 0 THEN 3 WHEN doc_id % 31 = 0 THEN 2 ELSE 0 END AS rank, doc_id % 5 = 0 OR doc_id % 13 = 0 AS syn, doc_id % 13 = 0 AS nof FROM documents)
         SELECT source, ['UNCLASSIFIED', 'RESTRICTED', 'CONFIDENTIAL', 'SECRET'][max(rank) + 1] || CASE WHEN bool_or(nof) THEN ' // NOFORN' ELSE '' END || CASE WHEN bool_or(syn) THEN ' // SYNTHETIC' ELSE '' END AS marking FROM m GROUP BY 1""",
+    "cited_marking": """WITH c AS (SELECT DISTINCT conv_id, unnest([conv_id % 40, (conv_id + turn) % 40, (conv_id + 2 * turn) % 40]) AS doc_id FROM conversations),
+        m AS (SELECT conv_id, CASE WHEN doc_id % 97 = 0 THEN 3 WHEN doc_id % 31 = 0 THEN 2 ELSE 0 END AS rank, doc_id % 5 = 0 OR doc_id % 13 = 0 AS syn, doc_id % 13 = 0 AS nof FROM c JOIN documents USING (doc_id))
+        SELECT conv_id, ['UNCLASSIFIED', 'RESTRICTED', 'CONFIDENTIAL', 'SECRET'][max(rank) + 1] || CASE WHEN bool_or(nof) THEN ' // NOFORN' ELSE '' END || CASE WHEN bool_or(syn) THEN ' // SYNTHETIC' ELSE '' END AS classification FROM m GROUP BY 1""",
     "digit_blind_heads": f"WITH {_LINES} SELECT source, regexp_replace(trim(line), '[0-9]+', '#', 'g') AS key, count(*) AS n FROM lines GROUP BY 1, 2 HAVING n >= 3 AND length(key) BETWEEN 1 AND 100",
     "caps_headings": rf"""WITH {_LINES}, s AS (SELECT doc_id, pos, trim(line) AS s, regexp_replace(trim(line), '\P{{L}}', '', 'g') AS letters FROM lines)
         SELECT doc_id, CAST(pos AS INTEGER) AS pos FROM s WHERE length(s) BETWEEN 3 AND 80 AND length(letters) >= 3 AND regexp_full_match(letters, '\p{{Lu}}+') AND NOT regexp_matches(s, '^(?:[-*•]|\(\w{{1,3}}\)|\d{{1,3}}[.)]|\|)\s')""",
