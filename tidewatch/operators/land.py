@@ -57,6 +57,12 @@ def on_land(points: DataFrame, polygons: DataFrame, buffer_m: float = 0.0, size:
     span = lambda a, b, more: F.sequence(F.floor((F.least(a, b) - more) / size), F.floor((F.greatest(a, b) + more) / size))
     # an edge on a cell's side belongs to the cells on both
     touched = lines.withColumn("wide", wide + 1e-9).withColumn("cx", F.explode(span("ax", "bx", F.col("wide")))).withColumn("cy", F.explode(span("ay", "by", F.lit(reach + 1e-9))))
+    # cells that hold points, against the polygons that their row of cells meets
+    beyond = F.aggregate(F.filter("marks", lambda m: m["column"] > F.col("cx")), F.lit(0).cast("long"), lambda s, m: s + m["n"])
+    inside = at.select("cx", "cy").distinct().join(_corners(lines, size), "cy").where(beyond % 2 == 1).select("cx", "cy", "polygon")
+    # a cell in a polygon that has no edge in it is land as a whole, whatever else is there: its points are settled
+    full = inside.join(touched.select("cx", "cy", "polygon").distinct(), ["cx", "cy", "polygon"], "left_anti").select("cx", "cy").distinct()
+    settled, at, inside = at.join(full, ["cx", "cy"], "left_semi").select(*place), at.join(full, ["cx", "cy"], "left_anti"), inside.join(full, ["cx", "cy"], "left_anti")
     met = at.join(touched, ["cx", "cy"])
     right, lower = (F.col("cx") + 1) * size, F.col("cy") * size
     across = F.when(_crosses("ay", "by", F.col("lat")), _on("ay", "by", "ax", "bx", F.col("lat")))
@@ -68,12 +74,9 @@ def on_land(points: DataFrame, polygons: DataFrame, buffer_m: float = 0.0, size:
     ways = F.coalesce((across > F.col("lon")) & (across <= right), F.lit(False)).cast("int") + F.coalesce(up, F.lit(False)).cast("int")
     near = geo.segment_distance_m(F.col("lon"), F.col("lat"), *(F.col(c) for c in ("ax", "ay", "bx", "by"))) <= buffer_m if buffer_m > 0 else F.lit(False)
     own = met.groupBy(*place, "polygon").agg(F.sum(ways).alias("n"), F.bool_or(near).alias("near"))
-    # cells that hold points, against the polygons that their row of cells meets
-    beyond = F.aggregate(F.filter("marks", lambda m: m["column"] > F.col("cx")), F.lit(0).cast("long"), lambda s, m: s + m["n"])
-    inside = at.select("cx", "cy").distinct().join(_corners(lines, size), "cy").where(beyond % 2 == 1).select("cx", "cy", "polygon")
     corner = at.join(inside, ["cx", "cy"]).select(*place, "polygon", F.lit(1).cast("long").alias("n"), F.lit(False).alias("near"))
     found = own.union(corner).groupBy(*place, "polygon").agg(F.sum("n").alias("n"), F.bool_or("near").alias("near")).where("near OR n % 2 = 1")
-    return points.join(found.select(*place).distinct(), place, "left_semi")
+    return points.join(found.select(*place).distinct().union(settled), place, "left_semi")
 
 
 def clip(polygons: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
