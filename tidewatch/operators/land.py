@@ -21,9 +21,9 @@ _METRES = 111_000.0
 
 
 def edges(polygons: DataFrame) -> DataFrame:
-    """(polygon, ax, ay, bx, by): each edge of each ring, with a number for each row of ``polygons``. Closing points may stand or be left out."""
+    """(polygon, ax, ay, bx, by): each edge of each ring, with a number for each shape in ``polygons``, however often it is there. Closing points may stand or be left out."""
     rings = F.col("rings") if "rings" in polygons.columns else F.array("ring")
-    numbered = polygons.select(rings.alias("rings"), F.monotonically_increasing_id().alias("polygon"))
+    numbered = polygons.select(rings.alias("rings"), F.monotonically_increasing_id().alias("polygon")).groupBy("rings").agg(F.min("polygon").alias("polygon"))
     points = numbered.select("polygon", F.explode("rings").alias("r")).where(F.size("r") > 0)
     ends = points.select("polygon", F.explode(geo._edges(F.col("r"))).alias("e"))
     return ends.select("polygon", F.col("e.a.lon").alias("ax"), F.col("e.a.lat").alias("ay"), F.col("e.b.lon").alias("bx"), F.col("e.b.lat").alias("by")).where("ax <> bx OR ay <> by")
@@ -49,8 +49,12 @@ def _corners(lines: DataFrame, size: float) -> DataFrame:
 
 
 def on_land(points: DataFrame, polygons: DataFrame, buffer_m: float = 0.0, size: float = CELL) -> DataFrame:
-    """Points (id, lon, lat) in a polygon or within ``buffer_m`` of its edge; each row of ``points`` once."""
-    place, lines = ["id", "lon", "lat"], edges(polygons)
+    """Points (id, lon, lat) in a polygon or within ``buffer_m`` of its edge; each row of ``points`` once.
+
+    What is looked up are distinct places against distinct shapes. Edges in cells are many more than the rows they come from, by
+    whose size a join would be planned: they are sorted, never broadcast.
+    """
+    place, lines = ["lon", "lat"], edges(polygons)
     at = points.select(*place).where("lon IS NOT NULL AND lat IS NOT NULL").distinct().withColumns({"cx": F.floor(F.col("lon") / size), "cy": F.floor(F.col("lat") / size)})
     reach = buffer_m / _METRES
     wide = reach / F.greatest(F.cos(F.radians(F.least(F.lit(89.9), F.greatest(F.abs("ay"), F.abs("by")) + reach))), F.lit(1e-3)) if buffer_m > 0 else F.lit(0.0)
@@ -61,9 +65,9 @@ def on_land(points: DataFrame, polygons: DataFrame, buffer_m: float = 0.0, size:
     beyond = F.aggregate(F.filter("marks", lambda m: m["column"] > F.col("cx")), F.lit(0).cast("long"), lambda s, m: s + m["n"])
     inside = at.select("cx", "cy").distinct().join(_corners(lines, size), "cy").where(beyond % 2 == 1).select("cx", "cy", "polygon")
     # a cell in a polygon that has no edge in it is land as a whole, whatever else is there: its points are settled
-    full = inside.join(touched.select("cx", "cy", "polygon").distinct(), ["cx", "cy", "polygon"], "left_anti").select("cx", "cy").distinct()
+    full = inside.join(touched.select("cx", "cy", "polygon").distinct().hint("merge"), ["cx", "cy", "polygon"], "left_anti").select("cx", "cy").distinct()
     settled, at, inside = at.join(full, ["cx", "cy"], "left_semi").select(*place), at.join(full, ["cx", "cy"], "left_anti"), inside.join(full, ["cx", "cy"], "left_anti")
-    met = at.join(touched, ["cx", "cy"])
+    met = at.join(touched.hint("merge"), ["cx", "cy"])
     right, lower = (F.col("cx") + 1) * size, F.col("cy") * size
     across = F.when(_crosses("ay", "by", F.col("lat")), _on("ay", "by", "ax", "bx", F.col("lat")))
     along = F.when(_crosses("ax", "bx", right), _on("ax", "bx", "ay", "by", right))
