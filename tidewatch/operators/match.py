@@ -76,7 +76,8 @@ def spatial_range_join(left: DataFrame, right: DataFrame, reach_m: float, keys:
     """Pairs of equal keys with at most ``reach_m`` between (lon, lat) of ``left`` and (t_lon, t_lat) of ``right``.
 
     By equality of grid cells: a point of ``right`` is sent to the cells around it, one of ``left``
-    to its own, so that a pair meets once; then the exact distance.
+    to its own, so that a pair meets once; then the exact distance. The side that was sent around has nine rows
+    for one, of which the size that a join is planned by knows nothing: it is sorted, never broadcast.
     """
     measure, _, wider = METRICS[metric]
     a = left.withColumn("_cell", geo.cell(F.col("lon"), F.col("lat"), reach_m * wider))
@@ -84,7 +85,7 @@ def spatial_range_join(left: DataFrame, right: DataFrame, reach_m: float, keys:
     ends = F.col("lon"), F.col("lat"), F.col("t_lon"), F.col("t_lat")
     near = measure(*ends) <= reach_m
     # the cheap distance first, where the other one is dear
-    return a.join(b, [*keys, "_cell"]).where(near if metric == "sphere" else (geo.haversine_m(*ends) <= reach_m * wider) & near).drop("_cell")
+    return a.join(b.hint("merge"), [*keys, "_cell"]).where(near if metric == "sphere" else (geo.haversine_m(*ends) <= reach_m * wider) & near).drop("_cell")
 
 
 def candidates(detections: DataFrame, vessels: DataFrame, radius_m: float = RADIUS_M, correct: bool = True, prefilter_m: float = PREFILTER_M, metric: str = "sphere") -> DataFrame:
