@@ -190,3 +190,15 @@ def test_metric_at_the_edge_of_the_radius(spark):
         lon, lat = spheroid.destination(F.col("lon"), F.col("lat"), F.lit(metres), F.lit(0.0))
         other = one.select("scene_id", lon.alias("t_lon"), lat.alias("t_lat"))
         assert [match.spatial_range_join(one, other, 500.0, ["scene_id"], m).count() for m in ("sphere", "ellipsoid")] == [sphere, ellipsoid]
+
+
+def test_geodesics_run_in_batches(spark):
+    """Iterations aren't interpreted row by row, and a null end gives nulls."""
+    from tidewatch.functions import spheroid
+
+    ends = spark.createDataFrame([(10.0, 0.0, 11.0, 0.0), (None, 0.0, 1.0, 1.0)], "a double, b double, c double, d double")
+    lon, lat = spheroid.destination(*(F.col(c) for c in "abcd"))
+    rows = ends.select(spheroid.distance_m(*(F.col(c) for c in "abcd")).alias("m"), lon.alias("lon"), lat.alias("lat"))
+    assert "aggregate(" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = [tuple(r) for r in rows.collect()]
+    assert got[0][0] == pytest.approx(111319.491, abs=1e-3) and got[1][1:] == (None, None)
