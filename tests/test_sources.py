@@ -274,3 +274,10 @@ def test_images_by_windows(spark, tmp_path):
     (tmp_path / "no.tif").write_bytes(b"nothing of the kind")
     with pytest.raises(Exception, match="no TIFF"):
         rasters.image_sizes(spark, str(tmp_path)).collect()
+
+
+def test_annotations_are_parsed_on_all_cores(spark, small):
+    """However few bytes they have."""
+    from tidewatch.plans import formats
+
+    assert formats.product_facts(spark, small).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
