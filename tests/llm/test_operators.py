@@ -547,6 +547,29 @@ def test_similar_texts_are_those_of_all_pairs(spark, docs, families, bucket, mon
         assert simhash.similar_texts(empty(docs)).count() == 0
 
 
+def test_similar_texts_link_by_fingerprints(spark, families, monkeypatch):
+    """The pigeonring's links are used, none of them joins unlike sets, and the result is that of all pairs."""
+    texts = [*families, *(f"{families[7]} tail{k}" for k in range(40))]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found, plain = [], simhash._print_links
+    monkeypatch.setattr(simhash, "_print_links", lambda *a: found.append(plain(*a)) or found[-1])
+    kept = []
+    drop = common.Scratch.drop
+    monkeypatch.setattr(common.Scratch, "drop", lambda self, name: kept.append(name) if name in ("near", "sets") else drop(self, name))
+    assert {r.doc_id: r.component_id for r in simhash.similar_texts(df).collect()} == dict(enumerate(_alike(texts)))
+    assert {"near", "sets"} <= set(kept) and len(found) == 1
+
+    sets = {xxhash.xxh64_intdigest(np.unique(simhash.shingles(t, 5)).tobytes(), simhash.SEED): np.unique(simhash.shingles(t, 5)) for t in texts}
+    sets = {simhash._signed(k): v for k, v in sets.items()}
+    sims = {k: simhash.majority(v) if len(v) else 0 for k, v in sets.items()}
+    links = [(r.a, r.b) for r in found[0].collect()]
+    assert len(links) >= 20
+    for a, b in links:
+        assert a > b and (sims[a] ^ sims[b]).bit_count() <= 2
+        both = len(np.intersect1d(sets[a], sets[b]))
+        assert both * 100 >= 80 * (len(sets[a]) + len(sets[b]) - both)
+
+
 def test_pipeline_stage_drops_near_copies(spark, docs):
     """Every word shingle but five is shared; fingerprints are more than two bits apart."""
     import corpus_pipeline

@@ -20,9 +20,10 @@ number of rows in proportion to its size, and no link is lost.
 Components: alternating large-star and small-star steps over the links.
 
 Similarity (``similar_texts``): two texts link when their sets of word shingles have a Jaccard
-similarity of ``percent`` or more. That is exact, which no bit budget is: at 80 % fingerprints
-differ in 5 to 11 bits and more, where keys of a 64-bit ring no longer select. Candidates come from
-prefix filters instead: of two sets that overlap enough, the k first common shingles lie within the
+similarity of ``percent`` or more. Fingerprints of the sets come first: those that the pigeonring
+links are checked on their sets, and what they join isn't compared again. No bit budget is exact
+there: at 80 % fingerprints differ in 5 to 11 bits and more, where keys of a 64-bit ring no longer
+select. So further candidates come from prefix filters: of two sets that overlap enough, the k first common shingles lie within the
 first n - ceil(n * percent / 100) + k of each, in any one order. First in hash order with k about a
 tenth of n, which leaves the texts that share enough with any other; then over these in order of
 rarity with k = 1. A shingle of more than ``BUCKET`` sets isn't paired, as its sets are mostly copies of
@@ -196,20 +197,21 @@ def _least_overlap(n, percent: int):
 
 
 def _sets(docs: DataFrame, id_col: str, text_col: str, shingle: int, percent: int | None) -> DataFrame:
-    """(id, fp, n, hashes): fp names the shingle set, n is its size, hashes its first ones for ``percent``, all without it."""
+    """(id, fp, n, hashes, sim): fp names the shingle set, n is its size, hashes its first ones for ``percent``, all without it, and then sim is its SimHash."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sets = [np.unique(shingles(t, shingle)) for t in texts_of(batch.column(1))]
         names = np.array([xxhash.xxh64_intdigest(x.tobytes(), SEED) for x in sets], np.uint64).view(np.int64)
         sizes = [len(x) for x in sets]
+        sims = [_signed(majority(x)) if len(x) else 0 for x in sets] if percent is None else [None] * len(sets)
         if percent is not None:
             sets = [x[: len(x) - _least_overlap(len(x), percent) + 1 + len(x) // 10] for x in sets]
         ends = np.cumsum([0, *map(len, sets)], dtype=np.int32)
         hashes = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.zeros(0, np.uint64), *sets]).view(np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(sizes, pa.int64()), hashes], schema.names)
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(names), pa.array(sizes, pa.int64()), hashes, pa.array(sims, pa.int64())], schema.names)
 
     cols = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    schema = T.StructType([T.StructField("id", cols.schema["id"].dataType), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("id", cols.schema["id"].dataType), T.StructField("fp", T.LongType()), T.StructField("n", T.LongType()), T.StructField("hashes", T.ArrayType(T.LongType())), T.StructField("sim", T.LongType())])
     return walk(cols, run, schema)
 
 
@@ -285,6 +287,27 @@ def _common_links(common: DataFrame, sets: DataFrame, edges: DataFrame, scratch:
     return found
 
 
+def _print_links(sets: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
+    """(a, b), a > b: similar ``sets`` (fp, sim, n, hashes) among those whose fingerprints are equal or within two bits."""
+    named = sets.select("fp", "sim")
+    heads = scratch.write(named.groupBy("sim").agg(F.min("fp").alias("head")), "heads")
+    equal = named.join(heads, "sim").where("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    one, two = (heads.select(F.col("sim").alias(c), F.col("head").alias(f"h_{c}")) for c in "ab")
+    near = links(heads.select(F.col("sim").alias("fp")), scratch).join(one, "a").join(two, "b")
+    near = near.select(F.greatest("h_a", "h_b").alias("a"), F.least("h_a", "h_b").alias("b"))
+    found = scratch.write(_verified(equal.union(near), sets, percent), "near")
+    scratch.drop("shared")
+    return found
+
+
+def _apart(pairs: DataFrame, edges: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) that ``edges`` don't join."""
+    label = components(edges)
+    one, two = (label.select(F.col("node").alias(c), F.col("label").alias(f"l_{c}")) for c in "ab")
+    ends = pairs.join(one, "a", "left").join(two, "b", "left")
+    return ends.where(F.coalesce(F.col("l_a") != F.col("l_b"), F.lit(True))).select("a", "b")
+
+
 def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, shingle: int, percent: int) -> DataFrame:
     """(a, b), a > b: links between the sets of ``prints`` (id, fp, n, hashes in ``_sets``' prefix)."""
     # texts that share enough with any other set
@@ -296,8 +319,9 @@ def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, shingle:
     reps = prints.join(some, "fp", "left_semi").groupBy("fp").agg(F.min("id").alias("id")).select("id").distinct()
     id_col, text_col = docs.columns
     again = docs.join(reps, docs[id_col] == reps["id"], "left_semi")
-    sets = _sets(again, id_col, text_col, shingle, None).join(some, "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "n", "hashes")
+    sets = _sets(again, id_col, text_col, shingle, None).join(some, "fp", "left_semi").dropDuplicates(["fp"]).select("fp", "sim", "n", "hashes")
     sets = scratch.write(sets, "sets")
+    alike = _print_links(sets, scratch, percent)
     # the rarest shingles of each
     keyed = sets.select("fp", "n", F.explode("hashes").alias("h"))
     common = keyed.groupBy("h").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
@@ -311,7 +335,7 @@ def similar_links(docs: DataFrame, prints: DataFrame, scratch: Scratch, shingle:
     a, b = few.alias("a"), few.alias("b")
     near = _may_be_alike(F.col("a.n"), F.col("a.known"), F.col("b.n"), F.col("b.known"), percent)
     pairs = a.join(b, (F.col("a.h") == F.col("b.h")) & (F.col("a.fp") > F.col("b.fp")) & near).select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
-    edges = scratch.write(_verified(pairs, sets, percent), "pairs")
+    edges = alike.union(scratch.write(_verified(_apart(pairs, alike), sets, percent), "pairs"))
     for more in _common_links(shared.where(F.col("size") > BUCKET).select("h", "fp", "n", "known"), sets, edges, scratch, percent):
         edges = edges.union(more)
     return edges.distinct()
@@ -329,7 +353,7 @@ def similar_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     distinct = scratch.write(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     edges = scratch.write(similar_links(docs.select(id_col, text_col), prints, scratch, shingle, percent), "links")
     classes = _classes(distinct, edges, scratch)
-    for name in ("some", "sets", "prefix", "shared", "pairs", *(f"{x}-{k}" for x in ("common", "links", "pivots") for k in (0, *range(1, ROUNDS + 1), "rest", "rest-0"))):
+    for name in ("some", "sets", "heads", "near", "prefix", "shared", "pairs", *(f"{x}-{k}" for x in ("common", "links", "pivots") for k in (0, *range(1, ROUNDS + 1), "rest", "rest-0"))):
         scratch.drop(name)
     free_shuffles(spark)
     return prints.select("id", "fp").join(classes, "fp").select(F.col("id").alias(id_col), "component_id")
