@@ -10,6 +10,7 @@ Conventions used by every operator here
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -73,15 +74,26 @@ def walk(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batch = part = out = None
         for batch in batches:
             for part in slices(batch, text_col, slice_bytes):
                 out = fn(part)
                 if out is not None and out.num_rows:
                     yield out
+        del batch, part, out
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that waits for its next task, perhaps of another stage, would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, text_col: str, slice_bytes: int) -> Iterator[pa.RecordBatch]:
     n = batch.num_rows
     if n == 0:
