@@ -141,3 +141,19 @@ def test_report(spark):
     r = report.report(matches, chunks, claims, "north", "2026-07-17").first()
     assert r.claims == ["A vessel was seen"] and r.removed_claims == 1 and r.leads == ["d2"] and r.classification == "UNCLASSIFIED // SYNTHETIC"
     assert not r.releasable and not r.quotable and len(r.reasons) == 2 and r.unmatched.startswith("1 of 2")
+
+
+def test_joined_top_k_in_slices_of_scores(spark, monkeypatch):
+    """A pair of blocks is scored a few queries at a time; what is found doesn't depend on the slices, ties included."""
+    from tidewatch.operators import vectors
+
+    rows = [(k, [float((k * 7) % 5), float(k % 3), 1.0]) for k in range(60, 0, -1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    unit = {k: np.array(v) / np.linalg.norm(v) for k, v in rows}
+    for scores in (1, 25, 1 << 17):
+        monkeypatch.setattr(vectors, "SCORES", scores)
+        got = vectors.top_k_join(df, df.where("vec_id % 4 = 0"), 3, query_rows=5, vector_rows=8).collect()
+        assert len(got) == 45
+        for q in range(4, 61, 4):
+            want = sorted(unit, key=lambda k: (-round(float(unit[k] @ unit[q]), 9), k))[:3]
+            assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want

@@ -17,6 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 REFUSAL = "Not supported by available sources."
 CONTEXT_CHARS = 14_000
+#: Scores of a pair of blocks that a worker holds at once.
+SCORES = 1 << 17
 _SPACE = uuid.uuid5(uuid.NAMESPACE_DNS, "chunks.tidewatch.invalid")
 
 
@@ -132,11 +134,13 @@ def _packed(df: DataFrame, id_col: str, vector_col: str, rows: int) -> DataFrame
             return pa.RecordBatch.from_arrays([pa.array([ids[:rows]], to_arrow_schema(schema).types[0]), pa.array([unit.tobytes()], pa.binary())], names=schema.names)
 
         for batch in batches:
-            ids += batch.column(0).to_pylist()
-            parts += [np.array(v, np.float64) for v in batch.column(1).to_pylist()]
-            while len(ids) >= rows:
-                yield matrix()
-                ids, parts = ids[rows:], parts[rows:]
+            for lo in range(0, batch.num_rows, rows):  # a matrix' rows as Python objects at most
+                part = batch.slice(lo, rows)
+                ids += part.column(0).to_pylist()
+                parts += [np.array(v, np.float64) for v in part.column(1).to_pylist()]
+                while len(ids) >= rows:
+                    yield matrix()
+                    ids, parts = ids[rows:], parts[rows:]
         if ids:
             yield matrix()
 
@@ -147,7 +151,8 @@ def top_k_join(vectors: DataFrame, queries: DataFrame, k: int = 8, id_col: str =
     """(query_id, id_col, score, rank): the k best of ``vectors`` for each of ``queries`` by cosine, ties by id.
 
     Both sides are packed into blocks; each pair of blocks is one product of matrices, of which k rows a query go on, and
-    those are merged by query. Neither side passes through the driver. Null vectors are left out, zero vectors score 0.
+    those are merged by query. Neither side passes through the driver. A worker holds ``SCORES`` scores
+    at once beside its Arrow batch, whatever the tables' sizes. Null vectors are left out, zero vectors score 0.
     """
     asked = _packed(queries, query_id, vector_col, query_rows).select(F.col("ids").alias("q_ids"), F.col("x").alias("q"))
     pairs = _packed(vectors, id_col, vector_col, vector_rows).crossJoin(asked)  # of blocks: a stated set of queries against all rows
@@ -158,12 +163,17 @@ def top_k_join(vectors: DataFrame, queries: DataFrame, k: int = 8, id_col: str =
         for batch in batches:
             for row in range(batch.num_rows):
                 ids, x, q_ids, q = (c[row].as_py() for c in batch.columns)
-                s = np.frombuffer(q).reshape(len(q_ids), -1) @ np.frombuffer(x).reshape(len(ids), -1).T
+                wanted, rows = np.frombuffer(q).reshape(len(q_ids), -1), np.frombuffer(x).reshape(len(ids), -1)
                 names = np.array(ids)
                 order = np.argsort(names, kind="stable")  # ties by id
-                top = np.argsort(-s[:, order], axis=1, kind="stable")[:, :k]
-                at = order[top]
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(q_ids, object), at.shape[1]).tolist(), kinds[0]), pa.array(names[at].ravel().tolist(), kinds[1]), pa.array(np.take_along_axis(s, at, axis=1).ravel())], names=schema.names)
+                step, kept, best = max(1, SCORES // len(ids)), [], []
+                for lo in range(0, len(q_ids), step):
+                    s = (wanted[lo : lo + step] @ rows.T)[:, order]
+                    top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+                    kept.append(order[top])
+                    best.append(np.take_along_axis(s, top, axis=1))
+                at, best = np.concatenate(kept), np.concatenate(best)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(q_ids, object), at.shape[1]).tolist(), kinds[0]), pa.array(names[at].ravel().tolist(), kinds[1]), pa.array(best.ravel())], names=schema.names)
 
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), id_col)
     return pairs.mapInArrow(run, schema).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
