@@ -157,3 +157,11 @@ def test_joined_top_k_in_slices_of_scores(spark, monkeypatch):
         for q in range(4, 61, 4):
             want = sorted(unit, key=lambda k: (-round(float(unit[k] @ unit[q]), 9), k))[:3]
             assert [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == want
+
+
+def test_columns_not_selected_are_not_carried(spark):
+    df = spark.createDataFrame([(1, ["A\nb", "c"], "x"), (2, None, "y")], "id int, pages array<string>, other string")
+    cleaned = documents.clean_pages(df)
+    assert sorted((r.id, r.pages, r.other) for r in cleaned.collect()) == [(1, ["A\nb", "c"], "x"), (2, None, "y")]
+    plan = cleaned.select("id", "text")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("max(") == 1  # of the id only
