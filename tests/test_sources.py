@@ -281,3 +281,20 @@ def test_annotations_are_parsed_on_all_cores(spark, small):
     from tidewatch.plans import formats
 
     assert formats.product_facts(spark, small).rdd.getNumPartitions() == 3 * spark.sparkContext.defaultParallelism
+
+
+def test_product_facts_are_whole(spark, small):
+    """Slant range and R/V at mid swath from the file's own grid points; the query returns every fact; a file is parsed once."""
+    from tidewatch.plans import formats
+
+    point = lambda n, p, t: f"<geolocationGridPoint><line>{n}</line><pixel>{p}</pixel><slantRangeTime>{t}</slantRangeTime></geolocationGridPoint>"
+    grid = "".join(point(n, p, t) for n, p, t in ((0, 0, 0.005), (0, 50, 0.0052), (0, 100, 0.006), (9, 0, 0.005), (9, 50, 0.0054), (9, 100, 0.006)))
+    orbits = "<orbitList><orbit><velocity><x>3000</x><y>4000</y><z>0</z></velocity></orbit><orbit/><orbit><velocity><x> 0 </x><y>0</y><z>7000</z></velocity></orbit></orbitList>"
+    xml = f'<?xml version="1.0" encoding="UTF-8"?><product xmlns="urn:x"><imageInformation><numberOfSamples>9</numberOfSamples></imageInformation><imageAnnotation><imageInformation><numberOfSamples>101</numberOfSamples></imageInformation></imageAnnotation>{orbits}{grid}</product>'
+    rows = {r.k: r for r in scenes.product_facts(spark.createDataFrame([(1, xml), (2, xml.replace(orbits, "")), (3, None), (4, xml.replace(">101<", "> <"))], "k int, xml string")).collect()}
+    assert rows[1].width == 101 and rows[1].slant_range_m == pytest.approx(0.0053 * 299_792_458 / 2) and rows[1].r_over_v_s == pytest.approx(rows[1].slant_range_m / 6000)
+    assert (rows[2].platform_speed_ms, rows[2].r_over_v_s) == (None, None) and rows[2].slant_range_m == rows[1].slant_range_m
+    assert all(rows[3][c] is None for c in scenes.product_facts(spark.createDataFrame([], "xml string")).columns) and rows[4].width is None and rows[4].slant_range_m is None
+    got = formats.product_facts(spark, small)
+    assert {"product_type", "start_us", "end_us", "heading", "range_spacing_m", "azimuth_spacing_m", "slant_range_m", "r_over_v_s"} <= set(got.columns)
+    assert "xpath" not in got._jdf.queryExecution().executedPlan().toString()
