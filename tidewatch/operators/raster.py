@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import geo
 from .graph import components
 from .land import on_land
-from .match import spatial_range_join
+from .nearby import linked_cells, placed
 from .radar import Config, from_db, to_db
 from .ranks import quantiles
 from .tiles import dilate_cells
@@ -113,20 +113,20 @@ def merge_fragments(points: DataFrame, radius_m: float = 200.0) -> DataFrame:
     """Of each single-link group within ``radius_m`` the point with the largest margin (the smallest id among equals), with ``fragments``.
 
     ``points`` has scene_id, id, lon, lat, margin. Points in one cell whose diagonal is the radius are
-    linked as they are; what is compared are distinct places in different cells, and what is linked
-    are cells. A group is only aggregated, never gathered.
+    linked as they are; whether places of different cells are linked is found in trees, without their pairs, and what
+    is linked are cells. A cell is aggregated first, then the groups of cells. A point without scene or position is a group of its own.
     """
     if radius_m <= 0:
         return points.withColumn("fragments", F.lit(1).cast("long"))
-    points = points.withColumn("_box", F.struct("scene_id", geo.tight_cell(F.col("lon"), F.col("lat"), radius_m).alias("cell")))
-    places = points.select("scene_id", "lon", "lat", "_box").distinct()
-    there = places.select("scene_id", F.col("_box").alias("_other"), F.col("lon").alias("t_lon"), F.col("lat").alias("t_lat"))
-    met = spatial_range_join(places, there, radius_m, ["scene_id"]).where("_box < _other")
-    edges = met.select(F.col("_box").alias("a"), F.col("_other").alias("b")).distinct()
-    group = points.join(components(edges), F.col("_box") == F.col("node"), "left").withColumn("_group", F.coalesce("label", "_box"))
-    columns = [c for c in points.columns if c != "_box"]
-    best = F.min(F.struct((-F.col("margin")).alias("_m"), F.col("id").alias("_i"), F.struct(*columns).alias("_row")))
-    return group.groupBy("_group").agg(best.alias("_best"), F.count(F.lit(1)).alias("fragments")).select("_best._row.*", "fragments")
+    known = placed("lon", "lat") & F.col("scene_id").isNotNull()
+    alone = points.where(~known).withColumn("fragments", F.lit(1).cast("long"))
+    boxed = points.where(known).withColumn("_box", F.struct("scene_id", geo.tight_cell(F.col("lon"), F.col("lat"), radius_m).alias("cell")))
+    edges = linked_cells(boxed.select("scene_id", "lon", "lat").distinct(), radius_m, "scene_id")
+    best = F.min(F.struct((-F.col("margin")).alias("_m"), F.col("id").alias("_i"), F.struct(*points.columns).alias("_row")))
+    boxes = boxed.groupBy("_box").agg(best.alias("_best"), F.count(F.lit(1)).alias("_n"))
+    group = boxes.join(components(edges), F.col("_box") == F.col("node"), "left").withColumn("_group", F.coalesce("label", "_box"))
+    merged = group.groupBy("_group").agg(F.min("_best").alias("_best"), F.sum("_n").alias("fragments")).select("_best._row.*", "fragments")
+    return merged.union(alone.select(*merged.columns))
 
 
 def finalise(blobs: DataFrame, spacing_m: float, box: tuple[float, float, float, float] | None = None, land: DataFrame | None = None, buffer_m: float = 1000.0, config: Config = Config()) -> DataFrame:
