@@ -29,11 +29,11 @@ def chords(reach_m: float) -> tuple[float, float]:
 class Tree:
     """Places, halved along their longest side down to leaves of equal size; the last place fills what is left over."""
 
-    def __init__(self, lon, lat, group):
+    def __init__(self, lon, lat, group, most: int = _LEAF):
         self.lon, self.lat = lon, lat
         p, q = np.radians(lon), np.radians(lat)
         at = np.stack([np.cos(q) * np.cos(p), np.cos(q) * np.sin(p), np.sin(q), _APART * group], 1)
-        self.depth = max(0, int(np.ceil(np.log2(len(at) / _LEAF))))
+        self.depth = max(0, int(np.ceil(np.log2(len(at) / most))))
         leaf = -(-len(at) // 2**self.depth)
         order = np.minimum(np.arange(leaf << self.depth), len(at) - 1)
         for level in range(self.depth):

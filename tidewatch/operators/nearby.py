@@ -28,7 +28,7 @@ def placed(lon: str, lat: str) -> Column:
     return known(lon) & known(lat)
 
 
-def _numbered(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+def numbered(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
     """Batches with the number of each row's group; groups are runs of equal values in the first ``by`` columns, a null equals none."""
     last, group = None, 0
     for batch in batches:
@@ -46,7 +46,7 @@ def _numbered(batches: Iterator[pa.RecordBatch], by: int) -> Iterator[tuple[pa.R
         yield batch, number
 
 
-def _runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def runs(*columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The first row of each run of equal rows, and the run of each row."""
     new = np.ones(len(columns[0]), bool)
     new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
@@ -66,7 +66,7 @@ class _Sought:
         """Metres to the nearest place of the group, nan beyond the reach. Rows of one place that follow each other are looked up once."""
         if self.more:
             held = tuple(np.concatenate(x) for x in zip(self.held, *self.more, strict=True))
-            first, _ = _runs(*held)
+            first, _ = runs(*held)
             self.held, self.more, self.tree = tuple(h[first] for h in held), [], None
         out = np.full(len(lon), np.nan)
         if not len(lon) or not len(self.held[0]):
@@ -74,7 +74,7 @@ class _Sought:
         if self.tree is None or self.base != group[0]:
             self.base = group[0]
             self.tree = near.Tree(*self.held[:2], self.held[2] - self.base)
-        first, run = _runs(lon, lat, group)
+        first, run = runs(lon, lat, group)
         x, y = lon[first], lat[first]
         at = near.nearest(near.Tree(x, y, group[first] - self.base), self.tree, self.reach_m)
         away = near.metres(x, y, self.held[0][at], self.held[1][at])
@@ -123,7 +123,7 @@ def nearest_places(left: DataFrame, right: DataFrame, reach_m: float, keys: list
                 done += rows.num_rows
                 yield pa.RecordBatch.from_arrays([rows.column(width + 3), pa.array(metres, mask=np.isnan(metres))], names=schema.names)
 
-        for batch, number in _numbered(batches, width):
+        for batch, number in numbered(batches, width):
             asks = batch.column(width).to_numpy(zero_copy_only=False)
             if not asks.all():
                 sought.add(*(batch.column(width + k).to_numpy(zero_copy_only=False)[~asks] for k in (1, 2)), number[~asks])
@@ -175,7 +175,7 @@ def linked_cells(places: DataFrame, reach_m: float, key: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, count = [], 0
-        for batch, number in _numbered(batches, len(own)):
+        for batch, number in numbered(batches, len(own)):
             # whole groups are linked; the last may go on
             ends_at = int(np.searchsorted(number, number[-1]))
             done = parts and parts[-1][1][-1] != number[-1]
